@@ -30,8 +30,13 @@ def _words(text_col: str):
     return F.filter(F.split(F.lower(F.col(text_col)), r"\s+", -1), lambda w: w != "")
 
 
+def _once(df: DataFrame, keep: list, value, name: str) -> DataFrame:
+    """Adds a value that the optimizer can't copy into the expressions that use it."""
+    return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def _hashed(df: DataFrame, key: list, text_col: str) -> DataFrame:
-    return df.select(*key, F.transform(_words(text_col), lambda w: F.xxhash64(w)).alias("__w")).filter(F.size("__w") >= SPAN)
+    return _once(df, key, F.transform(_words(text_col), lambda w: F.xxhash64(w)), "__w").filter(F.size("__w") >= SPAN)
 
 
 def _seeds(hashed: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -55,9 +60,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     laid = found.join(F.broadcast(item_words) if small else item_words, "__ikey")
     doc_words = _hashed(docs, [F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__key")], text_col)
     both = laid.join(doc_words, "__key").withColumn("__n", F.least(F.lit(OVERLAP), F.size("__iw")))
-    same = F.expr("transform(__iw, (w, i) -> if(__diagonal + i >= 0 and get(__w, greatest(__diagonal + i, 0)) = w, 1, 0))")
-    sums = F.expr("transform(sequence(0, size(__same) - __n), i -> struct(aggregate(slice(__same, i + 1, __n), 0, (a, x) -> a + x) as agree, -i as before))")
-    best = both.withColumn("__same", F.transform(same, lambda x: F.coalesce(x, F.lit(0)))).withColumn("__best", F.array_max(sums))
+    same = F.expr("transform(__iw, (w, i) -> if(__diagonal + i >= 0 and get(__w, greatest(__diagonal + i, 0)) <=> w, 1, 0))")
+    sums = F.expr("array_max(transform(sequence(0, size(__same) - __n), i -> struct(aggregate(slice(__same, i + 1, __n), 0, (a, x) -> a + x) as agree, -i as before)))")
+    compared = _once(both, ["__id", "__item", "__diagonal", "__n"], same, "__same")
+    best = _once(compared, ["__id", "__item", "__diagonal", "__n"], sums, "__best")
     enough = F.col("__best.agree") >= F.col("__n") - F.floor(F.col("__n") * SUBSTITUTIONS / OVERLAP)
     rows = best.filter(enough).select("__id", "__item", F.struct(F.col("__best.agree").alias("agree"), (-(F.col("__diagonal") - F.col("__best.before"))).alias("before"), F.col("__n").alias("n")).alias("__s"))
     top = rows.groupBy("__id", "__item").agg(F.max("__s").alias("__s"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from morphlake.llm import decontaminate, linededup, topk
+from morphlake.llm import decontaminate, linededup, topk, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_warc": warc.query,
     "op8_exact_top_k": topk.query,
     "op9_line_dedup": linededup.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
 }
