@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from morphlake.llm import decontaminate, linededup, topk, warc
+from morphlake.llm import decontaminate, linededup, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_warc": warc.query,
+    "op6_toxicity": toxicity.query,
     "op8_exact_top_k": topk.query,
     "op9_line_dedup": linededup.query,
 }
