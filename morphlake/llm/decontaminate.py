@@ -26,8 +26,12 @@ OVERLAP, SUBSTITUTIONS = 13, 3
 BROADCAST_ROWS = 500_000
 
 
+#: What Java's \\s matches.
+WHITE = " \t\n\r\f\x0b"
+
+
 def _words(text_col: str):
-    return F.filter(F.split(F.lower(F.col(text_col)), r"\s+", -1), lambda w: w != "")
+    return F.split(F.lower(F.trim(F.col(text_col), F.lit(WHITE))), r"\s+", -1)
 
 
 def _once(df: DataFrame, keep: list, value, name: str) -> DataFrame:
@@ -35,30 +39,34 @@ def _once(df: DataFrame, keep: list, value, name: str) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(value.alias(name)))))
 
 
-def _hashed(df: DataFrame, key: list, text_col: str) -> DataFrame:
-    return _once(df, key, F.transform(_words(text_col), lambda w: F.xxhash64(w)), "__w").filter(F.size("__w") >= SPAN)
+def _split(df: DataFrame, key: list, text_col: str) -> DataFrame:
+    return _once(df, key, _words(text_col), "__w").filter(F.size("__w") >= SPAN)
+
 
+def _seeds(split: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """A row for each mask at each position: __seed and its position.
 
-def _seeds(hashed: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """A row for each mask at each position: __seed and its position."""
-    sql = ", ".join("xxhash64(" + ", ".join(f"get(__w, i + {k})" for k in mask) + f", {m})" for m, mask in enumerate(MASKS))
-    every = F.expr(f"flatten(transform(sequence(0, size(__w) - {SPAN}), i -> array({sql})))")
-    return hashed.select(*keys, F.posexplode(every).alias("__at", "__seed")).select(*keys, "__seed", F.expr(f"cast(__at div {len(MASKS)} as int)").alias(pos))
+    Both generators are compiled with the projection and the probe that follow, so a position
+    costs a few hashes and the words are never copied.
+    """
+    at = split.select(*keys, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - SPAN)).alias(pos))
+    seeds = [F.xxhash64(*[F.get(F.col("__w"), F.col(pos) + k) for k in mask], F.lit(m)) for m, mask in enumerate(MASKS)]
+    return at.select(*keys, pos, F.explode(F.array(*seeds)).alias("__seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item that overlap: __id, __item, where the best window
     starts in the document (in words), how many of its words agree, and its length."""
-    items = _hashed(benchmark, [F.col(item_col).alias("__item"), F.xxhash64(item_col, item_text).alias("__ikey")], item_text)
+    items = _split(benchmark, [F.col(item_col).alias("__item"), F.xxhash64(item_col, item_text).alias("__ikey")], item_text)
     item_seeds = _seeds(items, ["__ikey"], "__ipos").distinct()
-    doc_seeds = _seeds(_hashed(docs, [F.xxhash64(id_col, text_col).alias("__key")], text_col), ["__key"], "__pos")
+    doc_seeds = _seeds(_split(docs, [F.xxhash64(id_col, text_col).alias("__key")], text_col), ["__key"], "__pos")
     n = item_seeds.limit(BROADCAST_ROWS + 1).count()
     small = n <= BROADCAST_ROWS
     hits = doc_seeds.join(F.broadcast(item_seeds) if small else item_seeds, "__seed")
     found = hits.select("__key", "__ikey", (F.col("__pos") - F.col("__ipos")).alias("__diagonal")).distinct()
     item_words = items.select("__ikey", "__item", F.col("__w").alias("__iw")).distinct()
     laid = found.join(F.broadcast(item_words) if small else item_words, "__ikey")
-    doc_words = _hashed(docs, [F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__key")], text_col)
+    doc_words = _split(docs, [F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__key")], text_col)
     both = laid.join(doc_words, "__key").withColumn("__n", F.least(F.lit(OVERLAP), F.size("__iw")))
     same = F.expr("transform(__iw, (w, i) -> if(__diagonal + i >= 0 and get(__w, greatest(__diagonal + i, 0)) <=> w, 1, 0))")
     sums = F.expr("array_max(transform(sequence(0, size(__same) - __n), i -> struct(aggregate(slice(__same, i + 1, __n), 0, (a, x) -> a + x) as agree, -i as before)))")
