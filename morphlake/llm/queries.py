@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from morphlake.llm import decontaminate, linededup, topk, toxicity, warc
+from morphlake.llm import decontaminate, linededup, mixing_lm, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_warc": warc.query,
     "op6_toxicity": toxicity.query,
+    "op7_context_mixing": mixing_lm.query,
     "op8_exact_top_k": topk.query,
     "op9_line_dedup": linededup.query,
 }
