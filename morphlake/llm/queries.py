@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from morphlake.llm import decontaminate, linededup, mixing_lm, topk, toxicity, warc
+from morphlake.llm import decontaminate, linededup, mixing_lm, ngramjoin, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_context_mixing": mixing_lm.query,
     "op8_exact_top_k": topk.query,
     "op9_line_dedup": linededup.query,
+    "op10_ngram_jaccard": ngramjoin.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
