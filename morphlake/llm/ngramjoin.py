@@ -25,6 +25,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -262,7 +263,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
-        for batch in (*batches, None):
+        for batch in chain(batches, (None,)):
             if batch is not None:
                 now = pa.Table.from_batches([batch])
                 left = pa.concat_tables([left, now]).combine_chunks() if left is not None else now

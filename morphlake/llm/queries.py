@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from morphlake.llm import decontaminate, html, linededup, mixing_lm, ngramjoin, topk, toxicity, warc
+from morphlake.llm import decontaminate, html, linededup, mixing_lm, ngramjoin, spm, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_warc": warc.query,
+    "op3_substring_dedup": substring.query,
     "op4_html_extraction": html.query,
+    "op5_sentencepiece": spm.query,
     "op6_toxicity": toxicity.query,
     "op7_context_mixing": mixing_lm.query,
     "op8_exact_top_k": topk.query,
