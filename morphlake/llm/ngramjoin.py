@@ -4,7 +4,7 @@ A document is the set of its word n-grams. Equal sets are one set from the start
 whose similarity reaches the threshold share one of their rarest members: each set is entered
 under a prefix of its members in order of rarity, and sets under one member form a bucket.
 
-First each bucket's sets are held against its least and its greatest set, which links most
+First each bucket's sets are held against its least set, which links most
 copies at a cost in proportion to the rows; classes are formed from the links. What is left are
 pairs of sets of one bucket in different classes. Those are found by signature trees: a leaf
 holds a few sets; a node holds the OR of its sets' bitmaps and the range of their sizes. Two
@@ -36,7 +36,8 @@ from morphlake.llm.common import U, bounded_batches, mix, shingle_hashes, slices
 from morphlake.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
-SKETCH = 1 << 16
+#: Counters of the sketch of how many documents have a member, and those of one row of its shuffle.
+SKETCH, PIECE = 1 << 22, 1 << 16
 #: Bits of a set's bitmap; sets of a leaf; sets of one class-blind block of a bucket.
 BITS, LEAF, BLOCK = 1024, 16, 512
 #: Rows of ids that may be broadcast (16 bytes each).
@@ -68,7 +69,7 @@ def prefix(members: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     """The rarest members, so many that similar sets must share one of them."""
     n = len(members)
     keep = n - (percent * n + 99) // 100 + 1
-    rank = sketch[(members & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(32) | members >> U(32)
+    rank = sketch[(members & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(56) | members >> U(8)
     return members[np.argsort(rank, kind="stable")[:keep]]
 
 
@@ -164,23 +165,34 @@ def _bucket_pairs(group: np.ndarray, first: np.ndarray, sizes, bitmaps, classes,
 
 
 def _sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """How many documents have a member of each hashed class: SKETCH numbers, whatever the input."""
+    """Levels (eighths of a doubling) of how many documents have a member of each hashed class:
+    SKETCH bytes, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.int32)
         for batch in batches:
             for x in slices(batch, "__text"):
                 words, splits = word_hashes(x.column("__text"))
                 grams, _ = shingle_hashes(words, splits, width)
-                total += np.bincount((grams & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 8192].astype(np.int32)), pa.array(total[at[i : i + 8192]])], names=["k", "c"])
+                np.add.at(total, (grams & U(SKETCH - 1)).astype(np.intp), np.int32(1))
+        for i, part in enumerate(total.reshape(-1, PIECE)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["k", "at", "c"])
+
+    def level(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PIECE, np.int64)
+        for batch in batches:
+            for at, c in zip(batch.column("at"), batch.column("c"), strict=True):
+                total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(c.as_buffer(), np.int32)
+        levels = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["k", "levels"])
 
-    rows = texts.select("__text").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[rows["k"].to_numpy(np.int64)] = rows["c"].to_numpy(np.int64)
-    return np.argsort(np.argsort(out, kind="stable"), kind="stable")  # ranks fit in 32 bits
+    rows = texts.select("__text").mapInArrow(count, "k int, at binary, c binary").groupBy("k").applyInArrow(level, "k int, levels binary")
+    out = np.zeros((SKETCH // PIECE, PIECE), np.uint8)
+    for k, levels in rows.collect():  # SKETCH bytes in all
+        out[k] = np.frombuffer(levels, np.uint8)
+    return out.reshape(-1)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,7 +221,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    ranks = spark.sparkContext.broadcast(_sketch(texts, width).astype(np.uint32))  # SKETCH numbers
+    ranks = spark.sparkContext.broadcast(_sketch(texts, width))  # SKETCH bytes
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,27 +240,29 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     named = stored(spark, texts.mapInArrow(name, "__id long, sid long, n long"), "named")
     entries = texts.select("__text").mapInArrow(enter, "token long, sid long, n int")
-    leaders = entries.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max(F.struct("sid", "n")).alias("hi")).filter("lo.sid <> hi.sid")
+    leaders = entries.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max("sid").alias("hi")).filter("lo.sid <> hi")
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    shared = entries.join(leaders, "token").groupBy("token", "sid", "n").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    shared = entries.join(leaders, "token").groupBy("token", "sid", "n").agg(F.first("lo").alias("lo"))
     buckets = stored(spark, shared, "buckets")
 
-    ends = [buckets.filter((F.col("sid") != F.col(f"{e}.sid")) & close(F.col("n"), F.col(f"{e}.n"))).select(F.least("sid", f"{e}.sid").alias("a"), F.greatest("sid", f"{e}.sid").alias("b")) for e in ("lo", "hi")]
-    pairs = stored(spark, ends[0].unionAll(ends[1]).distinct(), "pairs")
+    apart = buckets.filter((F.col("sid") != F.col("lo.sid")) & close(F.col("n"), F.col("lo.n")))
+    pairs = stored(spark, apart.select(F.least("sid", "lo.sid").alias("a"), F.greatest("sid", "lo.sid").alias("b")).distinct(), "pairs")
 
     # The sets that lie in any shared bucket, made again from one text each.
     wanted = stored(spark, named.join(buckets.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("__id").alias("__id")), "wanted")
     held = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a repeated id brings its rows again: once a task is enough
         for batch in batches:
             sets = sets_of(batch, width)
             names = fingerprints(sets)
+            new = [i for i, x in enumerate(names.tolist()) if not (x in seen or seen.add(x))]
+            names, sets = names[new], [sets[i] for i in new]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["sid", "n", "members", "bits"])
 
     chosen = texts.join(held.select(F.col("__id").alias("__want")), F.col("__id").eqNullSafe(F.col("__want")), "left_semi").select("__text")
-    sets = chosen.mapInArrow(hold, "sid long, n long, members binary, bits binary").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-    sets = stored(spark, sets, "sets")
+    sets = stored(spark, chosen.mapInArrow(hold, "sid long, n long, members binary, bits binary"), "sets")
 
     classes = wanted.select("sid", F.col("sid").alias("comp"))
     classes = _classes(classes, stored(spark, _verified(pairs, sets, percent), "links"))
