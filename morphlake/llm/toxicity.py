@@ -36,7 +36,8 @@ HIDDEN, WORD_DIM, CHAR_DIM, QUERY_DIM = 8, 8, 12, 8
 CHAR_ROWS = 1 << 13
 #: A word gets a vector of its own from so many sampled windows on.
 LEAST_WINDOWS = 25
-EPOCHS, BATCH, RATE, SLOWER, DECAY, DROPPED = 8, 96, 0.015, 0.75, 3e-5, 0.3
+#: Passes over the sample; more where it is so small that STEPS updates would not be reached.
+EPOCHS, STEPS, BATCH, RATE, SLOWER, DECAY, DROPPED = 8, 320, 96, 0.015, 0.75, 3e-5, 0.3
 THRESHOLD = 0.3
 #: Windows that go through the network at once when scoring.
 SCORE_BATCH = 512
@@ -212,8 +213,10 @@ def train(texts: list[str], labels: np.ndarray, owner: np.ndarray) -> Network |
     start, length = words.splits[:-1], np.minimum(counts, WINDOW)
     target = labels[owner].astype(np.float32)
     r, moments, step = np.random.default_rng(11), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
-    for epoch in range(EPOCHS):
-        if epoch < 2:
+    batch = min(BATCH, max(16, len(labels) // 8))
+    epochs = max(EPOCHS, -(-STEPS * batch // (2 * len(labels))))
+    for epoch in range(epochs):
+        if epoch < epochs // 4:
             chosen = np.flatnonzero(r.random(len(texts)) < min(1.0, 2 * len(labels) / len(texts)))
         else:  # the highest window stands for its document, and another of each clean one
             gates = net.inputs(words)
@@ -223,8 +226,8 @@ def train(texts: list[str], labels: np.ndarray, owner: np.ndarray) -> Network |
             other = np.flatnonzero((target == 0) & (r.random(len(texts)) < 0.15))
             chosen = np.unique(np.concatenate([top, other]))
         r.shuffle(chosen)
-        for i in range(0, len(chosen), BATCH):
-            own = chosen[i : i + BATCH]
+        for i in range(0, len(chosen), batch):
+            own = chosen[i : i + batch]
             gates, mask, used = _training_gates(net, words, rows, which, start[own], length[own])
             logits, cache = net.forward(gates, mask, keep=True)
             error = (_sigmoid(logits) - target[own]) / len(own)
@@ -236,7 +239,7 @@ def train(texts: list[str], labels: np.ndarray, owner: np.ndarray) -> Network |
                 v = v + DECAY * net.p[k] if k in ("word", "char") else v
                 m += 0.1 * (v - m)
                 s += 0.001 * (v * v - s)
-                net.p[k] -= RATE * SLOWER**epoch * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                net.p[k] -= RATE * SLOWER ** (epoch * EPOCHS / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
             net.p["word"][0] = 0
     return net
 
