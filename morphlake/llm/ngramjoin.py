@@ -4,7 +4,7 @@ A document is the set of its word n-grams. Equal sets are one set from the start
 whose similarity reaches the threshold share one of their rarest members: each set is entered
 under a prefix of its members in order of rarity, and sets under one member form a bucket.
 
-First each bucket's sets are held against its least set, which links most
+First each bucket's sets are held against the one of the commonest members, which links most
 copies at a cost in proportion to the rows; classes are formed from the links. What is left are
 pairs of sets of one bucket in different classes. Those are found by signature trees: a leaf
 holds a few sets; a node holds the OR of its sets' bitmaps and the range of their sizes. Two
@@ -42,6 +42,8 @@ SKETCH, PIECE = 1 << 22, 1 << 16
 BITS, LEAF, BLOCK = 1024, 16, 512
 #: Rows of ids that may be broadcast (16 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Bitmaps that may be broadcast (150 bytes each).
+BITMAP_ROWS = 400_000
 
 
 def sets_of(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -208,6 +210,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "__ma", "__mb").mapInArrow(check, "a long, b long")
 
 
+def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps leave room for similarity."""
+    small = bits.limit(BITMAP_ROWS + 1).count() <= BITMAP_ROWS
+    side = lambda e: bits.select(F.col("sid").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"b{e}"))
+    one, two = (F.broadcast(side(e)) if small else side(e) for e in ("a", "b"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            ba, bb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, BITS // 64) for c in ("ba", "bb"))
+            n, rows = len(na), np.arange(len(na))
+            ok = _may(np.concatenate([na, nb]), np.concatenate([ba, bb]), np.arange(2 * n), rows, rows + n, percent)
+            kept = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(keep, "a long, b long")
+
+
 def _classes(old: DataFrame, edges: DataFrame) -> DataFrame:
     """(sid, comp) after links between classes."""
     between = edges.join(old.select(F.col("sid").alias("a"), F.col("comp").alias("ca")), "a").join(old.select(F.col("sid").alias("b"), F.col("comp").alias("cb")), "b")
@@ -229,51 +251,79 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(fingerprints(sets)), pa.array([len(x) for x in sets], pa.int64())], names=["__id", "sid", "n"])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies enter once a task
         for batch in batches:
             sets = sets_of(batch, width)
             names = fingerprints(sets)
+            new = [i for i, x in enumerate(names.tolist()) if not (x in seen or seen.add(x))]
+            names, sets = names[new], [sets[i] for i in new]
             made = [prefix(x, ranks.value, percent) if len(x) else x for x in sets]
             sizes = np.array([len(x) for x in made], np.int64)
             token = np.concatenate([np.zeros(0, U), *made]).view(np.int64)
             n = np.array([len(x) for x in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(n, sizes))], names=["token", "sid", "n"])
+            # How common a set's members are: in a family of copies, highest for the one they were made from.
+            common = np.array([int(100 * ranks.value[(x & U(SKETCH - 1)).astype(np.int64)].mean()) if len(x) else 0 for x in sets], np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(common, sizes))], names=["token", "sid", "n", "common"])
 
     named = stored(spark, texts.mapInArrow(name, "__id long, sid long, n long"), "named")
-    entries = texts.select("__text").mapInArrow(enter, "token long, sid long, n int")
-    leaders = entries.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max("sid").alias("hi")).filter("lo.sid <> hi")
+    entries = texts.select("__text").mapInArrow(enter, "token long, sid long, n int, common short")
+    leaders = entries.groupBy("token").agg(F.max(F.struct("common", "sid", "n")).alias("lo"), F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most")
+    # Stored, so that the join deals both sides anew and a hot member's rows can be split.
+    leaders = stored(spark, leaders.select("token", "lo"), "leaders")
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    shared = entries.join(leaders, "token").groupBy("token", "sid", "n").agg(F.first("lo").alias("lo"))
-    buckets = stored(spark, shared, "buckets")
-
+    buckets = stored(spark, entries.drop("common").join(leaders, "token"), "buckets")
     apart = buckets.filter((F.col("sid") != F.col("lo.sid")) & close(F.col("n"), F.col("lo.n")))
     pairs = stored(spark, apart.select(F.least("sid", "lo.sid").alias("a"), F.greatest("sid", "lo.sid").alias("b")).distinct(), "pairs")
 
-    # The sets that lie in any shared bucket, made again from one text each.
+    # Bitmaps of the sets that lie in any shared bucket, made again from one text each.
     wanted = stored(spark, named.join(buckets.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("__id").alias("__id")), "wanted")
-    held = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         seen: set[int] = set()  # a repeated id brings its rows again: once a task is enough
         for batch in batches:
             sets = sets_of(batch, width)
             names = fingerprints(sets)
             new = [i for i, x in enumerate(names.tolist()) if not (x in seen or seen.add(x))]
-            names, sets = names[new], [sets[i] for i in new]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["sid", "n", "members", "bits"])
+            yield names[new], [sets[i] for i in new]
 
-    chosen = texts.join(held.select(F.col("__id").alias("__want")), F.col("__id").eqNullSafe(F.col("__want")), "left_semi").select("__text")
-    sets = stored(spark, chosen.mapInArrow(hold, "sid long, n long, members binary, bits binary"), "sets")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, sets in once(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["sid", "n", "bits"])
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, sets in once(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "members"])
+
+    def texts_of(sids: DataFrame) -> DataFrame:
+        """The text of one document of each set."""
+        n = sids.limit(BROADCAST_ROWS + 1).count()
+        ids = sids.select(F.col("__id").alias("__want"))
+        ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
+        return texts.join(ids, F.col("__id").eqNullSafe(F.col("__want")), "left_semi").select("__text")
+
+    bits = stored(spark, texts_of(wanted).mapInArrow(mark, "sid long, n long, bits binary"), "bits")
+
+    def linked(found: DataFrame) -> DataFrame:
+        """The pairs that are similar: only their sets are made and sent."""
+        sids = found.select(F.col("a").alias("sid")).unionAll(found.select(F.col("b").alias("sid"))).distinct()
+        sets = stored(spark, texts_of(stored(spark, wanted.join(sids, "sid"), "needed")).mapInArrow(hold, "sid long, members binary"), "sets")
+        return stored(spark, _verified(found, sets, percent), "links")
 
     classes = wanted.select("sid", F.col("sid").alias("comp"))
-    classes = _classes(classes, stored(spark, _verified(pairs, sets, percent), "links"))
+    classes = _classes(classes, linked(stored(spark, _possible(pairs, bits, percent), "possible")))
 
     # Buckets that still hold several classes; the largest class of each comes first.
-    rows = buckets.select("token", "sid", "n").join(classes, "sid")
+    rows = stored(spark, buckets.select("token", "sid", "n").distinct().join(classes, "sid"), "rows")
     mixed = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("kinds > 1")
-    laid = rows.join(mixed, "token").withColumn("first", F.col("comp") == F.col("main")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
+    placed = stored(spark, rows.join(stored(spark, mixed, "mixed"), "token"), "placed")
+    # A bucket no larger than a leaf is a tree of one leaf: its pairs are listed and held against the bitmaps.
+    leaf = placed.filter(F.col("all") <= LEAF).groupBy("token").agg(F.collect_list(F.struct("sid", "comp")).alias("l"))
+    listed = leaf.select(F.inline(F.expr("flatten(transform(l, x -> transform(filter(l, y -> y.sid > x.sid AND y.comp <> x.comp), y -> struct(x.sid AS a, y.sid AS b))))"))).distinct()
+    few = _possible(listed, bits, percent)
+    laid = placed.filter(F.col("all") > LEAF).withColumn("first", F.col("comp") == F.col("main")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     every = F.when(F.col("first"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    laid = laid.select("token", "sid", "n", "comp", "first", F.explode(every).alias("block")).join(sets.select("sid", "bits"), "sid")
+    laid = laid.select("token", "sid", "n", "comp", "first", F.explode(every).alias("block")).join(bits.select("sid", "bits"), "sid")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -302,12 +352,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = laid.repartition(parts, "token", "block").sortWithinPartitions("token", "block", "sid")
-    more = stored(spark, dealt.select("token", "block", "sid", F.col("n").cast("long").alias("n"), "comp", "first", "bits").mapInArrow(meet, "a long, b long").distinct(), "pairs")
-    classes = _classes(classes, stored(spark, _verified(more, sets, percent), "links"))
-
-    placed = named.join(classes, "sid", "left").select("__id", F.col("n").alias("__n"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("__class"))
-    least = placed.filter("__class is not null").groupBy("__class").agg(F.min("__id").alias("__least"))
-    return placed.join(least, "__class", "left").select("__id", "__n", "__class", F.coalesce("__least", "__id").alias("__component"))
+    more = stored(spark, dealt.select("token", "block", "sid", F.col("n").cast("long").alias("n"), "comp", "first", "bits").mapInArrow(meet, "a long, b long").unionAll(few).distinct(), "pairs")
+    classes = _classes(classes, linked(more))
+
+    out = named.join(classes, "sid", "left").select("__id", F.col("n").alias("__n"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("__class"))
+    least = out.filter("__class is not null").groupBy("__class").agg(F.min("__id").alias("__least"))
+    # Stored, so that the join deals both sides anew and a hot class can be split.
+    least = stored(spark, least, "least")
+    return out.join(least, "__class", "left").select("__id", "__n", "__class", F.coalesce("__least", "__id").alias("__component"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
