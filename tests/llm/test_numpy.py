@@ -83,6 +83,18 @@ def test_chains_match_brute_force():
         assert score == pytest.approx(brute_chain(x.tolist(), y.tolist()))
 
 
+def test_a_chain_that_fails_is_split():
+    r = np.random.default_rng(4)
+    p, q = (r.integers(0, 1 << 16, 60).astype(np.uint16) for _ in range(2))
+    for m, k in ((100, 100), (300, 300), (90, 140)):
+        a, b = (np.concatenate([p, r.integers(0, 1 << 16, w).astype(np.uint16), q]) for w in (m, k))
+        got = substring.align(a, b, 0, 0, [(3, 3, 50), (60 + m, 60 + k, 57)])
+        assert len(got) == 2 and all(x1 - x0 in range(60, 66) and matched >= 60 for x0, x1, _, _, matched in got)
+    # a stray seed far off spoils nothing, and what fails on its own is no passage
+    a, b = (np.concatenate([p, r.integers(0, 1 << 16, 40).astype(np.uint16), q[:6], r.integers(0, 1 << 16, 20).astype(np.uint16)]) for _ in range(2))
+    assert [x[:2] for x in substring.align(a, b, 0, 0, [(0, 0, 60), (100, 100, 6)])] == [(0, 60)]
+
+
 def test_minimizers_cover_every_window():
     r = np.random.default_rng(1)
     hashes = r.integers(0, 1 << 60, 500).astype(np.uint64)

@@ -120,6 +120,13 @@ def test_passages(spark):
     assert substring.passages(docs.filter("doc_id = 1").unionAll(docs.filter("doc_id = 1"))).count() == 0
 
 
+def test_two_passages_of_one_pair(spark):
+    p, q = words(60, 11), words(60, 12)
+    rows = [(1, " ".join(p + words(100, 13) + q)), (2, " ".join(words(40, 14) + p + words(100, 15) + q + words(40, 16)))]
+    got = substring.passages(spark.createDataFrame(rows, DOCS)).orderBy("start_word").collect()
+    assert [tuple(r)[:6] for r in got] == [(2, 1, 40, 100, 0, 60), (2, 1, 200, 260, 160, 220)]
+
+
 def test_sentencepiece_table(spark):
     docs = clash(spark.createDataFrame([(1, "hello  world\n"), (2, None), (3, ""), (4, "z" * 5000)], DOCS))
     got = spm.encode_documents(docs, back="__back")
