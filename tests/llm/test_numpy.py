@@ -95,6 +95,33 @@ def test_a_chain_that_fails_is_split():
     assert [x[:2] for x in substring.align(a, b, 0, 0, [(0, 0, 60), (100, 100, 6)])] == [(0, 60)]
 
 
+@pytest.mark.parametrize("bits", [substring.BITS, 16])
+def test_gaps_of_any_length_are_aligned(bits, monkeypatch):
+    monkeypatch.setattr(substring, "BITS", bits)
+    r = np.random.default_rng(8)
+
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for u in a:
+            before = 0
+            for j, v in enumerate(b, 1):
+                now = row[j]
+                row[j] = before + 1 if u == v else max(row[j], row[j - 1])
+                before = now
+        return row[-1]
+
+    for m, n, kinds in ((0, 5, 3), (1, 1, 1), (7, 9, 3), (64, 64, 5), (65, 40, 4), (200, 150, 20), (130, 300, 1000)):
+        for _ in range(5):
+            u, v = (r.integers(0, kinds, w).astype(np.uint16) for w in (m, n))
+            assert substring._gap_matches(u, v) == brute(u.tolist(), v.tolist())
+    # a copy with one more word, whose middle has no seeds of this pair; and a shift inside a gap of equal length
+    a = r.integers(0, 1 << 16, 600).astype(np.uint16)
+    b = np.insert(a, 300, 7)
+    assert substring.align(b, a, 0, 0, [(0, 0, 200), (401, 400, 200)]) == [(0, 601, 0, 600, 600)]
+    b = np.delete(b, 399)
+    assert substring.align(b, a, 0, 0, [(0, 0, 100), (500, 500, 100)]) == [(0, 600, 0, 600, 599)]
+
+
 def test_minimizers_cover_every_window():
     r = np.random.default_rng(1)
     hashes = r.integers(0, 1 << 60, 500).astype(np.uint64)
