@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -127,6 +128,28 @@ def test_two_passages_of_one_pair(spark):
     assert [tuple(r)[:6] for r in got] == [(2, 1, 40, 100, 0, 60), (2, 1, 200, 260, 160, 220)]
 
 
+def test_passages_whose_pieces_stand_first_elsewhere(spark):
+    p = words(60, 21)
+    rows = [(10, words(50, 22) + p[:30]), (11, p[30:] + words(50, 23)), (12, words(20, 24) + p), (13, p + words(20, 25))]
+    r = random.Random(5)
+    phrases = [words(r.choice((9, 20, 30, 45)), 30 + k) for k in range(30)]
+    pieces = [sum(r.sample(phrases, 4), []) for _ in range(12)]
+    rows += [(20 + k, sum((r.choice(pieces + phrases) + words(r.randint(0, 30), 100 + 3 * k + i) for i in range(3)), [])) for k in range(60)]
+    got = defaultdict(list)
+    for x in substring.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)).collect():
+        got[x.doc_id].append(x)
+    assert [(x.other_id, x.start_word, x.end_word, x.matched) for x in got[13]] == [(12, 0, 60, 60)]
+    earlier, checked = set(), 0
+    for i, w in rows:
+        runs = [tuple(w[k : k + 50]) for k in range(len(w) - 49)]
+        for k, run in enumerate(runs):
+            if run in earlier:
+                checked += 1
+                assert any(min(x.end_word, k + 50) - max(x.start_word, k) >= 48 for x in got[i]), (i, k)
+        earlier |= set(runs)
+    assert checked > 100
+
+
 def test_sentencepiece_table(spark):
     docs = clash(spark.createDataFrame([(1, "hello  world\n"), (2, None), (3, ""), (4, "z" * 5000)], DOCS))
     got = spm.encode_documents(docs, back="__back")
