@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from morphlake.llm import common, graph, html, mixing_lm, ngramjoin, spm, substring, topk, toxicity, warc
 from pyspark.sql import functions as F
@@ -192,6 +194,15 @@ def test_language_model_counts_are_exact(spark):
     assert mixing_lm.score(docs, empty, none).count() == 63
 
 
+def test_language_model_tables_hold_all_training_documents(spark):
+    rows = [(i, f"the cat {i % 3} sat on the mat {i}") for i in range(40)]
+    codes, _ = mixing_lm.fit(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    sums = [np.zeros(2 << k, np.int64) for k in mixing_lm.SLOTS]
+    mixing_lm.count_into(sums, pa.array([t for _, t in rows]), codes)
+    assert all(a.any() and np.array_equal(a, b) for a, b in zip(codes.tables, mixing_lm.tables_of(sums), strict=True))
+    assert not np.array_equal(codes.weights[0], np.full_like(codes.weights[0], 0.35))
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     p = words(40, 1)
