@@ -203,6 +203,15 @@ def test_language_model_tables_hold_all_training_documents(spark):
     assert not np.array_equal(codes.weights[0], np.full_like(codes.weights[0], 0.35))
 
 
+def test_language_model_tunes_on_whole_texts(spark):
+    fits = [mixing_lm.fit(spark.createDataFrame([(i, "the cat sat " * 2000 + end) for i in range(6)], DOCS), "doc_id", "text")[0] for end in ("on the mat", "zzzz " * 2000)]
+    z, q = (ord(x) for x in "zq")
+    assert fits[0].byte_bits[z] == fits[0].byte_bits[q] and fits[1].byte_bits[z] < fits[1].byte_bits[q]
+    assert not np.array_equal(fits[0].weights, fits[1].weights)
+    tuned = [n // mixing_lm.tuning_plan(n)[0] for n in (10, 400, 1000, 10**6, 10**8)]
+    assert tuned == sorted(tuned) and tuned[-1] == 100 * tuned[-2] and tuned[0] == 10
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     p = words(40, 1)
