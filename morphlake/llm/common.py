@@ -3,6 +3,7 @@ batches, and word hashing over whole byte buffers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,12 +32,15 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors and the driver see.
 
-    Where the setting is absent (local tests), a temporary folder takes its place.
+    Where the setting is absent and all runs in one process (tests), a temporary folder takes its
+    place; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.morphlake.local.scratch", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: the operators need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="morphlake")
         spark.conf.set("spark.morphlake.local.scratch", root)
     return f"{root.rstrip('/')}/morphlake-{uuid.uuid4().hex}"
@@ -47,7 +51,32 @@ def stored(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame
     executor costs a task, not the whole plan."""
     path = f"{shared_dir(spark)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened where a column of df has one (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def unclashed(df: DataFrame, *names: str) -> None:
+    """An error that names the columns of df which a result column would hide."""
+    if both := sorted({c for c in df.columns if c.lower() in {x.lower() for x in names}}):
+        raise ValueError(f"the table already has {', '.join(both)}: rename these columns, or choose other names for the results")
 
 
 def in_bucket(column: str, modulus: int, remainder: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import stored
+from morphlake.llm.common import dropped, stored
 
 
 def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame, u: str = "a", v: str = "b") -> DataFrame:
         # Done when every node hangs on one root and no root hangs on another.
         bad = after.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
         bad = bad or after.select("x").join(after.select(F.col("y").alias("x")), "x", "left_semi").limit(1).count()
+        dropped(now)
         now = after
         if not bad:
             break

@@ -32,18 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morphlake.llm.common import U, bounded_batches, mix, shingle_hashes, slices, stored, table, word_hashes
+from morphlake.llm.common import U, bounded_batches, dropped, mix, shingle_hashes, slices, stored, table, word_hashes
 from morphlake.llm.graph import components
 
 WIDTH, PERCENT = 4, 85
 #: Counters of the sketch of how many documents have a member, and those of one row of its shuffle.
 SKETCH, PIECE = 1 << 22, 1 << 16
-#: Bits of a set's bitmap; sets of a leaf; sets of one class-blind block of a bucket.
+#: Bits of a set's bitmap in trees; sets of a leaf; sets of one class-blind block of a bucket.
 BITS, LEAF, BLOCK = 1024, 16, 512
-#: Rows of ids that may be broadcast (16 bytes each).
-BROADCAST_ROWS = 2_000_000
-#: Bitmaps that may be broadcast (150 bytes each).
-BITMAP_ROWS = 400_000
+#: Rows of ids that may be broadcast (16 bytes each, so 8 MB); beyond it, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def sets_of(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -62,9 +60,16 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(members >> U(20)).astype(np.int64) % BITS] = True
-    return np.packbits(bits).tobytes()
+    """A bit for each member: BITS, or about twice as many as there are members, if that is more."""
+    size = max(BITS, 1 << int(2 * len(members)).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(members >> U(20)).astype(np.int64) & (size - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of a longer bitmap as bitmaps of so many 64-bit words: the one that as many bits would have made."""
+    return np.bitwise_or.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
 def prefix(members: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
@@ -118,12 +123,16 @@ def similar_pairs(sizes: np.ndarray, bitmaps: np.ndarray, classes: np.ndarray, l
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def _may(sizes, bitmaps, classes, p, q, percent) -> np.ndarray:
-    na, nb = sizes[p], sizes[q]
-    lost = np.bitwise_count(bitmaps[p] & ~bitmaps[q]).sum(axis=1).astype(np.int64)
-    gone = np.bitwise_count(bitmaps[q] & ~bitmaps[p]).sum(axis=1).astype(np.int64)
+def _room(na, nb, a, b, percent) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps can be similar."""
+    lost = np.bitwise_count(a & ~b).sum(axis=1).astype(np.int64)
+    gone = np.bitwise_count(b & ~a).sum(axis=1).astype(np.int64)
     both = np.minimum(na - lost, nb - gone)
-    return (classes[p] != classes[q]) & (100 * both >= percent * (na + nb - both))
+    return 100 * both >= percent * (na + nb - both)
+
+
+def _may(sizes, bitmaps, classes, p, q, percent) -> np.ndarray:
+    return (classes[p] != classes[q]) & _room(sizes[p], sizes[q], bitmaps[p], bitmaps[q], percent)
 
 
 def _tree(sizes, bitmaps, classes, rows) -> dict:
@@ -211,23 +220,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps leave room for similarity."""
-    small = bits.limit(BITMAP_ROWS + 1).count() <= BITMAP_ROWS
-    side = lambda e: bits.select(F.col("sid").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"b{e}"))
-    one, two = (F.broadcast(side(e)) if small else side(e) for e in ("a", "b"))
+    """The pairs (a, b) whose sizes and bitmaps leave room for similarity. The bitmaps of long sets
+    are longer, so that sets that only share a few members are told apart at any length."""
+    one, two = (bits.select(F.col("sid").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"b{e}")) for e in ("a", "b"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            ba, bb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), U).reshape(-1, BITS // 64) for c in ("ba", "bb"))
-            n, rows = len(na), np.arange(len(na))
-            ok = _may(np.concatenate([na, nb]), np.concatenate([ba, bb]), np.arange(2 * n), rows, rows + n, percent)
+            ba, bb = (batch.column(c).to_pylist() for c in ("ba", "bb"))
+            wide = np.array([(len(x), len(y)) for x, y in zip(ba, bb, strict=True)], np.int64).reshape(-1, 2)
+            ok = np.zeros(batch.num_rows, bool)
+            for u, v in np.unique(wide, axis=0).tolist():
+                at = np.flatnonzero((wide == (u, v)).all(axis=1))
+                x, y = (folded(np.frombuffer(b"".join([l[i] for i in at]), U).reshape(len(at), -1), min(u, v) // 8) for l in (ba, bb))
+                ok[at] = _room(na[at], nb[at], x, y, percent)
             kept = batch.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(keep, "a long, b long")
+    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.join(one, "a").join(two, "b").filter(close).select("a", "b", "na", "nb", "ba", "bb").mapInArrow(keep, "a long, b long")
 
 
 def _classes(old: DataFrame, edges: DataFrame) -> DataFrame:
@@ -246,9 +257,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranks = spark.sparkContext.broadcast(_sketch(texts, width))  # SKETCH bytes
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies have a bitmap once a task
         for batch in batches:
             sets = sets_of(batch, width)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(fingerprints(sets)), pa.array([len(x) for x in sets], pa.int64())], names=["__id", "sid", "n"])
+            names = fingerprints(sets)
+            bits = [None if not len(x) or k in seen or seen.add(k) else bitmap(x) for k, x in zip(names.tolist(), sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary())], names=["__id", "sid", "n", "bits"])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies enter once a task
@@ -265,7 +279,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             common = np.array([int(100 * ranks.value[(x & U(SKETCH - 1)).astype(np.int64)].mean()) if len(x) else 0 for x in sets], np.int16)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(common, sizes))], names=["token", "sid", "n", "common"])
 
-    named = stored(spark, texts.mapInArrow(name, "__id long, sid long, n long"), "named")
+    named = stored(spark, texts.mapInArrow(name, "__id long, sid long, n long, bits binary"), "named")
     entries = texts.select("__text").mapInArrow(enter, "token long, sid long, n int, common short")
     leaders = entries.groupBy("token").agg(F.max(F.struct("common", "sid", "n")).alias("lo"), F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most")
     # Stored, so that the join deals both sides anew and a hot member's rows can be split.
@@ -275,8 +289,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     apart = buckets.filter((F.col("sid") != F.col("lo.sid")) & close(F.col("n"), F.col("lo.n")))
     pairs = stored(spark, apart.select(F.least("sid", "lo.sid").alias("a"), F.greatest("sid", "lo.sid").alias("b")).distinct(), "pairs")
 
-    # Bitmaps of the sets that lie in any shared bucket, made again from one text each.
-    wanted = stored(spark, named.join(buckets.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("__id").alias("__id")), "wanted")
+    # The sets that lie in any shared bucket, with one document each. Rows of copies are merged before the join.
+    each = named.filter("n > 0").groupBy("sid").agg(F.min("__id").alias("__id"), F.max("n").alias("n"), F.max("bits").alias("bits"))
+    bits = stored(spark, each.join(buckets.select("sid").distinct(), "sid", "left_semi"), "bits")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         seen: set[int] = set()  # a repeated id brings its rows again: once a task is enough
@@ -286,10 +301,6 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             new = [i for i, x in enumerate(names.tolist()) if not (x in seen or seen.add(x))]
             yield names[new], [sets[i] for i in new]
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for names, sets in once(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x) for x in sets], pa.binary())], names=["sid", "n", "bits"])
-
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, sets in once(batches):
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in sets], pa.binary())], names=["sid", "members"])
@@ -301,25 +312,31 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ids = F.broadcast(ids) if n <= BROADCAST_ROWS else ids
         return texts.join(ids, F.col("__id").eqNullSafe(F.col("__want")), "left_semi").select("__text")
 
-    bits = stored(spark, texts_of(wanted).mapInArrow(mark, "sid long, n long, bits binary"), "bits")
-
     def linked(found: DataFrame) -> DataFrame:
         """The pairs that are similar: only their sets are made and sent."""
+        found = stored(spark, _possible(found, bits, percent), "possible")
         sids = found.select(F.col("a").alias("sid")).unionAll(found.select(F.col("b").alias("sid"))).distinct()
-        sets = stored(spark, texts_of(stored(spark, wanted.join(sids, "sid"), "needed")).mapInArrow(hold, "sid long, members binary"), "sets")
-        return stored(spark, _verified(found, sets, percent), "links")
+        needed = stored(spark, bits.select("sid", "__id").join(sids, "sid"), "needed")
+        sets = stored(spark, texts_of(needed).mapInArrow(hold, "sid long, members binary"), "sets")
+        links = stored(spark, _verified(found, sets, percent), "links")
+        dropped(found, needed, sets)
+        return links
 
-    classes = wanted.select("sid", F.col("sid").alias("comp"))
-    classes = _classes(classes, linked(stored(spark, _possible(pairs, bits, percent), "possible")))
+    classes = bits.select("sid", F.col("sid").alias("comp"))
+    links = linked(pairs)
+    classes = _classes(classes, links)
+    dropped(pairs, links, leaders)
 
     # Buckets that still hold several classes; the largest class of each comes first.
     rows = stored(spark, buckets.select("token", "sid", "n").distinct().join(classes, "sid"), "rows")
+    dropped(buckets)
     mixed = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("kinds > 1")
-    placed = stored(spark, rows.join(stored(spark, mixed, "mixed"), "token"), "placed")
+    mixed = stored(spark, mixed, "mixed")
+    placed = stored(spark, rows.join(mixed, "token"), "placed")
+    dropped(rows, mixed)
     # A bucket no larger than a leaf is a tree of one leaf: its pairs are listed and held against the bitmaps.
-    leaf = placed.filter(F.col("all") <= LEAF).groupBy("token").agg(F.collect_list(F.struct("sid", "comp")).alias("l"))
-    listed = leaf.select(F.inline(F.expr("flatten(transform(l, x -> transform(filter(l, y -> y.sid > x.sid AND y.comp <> x.comp), y -> struct(x.sid AS a, y.sid AS b))))"))).distinct()
-    few = _possible(listed, bits, percent)
+    leaf = placed.filter(F.col("all") <= LEAF).groupBy("token").agg(F.collect_list(F.struct("sid", "n", "comp")).alias("l"))
+    listed = leaf.select(F.inline(F.expr(f"flatten(transform(l, x -> transform(filter(l, y -> y.sid > x.sid AND y.comp <> x.comp AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}), y -> struct(x.sid AS a, y.sid AS b))))"))).distinct()
     laid = placed.filter(F.col("all") > LEAF).withColumn("first", F.col("comp") == F.col("main")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     every = F.when(F.col("first"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -343,7 +360,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 continue
             token, block, sid, n, comp, first = (now.column(c).to_numpy() for c in ("token", "block", "sid", "n", "comp", "first"))
             group = np.cumsum(np.append(0, (np.diff(token) != 0) | (np.diff(block) != 0)))
-            bits = np.frombuffer(b"".join(now.column("bits").to_pylist()), U).reshape(-1, BITS // 64)
+            bits = np.concatenate([folded(np.frombuffer(x.as_buffer(), U)[None], BITS // 64) for x in now.column("bits")])
             kinds = np.unique(comp, return_inverse=True)[1].astype(np.int64)
             got = _bucket_pairs(group, first.astype(bool), n.astype(np.int64), bits, kinds, block == 0, percent)
             a, b = sid[got[:, 0]], sid[got[:, 1]]
@@ -352,8 +369,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = laid.repartition(parts, "token", "block").sortWithinPartitions("token", "block", "sid")
-    more = stored(spark, dealt.select("token", "block", "sid", F.col("n").cast("long").alias("n"), "comp", "first", "bits").mapInArrow(meet, "a long, b long").unionAll(few).distinct(), "pairs")
-    classes = _classes(classes, linked(more))
+    more = stored(spark, dealt.select("token", "block", "sid", F.col("n").cast("long").alias("n"), "comp", "first", "bits").mapInArrow(meet, "a long, b long").unionAll(listed).distinct(), "pairs")
+    links = linked(more)
+    classes = _classes(classes, links)
+    dropped(placed, more, links, bits)
 
     out = named.join(classes, "sid", "left").select("__id", F.col("n").alias("__n"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("__class"))
     least = out.filter("__class is not null").groupBy("__class").agg(F.min("__id").alias("__least"))
