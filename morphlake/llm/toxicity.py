@@ -5,17 +5,20 @@ words into overlapping windows. A word's input is a learnt vector of the word, i
 sample knows it well, beside the mean of learnt vectors of its runs of three bytes (hashed, with
 marks at both ends), which carry over to unseen words of like spelling. A forward and a backward gated
 recurrent layer read the window, attention pools their states, a logistic unit scores them. A
-text's score is that of its highest window. Training is numpy on the driver, from windows of a
+text's score is that of its highest window. Training is numpy in one task, from all windows of a
 bounded sample of labelled rows; a text's label stands for its highest window only.
 
 Defined cases: a null text is empty; a text without words has one empty window. Null labels and
 labels of unknown documents are left out; several labels of one document count as their
-maximum. Without labels of both kinds the model is untrained and scores 0. Extra columns pass
-through in `score_documents`. Every word of every text is scored.
+maximum. Of rows that repeat a sampled id, one is trained on (the one whose text has the largest
+hash); all are scored. Without labels of both kinds the model is untrained and scores 0. Extra
+columns pass through in `score_documents`; one with the name of the result is an error that names
+it. Every word of every text is scored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphlake.llm import common
-from morphlake.llm.common import bounded_batches, in_bucket, slices, table
+from morphlake.llm.common import bounded_batches, in_bucket, slices, table, unclashed
 
-#: Labelled rows of each kind that the model is fitted on, at most, and windows of each.
-TRAIN_ROWS, TRAIN_WINDOWS = 1500, 8
+#: Labelled rows of each kind that the model is fitted on, at most.
+TRAIN_ROWS = 1500
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, QUERY_DIM = 8, 8, 12, 8
 #: Vectors of hashed runs of three bytes.
@@ -200,30 +203,34 @@ def _gather(table_: np.ndarray, which: np.ndarray, start: np.ndarray, length: np
     return table_[which[np.where(on, at, len(which) - 1)]], on.astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, owner: np.ndarray) -> Network | None:
-    """texts: windows of documents; owner: the document of each; labels: of each document."""
+def train(texts: pa.Array, labels: np.ndarray) -> Network | None:
+    """From whole texts and the label of each."""
     if not len(labels) or labels.min() == labels.max():
         return None
-    words = words_of(pa.array(texts, pa.string()))
-    counts = np.diff(words.splits)
-    pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * np.int64(len(words.kinds) + 1) + words.which)
+    words = words_of(texts)
+    owner, start, length = windows_of(words.splits)
+    which = np.append(words.which, len(words.kinds))
+    at = np.arange(length.sum()) + np.repeat(start - np.cumsum(length) + length, length)
+    pairs = np.unique(np.repeat(np.arange(len(owner)), length) * np.int64(len(words.kinds) + 1) + which[at])
     spread = np.bincount(pairs % (len(words.kinds) + 1), minlength=len(words.kinds))
     net = Network(words.kinds[spread >= LEAST_WINDOWS])
-    rows, which = net.rows(words.kinds), np.append(words.which, len(words.kinds))
-    start, length = words.splits[:-1], np.minimum(counts, WINDOW)
+    rows = net.rows(words.kinds)
     target = labels[owner].astype(np.float32)
     r, moments, step = np.random.default_rng(11), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}, 0
     batch = min(BATCH, max(16, len(labels) // 8))
     epochs = max(EPOCHS, -(-STEPS * batch // (2 * len(labels))))
     for epoch in range(epochs):
         if epoch < epochs // 4:
-            chosen = np.flatnonzero(r.random(len(texts)) < min(1.0, 2 * len(labels) / len(texts)))
+            chosen = np.flatnonzero(r.random(len(owner)) < min(1.0, 2 * len(labels) / len(owner)))
         else:  # the highest window stands for its document, and another of each clean one
             gates = net.inputs(words)
-            logits = np.concatenate([net.forward(*_gather(gates, which, start[i : i + 256], length[i : i + 256])) for i in range(0, len(texts), 256)])
+            logits, by_length = np.empty(len(owner), np.float32), np.argsort(length, kind="stable")
+            for i in range(0, len(owner), SCORE_BATCH):
+                own = by_length[i : i + SCORE_BATCH]
+                logits[own] = net.forward(*_gather(gates, which, start[own], length[own]))
             order = np.lexsort((-logits, owner))
             top = order[np.unique(owner[order], return_index=True)[1]]
-            other = np.flatnonzero((target == 0) & (r.random(len(texts)) < 0.15))
+            other = np.flatnonzero((target == 0) & (r.random(len(owner)) < 0.15))
             chosen = np.unique(np.concatenate([top, other]))
         r.shuffle(chosen)
         for i in range(0, len(chosen), batch):
@@ -279,42 +286,28 @@ def _input_gradients(net, used, dgates) -> dict:
     return {"w": x.T @ total, "b": total.sum(axis=0), "word": word, "char": char}
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Up to TRAIN_WINDOWS windows of each text, at even distances."""
-    for batch in batches:
-        ids, labels, pieces = [], [], []
-        for i, label, text in zip(*(batch.column(c).to_pylist() for c in ("__id", "__label", "__text")), strict=True):
-            words = (text or "").split()
-            starts = list(range(0, max(1, len(words) - STRIDE // 3), STRIDE))
-            if len(starts) > TRAIN_WINDOWS:
-                starts = [starts[int(k)] for k in np.linspace(0, len(starts) - 1, TRAIN_WINDOWS)]
-            for s in starts:
-                ids.append(i)
-                labels.append(label)
-                pieces.append(" ".join(w[:200] for w in words[s : s + WINDOW]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(pieces, pa.string())], names=["__id", "__label", "__text"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Network | None:
-    """The network from at most rows labelled documents of each kind, chosen by a hash of the id."""
-    bounded_batches(docs.sparkSession)
+    """The network from at most rows labelled documents of each kind, chosen by a hash of the id.
+    It is trained in one task, which holds 2 * rows texts at most; the driver gets the parameters."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
     by_hash = [F.xxhash64("__id"), F.col("__id")]
     sample = known.filter("__label = 1").orderBy(*by_hash).limit(rows).unionAll(known.filter("__label = 0").orderBy(*by_hash).limit(rows))
     # At most 2 * rows ids and labels: a side of bounded size.
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id")
-    got = texts.mapInArrow(_cut, "__id long, __label int, __text string").toPandas()
-    if not len(got):
-        return None
-    got = got.sort_values(["__id", "__text"], kind="stable")
-    ids, owner = np.unique(got["__id"].to_numpy(), return_inverse=True)
-    label = np.zeros(len(ids), np.int64)
-    label[owner] = got["__label"].to_numpy()
-    return train(got["__text"].tolist(), label, owner)
+    texts = texts.groupBy("__id", "__label").agg(F.max_by("__text", F.xxhash64("__text")).alias("__text")).withColumn("__all", F.lit(0))
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__id").combine_chunks()
+        net = train(table.column("__text").combine_chunks(), table.column("__label").to_numpy())
+        return pa.table({"__model": pa.array([pickle.dumps(net)], pa.binary())})
+
+    got = texts.groupBy("__all").applyInArrow(learn, "__model binary").collect()  # one row at most
+    return pickle.loads(bytes(got[0][0])) if got else None
 
 
 def score_documents(docs: DataFrame, net: Network | None, text_col: str = "text", name: str = "__score") -> DataFrame:
     """docs with the score of each whole text."""
+    unclashed(docs, name)
     bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample's vocabulary
