@@ -6,9 +6,10 @@ A missing optional field is null, an extra one is dropped, a missing required on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from morphlake.functions.numbers import is_null_text
 from morphlake.functions.types import spark_type
 from morphlake.plans.model import Shape
 
@@ -40,6 +41,29 @@ def decode_json(rows: DataFrame, column: str, shape: Shape, keep: tuple[str, ...
     return out.withColumn("_decode_ok", ok)
 
 
+def json_field(column: Column, name: str, kind: str) -> Column:
+    """A field of a JSON text as its type; an error that names the field where it is missing or
+    something else. Numbers may be quoted."""
+    value = F.get_json_object(column, f"$.{name}").try_cast(kind)
+    message = F.concat(F.lit(f"{name} is missing or not {kind} in "), F.coalesce(column, F.lit("null")))
+    return F.when(value.isNull(), F.raise_error(message).cast(kind)).otherwise(value)
+
+
+def optional_number(text: Column) -> Column:
+    """A number in a text, quoted or not; null for a blank text and for null."""
+    plain = F.trim(text, F.lit('" \t\r\n'))
+    value = plain.try_cast("bigint")
+    return F.when(text.isNull() | is_null_text(plain), F.lit(None).cast("bigint")).otherwise(F.coalesce(value, F.raise_error(F.concat(F.lit("not a number: "), text)).cast("bigint")))
+
+
+def status_view(rows: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A recorded migration's state from its JSON text, with whether it is active."""
+    c = F.col(column)
+    numbers = [json_field(c, n, "bigint").alias(n) for n in ("from", "to", "cursor", "total")]
+    status = json_field(c, "status", "string")
+    return rows.select(*keep, *numbers, status.alias("status"), status.isin("Running", "RollingBack").alias("active"))
+
+
 def validate(rows: DataFrame, shape: Shape) -> int:
     """How many rows lack a required field: an explicit count, before anything is committed."""
     return decode(rows, shape, "skip").filter("NOT _decode_ok").count()

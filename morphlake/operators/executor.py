@@ -2,23 +2,27 @@
 
 One Spark job visits a slice of the log: its distinct keys are joined to their entries, the
 step's columns are evaluated once and written with their outcomes, and only then does one
-replacement of the control record make the batch, the cursor and the carried-forward log
-visible. A batch that fails leaves no trace; running it again is harmless, as steps are
-idempotent. Keys registered meanwhile are absorbed going forward and refused going back.
+new control record make the batch, the cursor and the carried-forward log visible. A batch that
+fails leaves no trace; running it again is harmless, as steps are idempotent. If another writer
+commits during a batch, the batch is run again on what that writer left. Keys registered meanwhile
+are absorbed going forward and refused going back.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import threading
+import uuid
+from collections.abc import Callable
+from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import DEFAULT_BATCH, LARGEST_BATCH
 from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tally
 from morphlake.plans.compile import Step
 from morphlake.sources.control import COMPLETED, ROLLED_BACK, ROLLING_BACK, RUNNING, Control, Migration, MigrationError
-from morphlake.sources.store import Store
+from morphlake.sources.store import Store, retried
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,16 @@ class Outcome:
         return self.visited == 0 and not self.done
 
 
+class DeadlineExpired(Exception):
+    """A batch took too long and is known not to be kept."""
+
+
+def report(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
+    """Outcomes as a table, one row a batch."""
+    rows = [(i, *astuple(o)) for i, o in enumerate(outcomes)]
+    return spark.createDataFrame(rows, "batch int, from_version int, to_version int, cursor bigint, total bigint, visited bigint, migrated bigint, already_current bigint, skipped bigint, done boolean")
+
+
 class Executor:
     """Runs one step over a store. strict holds batches to LARGEST_BATCH keys, else any size goes."""
 
@@ -55,6 +69,7 @@ class Executor:
         if self.strict and limit > LARGEST_BATCH:
             raise MigrationError("BatchTooLarge", f"{limit} > {LARGEST_BATCH}")
 
+    @retried
     def begin(self) -> Migration:
         c = self.store.control()
         if self.b != self.a + 1:
@@ -82,14 +97,17 @@ class Executor:
         return m
 
     def _visit(self, c: Control, visits: DataFrame, down: bool) -> tuple[str, dict]:
-        """Evaluates a slice once, writes it, and counts from what was written."""
-        entries = self.store.entries(c)
-        found = visits.select("key").distinct().join(entries.withColumn("_present", F.lit(True)), "key", "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
+        """Evaluates a slice once, writes it, and counts from what was written. Only the entries of
+        the slice's keys are read and merged."""
+        keys = visits.select("key").distinct()
+        entries = self.store.entries(c, keys)
+        found = keys.join(entries.withColumn("_present", F.lit(True)), "key", "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
         moved = (self.step.down if down else self.step.up)(found, self.shape_col)
         path = self.store.write(visits.join(moved.drop("_present"), "key"), "visits")
         written = self.store.spark.read.parquet(path)
         return path, tally(per_visit(written, newest_first=down)).first().asDict()
 
+    @retried
     def batch(self, limit: int = DEFAULT_BATCH) -> Outcome:
         self._sized(limit)
         c = self.store.control()
@@ -109,8 +127,7 @@ class Executor:
             self._keep(c, path, counts)
             start = c.length(self.b)
             carried = self.store.spark.read.parquet(path).select((F.col("pos") - m.cursor + start).cast("bigint").alias("pos"), "key")
-            c.logs.setdefault(str(self.b), []).append(self.store.write(carried, "log"))
-            c.lengths[str(self.b)] = start + n
+            c.add_log(self.b, self.store.write(carried, "log"), n)
         m.cursor, m.total = m.cursor + n, total
         if done := m.cursor >= m.total:
             m.status, c.version = COMPLETED, self.b
@@ -121,7 +138,19 @@ class Executor:
         """Rows that changed become a delta; rows that did not are not written again."""
         if counts["migrated"]:
             rows = self.store.spark.read.parquet(path).filter("outcome = 'Migrated'").drop("pos", "step", "outcome").dropDuplicates(["key"])
-            c.entries.append(self.store.write(rows, "entries"))
+            c.add_entries(self.store.write(rows.sort("key"), "entries"), rows)
+
+    def batch_within(self, limit: int, seconds: float) -> Outcome:
+        """A batch whose jobs are cancelled after so many seconds. The record then tells whether it
+        was kept: if the cursor has moved, this is what it says; else DeadlineExpired."""
+        before = self._state(self.store.control())
+        try:
+            return _within(self.store.spark, seconds, lambda: self.batch(limit))
+        except DeadlineExpired:
+            now = self._state(self.store.control())
+            if (now.cursor, now.status) == (before.cursor, before.status):
+                raise
+            return Outcome(self.a, self.b, now.cursor, now.total, visited=now.cursor - before.cursor, done=now.status == COMPLETED)
 
     def run_to_completion(self, limit: int = DEFAULT_BATCH, most: int = 1000) -> list[Outcome]:
         """Batches until done; reaching most is no error, the next call goes on."""
@@ -133,6 +162,7 @@ class Executor:
     def status(self) -> Migration | None:
         return self.store.control().migration
 
+    @retried
     def abort(self) -> None:
         """Drops an active migration's record and keeps the work done."""
         c = self.store.control()
@@ -141,6 +171,7 @@ class Executor:
         c.migration = None
         self.store.commit(c)
 
+    @retried
     def clear(self) -> None:
         """Forgets a finished migration and compacts the entries."""
         c = self.store.control()
@@ -154,6 +185,7 @@ class Executor:
 
     # -------- rollback
 
+    @retried
     def begin_rollback(self) -> Migration:
         c = self.store.control()
         if self.b != self.a + 1:
@@ -171,6 +203,7 @@ class Executor:
         self.store.commit(c)
         return c.migration
 
+    @retried
     def rollback_batch(self, limit: int = DEFAULT_BATCH) -> Outcome:
         self._sized(limit)
         c = self.store.control()
@@ -191,8 +224,7 @@ class Executor:
             self._keep(c, path, counts)
             # the log of the old version keeps its order: position for position
             carried = self.store.spark.read.parquet(path).select("pos", "key")
-            c.logs.setdefault(str(self.a), []).append(self.store.write(carried, "log"))
-            c.lengths[str(self.a)] = c.length(self.a) + n
+            c.add_log(self.a, self.store.write(carried, "log"), n)
         m.cursor += n
         if done := m.cursor >= m.total:
             m.status, c.version = ROLLED_BACK, self.a
@@ -206,6 +238,28 @@ class Executor:
         return out
 
 
+def _within(spark: SparkSession, seconds: float, f: Callable[[], Outcome]) -> Outcome:
+    context, group, expired = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        expired.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "a batch with a deadline", interruptOnCancel=True)
+    timer.start()
+    try:
+        return f()
+    except Exception as e:
+        if expired.is_set():
+            raise DeadlineExpired(f"no result after {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            context.setLocalProperty(key, None)
+
+
 # ---------------------------------------------------------------- preflight
 
 

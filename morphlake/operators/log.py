@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import LARGEST_BATCH, page_of
+from morphlake.sources.control import MigrationError
 
 
 def with_positions(rows: DataFrame, bucket: Column, order: list[str], start: int = 0, name: str = "pos") -> DataFrame:
@@ -40,6 +41,16 @@ def at(log: DataFrame, pos: int) -> DataFrame:
     return log.filter(F.col("pos") == pos)
 
 
+def get(log: DataFrame, pos: int, length: int):
+    """The key at a position below the log's length; a hole there is refused, not answered with nothing."""
+    if not 0 <= pos < length:
+        return None
+    found = at(log, pos).select("key").take(1)
+    if not found:
+        raise MigrationError("CorruptIndex", f"no key at {pos} of {length}")
+    return found[0][0]
+
+
 def slice_of(log: DataFrame, start: int, limit: int) -> DataFrame:
     """A contiguous slice, clamped; empty past the end. A filter on pos, never an unordered limit."""
     return log.filter((F.col("pos") >= start) & (F.col("pos") < start + limit))
@@ -64,6 +75,11 @@ def orphans(keys: DataFrame, log: DataFrame, key: str = "key") -> DataFrame:
     return keys.join(log.select(key), key, "left_anti")
 
 
+def duplicates(log: DataFrame, key: str = "key") -> DataFrame:
+    """key, registrations of keys that the log holds more than once. Counts combine before the shuffle."""
+    return log.groupBy(key).agg(F.count(F.lit(1)).alias("registrations")).filter("registrations > 1")
+
+
 def tally(visits: DataFrame, by: list[Column] | None = None) -> DataFrame:
     """visited, migrated, already_current, skipped."""
     n = lambda name: F.count_if(F.col("outcome") == name).alias

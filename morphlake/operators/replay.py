@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -58,21 +57,39 @@ class Forked:
 
     def __init__(self, store: Store, make: Callable[[Store], Executor], root: str | Path):
         self.store = Store(store.spark, root)
-        self.store.root.mkdir(parents=True, exist_ok=True)
-        shutil.copy(store.record, self.store.record)
+        self.store.record.put(0, store.record.read_text())
         self.executor = make(self.store)
         self.begun = False
 
     def call(self, limit: int) -> tuple[Outcome, dict]:
-        began, before = time.time(), self._bytes()
+        began, before = time.time(), self.store.folder.size()
         if not self.begun:
             self.executor.begin()
             self.begun = True
         outcome = self.executor.batch(limit)
-        return outcome, {"seconds": time.time() - began, "bytes": self._bytes() - before, "rows": outcome.visited}
+        return outcome, {"seconds": time.time() - began, "bytes": self.store.folder.size() - before, "rows": outcome.visited}
 
-    def _bytes(self) -> int:
-        return sum(p.stat().st_size for p in self.store.root.rglob("*.parquet"))
+
+#: What one batch may use at most, by resource. A cap of none is not held.
+Caps = dict[str, float]
+
+
+def over_cap(costs: DataFrame, caps: Caps) -> DataFrame:
+    """Batches that exceed any cap, with the resources they exceed."""
+    which = F.filter(F.array(*[F.when(F.col(k) > v, F.lit(k)) for k, v in sorted(caps.items())]), lambda x: x.isNotNull())
+    return costs.withColumn("over", which).filter(F.size("over") > 0)
+
+
+def fits(cost: dict, caps: Caps) -> bool:
+    return all(cost[k] <= v for k, v in caps.items())
+
+
+def caps_tally(costs: DataFrame, caps: Caps, by: str = "run") -> DataFrame:
+    """over_cap and fits: batches of each run over any cap and within all."""
+    bad = F.lit(False)
+    for k, v in caps.items():
+        bad = bad | (F.col(k) > v)
+    return costs.groupBy(by).agg(F.count_if(bad).alias("over_cap"), F.count_if(~bad).alias("fits"))
 
 
 def totals(costs: DataFrame, by: str = "run") -> DataFrame:

@@ -3,57 +3,63 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.sources.control import MigrationError
+from morphlake.sources.files import Folder, Record
 
 
 class Aliases:
-    """tag -> hash, in one file that is replaced atomically. Tags can't be deleted."""
+    """tag -> hash, in a record that changes by compare and swap. Tags can't be deleted."""
 
-    def __init__(self, path: str | Path):
-        self.path = Path(path)
+    def __init__(self, path: str | Path, spark: SparkSession | None = None):
+        folder, _, name = str(path).rpartition("/")
+        self.record = Record(Folder(folder or ".", spark), name.removesuffix(".json"))
 
     def _all(self) -> dict[str, str]:
-        return json.loads(self.path.read_text()) if self.path.exists() else {}
+        text = self.record.read_text()
+        return json.loads(text) if text else {}
+
+    def _move(self, change: Callable[[dict[str, str]], tuple[str, str]]) -> str:
+        """Points a tag to a target; both are chosen again from the tags as they are when another writer was first."""
+        while True:
+            number, text = self.record.newest()
+            tags = json.loads(text) if text else {}
+            tag, target = change(tags)
+            if self.record.put(number, json.dumps(tags | {tag: target}, indent=2, sort_keys=True) + "\n"):
+                return target
 
     def publish(self, tag: str, target: str) -> None:
-        tags = self._all() | {tag: target}
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        other = self.path.with_name(f"{self.path.name}.{uuid.uuid4().hex}")
-        other.write_text(json.dumps(tags, indent=2, sort_keys=True) + "\n")
-        os.replace(other, self.path)
+        self._move(lambda _: (tag, target))
 
     def exists(self, tag: str) -> bool:
         return tag in self._all()
 
     def resolve(self, tag: str) -> str:
-        tags = self._all()
-        if tag not in tags:
-            raise MigrationError("UnknownExecutableTag", tag)
-        return tags[tag]
+        return _known(self._all(), tag)
 
     def promote(self, live: str, candidate: str) -> str:
         """Both tags must exist; live then points to what candidate points to."""
-        self.resolve(live)
-        target = self.resolve(candidate)
-        self.publish(live, target)
-        return target
+        return self._move(lambda tags: (live, _known(tags, live) and _known(tags, candidate)))
 
     def promote_to(self, live: str, target: str) -> None:
-        self.resolve(live)
-        self.publish(live, target)
+        self._move(lambda tags: (live, _known(tags, live) and target))
 
     def table(self, spark: SparkSession, tag: str) -> DataFrame:
         """The Parquet dataset that a tag points to."""
         return spark.read.parquet(self.resolve(tag))
 
 
+def _known(tags: dict[str, str], tag: str) -> str:
+    if tag not in tags:
+        raise MigrationError("UnknownExecutableTag", tag)
+    return tags[tag]
+
+
 def promoted(tags: DataFrame, moves: DataFrame) -> DataFrame:
     """tag, hash after moves (live, candidate): a self join; unknown tags move nothing."""
     target = moves.join(tags.select(F.col("tag").alias("candidate"), F.col("hash").alias("__new")), "candidate").select(F.col("live").alias("tag"), "__new")

@@ -1,18 +1,19 @@
-"""The control record: one small JSON file that names everything a reader may see.
+"""The control record: one small JSON text that names everything a reader may see.
 
-Data files are written first and are invisible until the record that lists them takes the place
-of the old one. A batch is therefore kept whole or not at all, and files of a run that was lost
-are ignored. The record is replaced by a rename, which is atomic in file systems that have one;
-object stores need a conditional put here.
+Data files are written first and are invisible until a record that lists them is the newest. A
+batch is therefore kept whole or not at all, and files of a run that was lost are ignored. Records
+are numbered, and the next number can be taken once: a writer that started from an older record
+is refused.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
+
+from pyspark.sql import DataFrame
+
+from morphlake.sources.files import Record
 
 FORMAT = 1
 RUNNING, COMPLETED, ROLLING_BACK, ROLLED_BACK = "Running", "Completed", "RollingBack", "RolledBack"
@@ -74,7 +75,9 @@ class Control:
     entries: list[str] = field(default_factory=list)  # folders, oldest first
     logs: dict[str, list[str]] = field(default_factory=dict)  # folders of each version's log
     lengths: dict[str, int] = field(default_factory=dict)
-    commits: int = 0
+    schema: dict[str, str] = field(default_factory=dict)  # type of every column of the entries
+    streams: dict[str, int] = field(default_factory=dict)  # last batch taken in of each stream
+    commits: int = 0  # number of this record
 
     def length(self, version: int) -> int:
         return self.lengths.get(str(version), 0)
@@ -82,21 +85,31 @@ class Control:
     def log(self, version: int) -> list[str]:
         return self.logs.get(str(version), [])
 
+    def add_entries(self, path: str, rows: DataFrame) -> None:
+        for name, kind in rows.dtypes:
+            if self.schema.setdefault(name, kind) != kind:
+                raise ValueError(f"{name} is {self.schema[name]} in the store and {kind} in the new rows")
+        self.entries.append(path)
+
+    def add_log(self, version: int, path: str, n: int) -> None:
+        """n rows at the end of a version's log."""
+        self.logs.setdefault(str(version), []).append(path)
+        self.lengths[str(version)] = self.length(version) + n
+
     @classmethod
-    def load(cls, path: Path) -> Control:
-        if not path.exists():
+    def load(cls, record: Record) -> Control:
+        number, text = record.newest()
+        if text is None:
             return cls()
-        x = json.loads(path.read_text())
+        x = json.loads(text)
         if x["format"] != FORMAT:
-            raise ValueError(f"{path} has format {x['format']}, this engine reads {FORMAT}: {'newer' if x['format'] > FORMAT else 'older'} than it")
+            raise ValueError(f"the control record has format {x['format']}, this engine reads {FORMAT}: {'newer' if x['format'] > FORMAT else 'older'} than it")
         x["migration"] = Migration(**x["migration"]) if x["migration"] else None
-        return cls(**x)
+        return cls(**x | {"commits": number})
 
-    def save(self, path: Path) -> None:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        other = path.with_name(f"{path.name}.{uuid.uuid4().hex}")
-        other.write_text(json.dumps(asdict(self), indent=2) + "\n")
-        os.replace(other, path)
+    def save(self, record: Record) -> bool:
+        """Puts the next record; False if another writer has put it."""
+        return record.put(self.commits, json.dumps(asdict(self) | {"commits": self.commits + 1}, indent=2) + "\n")
 
     # -------- version gate
 

@@ -1,10 +1,15 @@
-"""A versioned dataset on disk: entries as a base and deltas, a key log per version, and the
-control record that says which files count."""
+"""A versioned dataset: entries as a base and deltas, a key log per version, and the control
+record that says which files count.
+
+Writers read the record, write their files and put the next record by compare and swap. One that
+lost starts again from the record that won, so nothing that another has committed is lost.
+"""
 
 from __future__ import annotations
 
-import shutil
+import functools
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,35 +17,58 @@ from pyspark.sql import functions as F
 
 from morphlake.operators.log import newest
 from morphlake.sources.control import Control, MigrationError
+from morphlake.sources.files import Folder, Record
 
 LOG_SCHEMA = "pos bigint, key string"
+#: How often a writer that lost starts again.
+ATTEMPTS = 50
+#: Keys up to which a set of them is broadcast, to read only their entries.
+BROADCAST_KEYS = 100_000
+
+
+class Conflict(Exception):
+    """Another writer has put the next record."""
+
+
+def retried(f: Callable) -> Callable:
+    """Runs a read-change-commit again from the newest record until its commit is taken."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        for _ in range(ATTEMPTS):
+            try:
+                return f(*args, **kwargs)
+            except Conflict as e:
+                lost = e
+        raise lost
+
+    return run
 
 
 class Store:
     """Entries have a `key` (string) and one column per field. Later rows of a key win."""
 
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
-
-    @property
-    def record(self) -> Path:
-        return self.root / "state.json"
+        self.spark, self.folder = spark, Folder(root, spark)
+        self.root = self.folder.root
+        self.record = Record(self.folder, "state")
 
     def control(self) -> Control:
         return Control.load(self.record)
 
     def commit(self, control: Control) -> None:
-        control.commits += 1
-        control.save(self.record)
+        if not control.save(self.record):
+            raise Conflict(f"record {control.commits + 1} is taken")
 
     def write(self, df: DataFrame, kind: str) -> str:
         """A new folder with df; nobody sees it before a commit names it."""
-        path = str(self.root / kind / uuid.uuid4().hex)
+        path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return path
 
     # -------- version marker
 
+    @retried
     def initialize(self, version: int) -> None:
         c = self.control()
         if version < 1:
@@ -52,6 +80,7 @@ class Store:
         c.version = version
         self.commit(c)
 
+    @retried
     def adopt(self, version: int) -> None:
         c = self.control()
         if version < 1:
@@ -63,68 +92,107 @@ class Store:
 
     # -------- entries
 
-    def entries(self, control: Control | None = None) -> DataFrame:
-        """The current rows: newest commit of each key, without removed ones."""
+    def entries(self, control: Control | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """The current rows: newest commit of each key, without removed ones.
+
+        With keys (distinct), only theirs. Entries are written in order of their keys, so the range
+        of the keys prunes files and row groups before anything is merged.
+        """
         c = control or self.control()
         if not c.entries:
             return self.spark.createDataFrame([], "key string")
-        parts = [self.spark.read.parquet(p).withColumn("__commit", F.lit(i)) for i, p in enumerate(c.entries)]
-        if len(parts) == 1 and "__removed" not in parts[0].columns:
-            return parts[0].drop("__commit")
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p, allowMissingColumns=True)
-        out = newest(whole, ["key"], ["__commit"]).drop("__commit")
+        rows = self.spark.read.schema(", ".join(f"`{k}` {v}" for k, v in c.schema.items())).parquet(*c.entries)
+        merged = len(c.entries) > 1 or "__removed" in c.schema
+        if merged:
+            rows = rows.withColumn("__folder", F.regexp_extract("_metadata.file_path", "/entries/([0-9a-f]+)/", 1))
+        if keys is not None:
+            low, high, n = keys.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+            rows = rows.filter(F.col("key").between(low, high)).join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi")
+        if not merged:
+            return rows
+        order = self.spark.createDataFrame([(p.rsplit("/", 1)[1], i) for i, p in enumerate(c.entries)], "__folder string, __commit int")
+        rows = rows.join(F.broadcast(order), "__folder").drop("__folder")  # a row a commit
+        out = newest(rows, ["key"], ["__commit"]).drop("__commit")
         return out.filter("coalesce(__removed, false) = false").drop("__removed") if "__removed" in out.columns else out
 
     def log(self, version: int, control: Control | None = None) -> DataFrame:
         paths = (control or self.control()).log(version)
         return self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
 
-    def put(self, rows: DataFrame, register: bool = True) -> None:
-        """Writes rows and registers their keys under the version that writes belong to, in one commit."""
+    def put(self, rows: DataFrame, register: bool = True, stream: tuple[str, int] | None = None) -> bool:
+        """Writes rows and registers their keys under the version that writes belong to, in one commit.
+
+        stream: the name of a stream and the number of its batch, kept in the same commit; a batch
+        that the record has is left out. Says whether the rows were put.
+        """
+        if stream and self.control().streams.get(stream[0], -1) >= stream[1]:
+            return False
+        path = self.write(rows.sort("key"), "entries")
+        written = self.spark.read.parquet(path)
+        staged = self._staged(written) if register else None
+        done = self._put(path, written, staged, stream)
+        self._unstage(staged)
+        return done
+
+    @retried
+    def _put(self, path: str, written: DataFrame, staged: tuple | None, stream: tuple[str, int] | None) -> bool:
         c = self.control()
-        path = self.write(rows, "entries")
-        c.entries.append(path)
-        if register:
-            self._register(c, c.write_version, self.spark.read.parquet(path).select("key"))
+        if stream:
+            if c.streams.get(stream[0], -1) >= stream[1]:
+                return False
+            c.streams[stream[0]] = stream[1]
+        c.add_entries(path, written)
+        if staged:
+            self._register(c, c.write_version, staged)
         self.commit(c)
+        return True
 
     def put_unindexed(self, rows: DataFrame) -> None:
         self.put(rows, register=False)
 
     def register(self, version: int, keys: DataFrame) -> None:
         """Appends keys to a version's log, in the order of their text."""
-        c = self.control()
-        self._register(c, version, keys.select("key"))
-        self.commit(c)
+        staged = self._staged(keys)
 
-    def _register(self, c: Control, version: int, keys: DataFrame) -> None:
-        # Sorted once and written; then numbered file part by file part from the parts' counts.
-        staged = self.write(keys.sort("key").withColumn("__m", F.monotonically_increasing_id()), "staged")
-        rows = self.spark.read.parquet(staged)
-        part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-        counts = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())  # one row a task
+        @retried
+        def add() -> None:
+            c = self.control()
+            self._register(c, version, staged)
+            self.commit(c)
+
+        add()
+        self._unstage(staged)
+
+    def _staged(self, keys: DataFrame) -> tuple[str, list[tuple[int, int]]]:
+        """Keys sorted once and written, with the rows of each part of the order."""
+        path = self.write(keys.select("key").sort("key").withColumn("__m", F.monotonically_increasing_id()), "staged")
+        part = F.shiftright("__m", 33)
+        return path, sorted((r[0], r[1]) for r in self.spark.read.parquet(path).groupBy(part).count().collect())  # one row a task
+
+    def _unstage(self, staged: tuple | None) -> None:
+        if staged:
+            self.folder.delete(staged[0].removeprefix(f"{self.root}/"))
+
+    def _register(self, c: Control, version: int, staged: tuple[str, list[tuple[int, int]]]) -> None:
+        """Numbers staged keys on from the log's end, part by part from the parts' counts."""
+        path, counts = staged
         start, offsets = c.length(version), []
         for p, n in counts:
             offsets.append((p, start))
             start += n
         if not offsets:
-            shutil.rmtree(staged, ignore_errors=True)
             return
+        part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
         table = self.spark.createDataFrame(offsets, "__p bigint, __o bigint")
-        numbered = rows.withColumn("__p", part.cast("bigint")).join(F.broadcast(table), "__p")  # one row a task
-        path = self.write(numbered.select((F.col("__o") + inside).cast("bigint").alias("pos"), "key"), "log")
-        shutil.rmtree(staged, ignore_errors=True)
-        c.logs.setdefault(str(version), []).append(path)
-        c.lengths[str(version)] = start
+        numbered = self.spark.read.parquet(path).withColumn("__p", part.cast("bigint")).join(F.broadcast(table), "__p")  # one row a task
+        c.add_log(version, self.write(numbered.select((F.col("__o") + inside).cast("bigint").alias("pos"), "key"), "log"), start - c.length(version))
 
     def remove(self, keys: DataFrame) -> None:
         """Deletes entries; the log keeps their keys, and a later visit skips them."""
-        c = self.control()
-        c.entries.append(self.write(keys.select("key", F.lit(True).alias("__removed")), "entries"))
-        self.commit(c)
+        path = self.write(keys.select("key", F.lit(True).alias("__removed")).sort("key"), "entries")
+        self._put(path, self.spark.read.parquet(path), None, None)
 
+    @retried
     def reset_log(self, version: int, control: Control | None = None) -> None:
         """A log that is truly empty: its old files are no longer named."""
         c = control or self.control()
@@ -133,9 +201,13 @@ class Store:
         if control is None:
             self.commit(c)
 
+    @retried
     def compact(self) -> None:
         """Writes the current rows as one base."""
         c = self.control()
         if len(c.entries) > 1:
-            c.entries = [self.write(self.entries(c), "entries")]
+            rows = self.entries(c)
+            path = self.write(rows.sort("key"), "entries")
+            c.entries, c.schema = [], {}
+            c.add_entries(path, rows)
             self.commit(c)

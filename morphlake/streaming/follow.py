@@ -1,35 +1,41 @@
 """A migration as a stream: newly landed entries are taken in, and batches run until the log is
 used up.
 
-The stream's checkpoint says which files were taken in; a batch that is given twice is seen by
-its number in the store and left out, so each entry is put once.
+The stream's checkpoint says which files were taken in. The number of a batch is kept in the same
+commit as its rows, so a batch that is given twice is seen and left out, and each entry is put
+once. Rows that land when the step is complete are put through it on their way in.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from morphlake.functions.numbers import LARGEST_BATCH
 from morphlake.operators.executor import Executor
+from morphlake.sources.control import COMPLETED
 from morphlake.sources.store import Store
 
 
-def ingest(spark: SparkSession, landing: str, schema: str, store: Store, checkpoint: str, executor: Executor | None = None, limit: int = 1 << 20) -> StreamingQuery:
-    """Puts all entries that have landed, then migrates as far as the log goes. Ends by itself."""
-    seen = store.root / "stream.json"
+def ingest(spark: SparkSession, landing: str, schema: str, store: Store, checkpoint: str, executor: Executor | None = None, limit: int = LARGEST_BATCH, name: str = "landing") -> StreamingQuery:
+    """Puts all entries that have landed, then migrates as far as the log goes. Ends by itself.
+
+    name tells the streams of a store apart: it belongs to the checkpoint.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
-        done = json.loads(seen.read_text())["batch"] if seen.exists() else -1
-        if number <= done:
+        c = store.control()
+        complete = executor is not None and c.version is not None and c.version >= executor.b
+        if complete:
+            batch = executor.step.up(batch).drop("outcome")
+        store.put(batch, stream=(name, number))
+        if executor is None or complete:
             return
-        store.put(batch)
-        seen.write_text(json.dumps({"batch": number}))
-        if executor is not None:
+        if not (c.migration and c.migration.is_for(executor.a, executor.b) and c.migration.status == COMPLETED):
             executor.begin()
-            executor.run_to_completion(limit)
+            while not executor.batch(limit).done:
+                pass
 
     source = spark.readStream.schema(schema).parquet(landing)
     return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

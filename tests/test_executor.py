@@ -1,14 +1,16 @@
 import json
 
 import pytest
-from morphlake.operators.executor import Executor, assert_keys_indexed, assert_upgradeable, count_orphans, inspect
+from morphlake.operators.executor import DeadlineExpired, Executor, assert_keys_indexed, assert_upgradeable, count_orphans, inspect, report
+from morphlake.operators.log import get
 from morphlake.operators.replay import Forked, replay
 from morphlake.plans.compile import compile_step
 from morphlake.plans.diff import diff
 from morphlake.plans.model import Plan, shape
 from morphlake.sources.aliases import Aliases
 from morphlake.sources.control import MigrationError
-from morphlake.sources.store import Store
+from morphlake.sources.files import Folder, Record
+from morphlake.sources.store import Conflict, Store
 from morphlake.streaming.follow import ingest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,7 @@ def test_guards(spark, store):
     refused("InvalidVersion", store.adopt, 0)
     refused("VersionMismatch", store.initialize, 2)
     store.initialize(1)
-    empty = Executor(Store(spark, store.root / "none"), STEP)
+    empty = Executor(Store(spark, f"{store.root}/none"), STEP)
     refused("NotInitialized", empty.begin)
     run.begin()
     other = compile_step(diff(shape("E", 1, "a: u32"), shape("E", 2, "a: u32, b: Option<u32>"), Plan(1, 2)))
@@ -153,12 +155,94 @@ def test_aliases(tmp_path):
     assert a.promote("live", "next") == "y" and a.resolve("live") == "y" and a.exists("next")
 
 
+def test_a_put_during_a_batch_is_kept(spark, store):
+    store.put(rows(spark, 6))
+    run = Executor(store, STEP)
+    run.begin()
+    visit, late = run._visit, []
+
+    def slow(*args, **kwargs):
+        out = visit(*args, **kwargs)
+        if not late:
+            late.append(store.put(rows(spark, 3, 100).withColumn("amount", F.lit(7).cast("bigint"))))
+            store.put(rows(spark, 1).withColumn("amount", F.lit(99).cast("bigint")))  # a newer row of a key of the batch
+        return out
+
+    run._visit = slow
+    got = run.batch(4)
+    assert (got.visited, got.cursor) == (4, 4)
+    run.run_to_completion(100)
+    have = {r.key: (r.amount, r.frozen) for r in store.entries().collect()}
+    assert len(have) == 9 and have["k00000"] == (99, False) and have["k00005"] == (5, False)
+    assert sorted(r.pos for r in store.log(2).collect()) == list(range(store.control().length(2)))
+
+
+def test_two_writers_and_one_number(spark, store):
+    a, b = store.control(), store.control()
+    store.commit(a)
+    with pytest.raises(Conflict):
+        store.commit(b)
+    old = store.control()
+    for _ in range(3):
+        store.commit(store.control())
+    for name in store.folder.names("state.")[:-1]:  # as if they had been cleaned up
+        store.folder.delete(name)
+    number = store.control().commits
+    with pytest.raises(Conflict):
+        store.commit(old)
+    assert store.control().commits == number
+
+
+def test_files_of_another_file_system(spark, store, tmp_path):
+    far = Folder(f"{tmp_path}/far", spark)
+    far.local, far.root = False, f"file://{tmp_path}/far"  # through Spark's file systems
+    record = Record(far, "state")
+    assert record.newest() == (0, None) and record.put(0, "a") and not record.put(0, "b") and record.put(1, "ü")
+    assert record.newest() == (2, "ü") and far.size() > 0
+    far.delete("")
+    assert far.names("state.") == []
+
+
+def test_a_batch_reads_its_own_entries(spark, store):
+    store.put(rows(spark, 4000).repartition(8))
+    keys = rows(spark, 20, 1000).select("key")
+    plan = store.entries(keys=keys)._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(key,k01000)" in plan and "LessThanOrEqual(key,k01019)" in plan
+    assert store.entries(keys=keys).count() == 20
+
+
+def test_deadline(spark, store):
+    store.put(rows(spark, 5))
+    run = Executor(store, STEP)
+    run.begin()
+    visit = run._visit
+
+    def stuck(*args, **kwargs):
+        spark.range(8).select(F.udf(lambda i: __import__("time").sleep(30))("id")).collect()
+        return visit(*args, **kwargs)
+
+    run._visit = stuck
+    with pytest.raises(DeadlineExpired):
+        run.batch_within(5, 2)
+    assert store.control().migration.cursor == 0
+    run._visit = visit
+    assert run.batch_within(5, 60).done
+    assert [tuple(r)[:4] for r in report(spark, [run.batch(5)]).collect()] == [(0, 1, 2, 5)]
+
+
+def test_positions_are_dense(spark, store):
+    store.put(rows(spark, 5))
+    log = store.log(1)
+    assert get(log, 3, 5) == "k00003" and get(log, 5, 5) is None
+    refused("CorruptIndex", get, log.filter("pos <> 2"), 2, 5)
+
+
 def test_stream_takes_each_entry_once(spark, store, tmp_path):
     landing = str(tmp_path / "landing")
-    run = Executor(store, STEP, strict=False)
-    for i in range(2):
-        rows(spark, 5, 5 * i).write.mode("append").parquet(landing)
-        q = ingest(spark, landing, "key string, amount bigint", store, str(tmp_path / "cp"), run if i == 0 else None)
-        q.awaitTermination()
-    assert store.entries().count() == 10
-    assert store.entries().filter("frozen = false").count() == 5
+    for i in range(3):
+        rows(spark, 200, 200 * i).coalesce(1).write.mode("append").parquet(landing)
+        ingest(spark, landing, "key string, amount bigint", store, str(tmp_path / "cp"), Executor(store, STEP)).awaitTermination()
+        assert store.entries().count() == 200 * (i + 1)
+    assert store.entries().filter("frozen = false").count() == 600 and store.control().version == 2
+    assert not store.put(rows(spark, 5, 900), stream=("landing", 1))  # given twice
+    assert store.entries().count() == 600
