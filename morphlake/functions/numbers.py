@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def suffix_stem(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, r"^(.+)V([0-9]+)$", 1), F.lit(""))
 
 
+def version_stem(name: str) -> str | None:
+    """The same of one name."""
+    m = re.fullmatch(r"(.+)V([0-9]+)", name)
+    return m[1] if m else None
+
+
 def join_versions(versions: list[int]) -> str:
     """none, or a list, or a range if it is more than two in a row."""
     v = sorted(versions)

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: An optional type, whatever stands before it by full path.
 _OPTION = r"^(?:(?:core|std)::option::)?Option<(.*)>$"
 #: Spellings that mean the same type, replaced in this order after white space is taken out.
 SPELLINGS = (
@@ -18,8 +19,11 @@ SPELLINGS = (
     ("std::vec::Vec<", "Vec<"),
     ("core::primitive::", ""),
 )
-#: The platform's own crate: any name that ends in _sdk.
-_SDK = r"\b[a-z0-9]+_sdk::"
+
+
+def _spellings(crates: tuple[str, ...]) -> list[tuple[str, str]]:
+    """The spellings in order; types of the given crates (a project's setting) lose the crate's name."""
+    return [*SPELLINGS[:2], *((f"{c}::", "") for c in crates), *SPELLINGS[2:]]
 
 
 def split_option(declared: str) -> tuple[str, bool]:
@@ -28,13 +32,18 @@ def split_option(declared: str) -> tuple[str, bool]:
     return (m[1].strip(), True) if m else (declared.strip(), False)
 
 
-def normalize_type(declared: str) -> str:
-    out = re.sub(_SDK, "", "".join(declared.split()))
-    for old, new in SPELLINGS:
+def normalize_type(declared: str, crates: tuple[str, ...] = ()) -> str:
+    out = "".join(declared.split())
+    for old, new in _spellings(crates):
         out = out.replace(old, new)
     return out
 
 
+def compact(text: str) -> str:
+    """A type's text without the blanks beside its brackets and before its commas; one blank elsewhere."""
+    return re.sub(r" ?([<>()\[\]]) ?| (?=[,;])|(?<=&) ", r"\1", " ".join(text.split()))
+
+
 def base_type(declared: Column) -> Column:
     t = F.trim(declared)
     return F.when(t.rlike(_OPTION), F.trim(F.regexp_extract(t, _OPTION, 1))).otherwise(t)
@@ -44,9 +53,9 @@ def is_optional(declared: Column) -> Column:
     return F.trim(declared).rlike(_OPTION)
 
 
-def normalized(declared: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(declared, r"\s+", ""), _SDK, "")
-    for old, new in SPELLINGS:
+def normalized(declared: Column, crates: tuple[str, ...] = ()) -> Column:
+    out = F.regexp_replace(declared, r"\s+", "")
+    for old, new in _spellings(crates):
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
 

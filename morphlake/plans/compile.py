@@ -12,14 +12,15 @@ both versions can be read as one table.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.functions.types import spark_type
-from morphlake.plans.diff import Diff
-from morphlake.plans.model import Plan, ShapeError
+from morphlake.plans.diff import Diff, diff
+from morphlake.plans.model import Plan, Shape, ShapeError
 
 MIGRATED, CURRENT, SKIPPED = "Migrated", "AlreadyCurrent", "Skipped"
 #: What an expression of a plan can't contain, since a row's result must not hang on when or where it runs.
@@ -141,6 +142,59 @@ def compile_step(d: Diff, physical: dict[str, str] | None = None) -> Step:
     return step
 
 
+def compile_additive(old: Shape, new: Shape, init: dict[str, str] | None = None, dropped: tuple[str, ...] = ()) -> Step:
+    """A step that only fills new fields and drops old ones, without a plan file. Conversions and
+    renames are refused, as is a step that does neither."""
+    if not init and not dropped:
+        raise ShapeError(f"{new.name}: a value for a new field or a dropped field is needed")
+    found = diff(old, new, Plan(old.version, new.version, dict(init or {}), tuple(dropped)))
+    if other := [f for f in found.findings if f.kind in ("Retyped", "Renamed")]:
+        raise ShapeError(f"{new.name}: {', '.join(f.field for f in other)} changes its type or name; write a plan")
+    return compile_step(found)
+
+
+@dataclass
+class FunctionStep:
+    """A step written by hand: functions from the columns of a row to its new columns.
+
+    forward and backward get the columns of types by name and return those they set, as expressions
+    of one row. A row is Migrated if any of them differs from what was there.
+    """
+
+    name: str
+    from_version: int
+    to_version: int
+    types: dict[str, str]
+    forward: Callable[[dict[str, Column]], dict[str, Column]]
+    backward: Callable[[dict[str, Column]], dict[str, Column]] | None = None
+
+    @property
+    def reversible(self) -> bool:
+        return self.backward is not None
+
+    def _run(self, rows: DataFrame, f: Callable, shape_col: str | None) -> DataFrame:
+        for name, kind in self.types.items():
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(None).cast(kind))
+        there = F.col("_present") if "_present" in rows.columns else F.lit(True)
+        ours = there & (F.coalesce(F.col(shape_col) == self.name, F.lit(True)) if shape_col else F.lit(True))
+        made = {c: x.cast(self.types[c]) for c, x in f({c: F.col(quoted(c)) for c in self.types}).items()}
+        touched: Column = F.lit(False)
+        for c, x in made.items():
+            touched = touched | ~x.eqNullSafe(F.col(quoted(c)))
+        outcome = F.when(~ours, SKIPPED).when(touched, MIGRATED).otherwise(CURRENT)
+        kept = [F.when(ours, made[c]).otherwise(F.col(quoted(c))).alias(c) if c in made else F.col(quoted(c)) for c in rows.columns]
+        return rows.select(*kept, outcome.alias("outcome"))
+
+    def up(self, rows: DataFrame, shape_col: str | None = None) -> DataFrame:
+        return self._run(rows, self.forward, shape_col)
+
+    def down(self, rows: DataFrame, shape_col: str | None = None) -> DataFrame:
+        if self.backward is None:
+            raise ShapeError(f"{self.name}: v{self.to_version} can't be taken back")
+        return self._run(rows, self.backward, shape_col)
+
+
 def draft(d: Diff) -> Plan:
     """A plan with a placeholder for every denied finding."""
     init, conv, dropped = {}, {}, []

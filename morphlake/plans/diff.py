@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from morphlake.functions.numbers import is_unfilled
 from morphlake.functions.types import base_type, is_optional, normalize_type, normalized
 from morphlake.plans.model import KeySpace, Plan, Shape, ShapeError
 
@@ -24,6 +25,13 @@ TAGS = ("info", "warn", "deny")
 VERDICTS = ("Safe", "SafeWithLazyMigration", "Denied")
 #: The directive of a plan that declares each kind of change.
 DIRECTIVES = {"AddedOptional": "init", "AddedRequired": "init", "BecameRequired": "init", "Removed": "dropped", "Retyped": "converted", "Renamed": "renamed"}
+#: The changes that each directive may speak about. Moved is the old name of a rename,
+#: RenamedRetyped a rename onto a field of another type. Both forms of the diff read this table.
+SPEAKS_OF = {
+    "init": ("AddedOptional", "AddedRequired", "Retyped", "RenamedRetyped", "BecameRequired", "Renamed"),
+    "dropped": ("Removed", "Moved"),
+    "converted": ("Retyped", "RenamedRetyped", "BecameRequired"),
+}
 
 
 class StaleDirective(ShapeError):
@@ -75,8 +83,11 @@ class Diff:
         return "\n".join(lines) + "\n"
 
 
-def diff(old: Shape, new: Shape, plan: Plan | None = None) -> Diff:
-    """The findings of a step, in the new shape's order, then removals in the old one's, then a reorder."""
+def diff(old: Shape, new: Shape, plan: Plan | None = None, crates: tuple[str, ...] = ()) -> Diff:
+    """The findings of a step, in the new shape's order, then removals in the old one's, then a reorder.
+
+    crates: names that mean nothing before a type (a project's setting).
+    """
     given = plan
     plan = (plan or Plan(old.version, new.version)).filled()
     if (plan.from_version, plan.to_version) != (old.version, new.version):
@@ -87,17 +98,17 @@ def diff(old: Shape, new: Shape, plan: Plan | None = None) -> Diff:
         raise ShapeError(f"v{old.version} -> v{new.version} skips versions: declare each step")
     source = {f.name: plan.renamed_from(f.name) for f in new.fields if old.get(f.name) is None}
     source = {n: o for n, o in source.items() if o is not None and old.get(o) is not None}
-    findings = [x for f in new.fields for x in _field(f, old.get(f.name), old.get(source.get(f.name, "")), plan)]
+    findings = [x for f in new.fields for x in _field(f, old.get(f.name), old.get(source.get(f.name, "")), plan, crates)]
     moved = set(source.values())
     gone = [f for f in old.only_in(new) if f.name not in moved]
     findings += [Finding(f.name, "Removed", INFO if f.name in plan.dropped else DENIED) for f in gone]
     if old.names != new.names and sorted(old.names) == sorted(new.names):
         findings.append(Finding("", "Reordered", INFO))
-    _check_stale(old, new, plan, {f.name for f in gone} | moved, findings)
+    _check_stale(old, new, plan, findings)
     return Diff(old, new, tuple(findings), given)
 
 
-def _field(new, same, moved, plan: Plan) -> list[Finding]:
+def _field(new, same, moved, plan: Plan, crates: tuple[str, ...]) -> list[Finding]:
     n, filled = new.name, new.name in plan.init
     converted = bool(plan.converted.get(n, "").strip())
     if same is None and moved is not None:
@@ -110,38 +121,37 @@ def _field(new, same, moved, plan: Plan) -> list[Finding]:
         return [Finding(n, "Retyped", WARNING if converted else DENIED, same.declared, new.declared)]
     if same.optional != new.optional:
         return [Finding(n, "BecameOptional", INFO) if new.optional else Finding(n, "BecameRequired", WARNING if filled else DENIED)]
-    if same.declared != new.declared and normalize_type(same.declared) == normalize_type(new.declared):
+    if same.declared != new.declared and normalize_type(same.declared, crates) == normalize_type(new.declared, crates):
         return [Finding(n, "SpellingChanged", INFO)]
     return []
 
 
-def _check_stale(old: Shape, new: Shape, plan: Plan, removed: set, findings: list[Finding]) -> None:
+def _check_stale(old: Shape, new: Shape, plan: Plan, findings: list[Finding]) -> None:
     kinds = {(f.field, f.kind) for f in findings}
-    retyped = {f.field for f in findings if f.kind == "Retyped"} | {f.field for f in findings if f.kind == "Renamed" and old.get(f.old).base != new.get(f.field).base}
-    changed = retyped | {n for n, k in kinds if k in ("BecameRequired", "Renamed", "AddedOptional", "AddedRequired")}
-    for n in sorted(plan.init):
-        if n not in changed:
-            raise StaleDirective("init", n)
-    for n in plan.dropped:
-        if n not in removed:
-            raise StaleDirective("dropped", n)
-    for n in sorted(plan.converted):
-        if n not in retyped and (n, "BecameRequired") not in kinds:
-            raise StaleDirective("converted", n)
+    for f in findings:
+        if f.kind == "Renamed":
+            kinds.add((f.old, "Moved"))
+            if old.get(f.old).base != new.get(f.field).base:
+                kinds.add((f.field, "RenamedRetyped"))
+    for directive, names in (("init", sorted(plan.init)), ("dropped", plan.dropped), ("converted", sorted(plan.converted))):
+        for n in names:
+            if not any((n, kind) in kinds for kind in SPEAKS_OF[directive]):
+                raise StaleDirective(directive, n)
     for a, b in sorted(plan.renamed.items()):
         if old.get(a) is None or new.get(b) is None or (old.get(b) is not None):
             raise StaleDirective("renamed", a)
 
 
-def key_space_diff(old: KeySpace, new: KeySpace) -> list[Finding]:
-    """Keys are encoded by variant name: additions and orders are harmless, all else is denied."""
+def key_space_diff(old: KeySpace, new: KeySpace, crates: tuple[str, ...] = ()) -> list[Finding]:
+    """Keys are encoded by variant name: additions and orders are harmless, all else is denied. The
+    name of the space itself is not encoded, so a change of it is no finding."""
     out = []
     for v in new.variants:
         was = old.get(v.name)
         if was is None:
             out.append(Finding(v.name, "VariantAdded", INFO))
             continue
-        if was.normalized != v.normalized:
+        if was.normalized(crates) != v.normalized(crates):
             out.append(Finding(v.name, "PayloadChanged", DENIED, was.payload, v.payload))
         if was.migration != v.migration:
             out.append(Finding(v.name, "MarkerMoved", DENIED))
@@ -154,21 +164,30 @@ def key_space_diff(old: KeySpace, new: KeySpace) -> list[Finding]:
 # ---------------------------------------------------------------- the same in DataFrames
 
 
-def diff_tables(old: DataFrame, new: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+def _renames(old: DataFrame, new: DataFrame, declared: DataFrame) -> DataFrame:
+    """pair, field, source: the renames that hold, onto a field that only the new version has from
+    the first old name declared for it, if the old version has that."""
+    first = declared.filter("directive = 'renamed'").groupBy("pair", F.col("value").alias("field")).agg(F.min("field").alias("source"))
+    held = old.select("pair", "field")
+    found = first.join(new.select("pair", "field"), ["pair", "field"], "left_semi").join(held, ["pair", "field"], "left_anti")
+    return found.join(held.withColumnRenamed("field", "source"), ["pair", "source"], "left_semi").select("pair", "field", "source")
+
+
+def diff_tables(old: DataFrame, new: DataFrame, declared: DataFrame | None = None, crates: tuple[str, ...] = ()) -> DataFrame:
     """Findings for many pairs at once.
 
     old, new: pair, ord, field, declared. declared: pair, directive, field, value (renamed: field is
-    the old name, value the new one). Returns pair, field, kind, severity.
+    the old name, value the new one). Returns pair, place (from 0, in the driver form's order),
+    field, kind, severity.
     """
     spark = old.sparkSession
     if declared is None:
         declared = spark.createDataFrame([], "pair string, directive string, field string, value string")
-    declared = declared.filter(~F.coalesce(F.ltrim("value").startswith("<TODO"), F.lit(False)))
+    declared = _filled(declared)
     has = lambda name: declared.filter(F.col("directive") == name)
-    renames = has("renamed").groupBy("pair", F.col("value").alias("field")).agg(F.min("field").alias("source"))
+    renames = _renames(old, new, declared)
     left = old.select("pair", F.col("ord").alias("o_ord"), F.col("field").alias("o_field"), F.col("declared").alias("o_declared"))
-    fresh = new.join(left.select("pair", F.col("o_field").alias("field"), F.lit(True).alias("kept")), ["pair", "field"], "left").join(renames, ["pair", "field"], "left")
-    fresh = fresh.withColumn("source", F.when(F.col("kept").isNull(), F.col("source"))).withColumn("o_field", F.coalesce("source", "field"))
+    fresh = new.join(renames, ["pair", "field"], "left").withColumn("o_field", F.coalesce("source", "field"))
     joined = fresh.join(left, ["pair", "o_field"], "full_outer")
     flag = lambda name: has(name).groupBy("pair", "field").agg(F.max(F.coalesce(F.length(F.trim("value")), F.lit(1))).alias(f"d_{name}"))
     key = F.coalesce("field", "o_field")
@@ -187,12 +206,29 @@ def diff_tables(old: DataFrame, new: DataFrame, declared: DataFrame | None = Non
         .when(ob != nb, row("Retyped", F.when(conv, lit(1)).otherwise(lit(2))))
         .when(~oo & no, row("BecameOptional", lit(0)))
         .when(oo & ~no, row("BecameRequired", F.when(init, lit(1)).otherwise(lit(2))))
-        .when((F.col("o_declared") != F.col("declared")) & (normalized(F.col("o_declared")) == normalized(F.col("declared"))), row("SpellingChanged", lit(0)))
+        .when((F.col("o_declared") != F.col("declared")) & (normalized(F.col("o_declared"), crates) == normalized(F.col("declared"), crates)), row("SpellingChanged", lit(0)))
     )
-    per_field = x.withColumn("f", found).filter("f is not null").select("pair", F.col("name").alias("field"), "f.kind", "f.severity")
+    # Fields of the new version first, then removals, then a reorder.
+    place = F.when(F.col("field").isNull(), F.struct(lit(1).alias("part"), F.col("o_ord").alias("ord"))).otherwise(F.struct(lit(0).alias("part"), F.col("ord").alias("ord")))
+    per_field = x.withColumn("f", found).filter("f is not null").select("pair", place.alias("at"), F.col("name").alias("field"), "f.kind", "f.severity")
     names = lambda df, out: df.groupBy("pair").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "field"))), lambda s: s["field"]).alias(out))
     order = names(old, "a").join(names(new, "b"), "pair").filter((F.col("a") != F.col("b")) & (F.sort_array("a") == F.sort_array("b")))
-    return per_field.unionByName(order.select("pair", F.lit("").alias("field"), F.lit("Reordered").alias("kind"), F.lit(0).alias("severity")))
+    reorders = order.select("pair", F.struct(lit(2).alias("part"), lit(0).alias("ord")).alias("at"), F.lit("").alias("field"), F.lit("Reordered").alias("kind"), F.lit(0).alias("severity"))
+    rank = F.row_number().over(Window.partitionBy("pair").orderBy("at")) - 1
+    return per_field.unionByName(reorders).select("pair", rank.alias("place"), "field", "kind", "severity")
+
+
+def _filled(declared: DataFrame) -> DataFrame:
+    """Declarations without placeholders: a placeholder declares nothing."""
+    open_ = is_unfilled(F.col("value")) & F.col("directive").isin("init", "converted")
+    return declared.filter(~F.coalesce(open_, F.lit(False)))
+
+
+def counts(findings: DataFrame) -> DataFrame:
+    """One row: worst (Info without findings), denied, warnings_up, findings."""
+    at = lambda s: F.count_if(F.col("severity") >= s)
+    top = F.max("severity")
+    return findings.agg(F.when(top == DENIED, "Denied").when(top == WARNING, "Warning").otherwise("Info").alias("worst"), at(DENIED).alias("denied"), at(WARNING).alias("warnings_up"), at(INFO).alias("findings"))
 
 
 def verdicts(pairs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -204,10 +240,20 @@ def verdicts(pairs: DataFrame, findings: DataFrame) -> DataFrame:
 
 def stale_tables(declared: DataFrame, findings: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """pair, directive, field of declarations that no change calls for."""
-    f = findings.select("pair", "field", "kind")
-    fits = F.expr("(directive = 'init' AND kind IN ('AddedOptional', 'AddedRequired', 'Retyped', 'BecameRequired', 'Renamed')) OR (directive = 'dropped' AND kind = 'Removed') OR (directive = 'converted' AND kind IN ('Retyped', 'Renamed', 'BecameRequired'))")
+    declared = _filled(declared)
+    moves = _renames(old, new, declared)
+    base = lambda df, name, out: df.select("pair", F.col("field").alias(name), base_type(F.col("declared")).alias(out))
+    retyped = moves.join(base(old, "source", "ob"), ["pair", "source"]).join(base(new, "field", "nb"), ["pair", "field"]).filter("ob <> nb")
+    changes = (
+        findings.select("pair", "field", "kind")
+        .unionByName(moves.select("pair", F.col("source").alias("field"), F.lit("Moved").alias("kind")))
+        .unionByName(retyped.select("pair", "field", F.lit("RenamedRetyped").alias("kind")))
+    )
+    fits = F.lit(False)
+    for directive, kinds in SPEAKS_OF.items():
+        fits = fits | ((F.col("directive") == directive) & F.col("kind").isin(*kinds))
     plain = declared.filter("directive <> 'renamed'")
-    used = plain.join(f, ["pair", "field"]).filter(fits).select("pair", "directive", "field").distinct()
+    used = plain.join(changes, ["pair", "field"]).filter(fits).select("pair", "directive", "field").distinct()
     loose = plain.select("pair", "directive", "field").join(used, ["pair", "directive", "field"], "left_anti")
     renames = declared.filter("directive = 'renamed'").select("pair", "directive", "field", "value")
     good = (
@@ -218,7 +264,7 @@ def stale_tables(declared: DataFrame, findings: DataFrame, old: DataFrame, new:
     return loose.unionByName(renames.select("pair", "directive", "field").join(good.select("pair", "directive", "field"), ["pair", "directive", "field"], "left_anti"))
 
 
-def key_space_tables(old: DataFrame, new: DataFrame) -> DataFrame:
+def key_space_tables(old: DataFrame, new: DataFrame, crates: tuple[str, ...] = ()) -> DataFrame:
     """Findings for many key spaces. old, new: pair, ord, variant, payload, migration."""
     a = old.select("pair", "variant", F.col("payload").alias("op"), F.col("migration").alias("om"), F.lit(True).alias("o"))
     b = new.select("pair", "variant", F.col("payload").alias("np"), F.col("migration").alias("nm"), F.lit(True).alias("n"))
@@ -227,7 +273,7 @@ def key_space_tables(old: DataFrame, new: DataFrame) -> DataFrame:
     mark = lambda cond, kind, severity: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity")))
     every = F.array(
         mark(F.col("o").isNull(), "VariantAdded", 0),
-        mark(both & ~normalized(F.col("op")).eqNullSafe(normalized(F.col("np"))), "PayloadChanged", 2),
+        mark(both & ~normalized(F.col("op"), crates).eqNullSafe(normalized(F.col("np"), crates)), "PayloadChanged", 2),
         mark(both & (F.col("om") != F.col("nm")), "MarkerMoved", 2),
         mark(F.col("n").isNull(), "VariantRemoved", 2),
     )

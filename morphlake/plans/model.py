@@ -60,6 +60,17 @@ class Shape:
     def struct(self) -> T.StructType:
         return T.StructType([T.StructField(f.name, T._parse_datatype_string(spark_type(f.declared)), True, {"declared": f.declared}) for f in self.fields])
 
+    def summary(self) -> str:
+        """One line for the shape and one for each field, for people."""
+        width = max((len(f.name) for f in self.fields), default=0)
+        return f"{self.name} v{self.version}\n" + "".join(f"  {f.name:<{width}}  {f.declared}  ({'optional' if f.optional else 'required'})\n" for f in self.fields)
+
+    def source(self) -> str:
+        """The declaration as a Python class; declaring it gives this shape again."""
+        note = "" if self.note is None else f", note={self.note!r}"
+        body = "".join(f"    {f.name}: {f.declared!r}\n" for f in self.fields)
+        return f"@declared(version={self.version}, name={self.name!r}{note})\nclass {self.name}V{self.version}:\n{body}"
+
     def ddl(self) -> str:
         return ", ".join(f"{f.name} {spark_type(f.declared)}{'' if f.optional else ' NOT NULL'}" for f in self.fields)
 
@@ -107,9 +118,8 @@ class Variant:
     payload: str | None = None
     migration: bool = False
 
-    @property
-    def normalized(self) -> str | None:
-        return None if self.payload is None else normalize_type(self.payload)
+    def normalized(self, crates: tuple[str, ...] = ()) -> str | None:
+        return None if self.payload is None else normalize_type(self.payload, crates)
 
 
 @dataclass(frozen=True)

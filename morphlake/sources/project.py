@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from collections.abc import Iterable
@@ -24,6 +25,8 @@ class Config:
     migrations: str = "migrations"
     batch: int = 100
     timeout_seconds: int = 120
+    sources: tuple[str, ...] = ()  # folders whose Python files declare shapes
+    crates: tuple[str, ...] = ()  # names before a type that mean nothing
 
     @classmethod
     def load(cls, path: Path) -> Config:
@@ -32,7 +35,13 @@ class Config:
             raise ShapeError(f"{path.name}: unknown settings {', '.join(sorted(unknown))}")
         if "name" not in x:
             raise ShapeError(f"{path.name}: name is missing")
-        return cls(**x)
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in x.items()})
+
+    def save(self, path: Path) -> None:
+        """Writes what differs from the defaults."""
+        plain = Config(self.name)
+        lines = [f"{k} = {json.dumps(list(v) if isinstance(v, tuple) else v, ensure_ascii=False)}" for k, v in self.__dict__.items() if k == "name" or v != getattr(plain, k)]
+        path.write_text("\n".join(lines) + "\n")
 
 
 def is_snapshot(name: str) -> bool:
@@ -77,6 +86,13 @@ class Project:
         kept = raw.withColumn("__file", name).filter(~F.col("__file").endswith(".plan.json") & (F.col("__file") != KEY_SPACE))
         return kept.select("name", "version", F.posexplode("fields").alias("ord", "f")).select("name", "version", "ord", F.col("f.name").alias("field"), "f.declared", "f.optional")
 
+    def relative(self, path: Path) -> str:
+        """A path as people write it: from the project's folder on."""
+        return str(path.relative_to(self.root)) if path.is_relative_to(self.root) else str(path)
+
+    def transform_path(self, name: str, a: int, b: int) -> Path:
+        return self.folder / f"{name.lower()}_{a}_to_{b}.sql"
+
     def key_space(self) -> KeySpace | None:
         path = self.folder / KEY_SPACE
         return KeySpace.from_json(path.read_text()) if path.exists() else None
@@ -135,12 +151,26 @@ class Project:
         return [(*k, state(k)) for k in sorted({*ours, *theirs})]
 
 
+def drift_table(declared: DataFrame, committed: DataFrame) -> DataFrame:
+    """name, version, state of (name, version, fields) on both sides: equal, changed, missing (not committed) or undeclared."""
+    a, b = declared.withColumnRenamed("fields", "__a"), committed.withColumnRenamed("fields", "__b")
+    state = F.when(F.col("__b").isNull(), "missing").when(F.col("__a").isNull(), "undeclared").when(F.col("__a") != F.col("__b"), "changed").otherwise("equal")
+    return a.join(b, ["name", "version"], "full_outer").select("name", "version", state.alias("state"))
+
+
+def package_name(root: Path) -> str:
+    """The name in the folder's manifest, else the folder's, else dataset."""
+    manifest = Path(root) / "pyproject.toml"
+    own = tomllib.loads(manifest.read_text()).get("project", {}).get("name") if manifest.exists() else None
+    return own or Path(root).resolve().name or "dataset"
+
+
 def scaffold(root: Path, name: str | None = None) -> Project:
     root = Path(root)
     path = root / CONFIG
     if path.exists():
         raise ShapeError(f"{path} exists")
     root.mkdir(parents=True, exist_ok=True)
-    path.write_text(f'name = "{name or root.resolve().name or "dataset"}"\n')
+    Config(name or package_name(root)).save(path)
     (root / "migrations").mkdir(exist_ok=True)
     return Project(root)
