@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphlake.functions import numbers, types
+from morphlake.functions.numbers import LARGEST_BATCH
 from morphlake.operators import log as logs
 from morphlake.operators import replay
 from morphlake.operators.decode import decode, decode_json
+from morphlake.operators.executor import Executor, report
 from morphlake.plans import diff as differ
+from morphlake.plans import versions
 from morphlake.plans.compile import compile_step
 from morphlake.plans.model import Plan, shape
 from morphlake.sources.aliases import promoted
+from morphlake.sources.project import drift_table
+from morphlake.sources.store import Store
 from morphlake.streaming.follow import running_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,13 +127,24 @@ def decode_tolerant(spark, d):
     return decode(_t(spark, d, "orders"), shape("O", 2, "o_orderstatus: String, note: Option<String>"), keep=("o_orderkey",))
 
 
-@query("""SELECT event_id AS key, 'event' AS kind, event_type AS name, CAST(NULL AS VARCHAR) AS note, 'AlreadyCurrent' AS outcome FROM events
+@query("""SELECT event_id AS key, 'event' AS kind, event_type AS name, CAST(NULL AS VARCHAR) AS note, 'Skipped' AS outcome FROM events
   UNION ALL SELECT o_orderkey, 'order', o_orderstatus, 'new', 'Migrated' FROM orders""")
 def other_shape_skipped(spark, d):
+    return _mixed_store(spark, d)
+
+
+@query("""SELECT key // 1000 AS batch, count(*) AS visited, count(*) FILTER (kind = 'order') AS migrated, CAST(0 AS BIGINT) AS already_current, count(*) FILTER (kind = 'event') AS skipped
+  FROM (SELECT event_id AS key, 'event' AS kind FROM events UNION ALL SELECT o_orderkey, 'order' FROM orders) GROUP BY 1""")
+def skipped_tally(spark, d):
+    return logs.tally(_mixed_store(spark, d), [logs.batch_of(F.col("key"), 1000).alias("batch")])
+
+
+def _mixed_store(spark, d) -> DataFrame:
+    """Entries of two shapes, run through a step of one of them."""
     step = compile_step(differ.diff(shape("order", 1, "name: String"), shape("order", 2, "name: String, note: Option<String>"), Plan(1, 2, init={"note": "'new'"})))
     a = _t(spark, d, "events").select(F.col("event_id").alias("key"), F.lit("event").alias("kind"), F.col("event_type").alias("name"))
     b = _t(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.lit("order").alias("kind"), F.col("o_orderstatus").alias("name"))
-    return step.up(a.unionAll(b), "kind").withColumn("outcome", F.when(F.col("outcome") == "Skipped", "AlreadyCurrent").otherwise(F.col("outcome")))
+    return step.up(a.unionAll(b), "kind")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, outcome, count(*) AS n FROM (
@@ -190,7 +208,7 @@ def log_tiling_check(spark, d):
 
 @query("SELECT l_orderkey AS key, count(*) AS registrations FROM lineitem GROUP BY 1 HAVING count(*) > 1")
 def log_duplicates(spark, d):
-    return _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count(F.lit(1)).alias("registrations")).filter("registrations > 1")
+    return logs.duplicates(_t(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")))
 
 
 @query(f"SELECT pos, key, total - 1 - pos AS step, (total - 1 - pos) // 150 AS batch FROM ({_LOG}), (SELECT count(*) AS total FROM events) WHERE total - 1 - pos < 450")
@@ -199,12 +217,6 @@ def rollback_order(spark, d):
     return logs.reversed_slice(_log(spark, d), total, 0, 450).withColumn("batch", logs.batch_of(F.col("step")))
 
 
-@query(f"SELECT version, pos, key FROM (SELECT 1 AS version, * FROM ({_LOG}) UNION ALL SELECT 2, * FROM ({_LOG}) WHERE pos < 300)")
-def carry_forward_log(spark, d):
-    first = _log(spark, d)
-    return first.select(F.lit(1).alias("version"), "pos", "key").unionAll(logs.slice_of(first, 0, 300).select(F.lit(2), "pos", "key"))
-
-
 @query("SELECT o_orderkey AS key FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
 def orphan_keys(spark, d):
     return logs.orphans(_t(spark, d, "orders").select(F.col("o_orderkey").alias("key")), _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")))
@@ -220,14 +232,6 @@ def keys_indexed_semi(spark, d):
     return logs.contains(_t(spark, d, "customer").select(F.col("c_custkey").alias("key")), _t(spark, d, "orders").select(F.col("o_custkey").alias("key")))
 
 
-@query("""SELECT CAST(part AS INTEGER) AS part, CAST(n AS BIGINT) AS added, CAST(sum(n) OVER (ORDER BY part) AS BIGINT) AS total FROM (
-  SELECT CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END AS part, count(*) AS n FROM events GROUP BY 1)""")
-def growth_absorbed(spark, d):
-    part = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
-    counts = _t(spark, d, "events").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("added"))
-    return counts.withColumn("total", F.sum("added").over(Window.orderBy("part")))  # three rows
-
-
 @query("""SELECT l_linenumber AS batch, n AS visited, CAST(least(done, total) * 10000 // total AS BIGINT) AS progress_bp, CAST(total - done AS BIGINT) AS remaining,
   CAST(CASE WHEN total - done = 0 THEN 1 ELSE ceil((total - done) / 150.0) END AS BIGINT) AS transactions_left
   FROM (SELECT l_linenumber, n, sum(n) OVER (ORDER BY l_linenumber) AS done, sum(n) OVER () AS total FROM (SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY 1))""")
@@ -257,21 +261,26 @@ def running_total(spark, d):
 _VERSIONS = [("balance", 1), ("balance", 2), ("balance", 4), ("stats", 2), ("item", 1), ("item", 2), ("item", 3)]
 
 
-@query(f"SELECT name, version, next_version FROM (SELECT name, version, lead(version) OVER (PARTITION BY name ORDER BY version) AS next_version FROM {_sql_values(_VERSIONS, 'name, version')}) WHERE next_version IS NOT NULL")
+_PAIRS = f"SELECT name, version, next_version FROM (SELECT name, version, lead(version) OVER (PARTITION BY name ORDER BY version) AS next_version FROM {_sql_values(_VERSIONS, 'name, version')})"
+
+
+def _versions(spark) -> DataFrame:
+    return _values(spark, _VERSIONS, "name string, version int")
+
+
+@query(_PAIRS + " WHERE next_version IS NOT NULL")
 def version_pairs(spark, d):
-    w = Window.partitionBy("name").orderBy("version")
-    return _values(spark, _VERSIONS, "name string, version int").withColumn("next_version", F.lead("version").over(w)).filter("next_version is not null")
+    return versions.pairs(_versions(spark))
 
 
-@query(f"SELECT name, version, next_version FROM (SELECT name, version, lead(version) OVER (PARTITION BY name ORDER BY version) AS next_version FROM {_sql_values(_VERSIONS, 'name, version')}) WHERE next_version <> version + 1")
+@query(_PAIRS + " WHERE next_version <> version + 1")
 def version_gaps(spark, d):
-    return version_pairs(spark, d).filter("next_version <> version + 1")
+    return versions.gaps(_versions(spark))
 
 
 @query(f"SELECT name, max(version) AS latest, CAST(max(version) + 1 AS INTEGER) AS next_version, max(version) - min(version) + 1 = count(*) AS contiguous FROM {_sql_values(_VERSIONS, 'name, version')} GROUP BY 1")
 def latest_next_version(spark, d):
-    g = _values(spark, _VERSIONS, "name string, version int").groupBy("name")
-    return g.agg(F.max("version").alias("latest"), F.coalesce(F.max("version") + 1, F.lit(1)).alias("next_version"), (F.max("version") - F.min("version") + 1 == F.count(F.lit(1))).alias("contiguous"))
+    return versions.summary(_versions(spark))
 
 
 _NAMES = [("EntryV1",), ("EntryV2",), ("BalanceV12",), ("V3",), ("Stats",), ("ItemV",), ("VaultV2",), ("VaultV10",)]
@@ -279,9 +288,7 @@ _NAMES = [("EntryV1",), ("EntryV2",), ("BalanceV12",), ("V3",), ("Stats",), ("It
 
 @query(f"SELECT stem, string_agg(name, ',' ORDER BY name) AS members FROM (SELECT name, regexp_extract(name, '^(.+)V([0-9]+)$', 1) AS stem FROM {_sql_values(_NAMES, 'name')}) WHERE stem <> '' GROUP BY 1 HAVING count(*) >= 2")
 def suffix_families(spark, d):
-    stems = _values(spark, _NAMES, "name string").withColumn("stem", numbers.suffix_stem(F.col("name"))).filter("stem is not null")
-    many = stems.groupBy("stem").agg(F.sort_array(F.collect_list("name")).alias("m")).filter("size(m) >= 2")
-    return many.select("stem", F.concat_ws(",", "m").alias("members"))
+    return versions.families(_values(spark, _NAMES, "name string")).select("stem", F.concat_ws(",", "members").alias("members"))
 
 
 #: Pairs of shapes: name, old fields, new fields, declarations (directive, field, value).
@@ -314,7 +321,10 @@ _STALE = [
     ("stale_init", "amount: u32", "amount: u32", [("init", "amount", "1")]),
     ("stale_converted", "amount: u32", "amount: u32, x: Option<u32>", [("converted", "amount", "value")]),
     ("stale_renamed", "a: u32, b: u32", "b: u32", [("renamed", "a", "b"), ("dropped", "a", None)]),
+    ("rename_converted", "a: u32", "b: u32", [("renamed", "a", "b"), ("converted", "b", "value")]),
     ("good", "a: u32", "b: u32", [("renamed", "a", "b")]),
+    ("good_dropped", "a: u32", "b: u32", [("renamed", "a", "b"), ("dropped", "a", None)]),
+    ("good_converted", "a: u32", "b: i128", [("renamed", "a", "b"), ("converted", "b", "value")]),
 ]
 
 
@@ -342,8 +352,8 @@ n AS (SELECT *, {_BASE.format('declared')} AS base, {_OPT.format('declared')} AS
 decl AS (SELECT * FROM {_sql_values(_declared(cases), 'pair, directive, field, value')}),
 src AS (SELECT n.*, s.field AS old_field FROM n LEFT JOIN (SELECT d.pair, d.field, d.value FROM decl d JOIN o ON o.pair = d.pair AND o.field = d.field WHERE d.directive = 'renamed') s
   ON s.pair = n.pair AND s.value = n.field AND NOT EXISTS (SELECT 1 FROM o WHERE o.pair = n.pair AND o.field = n.field)),
-j AS (SELECT s.pair, s.field, s.declared, s.base, s.opt, s.old_field, o.declared AS odecl, o.base AS obase, o.opt AS oopt FROM src s LEFT JOIN o ON o.pair = s.pair AND o.field = coalesce(s.old_field, s.field)),
-f AS (SELECT pair, field, CASE
+j AS (SELECT s.pair, s.field, s.ord, s.declared, s.base, s.opt, s.old_field, o.declared AS odecl, o.base AS obase, o.opt AS oopt FROM src s LEFT JOIN o ON o.pair = s.pair AND o.field = coalesce(s.old_field, s.field)),
+f AS (SELECT pair, field, 0 AS part, ord, CASE
   WHEN old_field IS NOT NULL THEN 'Renamed' WHEN odecl IS NULL AND opt THEN 'AddedOptional' WHEN odecl IS NULL THEN 'AddedRequired'
   WHEN obase <> base THEN 'Retyped' WHEN NOT oopt AND opt THEN 'BecameOptional' WHEN oopt AND NOT opt THEN 'BecameRequired'
   WHEN odecl <> declared THEN 'SpellingChanged' END AS kind,
@@ -352,14 +362,14 @@ f AS (SELECT pair, field, CASE
   WHEN odecl IS NULL THEN (CASE WHEN opt THEN 1 ELSE 2 END) - (CASE WHEN {has('init', ('j.pair', 'j.field'))} THEN 1 ELSE 0 END)
   WHEN obase <> base THEN CASE WHEN {has('converted', ('j.pair', 'j.field'))} THEN 1 ELSE 2 END
   WHEN oopt AND NOT opt THEN CASE WHEN {has('init', ('j.pair', 'j.field'))} THEN 1 ELSE 2 END ELSE 0 END AS severity FROM j),
-gone AS (SELECT o.pair, o.field, 'Removed' AS kind, CASE WHEN {has('dropped', ('o.pair', 'o.field'))} THEN 0 ELSE 2 END AS severity FROM o
+gone AS (SELECT o.pair, o.field, 1 AS part, o.ord, 'Removed' AS kind, CASE WHEN {has('dropped', ('o.pair', 'o.field'))} THEN 0 ELSE 2 END AS severity FROM o
   WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.pair = o.pair AND n.field = o.field) AND NOT EXISTS (SELECT 1 FROM src s WHERE s.pair = o.pair AND s.old_field = o.field)),
-ord AS (SELECT a.pair, '' AS field, 'Reordered' AS kind, 0 AS severity FROM (SELECT pair, list(field ORDER BY ord) AS x FROM o GROUP BY 1) a JOIN (SELECT pair, list(field ORDER BY ord) AS y FROM n GROUP BY 1) b ON a.pair = b.pair WHERE x <> y AND list_sort(x) = list_sort(y)),
-findings AS (SELECT * FROM f WHERE kind IS NOT NULL UNION ALL SELECT * FROM gone UNION ALL SELECT * FROM ord)
+reord AS (SELECT a.pair, '' AS field, 2 AS part, 0 AS ord, 'Reordered' AS kind, 0 AS severity FROM (SELECT pair, list(field ORDER BY ord) AS x FROM o GROUP BY 1) a JOIN (SELECT pair, list(field ORDER BY ord) AS y FROM n GROUP BY 1) b ON a.pair = b.pair WHERE x <> y AND list_sort(x) = list_sort(y)),
+findings AS (SELECT * FROM f WHERE kind IS NOT NULL UNION ALL SELECT * FROM gone UNION ALL SELECT * FROM reord)
 """
 
 
-_FIND = "SELECT pair, field, kind, CAST(severity AS INTEGER) AS severity FROM findings"
+_FIND = "SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY part, ord) - 1 AS INTEGER) AS place, field, kind, CAST(severity AS INTEGER) AS severity FROM findings"
 
 
 @query(_diff_sql([c for c in _CASES if not c[3]] + [("none", "a: u32", "a: u32", [("init", "q", "1")])]) + _FIND)
@@ -382,12 +392,17 @@ def schema_verdict(spark, d):
 
 @query(_diff_sql(_CASES) + "SELECT CASE WHEN max(severity) = 2 THEN 'Denied' ELSE 'Other' END AS worst, count(*) FILTER (severity >= 2) AS denied, count(*) FILTER (severity >= 1) AS warnings_up, count(*) AS findings FROM findings")
 def findings_at_least(spark, d):
-    found = differ.diff_tables(*_tables(spark, _CASES))
-    at = lambda s: F.count_if(F.col("severity") >= s)
-    return found.agg(F.when(F.max("severity") == 2, "Denied").otherwise("Other").alias("worst"), at(2).alias("denied"), at(1).alias("warnings_up"), at(0).alias("findings"))
+    return differ.counts(differ.diff_tables(*_tables(spark, _CASES)))
 
 
-@query("SELECT * FROM (VALUES ('stale_dropped', 'dropped', 'amount'), ('stale_missing', 'dropped', 'never'), ('stale_init', 'init', 'amount'), ('stale_converted', 'converted', 'amount'), ('stale_renamed', 'renamed', 'a')) AS t(pair, directive, field)")
+_STALE_SQL = """SELECT p.pair, p.directive, p.field FROM decl p WHERE
+  (p.directive = 'init' AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.pair = p.pair AND f.field = p.field AND f.kind IN ('AddedOptional', 'AddedRequired', 'Retyped', 'BecameRequired', 'Renamed')))
+  OR (p.directive = 'dropped' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.pair = p.pair AND g.field = p.field) AND NOT EXISTS (SELECT 1 FROM src s WHERE s.pair = p.pair AND s.old_field = p.field))
+  OR (p.directive = 'converted' AND NOT EXISTS (SELECT 1 FROM j WHERE j.pair = p.pair AND j.field = p.field AND (j.obase <> j.base OR (j.old_field IS NULL AND j.oopt AND NOT j.opt))))
+  OR (p.directive = 'renamed' AND NOT (EXISTS (SELECT 1 FROM o WHERE o.pair = p.pair AND o.field = p.field) AND EXISTS (SELECT 1 FROM n WHERE n.pair = p.pair AND n.field = p.value) AND NOT EXISTS (SELECT 1 FROM o WHERE o.pair = p.pair AND o.field = p.value)))"""
+
+
+@query(_diff_sql(_STALE) + _STALE_SQL)
 def stale_directives(spark, d):
     old, new, declared = _tables(spark, _STALE)
     return differ.stale_tables(declared, differ.diff_tables(old, new, declared), old, new)
@@ -416,10 +431,8 @@ _COMMITTED = [("balance", 1, "owner: Address"), ("balance", 2, "owner: Address,
   CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'undeclared' WHEN a.fields <> b.fields THEN 'changed' ELSE 'equal' END AS state
   FROM {_sql_values(_DECLARED, 'name, version, fields').replace(' AS t(', ' AS a(')} FULL JOIN {_sql_values(_COMMITTED, 'name, version, fields').replace(' AS t(', ' AS b(')} ON a.name = b.name AND a.version = b.version""")
 def snapshot_drift(spark, d):
-    schema = "name string, version int, {} string"
-    a, b = _values(spark, _DECLARED, schema.format("a")), _values(spark, _COMMITTED, schema.format("b"))
-    state = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "undeclared").when(F.col("a") != F.col("b"), "changed").otherwise("equal")
-    return a.join(b, ["name", "version"], "full_outer").select("name", "version", state.alias("state"))
+    schema = "name string, version int, fields string"
+    return drift_table(_values(spark, _DECLARED, schema), _values(spark, _COMMITTED, schema))
 
 
 _TYPES = [("u32",), (" Option<bool> ",), ("std::option::Option< Vec<u8> >",), ("core::option::Option<Option<u32>>",), ("Option<bool",), ("alloc::vec::Vec<std::string::String>",), ("Map<Symbol, core::primitive::u32>",), ("any_sdk::Address",)]
@@ -433,7 +446,7 @@ def split_option(spark, d):
 
 @query("SELECT declared, replace(replace(replace(replace(replace(replace(replace(replace(replace(declared, ' ', ''), 'any_sdk::', ''), 'core::option::Option<', 'Option<'), 'std::option::Option<', 'Option<'), 'std::string::String', 'String'), 'alloc::string::String', 'String'), 'alloc::vec::Vec<', 'Vec<'), 'std::vec::Vec<', 'Vec<'), 'core::primitive::', '') AS normalized FROM " + _sql_values(_TYPES, "declared"))
 def normalize_type(spark, d):
-    return _values(spark, _TYPES, "declared string").select("declared", types.normalized(F.col("declared")).alias("normalized"))
+    return _values(spark, _TYPES, "declared string").select("declared", types.normalized(F.col("declared"), ("any_sdk",)).alias("normalized"))
 
 
 _GATE = [(None, 1), (1, 1), (2, 1), (1, 2), (3, 2)]
@@ -441,18 +454,18 @@ _GATE = [(None, 1), (1, 1), (2, 1), (1, 2), (3, 2)]
 
 @query(f"SELECT recorded, expected, CASE WHEN recorded IS NULL THEN 'NotInitialized' WHEN recorded > expected THEN 'StateNewerThanContract' WHEN recorded < expected THEN 'VersionMismatch' ELSE 'ok' END AS gate, coalesce(recorded < expected, false) AS behind FROM {_sql_values(_GATE, 'recorded, expected')}")
 def version_gate(spark, d):
-    r, e = F.col("recorded"), F.col("expected")
-    gate = F.when(r.isNull(), "NotInitialized").when(r > e, "StateNewerThanContract").when(r < e, "VersionMismatch").otherwise("ok")
-    return _values(spark, _GATE, "recorded int, expected int").select("recorded", "expected", gate.alias("gate"), F.coalesce(r < e, F.lit(False)).alias("behind"))
+    return versions.gates(_values(spark, _GATE, "recorded int, expected int"))
 
 
 _TAGS = [("live", "aa"), ("next", "bb"), ("other", "cc")]
 
 
-@query(f"SELECT tag, CASE tag WHEN 'live' THEN 'bb' ELSE hash END AS hash FROM {_sql_values(_TAGS, 'tag, hash')}")
+_MOVES = [("live", "next"), ("other", "unknown")]
+
+
+@query(f"WITH t AS (SELECT * FROM {_sql_values(_TAGS, 'tag, hash')}), m AS (SELECT live, candidate FROM {_sql_values(_MOVES, 'live, candidate')}) SELECT t.tag, coalesce(c.hash, t.hash) AS hash FROM t LEFT JOIN m ON m.live = t.tag LEFT JOIN t c ON c.tag = m.candidate")
 def alias_promote(spark, d):
-    moves = _values(spark, [("live", "next"), ("other", "unknown")], "live string, candidate string")
-    return promoted(_values(spark, _TAGS, "tag string, hash string"), moves)
+    return promoted(_values(spark, _TAGS, "tag string, hash string"), _values(spark, _MOVES, "live string, candidate string"))
 
 
 _COST = "SELECT l_linenumber AS run, l_suppkey AS batch, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS instructions, CAST(max(CAST(l_quantity AS BIGINT)) AS BIGINT) AS memory, count(*) AS total FROM lineitem GROUP BY 1, 2"
@@ -473,10 +486,17 @@ def replay_heaviest(spark, d):
     return replay.heaviest(_costs(spark, d))
 
 
-@query(f"SELECT run, count(*) FILTER (instructions > 500 OR total > 20) AS over_cap, count(*) FILTER (instructions <= 500 AND total <= 20) AS fits FROM ({_COST}) GROUP BY 1")
+_CAPS = {"instructions": 500, "memory": 48, "total": 20}
+
+
+@query(f"SELECT run, count(*) FILTER (instructions > 500 OR memory > 48 OR total > 20) AS over_cap, count(*) FILTER (instructions <= 500 AND memory <= 48 AND total <= 20) AS fits FROM ({_COST}) GROUP BY 1")
 def replay_over_cap(spark, d):
-    fits = (F.col("instructions") <= 500) & (F.col("total") <= 20)
-    return _costs(spark, d).groupBy("run").agg(F.count_if(~fits).alias("over_cap"), F.count_if(fits).alias("fits"))
+    return replay.caps_tally(_costs(spark, d), _CAPS)
+
+
+@query(f"SELECT run, batch, concat_ws(',', CASE WHEN instructions > 500 THEN 'instructions' END, CASE WHEN memory > 48 THEN 'memory' END, CASE WHEN total > 20 THEN 'total' END) AS over FROM ({_COST}) WHERE instructions > 500 OR memory > 48 OR total > 20")
+def replay_over_cap_list(spark, d):
+    return replay.over_cap(_costs(spark, d), _CAPS).select("run", "batch", F.concat_ws(",", "over").alias("over"))
 
 
 @query("SELECT l_orderkey, format('{:,}', CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS BIGINT)) AS pretty FROM lineitem GROUP BY 1")
@@ -490,19 +510,104 @@ def contract_addresses(spark, d):
     return _t(spark, d, "customer").select("c_custkey", a.alias("address")).withColumn("looks", numbers.looks_like_contract(F.col("address")))
 
 
-@query("""SELECT CAST(d.doc_id AS VARCHAR) AS key, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-def full_migration(spark, d):
-    """A whole run over a store in a scratch folder: put, begin, batches to the end, read."""
-    import tempfile
+# ---------------------------------------------------------------- whole runs over a store
 
-    from morphlake.operators.executor import Executor
-    from morphlake.sources.store import Store
 
-    store = Store(spark, tempfile.mkdtemp(prefix="morphlake-store"))
+def _scratch(spark: SparkSession) -> str:
+    """A new folder for a store, in the folder that the cluster shares if it names one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="morphlake-store")
+
+
+def _doc_store(spark, d) -> tuple[Store, Executor]:
+    """Documents put under version 1, with an executor that fills toxic."""
+    store = Store(spark, _scratch(spark))
     store.initialize(1)
     store.put(_docs(spark, d).select(F.col("doc_id").cast("string").alias("key"), "source", "n_chars", "toxic"))
-    run = Executor(store, _FILL, strict=False)
+    return store, Executor(store, _FILL)
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS key, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def full_migration(spark, d):
+    """put, begin, batches of any size to the end, read."""
+    store, run = _doc_store(spark, d)
+    run.strict = False
     run.begin()
     run.run_to_completion(1 << 20)
     return store.entries().select("key", "toxic")
 
+
+_VISITS = """WITH v AS (SELECT CAST(row_number() OVER (ORDER BY CAST(d.doc_id AS VARCHAR)) - 1 AS BIGINT) AS pos, CAST(d.doc_id AS VARCHAR) AS key, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  t AS (SELECT count(*) AS total FROM v)
+"""
+_TALLY = "count(*) AS visited, count(*) FILTER (toxic IS NULL) AS migrated, count(*) FILTER (toxic IS NOT NULL) AS already_current, CAST(0 AS BIGINT) AS skipped"
+
+
+@query(_VISITS + f"SELECT CAST(pos // 150 AS INTEGER) AS batch, 1 AS from_version, 2 AS to_version, least((pos // 150 + 1) * 150, max(total)) AS cursor, max(total) AS total, {_TALLY}, (pos // 150 + 1) * 150 >= max(total) AS done FROM v, t GROUP BY pos // 150")
+def batched_migration(spark, d):
+    """A strict run, 150 keys a batch, to the end: the outcomes."""
+    _, run = _doc_store(spark, d)
+    run.begin()
+    return report(spark, run.run_to_completion(LARGEST_BATCH, most=1 << 30))
+
+
+@query(_VISITS + """SELECT key, CASE WHEN total - 1 - pos < 300 THEN NULL ELSE coalesce(toxic, 0) END AS toxic, total - 1 - pos < 300 AS undone FROM v, t""")
+def rollback_newest_first(spark, d):
+    """A completed run, two strict batches of its rollback: the newest 300 keys of the log are undone."""
+    store, run = _doc_store(spark, d)
+    run.strict = False
+    run.begin()
+    run.run_to_completion(1 << 20)
+    run.strict = True
+    run.begin_rollback()
+    run.rollback_to_completion(LARGEST_BATCH, most=2)
+    undone = store.log(1).select("key", F.lit(True).alias("undone"))  # what the rollback has registered again
+    return store.entries().select("key", "toxic").join(undone, "key", "left").select("key", "toxic", F.coalesce("undone", F.lit(False)).alias("undone"))
+
+
+@query(_VISITS + f"""SELECT 0 AS batch, 1 AS from_version, 2 AS to_version, count(*) AS cursor, max(total) AS total, {_TALLY}, false AS done FROM v, t WHERE pos < 150
+  UNION ALL SELECT 1, 1, 2, max(total), max(total), count(*), count(*) FILTER (toxic IS NULL AND pos >= 150), count(*) FILTER (toxic IS NOT NULL OR pos < 150), CAST(0 AS BIGINT), true FROM v, t""")
+def abort_and_rerun(spark, d):
+    """A batch, an abort, and a run from the start: what was done is already current."""
+    _, run = _doc_store(spark, d)
+    run.begin()
+    first = run.batch(LARGEST_BATCH)
+    run.abort()
+    run.strict = False
+    run.begin()
+    return report(spark, [first, *run.run_to_completion(1 << 20)])
+
+
+_EVENT_LOG = "SELECT CAST(row_number() OVER (ORDER BY CAST(event_id AS VARCHAR)) - 1 AS BIGINT) AS pos, CAST(event_id AS VARCHAR) AS key, ts FROM events"
+_EVENT = compile_step(differ.diff(shape("Event", 1, "value: f64"), shape("Event", 2, "value: f64, seen: Option<bool>"), Plan(1, 2, init={"seen": "true"})))
+
+
+def _events(spark, d) -> DataFrame:
+    return _t(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), "ts")
+
+
+@query(f"SELECT version, pos, key FROM (SELECT 1 AS version, pos, key FROM ({_EVENT_LOG}) UNION ALL SELECT 2, pos, key FROM ({_EVENT_LOG}) WHERE pos < 300)")
+def carry_forward_log(spark, d):
+    """Keys registered, and two batches: the new version's log holds what was visited, in order."""
+    store = Store(spark, _scratch(spark))
+    store.initialize(1)
+    store.put(_events(spark, d).select("key"))
+    run = Executor(store, _EVENT)
+    run.begin()
+    run.run_to_completion(LARGEST_BATCH, most=2)
+    return store.log(1).select(F.lit(1).alias("version"), "pos", "key").unionAll(store.log(2).select(F.lit(2), "pos", "key"))
+
+
+@query("""SELECT CAST(row_number() OVER (ORDER BY part) - 1 AS INTEGER) AS batch, 1 AS from_version, 2 AS to_version, CAST(sum(n) OVER (ORDER BY part) AS BIGINT) AS cursor, CAST(sum(n) OVER () AS BIGINT) AS total, n AS visited, n AS migrated, CAST(0 AS BIGINT) AS already_current, CAST(0 AS BIGINT) AS skipped, part = 1 AS done
+  FROM (SELECT CASE WHEN day(ts) <= 10 THEN 0 ELSE 1 END AS part, count(*) AS n FROM events GROUP BY 1)""")
+def growth_absorbed(spark, d):
+    """Keys registered under the old version while its migration runs are visited before it is done."""
+    late = F.dayofmonth("ts") > 10
+    store = Store(spark, _scratch(spark))
+    store.initialize(1)
+    store.put(_events(spark, d).filter(~late).select("key"))
+    run = Executor(store, _EVENT, strict=False)
+    n = run.begin().total
+    store.put_unindexed(_events(spark, d).filter(late).select("key"))
+    store.register(1, _events(spark, d).filter(late).select("key"))
+    return report(spark, [run.batch(n), *run.run_to_completion(1 << 20)])
