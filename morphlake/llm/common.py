@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Bytes of text that numpy works on at once; one longer text is still taken whole.
 CHUNK_BYTES = 2 << 20
+#: Bytes over which one running sum for hashes goes; one longer word is still taken whole.
+SUMMED = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +75,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def unclashed(df: DataFrame, *names: str) -> None:
-    """An error that names the columns of df which a result column would hide."""
-    if both := sorted({c for c in df.columns if c.lower() in {x.lower() for x in names}}):
-        raise ValueError(f"the table already has {', '.join(both)}: rename these columns, or choose other names for the results")
-
-
 def in_bucket(column: str, modulus: int, remainder: int):
     """Whether crc32 of the value's text leaves this remainder. Null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -164,14 +160,20 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of spans of one buffer, from one running sum, then mixed."""
-    if not len(starts):
-        return np.zeros(0, U)
-    up, down = _power_table(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, U)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """Polynomial hashes of ordered spans of one buffer, from running sums over about SUMMED bytes, then mixed."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SUMMED, side="right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        first, last = starts[i:j] - a, ends[i:j] - a
+        up, down = _power_table(b - a + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(b - a + 1, U)
+            np.cumsum(_BYTE[raw[a:b]] * up[: b - a], out=total[1:])
+            out[i:j] = mix((total[last] - total[first]) * down[first] + (last - first).astype(U))
+        i = j
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
