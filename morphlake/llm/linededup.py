@@ -5,8 +5,9 @@ a window (least id, then position) stays; every later one covers its three lines
 positions are merged and taken out. Each line removed still stands somewhere earlier.
 
 Defined cases: a null or empty text, or one with fewer than three lines, has no windows and
-stays as it is. Windows of blank lines alone count as nothing. Rows that repeat an id and a
-text count as one occurrence. A null id comes before all others. Extra columns pass through.
+stays as it is. Windows of white space alone count as nothing. Rows that repeat an id and a
+text count as one occurrence. A null id comes before all others. Extra columns pass through,
+whatever their names; one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from morphlake.llm.common import fresh, stored
+
 WINDOW = 3
+#: What is blank in a line.
+WHITE = " \t\n\r\x0b\x0c"
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,7 +29,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         i.alias("__pos"),
         F.xxhash64(*[at(i, k) for k in range(WINDOW)]).alias("__h"),
         F.hash(*[at(i, k) for k in reversed(range(WINDOW))]).alias("__g"),
-        (F.length(F.trim(F.concat(*[at(i, k) for k in range(WINDOW)]))) > 0).alias("__full"),
+        (F.length(F.trim(F.concat(*[at(i, k) for k in range(WINDOW)]), F.lit(WHITE))) > 0).alias("__full"),
     )
     return (
         docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__key"), lines.alias("__lines"))
@@ -39,31 +44,35 @@ def later_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(__key, __pos) of each window whose content stands earlier in the corpus."""
     windows = _windows(docs, id_col, text_col)
     place = F.struct("__id", "__key", "__pos")
-    # Counts and minima are combined before the shuffle; the join back is one that can be split by size.
+    # Counts and minima are combined before the shuffle.
     first = windows.groupBy("__h", "__g").agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).filter("__n > 1")
+    # Stored, so that the join deals both sides anew and a common window's rows can be split.
+    first = stored(docs.sparkSession, first.drop("__n"), "first")
     return windows.join(first, ["__h", "__g"]).filter(~place.eqNullSafe(F.col("__first"))).select("__key", "__pos")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text cut, and __n_lines, __n_removed beside the other columns."""
-    covered = later_windows(docs, id_col, text_col).groupBy("__key").agg(F.sort_array(F.collect_set("__pos")).alias("__starts"))
-    lines, starts = F.split(F.col(text_col), "\n", -1), F.col("__starts")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
+    """docs with the text cut, and n_lines, n_removed beside the other columns."""
+    docs = docs.drop(n_lines, n_removed)
+    key, starts_, lines_, kept_ = fresh(docs, "__key", "__starts", "__lines", "__kept")
+    covered = later_windows(docs, id_col, text_col).groupBy(F.col("__key").alias(key)).agg(F.sort_array(F.collect_set("__pos")).alias(starts_))
+    lines, starts = F.split(F.col(text_col), "\n", -1), F.col(starts_)
     # The runs of lines kept: from the end of one window to the start of the next.
     runs = F.transform(
         F.sequence(F.lit(0), F.size(starts)),
         lambda i: F.struct(
             F.coalesce(F.get(starts, i - 1) + WINDOW, F.lit(0)).alias("a"),
-            F.coalesce(F.get(starts, i), F.size("__lines")).alias("b"),
+            F.coalesce(F.get(starts, i), F.size(lines_)).alias("b"),
         ),
     )
-    kept = F.flatten(F.transform(F.filter(runs, lambda r: r.b > r.a), lambda r: F.slice(F.col("__lines"), r.a + 1, r.b - r.a)))
-    joined = docs.withColumn("__key", F.xxhash64(id_col, text_col)).join(covered, "__key", "left").withColumn("__lines", lines)
+    kept = F.flatten(F.transform(F.filter(runs, lambda r: r.b > r.a), lambda r: F.slice(F.col(lines_), r.a + 1, r.b - r.a)))
+    joined = docs.withColumn(key, F.xxhash64(id_col, text_col)).join(covered, key, "left").withColumn(lines_, lines)
     return (
-        joined.withColumn("__kept", F.when(starts.isNull(), F.col("__lines")).otherwise(kept))
-        .withColumn(text_col, F.when(starts.isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
-        .withColumn("__n_lines", F.coalesce(F.size("__lines"), F.lit(0)))
-        .withColumn("__n_removed", F.when(starts.isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")))
-        .drop("__key", "__starts", "__lines", "__kept")
+        joined.withColumn(kept_, F.when(starts.isNull(), F.col(lines_)).otherwise(kept))
+        .withColumn(text_col, F.when(starts.isNull(), F.col(text_col)).otherwise(F.array_join(kept_, "\n")))
+        .withColumn(n_lines, F.coalesce(F.size(lines_), F.lit(0)))
+        .withColumn(n_removed, F.when(starts.isNull(), 0).otherwise(F.size(lines_) - F.size(kept_)))
+        .drop(key, starts_, lines_, kept_)
     )
 
 
@@ -81,7 +90,7 @@ WITH lines AS (
   FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines WHERE len(l) >= 3)
 ), ranked AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS r
-  FROM windows WHERE length(trim(replace(w, chr(10), ''), ' ')) > 0
+  FROM windows WHERE regexp_matches(w, '[^ \t\n\r\v\f]')
 ), gone AS (
   SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (SELECT unnest(range(0, 3)) AS k) WHERE r > 1
 ), each_line AS (
