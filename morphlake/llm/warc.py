@@ -114,6 +114,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).alias("__url"), html.alias("__html"), F.unhex(F.sha1(html)).alias("__sha"))
     first = pages.select(F.col(id_col).cast("long").alias("__id"), F.unhex(F.sha1(html)).alias("__sha")).groupBy("__sha").agg(F.min("__id").alias("__first"))
+    # Stored, so that the join deals both sides anew and the rows of a common payload can be split.
+    first = stored(spark, first, "first")
     index = rows.join(first, "__sha").mapInArrow(_writer(shared_dir(spark) + "/archives"), INDEX)
     return stored(spark, index, "index")
 
