@@ -11,7 +11,9 @@ reader comments around and inside them), so training is the same everywhere.
 Defined cases: null, empty and text-free html give an empty text. Scripts, styles, templates,
 titles and comments of the markup never give blocks; an unclosed one runs to the page's end. A
 `<` that opens no tag is text. Nothing is cut: any number of blocks of any length is read.
-Rows that repeat an id are each extracted. Extra columns pass through in `extract`.
+Rows that repeat an id are each extracted. Extra columns pass through in `extract`; one with the
+name of the result gives way to it. The time to read a page follows its length, however
+its tags are broken.
 """
 
 from __future__ import annotations
@@ -40,8 +42,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>",
+    rf"<!--.*?(?:(?P<ended>-->)|\Z)|<(?P<hidden>{HIDDEN})\b{_INSIDE}(?:(?<=(?P<empty>/))>|>.*?(?:(?P<shut></(?P=hidden)\s*>)|\Z))"
+    rf"|<[!?][^>]*>|<(?P<slash>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<inside>{_INSIDE})>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -62,13 +66,58 @@ def _frame(above: tuple, tag: str, attributes: str) -> tuple:
     return tuple(sorted({*above, *own}))
 
 
+class _Open:
+    """The elements that are open at a place of a page, outermost first."""
+
+    def __init__(self) -> None:
+        self.frames: list[tuple[str, tuple]] = []  # name and feature rows
+        self.places: dict[str, list[int]] = {}  # where the elements of each name stand among them
+        self.blocks: list[int] = []  # where the block-level ones stand
+        self.links = 0
+
+    def push(self, name: str, attributes: str) -> None:
+        at = len(self.frames)
+        self.frames.append((name, _frame(self.rows, name, attributes)))
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCK:
+            self.blocks.append(at)
+        self.links += name == "a"
+
+    def cut(self, at: int) -> None:
+        """Closes all from this place on."""
+        while len(self.frames) > at:
+            name, _ = self.frames.pop()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            self.links -= name == "a"
+
+    def close(self, name: str) -> None:
+        """An end tag. One of an inline element closes nothing beyond its block; one without a start tag, nothing."""
+        places = self.places.get(name)
+        if places and (name in BLOCK or not self.blocks or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
+
+    def close_block(self, names: set[str]) -> None:
+        """What the start tag of another block closes, if that is the nearest block."""
+        if self.blocks and self.frames[self.blocks[-1]][0] in names:
+            self.cut(self.blocks[-1])
+
+    @property
+    def rows(self) -> tuple:
+        return self.frames[-1][1] if self.frames else ()
+
+    @property
+    def holder(self) -> str:
+        return self.frames[self.blocks[-1]][0] if self.blocks else ""
+
+
 def blocks_of(page: str) -> list[tuple[str, tuple]]:
     """(text, feature rows) of each leaf block with text."""
     out: list[tuple[str, tuple, str, int]] = []
-    stack: list[tuple[str, tuple]] = []
+    open_ = _Open()
     pieces: list[str] = []
     links, where, at = 0, None, 0
-    inside_link = 0
 
     def flush() -> None:
         nonlocal pieces, links, where
@@ -82,48 +131,39 @@ def blocks_of(page: str) -> list[tuple[str, tuple]]:
     def say(text: str) -> None:
         nonlocal links, where
         if where is None and text.strip():
-            holder = next((x[0] for x in reversed(stack) if x[0] in BLOCK), "")
-            where = (holder, stack[-1][1] if stack else ())
+            where = (open_.holder, open_.rows)
         pieces.append(text)
-        if inside_link:
+        if open_.links:
             links += len(text)
 
-    for m in _TAG.finditer(page):
+    # No tag ends beyond the last >, so none is looked for there; only an unclosed comment begins there.
+    end = page.rfind(">") + 1
+    if (hidden := page.find("<!--", end)) >= 0:
+        page = page[:hidden]
+    for m in _TAG.finditer(page, 0, end):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name = m["name"]
         if name is None:
+            if m.end() == end and _unclosed(m):
+                at = len(page)
             continue
         name = name.lower()
-        if m[2]:
+        if m["slash"]:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    inside_link -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break  # an inline end tag closes nothing beyond its block
+            open_.close(name)
             continue
         if name == "br":
             pieces.append(" ")
             continue
         if name in BLOCK:
             flush()
-            ends = CLOSES.get(name, {"p"} if name not in ("button", "label", "option") else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    inside_link -= sum(x[0] == "a" for x in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        if name in VOID or m[4].endswith("/"):
+            open_.close_block(CLOSES.get(name, {"p"} if name not in ("button", "label", "option") else set()))
+        if name in VOID or m["inside"].endswith("/"):
             continue
-        stack.append((name, _frame(stack[-1][1] if stack else (), name, m[4])))
-        inside_link += name == "a"
+        open_.push(name, m["inside"])
     if at < len(page):
         say(page[at:])
     flush()
@@ -131,6 +171,11 @@ def blocks_of(page: str) -> list[tuple[str, tuple]]:
     return [(text, (*rows, *_shape(text, tag, links, i, n))) for i, (text, rows, tag, links) in enumerate(out)]
 
 
+def _unclosed(m: re.Match) -> bool:
+    """Whether a hidden element or a comment runs on beyond the last tag."""
+    return not (m["ended"] or m["shut"] or m["empty"]) and (m["hidden"] is not None or m[0].startswith("<!--"))
+
+
 def _shape(text: str, tag: str, links: int, i: int, n: int) -> tuple:
     words = text.count(" ") + 1
     share = min(4, 5 * links // max(len(text), 1))
@@ -335,6 +380,7 @@ def extract_texts(field: Field, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, html_col: str = "html", name: str = "__text", field: Field | None = None) -> DataFrame:
     """pages with the main text; html is left out."""
+    pages = pages.drop(name) if name != html_col else pages
     bounded_batches(pages.sparkSession)
     model = pages.sparkSession.sparkContext.broadcast(field or train(labelled_pages()))
     others = [f for f in pages.schema.fields if f.name != html_col]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -248,6 +249,16 @@ def test_extraction_cases(field):
     assert got[1:3] == ["", ""] and len(got) == 6
 
 
+def test_broken_pages_are_read_in_time_that_follows_their_length(field):
+    makers = [lambda n: "<a " * n, lambda n: "<div>" * n + "</section>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<a \"'>" * n, lambda n: "<!--" * n, lambda n: "<script " * n + ">", lambda n: "<li>" * n, lambda n: "<p " + "x=' " * n + ">"]
+    for make in makers:
+        began = time.process_time()
+        html.blocks_of(make(100_000))
+        assert time.process_time() - began < 8, make(2)
+    cases = {"a<script>x > y": ["a"], "a<!-- b > c": ["a"], "a <b": ["a <b"], "<p>a<svg/>b": ["ab"], "<p>a<script>b</script>c": ["ac"], "<p>a<script>b<br/>c": ["a"], "<div>a<i>b</div>c</i>d": ["ab", "cd"], "a <!-- b --> c <!-- d": ["a c"]}
+    assert {k: [t for t, _ in html.blocks_of(k)] for k in cases} == cases
+
+
 def test_mixing_model_learns_and_sums_to_one():
     r = random.Random(9)
     words = [f"w{k}" for k in range(50)]
