@@ -13,7 +13,8 @@ become the pieces of their bytes.
 
 Only models with the identity normalizer are read. Defined cases: null and empty texts have no
 ids and decode to the empty text; U+2581 in a text is a blank, as in the library, so it comes
-back as one. Nothing is cut: any text of any length is encoded. Extra columns pass through.
+back as one. Nothing is cut: any text of any length is encoded. Rows that repeat are each encoded. Extra columns
+pass through; one with the name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -319,6 +320,7 @@ def decode(m: Model, ids: np.ndarray, splits: np.ndarray) -> list[str]:
 
 def encode_documents(docs: DataFrame, text_col: str = "text", path: str = MODEL, ids: str = "__ids", back: str | None = None) -> DataFrame:
     """docs with the ids of each text and, if back is named, what they decode to."""
+    docs = docs.drop(ids, *([back] if back else []))
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
     more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(back, T.StringType())] if back else [])
@@ -337,6 +339,7 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str = MODEL,
 
 def decode_documents(docs: DataFrame, ids: str = "__ids", path: str = MODEL, name: str = "__text") -> DataFrame:
     """docs with the text of each list of ids. A null list is empty."""
+    docs = docs.drop(name)
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
 

@@ -12,8 +12,7 @@ Defined cases: a null text is empty; a text without words has one empty window.
 labels of unknown documents are left out; several labels of one document count as their
 maximum. Of rows that repeat a sampled id, one is trained on (the one whose text has the largest
 hash); all are scored. Without labels of both kinds the model is untrained and scores 0. Extra
-columns pass through in `score_documents`; one with the name of the result is an error that names
-it. Every word of every text is scored.
+columns pass through in `score_documents`; one with the name of the result gives way to it. Every word of every text is scored.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphlake.llm import common
-from morphlake.llm.common import bounded_batches, in_bucket, slices, table, unclashed
+from morphlake.llm.common import bounded_batches, in_bucket, slices, table
 
 #: Labelled rows of each kind that the model is fitted on, at most.
 TRAIN_ROWS = 1500
@@ -307,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_documents(docs: DataFrame, net: Network | None, text_col: str = "text", name: str = "__score") -> DataFrame:
     """docs with the score of each whole text."""
-    unclashed(docs, name)
+    docs = docs.drop(name)
     bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast(net)  # bounded by the sample's vocabulary
