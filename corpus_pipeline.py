@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.llm import decontaminate, linededup, ngramjoin, spm, toxicity
-from morphlake.llm.common import in_bucket, stored, table
+from morphlake.llm.common import dropped, fresh, in_bucket, stored, table
 
 #: Near-duplicates share word 5-grams at this similarity, in percent.
 WIDTH, PERCENT = 5, 80
@@ -20,14 +20,16 @@ WIDTH, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the network scores at the threshold or above."""
     net = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~in_bucket("doc_id", 4, 2)))
-    return toxicity.score_documents(docs, net).filter(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
+    (score,) = fresh(docs, "__score")
+    return toxicity.score_documents(docs, net, name=score).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without windows of lines that stand earlier; n_chars follows. A document goes only
     if all its lines do."""
-    cut = linededup.dedup_lines(docs).filter("__n_removed = 0 or __n_removed < __n_lines")
-    changed = F.when(F.col("__n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    lines, removed = fresh(docs, "__n_lines", "__n_removed")
+    cut = linededup.dedup_lines(docs, n_lines=lines, n_removed=removed).filter((F.col(removed) == 0) | (F.col(removed) < F.col(lines)))
+    changed = F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", changed).select(*docs.columns)
 
 
@@ -35,9 +37,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """The document with the least id of each class of linked documents. Rows that repeat an id
     and a text are one."""
     linked = ngramjoin.link_documents(docs, width=WIDTH, percent=PERCENT)
-    first = linked.filter(F.col("__id").eqNullSafe(F.col("__component"))).select(F.col("__id").alias("__kept")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    own, text = fresh(docs, "__kept", "__text")
+    first = linked.filter(F.col("__id").eqNullSafe(F.col("__component"))).select(F.col("__id").alias(own)).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +50,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and n_tokens of each text."""
-    out = spm.encode_documents(docs)
-    return out.select("doc_id", "lang", "source", F.col("__ids").alias("ids"), F.size("__ids").cast("long").alias("n_tokens"))
+    (ids,) = fresh(docs, "__ids")
+    out = spm.encode_documents(docs, ids=ids)
+    return out.select("doc_id", "lang", "source", F.col(ids).alias("ids"), F.size(ids).cast("long").alias("n_tokens"))
 
 
 STAGES = [
@@ -65,7 +69,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stored in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(spark, stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)  # its successor is stored
+        before = docs
     return docs
