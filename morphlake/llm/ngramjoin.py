@@ -10,8 +10,9 @@ pairs of sets of one bucket in different classes. Those are found by signature t
 holds a few sets; a node holds the OR of its sets' bitmaps and the range of their sizes. Two
 trees are walked at once, and a pair of nodes goes when its largest possible overlap is too
 small, or when all its sets are of one class already. Every pair found is checked on its sets.
-Buckets too large for a task are cut into blocks: the sets of the bucket's first class, which
-need not meet each other, lie in one block each, the others are copied to each block.
+Buckets too large for a task are cut into groups, and a task holds two of them: each two groups of
+sets outside the bucket's largest class meet once, and each of them meets each group of that class,
+whose own sets need not meet each other. So a task's rows are bounded whatever the bucket.
 
 Rarity comes from a sketch of fixed size over all documents; only the order of members hangs on
 it, never the result. Sets are named by 64-bit fingerprints, members by 64-bit hashes.
@@ -38,7 +39,9 @@ from morphlake.llm.graph import components
 WIDTH, PERCENT = 4, 85
 #: Counters of the sketch of how many documents have a member, and those of one row of its shuffle.
 SKETCH, PIECE = 1 << 22, 1 << 16
-#: Bits of a set's bitmap in trees; sets of a leaf; sets of one class-blind block of a bucket.
+#: Steps of the sketch's counters in a doubling.
+LEVELS = 1024
+#: Bits of a set's bitmap in trees; sets of a leaf; sets of a group of a bucket, about.
 BITS, LEAF, BLOCK = 1024, 16, 512
 #: Rows of ids that may be broadcast (16 bytes each, so 8 MB); beyond it, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
@@ -76,7 +79,7 @@ def prefix(members: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     """The rarest members, so many that similar sets must share one of them."""
     n = len(members)
     keep = n - (percent * n + 99) // 100 + 1
-    rank = sketch[(members & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(56) | members >> U(8)
+    rank = sketch[(members & U(SKETCH - 1)).astype(np.int64)].astype(U) << U(48) | members >> U(16)
     return members[np.argsort(rank, kind="stable")[:keep]]
 
 
@@ -151,33 +154,24 @@ def _tree(sizes, bitmaps, classes, rows) -> dict:
     return level[0]
 
 
-def _bucket_pairs(group: np.ndarray, first: np.ndarray, sizes, bitmaps, classes, whole, percent) -> np.ndarray:
-    """Pairs of rows of one group (sorted), by trees; groups of up to LEAF rows are leaves, done together."""
-    starts = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
-    ends = np.append(starts[1:], len(group))
-    found = []
-    size = ends - starts
-    small = np.repeat(size <= LEAF, size)
-    for step in range(1, LEAF):
-        p = np.flatnonzero(small[:-step] & (group[step:] == group[:-step])) if len(group) > step else np.zeros(0, np.int64)
-        if not len(p):
-            break
-        q = p + step
-        ok = _may(sizes, bitmaps, classes, p, q, percent) & (~(first[p] & first[q])) & (whole[p] | first[p] | first[q])
-        found.append(np.stack([p[ok], q[ok]], axis=1))
-    for a, b in zip(starts[size > LEAF], ends[size > LEAF], strict=True):
+def _group_pairs(task: np.ndarray, same: np.ndarray, side: np.ndarray, sizes, bitmaps, classes, percent) -> np.ndarray:
+    """Pairs of rows of both sides of each task (sorted), or of one group with itself, by trees."""
+    starts = np.flatnonzero(np.diff(task, prepend=task[0] - 1))
+    found = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(starts, np.append(starts[1:], len(task)), strict=True):
         rows = np.arange(a, b)
-        big, rest = rows[first[a:b]], rows[~first[a:b]]
-        if len(rest) and whole[a]:
-            found.append(similar_pairs(sizes, bitmaps, classes, rest, rest, percent))
-        if len(rest) and len(big):
-            found.append(similar_pairs(sizes, bitmaps, classes, rest, big, percent))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        left, right = rows[side[a:b] == 0], rows[side[a:b] == 1]
+        if same[a]:
+            right = left
+        if len(left) and len(right):
+            found.append(similar_pairs(sizes, bitmaps, classes, left, right, percent))
+    return np.concatenate(found)
 
 
 def _sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Levels (eighths of a doubling) of how many documents have a member of each hashed class:
-    SKETCH bytes, whatever the input."""
+    """Levels (LEVELS to a doubling) of how many times members of each hashed class occur: 2 * SKETCH bytes,
+    whatever the input. The levels are so fine that a member stands out by the times it occurs itself,
+    also where its class is full of others."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int32)
@@ -196,13 +190,13 @@ def _sketch(texts: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             for at, c in zip(batch.column("at"), batch.column("c"), strict=True):
                 total[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(c.as_buffer(), np.int32)
-        levels = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
+        levels = np.minimum(LEVELS * np.log2(1 + total), 65535).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["k", "levels"])
 
     rows = texts.select("__text").mapInArrow(count, "k int, at binary, c binary").groupBy("k").applyInArrow(level, "k int, levels binary")
-    out = np.zeros((SKETCH // PIECE, PIECE), np.uint8)
-    for k, levels in rows.collect():  # SKETCH bytes in all
-        out[k] = np.frombuffer(levels, np.uint8)
+    out = np.zeros((SKETCH // PIECE, PIECE), np.uint16)
+    for k, levels in rows.collect():  # 2 * SKETCH bytes in all
+        out[k] = np.frombuffer(levels, np.uint16)
     return out.reshape(-1)
 
 
@@ -254,7 +248,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
-    ranks = spark.sparkContext.broadcast(_sketch(texts, width))  # SKETCH bytes
+    ranks = spark.sparkContext.broadcast(_sketch(texts, width))  # 2 * SKETCH bytes
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies have a bitmap once a task
@@ -276,7 +270,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             token = np.concatenate([np.zeros(0, U), *made]).view(np.int64)
             n = np.array([len(x) for x in sets], np.int32)
             # How common a set's members are: in a family of copies, highest for the one they were made from.
-            common = np.array([int(100 * ranks.value[(x & U(SKETCH - 1)).astype(np.int64)].mean()) if len(x) else 0 for x in sets], np.int16)
+            common = np.array([int(ranks.value[(x & U(SKETCH - 1)).astype(np.int64)].mean() / 2) if len(x) else 0 for x in sets], np.int16)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(common, sizes))], names=["token", "sid", "n", "common"])
 
     named = stored(spark, texts.mapInArrow(name, "__id long, sid long, n long, bits binary"), "named")
@@ -330,17 +324,28 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Buckets that still hold several classes; the largest class of each comes first.
     rows = stored(spark, buckets.select("token", "sid", "n").distinct().join(classes, "sid"), "rows")
     dropped(buckets)
-    mixed = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("kinds > 1")
+    mixed = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("kinds > 1")
     mixed = stored(spark, mixed, "mixed")
     placed = stored(spark, rows.join(mixed, "token"), "placed")
     dropped(rows, mixed)
     # A bucket no larger than a leaf is a tree of one leaf: its pairs are listed and held against the bitmaps.
     leaf = placed.filter(F.col("all") <= LEAF).groupBy("token").agg(F.collect_list(F.struct("sid", "n", "comp")).alias("l"))
     listed = leaf.select(F.inline(F.expr(f"flatten(transform(l, x -> transform(filter(l, y -> y.sid > x.sid AND y.comp <> x.comp AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}), y -> struct(x.sid AS a, y.sid AS b))))"))).distinct()
-    laid = placed.filter(F.col("all") > LEAF).withColumn("first", F.col("comp") == F.col("main")).withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    every = F.when(F.col("first"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    laid = laid.select("token", "sid", "n", "comp", "first", F.explode(every).alias("block")).join(bits.select("sid", "bits"), "sid")
+    # Groups of the largest class and of all other sets of a bucket; a task is (token, a, b), where b under 0 is a group of that class.
+    groups = lambda n: F.ceil(n / BLOCK).cast("int")
+    laid = placed.filter(F.col("all") > LEAF).select("token", "sid", "n", "comp", (F.col("comp") == F.col("main")).alias("first"), groups(F.col("most")).alias("of_main"), groups(F.col("all") - F.col("most")).alias("of_rest"))
+    laid = laid.withColumn("own", F.pmod(F.xxhash64("sid"), F.when(F.col("first"), F.col("of_main")).otherwise(F.col("of_rest"))).cast("int"))
+    own, each = F.col("own"), lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))
+    rest, main = each(F.col("of_rest")), each(F.col("of_main"))
+    every = F.when(F.col("first"), F.transform(rest, lambda i: place(i, -1 - own, 1))).otherwise(
+        F.concat(
+            F.transform(F.filter(rest, lambda j: j >= own), lambda j: place(own, j, 0)),
+            F.transform(F.filter(rest, lambda j: j < own), lambda j: place(j, own, 1)),
+            F.transform(main, lambda k: place(own, -1 - k, 0)),
+        )
+    )
+    laid = laid.join(bits.select("sid", "bits"), "sid").select("token", "sid", "n", "comp", "bits", F.inline(every))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
@@ -350,26 +355,26 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = pa.concat_tables([left, now]).combine_chunks() if left is not None else now
                 if not left.num_rows:
                     continue
-                token, block = (left.column(c).to_numpy() for c in ("token", "block"))
-                edge = np.flatnonzero((token != token[-1]) | (block != block[-1]))
+                token, a, b = (left.column(c).to_numpy() for c in ("token", "a", "b"))
+                edge = np.flatnonzero((token != token[-1]) | (a != a[-1]) | (b != b[-1]))
                 cut = int(edge[-1]) + 1 if len(edge) else 0  # the last group may go on
                 now, left = left.slice(0, cut), left.slice(cut)
             else:
                 now, left = left, None
             if now is None or not now.num_rows:
                 continue
-            token, block, sid, n, comp, first = (now.column(c).to_numpy() for c in ("token", "block", "sid", "n", "comp", "first"))
-            group = np.cumsum(np.append(0, (np.diff(token) != 0) | (np.diff(block) != 0)))
+            token, a, b, side, sid, n, comp = (now.column(c).to_numpy() for c in ("token", "a", "b", "side", "sid", "n", "comp"))
+            task = np.cumsum(np.append(0, (np.diff(token) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)))
             bits = np.concatenate([folded(np.frombuffer(x.as_buffer(), U)[None], BITS // 64) for x in now.column("bits")])
             kinds = np.unique(comp, return_inverse=True)[1].astype(np.int64)
-            got = _bucket_pairs(group, first.astype(bool), n.astype(np.int64), bits, kinds, block == 0, percent)
-            a, b = sid[got[:, 0]], sid[got[:, 1]]
-            found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            got = _group_pairs(task, a == b, side, n.astype(np.int64), bits, kinds, percent)
+            one, two = sid[got[:, 0]], sid[got[:, 1]]
+            found = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = laid.repartition(parts, "token", "block").sortWithinPartitions("token", "block", "sid")
-    more = stored(spark, dealt.select("token", "block", "sid", F.col("n").cast("long").alias("n"), "comp", "first", "bits").mapInArrow(meet, "a long, b long").unionAll(listed).distinct(), "pairs")
+    dealt = laid.repartition(parts, "token", "a", "b").sortWithinPartitions("token", "a", "b", "sid")
+    more = stored(spark, dealt.select("token", "a", "b", "side", "sid", F.col("n").cast("long").alias("n"), "comp", "bits").mapInArrow(meet, "a long, b long").unionAll(listed).distinct(), "pairs")
     links = linked(more)
     classes = _classes(classes, links)
     dropped(placed, more, links, bits)
