@@ -12,7 +12,9 @@ block are merged.
 Defined cases: null vectors, and vectors with null or non-finite components, take no part;
 missing components of shorter vectors count as zero; rows that repeat an id are each a
 candidate, but a row never answers a query of its own id. Ties go to the smaller id. A null id
-takes no part. Nothing is approximate.
+takes no part. Nothing is approximate: scores that doubles can't hold are summed as whole numbers, and
+those beyond 64 bits rank by their value and are shown as the nearest number of 64 bits. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -39,13 +41,13 @@ def block_top_k(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
     """Row of the query, id and score of each query's best k candidates of another id in this block."""
     n, d = vectors.shape
     exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(d, 1) < 2.0**53
-    kind = np.float64 if exact else object
+    kind = (lambda x: x.astype(np.float64)) if exact else np.frompyfunc(int, 1, 1)
     order = np.argsort(vectors, axis=0, kind="stable")  # ascending lists; read backwards they descend
-    values = np.take_along_axis(vectors, order, axis=0)
+    values = kind(np.take_along_axis(vectors, order, axis=0))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(queries), STEP):
         q = queries[start : start + STEP]
-        out.append(_aggregate(ids, order, values.astype(kind), query_ids[start : start + STEP], q.astype(kind), k, start))
+        out.append(_aggregate(ids, order, values, query_ids[start : start + STEP], kind(q), k, start))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -95,7 +97,6 @@ def _resolve(ids, order, values, up, down, partial, alive, read, k, start):
 def _best(ids, scores, allowed, k, start):
     """The best k of each query by score, then id."""
     rows, found, won = [], [], []
-    n = len(ids)
     for i in range(scores.shape[1]):
         at = np.flatnonzero(allowed[:, i])
         if not len(at):
@@ -107,9 +108,8 @@ def _best(ids, scores, allowed, k, start):
         s = s.astype(np.int64) if scores.dtype != object else s
         first = sorted(zip((-x for x in s.tolist()), ids[at].tolist(), strict=True))[:k]
         rows += [start + i] * len(first)
-        won += [-a for a, _ in first]
+        won += [min(max(-a, -(2**63)), 2**63 - 1) for a, _ in first]
         found += [b for _, b in first]
-    del n
     return np.array(rows, np.int64), np.array(found, np.int64), np.array(won, np.int64)
 
 
@@ -141,7 +141,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec
     bounded_batches(spark)
     x = F.col("__raw")
     good = x.isNotNull() & F.col("__id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    scaled = F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
+    whole = lambda v: F.when(F.abs(v) < 2.0**53, F.floor(v).cast("double")).otherwise(v)  # noqa: E731  larger doubles are whole
+    scaled = F.transform(x, lambda v: whole(v.cast("double") * SCALE))
     prepare = lambda df: df.select(F.col(id_col).cast("long").alias("__id"), F.col(vector_col).alias("__raw")).filter(good).select("__id", scaled.alias("__v"))
     left, right = prepare(candidates), prepare(queries)
     blocks = max(LEAST_BLOCKS, -(-candidates.count() // CANDIDATES))
