@@ -47,6 +47,15 @@ def test_top_k_is_exact(seed):
         assert [(-int(w), int(f)) for w, f in zip(won[rows == q], found[rows == q])] == best
 
 
+def test_top_k_of_huge_numbers():
+    v = np.array([[2.0**60, 1], [2.0**60, 2], [-(2.0**61), 5], [3, 3], [2.0**27, 0], [1, 0], [2, 0]])
+    ids = np.arange(len(v))
+    rows, found, won = topk.block_top_k(ids, v, ids[3:5], v[3:5])
+    for q in (3, 4):
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(v[q], v[i])), i) for i in range(len(v)) if i != q)[:5]
+        assert [(-min(max(-s, -(2**63)), 2**63 - 1), i) for s, i in scores] == [(-int(w), int(f)) for w, f in zip(won[rows == q - 3], found[rows == q - 3])]
+
+
 def test_top_k_of_clusters_stops_early():
     r = np.random.default_rng(5)
     v = np.floor(256 * np.repeat(np.eye(8), 100, axis=0) + r.normal(0, 4, (800, 8)))
@@ -272,16 +281,16 @@ def test_mixing_model_learns_and_sums_to_one():
     codes.tables = mixing_lm.tables_of(sums)
     mixing_lm.tune(codes, pa.array(texts[40:50]))
     _, s = mixing_lm.tokens_of(pa.array(texts[50:]), codes)
-    own = mixing_lm._walk(codes, s, 10, False)
+    own = mixing_lm._walk(codes, s, 10, False).sum(axis=1)
     assert own.mean() > -60 * np.log2(20) * 0.95  # language of a document is seen
     t, s = mixing_lm.tokens_of(pa.array([None, "", "w1", "unseen word"]), codes)
     assert np.diff(t.splits).tolist() == [1, 1, 2, 3]
-    scores = mixing_lm._walk(codes, s, 4, False)
+    scores = mixing_lm._walk(codes, s, 4, False).sum(axis=1)
     assert scores[0] == scores[1] and (scores < 0).all()
     # the probabilities of all words and spelled words after nothing do not exceed one
     texts = [f"w{k}" for k in range(50)]
     _, s = mixing_lm.tokens_of(pa.array(texts), codes)
-    assert (2.0 ** mixing_lm._walk(codes, s, 50, False)).sum() < 1
+    assert (2.0 ** mixing_lm._walk(codes, s, 50, False).sum(axis=1)).sum() < 1
 
 
 def test_signature_trees_lose_no_pair():

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from morphlake.llm import common, graph, html, mixing_lm, ngramjoin, spm, substring, topk, toxicity, warc
 from pyspark.sql import functions as F
+from test_native import brute_lines, brute_overlaps
 
 DOCS = "doc_id bigint, text string"
 
@@ -123,6 +124,14 @@ def test_passages(spark):
     assert substring.passages(docs.filter("doc_id = 1").unionAll(docs.filter("doc_id = 1"))).count() == 0
 
 
+def test_passages_of_repeated_ids_and_long_texts(spark):
+    p = words(70, 1)
+    rows = [(1, " ".join(p + words(30, 2))), (1, " ".join(words(90, 3))), (2, " ".join(words(10, 4) + p)), (2, " ".join(words(10, 4) + p)), (3, " ".join(words(60_000, 5))), (4, " ".join(words(59_000, 5)) + " end")]
+    runs = [sorted(map(tuple, substring.passages(spark.createDataFrame(rows, DOCS).repartition(n)).collect())) for n in (1, 7)]
+    assert runs[0] == runs[1] and not {r for r in runs[0] if r[0] == r[1]}
+    assert (4, 3, 0, 59_000, 0, 59_000, 59_000) in runs[0]
+
+
 def test_two_passages_of_one_pair(spark):
     p, q = words(60, 11), words(60, 12)
     rows = [(1, " ".join(p + words(100, 13) + q)), (2, " ".join(words(40, 14) + p + words(100, 15) + q + words(40, 16)))]
@@ -161,6 +170,25 @@ def test_sentencepiece_table(spark):
     assert spm.encode_documents(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "other text"), (None, "x"), (2, None), (3, "long " * 50_000)], DOCS)
+    html_ = spark.createDataFrame([(1, "<nav><ul><li>Home</li></ul></nav><article><h1>Title here</h1><p>" + "Some words of text. " * 20_000 + "</p></article>")] * 2 + [(1, "<nav>x</nav>")], "page_id bigint, html string")
+    got = html.extract(html_).collect()
+    assert len(got) == 3 and len({r["__text"] for r in got}) == 2
+    assert len(spm.encode_documents(docs).collect()) == 6
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (9, 1), (None, 1), (2, None)], "doc_id bigint, toxic int")
+    net = toxicity.fit(docs, labels)
+    scored = toxicity.score_documents(docs.withColumn("__score", F.lit("clash")), net).collect()
+    assert len(scored) == 6 and scored[0]["__score"] == scored[1]["__score"] and all(0 <= r["__score"] <= 1 for r in scored)
+    assert toxicity.score_documents(docs.limit(0), net).count() == 0 and toxicity.fit(docs.limit(0), labels) is None
+    codes, counts = mixing_lm.fit(docs, "doc_id", "text")
+    rows = mixing_lm.score(docs, codes, counts).collect()
+    twice = [r for r in rows if r["__n_tokens"] == 4]
+    assert len(rows) == 6 and len(twice) == 2 and twice[0] == twice[1] and max(r["__n_tokens"] for r in rows) == 50_001
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5])], "vec_id bigint, embedding array<float>")
+    assert {(r.query_id, r.vec_id) for r in topk.top_k(v, v.filter("vec_id = 0")).collect()} == {(0, 1)}
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train = labels.filter(~common.in_bucket("doc_id", 4, 2))
@@ -189,11 +217,90 @@ def test_language_model_counts_are_exact(spark):
         x = got[r.doc_id]
         assert (x["__n_tokens"], x["__n_known"]) == (len(own), sum(w in c for w in own))
         assert x["__base"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
-        assert x["__score"] < 0
+        assert x["__spelled"] < 0 and x["__score"] < 0
     empty, none = mixing_lm.fit(docs.limit(0), "doc_id", "text")
     assert mixing_lm.score(docs, empty, none).count() == 63
 
 
+def slow_bits(codes, text):
+    """Bits of one text's words, and of its spelled bytes, symbol by symbol and bit by bit, with nothing but the model's parameters."""
+    f = np.float32
+    squash = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+    hashes = {}
+
+    def hashed(word):
+        if word not in hashes:
+            hashes[word] = int(common.word_hashes(pa.array([word]), lower=False)[0][0])
+        return hashes[word]
+
+    def mixed(x):
+        return int(common.mix(np.array([x % (1 << 64)], np.uint64))[0]) >> 32
+
+    tokens = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    tokens = [bytes(b + 32 if 65 <= b <= 90 else b for b in t) for t in tokens]
+    symbols, last, previous = [], 0, 0
+    where = {int(h): k for k, h in enumerate(codes.words)}
+    for place, token in enumerate([*tokens, None]):
+        h = int(mixing_lm.END) if token is None else hashed(token.decode())
+        k = where.get(h, len(codes.words))
+        symbols.append((int(codes.code[k]), int(codes.bits[k]), [0, last + (1 << 50), previous | 1], place // mixing_lm.BLOCK, 0))
+        if k == len(codes.words) and token is not None:
+            back = b""
+            for b in [*token, 32]:
+                at = lambda i: back[-i] if i <= len(back) else 0  # noqa: B023, E731
+                near = at(2) << 8 | at(1)
+                symbols.append((int(codes.byte_code[b]), int(codes.byte_bits[b]), [(1 << 60) + near, (1 << 60) + (at(3) << 16 | near | 1 << 50), (1 << 60) + (at(5) << 32 | at(4) << 24 | at(3) << 16 | near | 1 << 51)], place // mixing_lm.BLOCK, 1))
+                back += bytes([b])
+        if codes.frequent[k]:
+            last = int(codes.frequent[k])
+        previous = h
+    own, total = [0.0] * 4, [0.0, 0.0]
+    for block in sorted({s[3] for s in symbols}):
+        errors, size = [0.0] * 4, 0
+        for code, bits, contexts, own_block, letter in symbols:
+            if own_block != block:
+                continue
+            contexts = [mixed(c) for c in contexts]
+            for i in range(bits):
+                node, bit = (code | 1 << bits) >> (bits - i), code >> (bits - i - 1) & 1
+                x, gate = [], 0
+                for c in range(3):
+                    slot = (((node * int(mixing_lm._SEEDS[c])) % (1 << 32) ^ contexts[c]) * 0x27D4EB2F % (1 << 32)) >> (32 - mixing_lm.SLOTS[c])
+                    found = int(codes.tables[c][slot])
+                    x.append(found / 2048)
+                    gate = gate * 4 + (found & 3)
+                x.append(0.3)
+                dot = sum((float(codes.weights[gate][j]) + own[j]) * x[j] for j in range(4))
+                z = max(-7.99, min(7.99, dot)) * 2 + 16
+                cell = int(z)
+                at = cell + ((node > 255) + (node > 1 << 14)) * mixing_lm.APM
+                low, high = float(codes.apm[at]), float(codes.apm[at + 1])
+                p = max(1e-5, min(1 - 1e-5, 0.5 * (squash(dot) + low + (high - low) * (z - cell))))
+                total[letter] += math.log2(p if bit else 1 - p)
+                for j in range(4):
+                    errors[j] += (bit - squash(dot)) * x[j]
+                size += 1
+        rate = float(f(mixing_lm.DOC_RATE / 8 / math.sqrt(16 + size)))
+        own = [w * 0.98 + rate * e for w, e in zip(own, errors, strict=True)]
+    return total
+
+
+def test_language_model_equals_a_slow_version(spark):
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice(words(40, 3)) for _ in range(n))
+    docs = spark.createDataFrame([(i, some(r.randint(1, 150))) for i in range(60)] + [(100, None), (101, ""), (102, "Never SEEN wörds, " + some(120)), (103, "a" * 300)], DOCS)
+    codes, counts = mixing_lm.fit(docs.filter("doc_id < 60"), "doc_id", "text")
+    seen, known = {r["__h"] % (1 << 64): r["__c"] for r in counts.collect()}, {int(w) for w in codes.words}
+    for x in docs.filter("doc_id > 55").collect():
+        got = mixing_lm.score(docs.filter(F.col("doc_id") == x.doc_id), codes, counts).first()
+        own, spelled = slow_bits(codes, x.text)
+        assert got["__spelled"] == pytest.approx((own + spelled) * math.log10(2), rel=1e-3), x.doc_id
+        tokens = [*(int(h) for h in common.word_hashes(pa.array([x.text or ""]))[0]), int(mixing_lm.END)]
+        rare = [seen.get(t, 0) for t in tokens if t not in known]
+        among = codes.n - int(codes.counts.sum()) + 0.5 * (codes.v - len(codes.words) + 1)
+        assert got["__score"] == pytest.approx(own * math.log10(2) + sum(math.log10((c + 0.5) / among) for c in rare), rel=1e-3), x.doc_id
+
+
 def test_language_model_tables_hold_all_training_documents(spark):
     rows = [(i, f"the cat {i % 3} sat on the mat {i}") for i in range(40)]
     codes, _ = mixing_lm.fit(spark.createDataFrame(rows, DOCS), "doc_id", "text")
@@ -212,6 +319,72 @@ def test_language_model_tunes_on_whole_texts(spark):
     assert tuned == sorted(tuned) and tuned[-1] == 100 * tuned[-2] and tuned[0] == 10
 
 
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def corpus(spark, folder, rows, items, labels):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return docs
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Stage by stage in plain Python; only the network's parameters come from the operator."""
+    pipeline, library = pytest.importorskip("corpus_pipeline"), pytest.importorskip("sentencepiece")
+    r = random.Random(11)
+    plain, rude = words(60, 1), [f"vile{k}" for k in range(6)]
+    rows = []
+    for i in range(1, 241):
+        own = [r.choice(plain) for _ in range(r.randint(20, 60))]
+        if i % 5 == 0:
+            for _ in range(6):
+                own.insert(r.randrange(len(own)), r.choice(rude))
+        lines = [" ".join(own[k : k + 8]) for k in range(0, len(own), 8)]
+        if i % 7 == 0:
+            lines = ["share this page", "with your friends", "and subscribe"] + lines
+        rows.append((i, "\n".join(lines)))
+    copy = rows[10][1]
+    rows += [(300, copy), (301, copy + " end"), (302, copy), (303, "x"), (304, None), (305, ""), (306, " \n\n \n"), (307, "\n".join(f"row {k % 5}" for k in range(2000)))]
+    items = [(1, " ".join(words(20, 77))), (2, " ".join(rows[20][1].split()[3:18])), (3, None)]
+    rows.append((400, " ".join(words(30, 5) + words(20, 77))))
+    labels = [(i, 1, int(i % 5 == 0)) for i, _ in rows if i <= 240 and i % 3]
+    docs = corpus(spark, tmp_path, rows, items, labels)
+    got = {x.doc_id: x for x in pipeline.run(spark, str(tmp_path)).collect()}
+
+    net = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet").filter(~common.in_bucket("doc_id", 4, 2)))
+    kept = [(i, t) for i, t in rows if net.score(toxicity.words_of(pa.array([t], pa.string())))[0] < toxicity.THRESHOLD]
+    assert 20 < len(rows) - len(kept) < 80
+    cut = brute_lines(kept)
+    kept = [(i, cut.get(i, t)) for i, t in kept if not t or cut[i]]  # a text goes if all its lines go
+    classes = brute_classes(kept, 5, 80)
+    kept = [(i, t) for i, t in kept if classes[i][1] == i]
+    bad = {d for d, _ in brute_overlaps(kept, items)}
+    kept = [(i, t) for i, t in kept if i not in bad]
+    assert {21, 400} <= bad
+    other = library.SentencePieceProcessor(model_file=spm.MODEL)
+    assert {i: list(x.ids) for i, x in got.items()} == {i: other.encode(t or "") for i, t in kept}
+    assert all(x.n_tokens == len(x.ids) and x.lang == "en" and x.source == "s" for x in got.values())
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name in ("empty", "one"):
+        docs = corpus(spark, tmp_path / name, [(1, "some words here and there")] * 3 if name == "one" else [], [], [])
+        assert [x.doc_id for x in pipeline.run(spark, str(tmp_path / name)).collect()] == ([1] if name == "one" else [])
+    named = docs
+    for c in ("__score", "__n_lines", "__N_REMOVED", "__kept", "__text", "__ids", "__found", "__key", "n", "words", "item_id"):
+        named = named.withColumn(c, F.lit(c))
+    null = named.withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("lang", F.lit(None).cast("string"))
+    kept = named.unionAll(null).unionAll(named.withColumn("text", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("bigint")))
+    for name, stage in pipeline.STAGES:
+        before = kept.columns
+        kept = common.stored(spark, stage(spark, kept, str(tmp_path / "one")), name)
+        assert name == "sentencepiece" or (kept.columns == before and {x["__score"] for x in kept.collect()} == {"__score"}), name
+    assert {(x.doc_id, x.n_tokens > 0) for x in kept.collect()} == {(1, True), (1, False)}
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     p = words(40, 1)
