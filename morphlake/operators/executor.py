@@ -141,8 +141,10 @@ class Executor:
             c.add_entries(self.store.write(rows.sort("key"), "entries"), rows)
 
     def batch_within(self, limit: int, seconds: float) -> Outcome:
-        """A batch whose jobs are cancelled after so many seconds. The record then tells whether it
-        was kept: if the cursor has moved, this is what it says; else DeadlineExpired."""
+        """A batch whose jobs are cancelled after so many seconds (0: never). The record then tells whether
+        it was kept: if the cursor has moved, this is what it says; else DeadlineExpired."""
+        if not seconds:
+            return self.batch(limit)
         before = self._state(self.store.control())
         try:
             return _within(self.store.spark, seconds, lambda: self.batch(limit))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +18,7 @@ from morphlake.plans import versions
 from morphlake.plans.compile import compile_step
 from morphlake.plans.model import Plan, shape
 from morphlake.sources.aliases import promoted
+from morphlake.sources.files import scratch
 from morphlake.sources.project import drift_table
 from morphlake.sources.store import Store
 from morphlake.streaming.follow import running_totals
@@ -513,15 +512,9 @@ def contract_addresses(spark, d):
 # ---------------------------------------------------------------- whole runs over a store
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder for a store, in the folder that the cluster shares if it names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="morphlake-store")
-
-
 def _doc_store(spark, d) -> tuple[Store, Executor]:
     """Documents put under version 1, with an executor that fills toxic."""
-    store = Store(spark, _scratch(spark))
+    store = Store(spark, scratch(spark))
     store.initialize(1)
     store.put(_docs(spark, d).select(F.col("doc_id").cast("string").alias("key"), "source", "n_chars", "toxic"))
     return store, Executor(store, _FILL)
@@ -589,7 +582,7 @@ def _events(spark, d) -> DataFrame:
 @query(f"SELECT version, pos, key FROM (SELECT 1 AS version, pos, key FROM ({_EVENT_LOG}) UNION ALL SELECT 2, pos, key FROM ({_EVENT_LOG}) WHERE pos < 300)")
 def carry_forward_log(spark, d):
     """Keys registered, and two batches: the new version's log holds what was visited, in order."""
-    store = Store(spark, _scratch(spark))
+    store = Store(spark, scratch(spark))
     store.initialize(1)
     store.put(_events(spark, d).select("key"))
     run = Executor(store, _EVENT)
@@ -603,7 +596,7 @@ def carry_forward_log(spark, d):
 def growth_absorbed(spark, d):
     """Keys registered under the old version while its migration runs are visited before it is done."""
     late = F.dayofmonth("ts") > 10
-    store = Store(spark, _scratch(spark))
+    store = Store(spark, scratch(spark))
     store.initialize(1)
     store.put(_events(spark, d).filter(~late).select("key"))
     run = Executor(store, _EVENT, strict=False)

@@ -1,6 +1,6 @@
 """Small text files in a file system that all machines share, and records kept as numbered files.
 
-A path without a scheme, or with file:, is local. Any other goes through Spark's file systems, so
+A path with file: is local, as is one without a scheme where Spark's default is. Any other goes through Spark's file systems, so
 a store may lie wherever the cluster can read. A record is a series of numbered files of which the
 newest counts; a new one is made only if no other has its number, so of two writers that started
 from one number, one is told that it lost.
@@ -9,7 +9,9 @@ from one number, one is told that it lost.
 from __future__ import annotations
 
 import os
+import re
 import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -19,12 +21,25 @@ from pyspark.sql import SparkSession
 KEPT = 100
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all machines see: below spark.checkpoint.dir, or a temporary one where all
+    runs in one process. On a cluster that names none, an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: a folder that all machines share is needed")
+    return tempfile.mkdtemp(prefix="morphlake-store")
+
+
 class Folder:
     def __init__(self, root: str | Path, spark: SparkSession | None = None):
         text = str(root)
         self.root = (text.removeprefix("file://") if text.startswith("file://") else text.removeprefix("file:")).rstrip("/") or "/"
         self.local = "://" not in self.root
         self.spark = spark
+        if self.local and spark is not None and not text.startswith("file:"):  # as Spark's own readers and writers take it
+            self.local = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
         if not self.local and spark is None:
             raise ValueError(f"{root}: a session is needed for this file system")
 
