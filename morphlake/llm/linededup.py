@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from morphlake.llm.common import fresh, stored
 
 WINDOW = 3
-#: What is blank in a line.
-WHITE = " \t\n\r\x0b\x0c"
+#: A character that is not blank.
+FILLED = r"[^ \t\n\r\x0B\f]"
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         i.alias("__pos"),
         F.xxhash64(*[at(i, k) for k in range(WINDOW)]).alias("__h"),
         F.hash(*[at(i, k) for k in reversed(range(WINDOW))]).alias("__g"),
-        (F.length(F.trim(F.concat(*[at(i, k) for k in range(WINDOW)]), F.lit(WHITE))) > 0).alias("__full"),
+        F.concat(*[at(i, k) for k in range(WINDOW)]).rlike(FILLED).alias("__full"),
     )
     return (
         docs.select(F.col(id_col).alias("__id"), F.xxhash64(id_col, text_col).alias("__key"), lines.alias("__lines"))
