@@ -28,7 +28,7 @@ from itertools import chain as chain_of
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.llm import common
@@ -39,6 +39,10 @@ K, W = 6, 12
 GAP, LEAST, ALIKE = 0.05, 48, 0.8
 #: Seeds of a chain that is worth aligning; words beyond a chain's ends that are looked at.
 SEEDS, MARGIN = 2, 48
+#: Words on either side within which a seed has another of its chain: a cost of GAP a word leaves no more of a seed's K.
+REACH = int(K / GAP) + K
+#: Words on either side of a place that tell whether an alignment without gaps can be a passage.
+AROUND = 64
 #: Words of a long seed, and the window of which it is the least. One of them is worth SEEDS.
 LONG, DENSE = LEAST, 3
 #: What a word is compared by.
@@ -331,6 +335,76 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     held_matches = matches
     matches = matches.filter("id <> other").withColumn("n", F.lit(K)).unionByName(more)
 
+    found = stored(spark, _passages_of(matches.withColumn("new", F.lit(True)), words), "found")
+    dropped(long, first)
+    rest = stored(spark, _passages_of(_left_open(held_matches, found, words), words), "rest")
+    dropped(held_matches)
+    return found.unionByName(rest)
+
+
+def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+    """Matches with every earlier document, of the places that no passage found so far holds. An anchor stands
+    for its seed. Two documents are matched there if they have another seed in common within REACH words, as a
+    chain has SEEDS of them; new are those that are not the anchor's. Where all of these lie in one stretch, on
+    one diagonal, the alignment has no gaps, and as many words must be equal along it as a passage has at least."""
+    spark = matches.sparkSession
+    seed = F.hash("other", "at")  # equal ones of unlike seeds only add matches, which are chained like any
+    around = Window.partitionBy("id").orderBy("pos")
+    close = around.rangeBetween(1 - K - W, K + W - 1)
+    far = F.array_union(F.collect_set(seed).over(around.rangeBetween(-REACH, -K - W)), F.collect_set(seed).over(around.rangeBetween(K + W, REACH)))
+    near = matches.select("*", far.alias("far"), F.array_remove(F.collect_set(seed).over(close), seed).alias("kinds"), F.collect_set(F.struct(seed.alias("s"), F.col("pos").alias("p"))).over(close).alias("at_"))
+    placed = F.transform(F.filter("at_", lambda x: x["p"] != F.col("pos")), lambda x: F.hash(x["s"], x["p"] - F.col("pos")))
+    near = near.withColumn("placed", placed).drop("at_").filter("size(far) + size(kinds) > 0")
+    spans = found.groupBy(F.col("doc_id").alias("w")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    held = F.exists("spans", lambda s: (s["start_word"] <= F.col("pos")) & (F.col("pos") + K <= s["end_word"]))
+    near = near.join(spans, F.col("id") == F.col("w"), "left").withColumn("open", (F.col("id") != F.col("other")) & ~F.coalesce(held, F.lit(False))).drop("w", "spans")
+    near = stored(spark, near, "near")
+    wanted = near.join(near.filter("open").select("other", "at").distinct(), ["other", "at"], "left_semi")
+    start = F.greatest(F.lit(0), F.col("pos") - AROUND)
+    seen = wanted.join(words, F.col("id") == F.col("w")).withColumn("cut", F.substring(F.col("words"), 4 * start + 1, 4 * (F.col("pos") + AROUND - start)))
+    seen = seen.withColumn("rest", (F.length("words") / 4).cast("int") - F.col("pos")).drop("w", "words")
+    schema = ", ".join(f"{c} {kind}" for c, kind in seen.drop("cut").dtypes)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Four bits of each word around a place, in numbers of 16 words."""
+        for batch in batches:
+            m = np.zeros((batch.num_rows, 2 * AROUND), np.uint8)
+            for row, pos, raw in zip(m, batch.column("pos").to_pylist(), batch.column("cut").to_pylist(), strict=True):
+                v = np.frombuffer(raw, WORD)
+                begin = AROUND - min(pos, AROUND)
+                row[begin : begin + len(v)] = v & WORD(15)
+            packed = (m.reshape(len(m), -1, 16).astype(U) << np.arange(0, 64, 4, dtype=U)).sum(axis=2, dtype=U)
+            batch = batch.drop_columns(["cut"])
+            more = [pa.array(packed[:, k].copy().view(np.int64)) for k in range(packed.shape[1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f"c{k}" for k in range(len(more)))])
+
+    numbers = [f"c{k}" for k in range(2 * AROUND // 16)]
+    # Stored, so that the join deals both sides anew and a hot seed's rows can be split.
+    seen = stored(spark, seen.mapInArrow(look, schema + "".join(f", {c} long" for c in numbers)), "seen")
+    earlier = seen.groupBy("other", "at", "id").agg(F.min(F.struct("pos", "far", "kinds", "placed", "rest", *numbers)).alias("e"))
+    earlier = stored(spark, earlier.select("other", "at", F.col("id").alias("e_id"), "e"), "earlier")
+    dropped(near)
+
+    # Equal words along the diagonal, at most: those with equal bits, but for places beyond both texts.
+    equal = -F.greatest(F.lit(0), AROUND - F.greatest("pos", "e.pos")) - F.greatest(F.lit(0), AROUND - F.greatest("rest", "e.rest"))
+    for c in numbers:
+        x = F.col(c).bitwiseXOR(F.col(f"e.{c}"))
+        for k in (1, 2):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        equal = equal + 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    in_both = lambda c: F.size(F.array_intersect(c, f"e.{c}"))
+    several = F.size("kinds") + F.size("e.kinds") > 2  # of one kind each, no second one can be apart
+    same = F.arrays_overlap("placed", "e.placed")
+    apart = F.arrays_overlap("far", "e.far") | (F.arrays_overlap("kinds", "e.kinds") & (~same | several & (in_both("kinds") > in_both("placed"))))
+    along = same & (equal >= int(np.ceil(ALIKE * LEAST)))
+    both = seen.filter("open").join(earlier, ["other", "at"]).filter((F.col("e_id") < F.col("id")) & (along | apart))
+    return both.select("id", "pos", F.col("e_id").alias("other"), F.col("e.pos").alias("at"), F.lit(K).alias("n"), (F.col("e_id") != F.col("other")).alias("new"))
+
+
+def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
+    """Passages (RESULT) by matches of n words, of pairs of documents with a new one. words has those of the documents."""
+    spark = matches.sparkSession
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
         for batch in chain_of(batches, (None,)):
@@ -348,10 +422,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             if now is None or not now.num_rows:
                 continue
             a, b, x, y, n = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "other", "pos", "at", "n"))
+            new = now.column("new").to_numpy()
             edges = np.append(np.flatnonzero(np.diff(a, prepend=a[0] - 1) | np.diff(b, prepend=b[0] - 1)), len(a))
             rows = []
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if j - i < SEEDS and n[i] == K:
+                if j - i < SEEDS and n[i] == K or not new[i:j].any():
                     continue
                 for segments, total in chains(x[i:j], y[i:j], n[i:j]):
                     if total >= SEEDS:
@@ -363,7 +438,6 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = matches.repartition(parts, "id", "other").sortWithinPartitions("id", "other", "pos", "at")
     made = stored(spark, dealt.mapInArrow(chain, "id long, other long, chain array<int>"), "chains")
-    dropped(held_matches, long, first)
 
     end = lambda k: F.element_at("chain", -3 + k) + F.element_at("chain", -1)
     cut = lambda start, stop: F.substring(F.col("words"), 4 * start + 1, 4 * (stop - start))

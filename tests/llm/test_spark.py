@@ -161,6 +161,25 @@ def test_passages_whose_pieces_stand_first_elsewhere(spark):
     assert checked > 100
 
 
+def test_altered_passages_whose_pieces_stand_first_elsewhere(spark):
+    p = words(60, 21)
+    altered = [x if k not in (17, 29, 46) else f"other{k}" for k, x in enumerate(p)]
+    rows = [(10, words(50, 22) + p[:30]), (11, p[30:] + words(50, 23)), (12, words(20, 24) + p), (13, altered + words(20, 25))]
+    r = random.Random(6)
+    phrases = [words(r.randint(20, 30), 40 + k) for k in range(12)]
+    rows += [(100 + k, words(30, 60 + k) + x) for k, x in enumerate(phrases)]
+    joined = [sum(r.sample(phrases, 3), []) for _ in range(8)]
+    rows += [(200 + k, x + words(30, 80 + k)) for k, x in enumerate(joined)]
+    rows += [(300 + k, words(30, 100 + k) + [w if i % 21 != 20 else f"new{k}" for i, w in enumerate(x)]) for k, x in enumerate(joined)]
+    got = defaultdict(list)
+    for x in substring.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)).collect():
+        got[x.doc_id].append(x)
+    assert [(x.other_id, x.start_word, x.end_word, x.other_start) for x in got[13]] == [(12, 0, 60, 20)]
+    for k, x in enumerate(joined):
+        whole = [y for y in got[300 + k] if y.other_id == 200 + k]
+        assert whole and max(y.end_word - y.start_word for y in whole) >= len(x) - 6, k
+
+
 def test_sentencepiece_table(spark):
     docs = clash(spark.createDataFrame([(1, "hello  world\n"), (2, None), (3, ""), (4, "z" * 5000)], DOCS))
     got = spm.encode_documents(docs, back="__back")
