@@ -18,10 +18,10 @@ Defined cases: null and empty texts are one end token. Null ids count as the emp
 held-out rule. Rows that repeat an id are each scored. Without training documents, N and V are
 0 and the model is untrained. Extra columns are ignored.
 
-Sizes that don't follow the input: the vocabulary and the tables. The documents that the mixing
-weights are tuned on are a share of the training documents and taken whole. They are dealt to
-folds, and each is tuned on with tables that lack its own fold, so that the weights are tuned on
-unseen text. Word and byte counts, N, V and the counts of the tables that score are gathered from
+Sizes that don't follow the input: the vocabulary and the tables. The mixing weights are tuned on
+all training documents, each taken whole. They are dealt to folds, and each is tuned on with tables
+that lack its own fold, so that the weights are tuned on unseen text. Few documents are gone over
+PASSES times; more are dealt to as many parts, one for each pass. Word and byte counts, N, V and the counts of the tables that score are gathered from
 all training documents.
 """
 
@@ -48,8 +48,10 @@ SPELLED = 8
 SLOTS = (20, 20, 20)
 #: The words whose last occurrence is a context, by rank.
 FREQUENT = 64
-#: The mixing weights are tuned on this many training documents, and on one in TUNING_SHARE of more; passes over them.
-TUNING, TUNING_SHARE, PASSES = 400, 32, 3
+#: Training documents of a shard, on which weights are tuned in order; passes, after each of which the shards' are averaged.
+TUNING, PASSES = 400, 3
+#: Rows of averages that reach the driver after a pass, at most.
+AVERAGES = 64
 #: Folds of these documents.
 FOLDS = 5
 #: Tokens of a document between two updates of its own weights, and the rates.
@@ -420,10 +422,11 @@ def tune(codes: Codes, texts: pa.Array) -> None:
         _learn(codes, texts)
 
 
-def tuning_plan(n: int) -> tuple[int, int]:
-    """Of n training documents, one in how many is tuned on, and in how many shards."""
-    share = min(max(1, n // TUNING), TUNING_SHARE)
-    return share, max(1, n // share // TUNING)
+def tuning_plan(n: int) -> tuple[int, int, int]:
+    """Of n training documents, one in how many is tuned on (all are), in how many parts, each for a pass of
+    its own (one part: every pass goes over all), and in how many shards a part is."""
+    parts = PASSES if n >= PASSES * TUNING else 1
+    return 1, parts, max(1, n // parts // TUNING)
 
 
 def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]:
@@ -456,65 +459,53 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
     n, v = counts.agg(F.coalesce(F.sum("__c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.filter(F.col("__c") >= LEAST).orderBy(F.desc("__c"), "__h").limit(VOCABULARY).toPandas()
 
-    share, shards = tuning_plan(texts.filter("__id is not null").count())
-    key = F.xxhash64("__id")
-    aside = F.col("__id").isNotNull() & (F.pmod(key, F.lit(share)) == 0)
-    texts = texts.withColumn("__fold", F.when(aside, F.pmod(F.shiftrightunsigned(key, 20), F.lit(FOLDS))).otherwise(-1).cast("int"))
+    _, parts_, shards = tuning_plan(texts.count())
+    key = F.xxhash64("__id", F.when(F.col("__id").isNull(), F.col("__text")))  # so that null ids aren't one shard
+    texts = texts.withColumn("__fold", F.pmod(F.shiftrightunsigned(key, 20), F.lit(FOLDS)).cast("int"))
     codes = make_codes(top["__h"].to_numpy().view(U), top["__c"].to_numpy(), int(n), int(v), letters)
     bare = spark.sparkContext.broadcast(codes)  # bounded by VOCABULARY
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(2 << k, np.int32) for k in SLOTS]
+        counts_ = [[np.zeros(2 << k, np.int32) for k in SLOTS] for _ in range(FOLDS)]
         held: dict[int, list] = {}  # texts of the folds, until there are some
-        scratch = [np.zeros(2 << k, np.int32) for k in SLOTS]
-        few: dict[tuple[int, int], list] = {}  # of the folds, which are small: places and counts by fold and table
 
         def settle(fold: int) -> None:
             texts = pa.RecordBatch.from_arrays([pa.concat_arrays(held.pop(fold))], names=["__text"])
             for piece in slices(texts, "__text", GATHER):
-                count_into(scratch, piece.column("__text"), bare.value)
-                for c, total in enumerate(scratch):
-                    at = np.flatnonzero(total)
-                    few.setdefault((fold, c), []).append((at, total[at]))
-                    total[at] = 0
+                count_into(counts_[fold], piece.column("__text"), bare.value)
 
         for batch in batches:
             folds = batch.column("__fold").to_numpy()
-            for piece in slices(batch.filter(pa.array(folds < 0)), "__text", GATHER):
-                count_into(rest, piece.column("__text"), bare.value)
-            for fold in np.unique(folds[folds >= 0]).tolist():
+            for fold in np.unique(folds).tolist():
                 own = held.setdefault(fold, [])
                 own.append(batch.column("__text").filter(pa.array(folds == fold)))
                 if sum(x.nbytes for x in own) > GATHER:
                     settle(fold)
         for fold in sorted(held):
             settle(fold)
-        for fold, c in [(-1, c) for c in range(len(SLOTS))] + sorted(few):
-            total = rest[c] if fold < 0 else scratch[c]
-            for at, count in few.pop((fold, c), ()):
-                total[at] += count
-            for i, piece in enumerate(total.reshape(-1, 2 * PIECE)):
-                at = np.flatnonzero(piece)
-                if not len(at):
-                    continue
-                sparse = 2 * len(at) < len(piece)  # then their places go with them
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([c * 10_000 + i]), pa.array([fold], pa.int32()), pa.array([at.astype(np.uint16).tobytes() if sparse else None], pa.binary()), pa.array([(piece[at] if sparse else piece).tobytes()], pa.binary()),
-                ], names=["__piece", "__fold", "__at", "__counts"])
-            total[:] = 0
+        for fold in range(FOLDS):
+            for c, total in enumerate(counts_[fold]):
+                for i, piece in enumerate(total.reshape(-1, 2 * PIECE)):
+                    at = np.flatnonzero(piece)
+                    if not len(at):
+                        continue
+                    sparse = 2 * len(at) < len(piece)  # then their places go with them
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([c * 10_000 + i]), pa.array([fold], pa.int32()), pa.array([at.astype(np.uint16).tobytes() if sparse else None], pa.binary()), pa.array([(piece[at] if sparse else piece).tobytes()], pa.binary()),
+                    ], names=["__piece", "__fold", "__at", "__counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A piece of the tables of all documents, and of those without each fold, one after another."""
-        total = np.zeros((FOLDS + 1, 2 * PIECE), np.int64)
+        total = np.zeros((FOLDS, 2 * PIECE), np.int64)
         for batch in batches:
             for fold, at, x in zip(batch.column("__fold").to_pylist(), batch.column("__at"), batch.column("__counts"), strict=True):
                 counts_ = np.frombuffer(x.as_buffer(), np.int32)
                 if at.is_valid:
-                    total[fold + 1, np.frombuffer(at.as_buffer(), np.uint16)] += counts_
+                    total[fold, np.frombuffer(at.as_buffer(), np.uint16)] += counts_
                 else:
-                    total[fold + 1] += counts_
+                    total[fold] += counts_
         whole = total.sum(axis=0)
-        made = tables_of([whole, *(whole - own for own in total[1:])])
+        made = tables_of([whole, *(whole - own for own in total)])
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.concatenate(made).tobytes()], pa.binary())], names=["__piece", "__tables"])
 
     gathered = texts.select("__text", "__fold").mapInArrow(gather, "__piece long, __fold int, __at binary, __counts binary").groupBy("__piece").applyInArrow(add, "__piece long, __tables binary").collect()  # as many rows as the tables have pieces, at most
@@ -528,8 +519,16 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
     without = spark.sparkContext.broadcast(made[1:])  # of fixed size
 
     # A shard's documents are learned from in order, one fold after another; the shards' weights are averaged after each pass.
-    tuned = texts.filter("__fold >= 0").select("__id", "__fold", "__text", F.pmod(F.shiftrightunsigned(key, 32), F.lit(shards)).alias("__shard"))
-    for _ in range(PASSES):
+    part = F.pmod(F.shiftrightunsigned(key, 48), F.lit(parts_)).alias("__part")
+    tuned = texts.select("__id", "__fold", "__text", part, F.pmod(F.shiftrightunsigned(key, 32), F.lit(shards)).alias("__shard"))
+
+    def average(table: pa.Table) -> pa.Table:
+        """Of some shards' states, the sum and what it counts for."""
+        rows = sorted((n, x.as_buffer().to_pybytes()) for n, x in zip(table.column("__n").to_pylist(), table.column("__state"), strict=True))
+        total = sum(n * np.frombuffer(x, np.float32).astype(np.float64) for n, x in rows)
+        return pa.table({"__n": pa.array([sum(n for n, _ in rows)]), "__state": pa.array([total.tobytes()], pa.binary())})
+
+    for k in range(PASSES):
         state = (codes.weights, codes.apm)
 
         def learn(table: pa.Table) -> pa.Table:
@@ -541,12 +540,13 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
                 for batch in rows.to_batches():
                     for piece in slices(batch, "__text", TUNED):
                         _learn(mine, piece.column("__text"))
-            return pa.table({"__n": pa.array([table.num_rows]), "__state": pa.array([np.append(mine.weights, mine.apm).tobytes()], pa.binary())})
+            return pa.table({"__shard": table.column("__shard").slice(0, 1), "__n": pa.array([table.num_rows]), "__state": pa.array([np.append(mine.weights, mine.apm).tobytes()], pa.binary())})
 
-        found = tuned.groupBy("__shard").applyInArrow(learn, "__n long, __state binary").collect()
+        states = tuned.filter(F.col("__part") == k % parts_).groupBy("__shard").applyInArrow(learn, "__shard long, __n long, __state binary")
+        found = states.groupBy(F.pmod("__shard", F.lit(AVERAGES))).applyInArrow(average, "__n long, __state binary").collect()
         if found:
             found.sort(key=lambda r: (r["__n"], bytes(r["__state"])))
-            mean = np.average([np.frombuffer(r["__state"], np.float32) for r in found], axis=0, weights=[r["__n"] for r in found]).astype(np.float32)
+            mean = (sum(np.frombuffer(r["__state"], np.float64) for r in found) / sum(r["__n"] for r in found)).astype(np.float32)
             codes.weights, codes.apm = mean[: state[0].size].reshape(state[0].shape).copy(), mean[state[0].size :].copy()
     return codes, counts
 

@@ -338,6 +338,16 @@ def test_language_model_tunes_on_whole_texts(spark):
     assert tuned == sorted(tuned) and tuned[-1] == 100 * tuned[-2] and tuned[0] == 10
 
 
+def test_language_model_tunes_on_every_document(spark):
+    assert all(mixing_lm.tuning_plan(n)[0] == 1 for n in (1, 400, 1300, 10**4, 10**8))
+    for n in (1199, 1200, 10**4, 10**8):  # a shard keeps its size, a pass has a part of its own or all
+        _, parts, shards = mixing_lm.tuning_plan(n)
+        assert parts in (1, mixing_lm.PASSES) and mixing_lm.TUNING <= n / parts / shards < 2 * mixing_lm.TUNING
+    rows = [(None, f"the cat {i % 3} sat on the mat {i}") for i in range(1300)]
+    codes, _ = mixing_lm.fit(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    assert np.isfinite(codes.weights).all() and not np.array_equal(codes.weights[0], np.full_like(codes.weights[0], 0.35))
+
+
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
