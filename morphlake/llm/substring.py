@@ -9,7 +9,7 @@ with anchors of their own: every run of LONG + DENSE - 1 equal words that stands
 document is matched to one that holds LONG of them in a row. The matches of a document with another are joined
 to segments along diagonals and chained in order: a segment's best predecessor ends before it
 in both documents, and is found as a prefix maximum in a Fenwick tree over the other document's
-positions, with a cost for each word skipped in either. Chains are aligned on the words: gaps
+positions, with a cost for each word skipped in near. Chains are aligned on the words: gaps
 between segments by their longest common subsequence, whatever their lengths, ends by
 extension while matches outweigh mismatches. What is long and alike enough is a passage; a chain
 that is not alike enough as a whole is split, and its parts that are alike enough are passages.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphlake.llm import common
-from morphlake.llm.common import U, bounded_batches, dropped, mix, shingle_hashes, slices, stored, table, word_hashes
+from morphlake.llm.common import U, bounded_batches, dropped, mix, shingle_hashes, slices, stored_alone, table, word_hashes
 
 K, W = 6, 12
 #: Cost of a word skipped in either document, in matched words; words that a passage has at least; share that must match.
@@ -268,7 +268,7 @@ def _one_text(texts: DataFrame) -> DataFrame:
     """texts without all but one of the texts of an id."""
     hashed = texts.withColumn("__hash", F.xxhash64("__text"))
     several = hashed.groupBy("__id").agg(F.max("__hash").alias("__top"), F.min("__hash").alias("__low")).filter("__top <> __low")
-    several = stored(texts.sparkSession, several.select("__id", "__top"), "several")
+    several = stored_alone(texts.sparkSession, several.select("__id", "__top"), "several")
     n = several.limit(BROADCAST_ROWS + 1).count()
     if not n:
         return texts
@@ -297,13 +297,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seeds = texts.mapInArrow(seed, "seed long, id long, pos int")
     first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("top")).filter("f.id <> top")
     # Stored, so that the join deals both sides anew and a hot seed's rows can be split.
-    first = stored(spark, first.select("seed", "f"), "first")
+    first = stored_alone(spark, first.select("seed", "f"), "first")
     # With the anchors' own rows: they tell where a document's words repeat.
-    matches = stored(spark, seeds.join(first, "seed").select("id", "pos", F.col("f.id").alias("other"), F.col("f.pos").alias("at")), "matches")
+    matches = stored_alone(spark, seeds.join(first, "seed").select("id", "pos", F.col("f.id").alias("other"), F.col("f.pos").alias("at")), "matches")
     dropped(first)
 
     # The words of the documents that have seeds in common: 4 bytes each.
-    wanted = stored(spark, matches.select(F.col("id").alias("w")).distinct(), "wanted")
+    wanted = stored_alone(spark, matches.select(F.col("id").alias("w")).distinct(), "wanted")
     held = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +311,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("__id"), _words32(batch)], names=["w", "words"])
 
     words = texts.join(held, F.col("__id") == F.col("w"), "left_semi").mapInArrow(shorten, "w long, words binary").dropDuplicates(["w"])
-    words = stored(spark, words, "words")
+    words = stored_alone(spark, words, "words")
     dropped(wanted)
 
     def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,16 +328,16 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     places = matches.groupBy("id").agg(F.collect_set("pos").alias("places"))
     long = places.join(words, F.col("id") == F.col("w")).select("w", "words", "places").mapInArrow(lengthen, "seed long, id long, pos int")
-    long = stored(spark, long, "long")
+    long = stored_alone(spark, long, "long")
     first = long.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("top")).filter("f.id <> top")
-    first = stored(spark, first.select("seed", "f"), "long_first")
+    first = stored_alone(spark, first.select("seed", "f"), "long_first")
     more = long.join(first, "seed").filter("id <> f.id").select("id", "pos", F.col("f.id").alias("other"), F.col("f.pos").alias("at"), F.lit(LONG).alias("n"))
     held_matches = matches
     matches = matches.filter("id <> other").withColumn("n", F.lit(K)).unionByName(more)
 
-    found = stored(spark, _passages_of(matches.withColumn("new", F.lit(True)), words), "found")
+    found = stored_alone(spark, _passages_of(matches.withColumn("new", F.lit(True)), words), "found")
     dropped(long, first)
-    rest = stored(spark, _passages_of(_left_open(held_matches, found, words), words), "rest")
+    rest = stored_alone(spark, _passages_of(_left_open(held_matches, found, words), words), "rest")
     dropped(held_matches)
     return found.unionByName(rest)
 
@@ -346,22 +346,32 @@ def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFr
     """Matches with every earlier document, of the places that no passage found so far holds. An anchor stands
     for its seed. Two documents are matched there if they have another seed in common within REACH words, as a
     chain has SEEDS of them; new are those that are not the anchor's. Where all of these lie in one stretch, on
-    one diagonal, the alignment has no gaps, and as many words must be equal along it as a passage has at least."""
+    one diagonal, the alignment has no gaps, and as many words must be equal along it as a passage has at least.
+    Documents meet by the pair of seeds, not by one of them, wherever it can tell more than the stretch."""
     spark = matches.sparkSession
-    seed = F.hash("other", "at")  # equal ones of unlike seeds only add matches, which are chained like any
-    around = Window.partitionBy("id").orderBy("pos")
-    close = around.rangeBetween(1 - K - W, K + W - 1)
-    far = F.array_union(F.collect_set(seed).over(around.rangeBetween(-REACH, -K - W)), F.collect_set(seed).over(around.rangeBetween(K + W, REACH)))
-    near = matches.select("*", far.alias("far"), F.array_remove(F.collect_set(seed).over(close), seed).alias("kinds"), F.collect_set(F.struct(seed.alias("s"), F.col("pos").alias("p"))).over(close).alias("at_"))
-    placed = F.transform(F.filter("at_", lambda x: x["p"] != F.col("pos")), lambda x: F.hash(x["s"], x["p"] - F.col("pos")))
-    near = near.withColumn("placed", placed).drop("at_").filter("size(far) + size(kinds) > 0")
-    spans = found.groupBy(F.col("doc_id").alias("w")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    held = F.exists("spans", lambda s: (s["start_word"] <= F.col("pos")) & (F.col("pos") + K <= s["end_word"]))
-    near = near.join(spans, F.col("id") == F.col("w"), "left").withColumn("open", (F.col("id") != F.col("other")) & ~F.coalesce(held, F.lit(False))).drop("w", "spans")
-    near = stored(spark, near, "near")
-    wanted = near.join(near.filter("open").select("other", "at").distinct(), ["other", "at"], "left_semi")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = found.select(F.col("doc_id").alias("id"), F.col("start_word").cast("int").alias("pos"), F.lit(None).cast("long").alias("other"), F.col("end_word").cast("int").alias("at"))
+    dealt = lambda df: df.repartition(parts, "id").sortWithinPartitions("id", "pos")
+    places = stored_alone(spark, dealt(matches.select("id", "pos", "other", "at").unionByName(spans)).mapInArrow(_open_places, "id long, pos int, other long, at int, open boolean"), "places")
+    # Only the seeds of open places are matched.
+    anchors = stored_alone(spark, places.filter("open").select("other", "at").distinct(), "anchors")
+    marked = places.join(anchors.withColumn("wanted", F.lit(True)), ["other", "at"], "left").select("id", "pos", "other", "at", "open", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    near = stored_alone(spark, dealt(marked).mapInArrow(_surroundings, "id long, pos int, other long, at int, open boolean, first boolean, far array<long>, close array<long>, apart array<int>, placed array<int>"), "near")
+    dropped(places, anchors)
+
+    # Another seed in common that lies further off, or in the stretch at another distance.
+    far = near.select("id", "pos", "other", "at", "open", "first", F.explode("far").alias("pair"))
+    far = _met(far, "far", F.min("id") < F.max(F.when(F.col("open"), F.col("id"))))
+    apart = near.select("id", "pos", "other", "at", "open", "first", F.inline(F.arrays_zip(F.col("close").alias("pair"), F.col("apart").alias("by"))))
+    apart = _met(apart, "apart", (F.min("id") < F.max(F.when(F.col("open"), F.col("id")))) & (F.min("by") < F.max("by")))
+    name = lambda df, *more: df.filter("first").select("pair", F.col("id").alias("e_id"), F.col("pos").alias("e_pos"), *more)
+    by_far = far.filter("open").join(name(far), "pair").filter("e_id < id")
+    by_apart = apart.filter("open").join(name(apart, F.col("by").alias("e_by")), "pair").filter("e_id < id and by <> e_by")
+
+    # Words of the places that have another seed in the stretch.
     start = F.greatest(F.lit(0), F.col("pos") - AROUND)
-    seen = wanted.join(words, F.col("id") == F.col("w")).withColumn("cut", F.substring(F.col("words"), 4 * start + 1, 4 * (F.col("pos") + AROUND - start)))
+    seen = near.filter("size(placed) > 0").select("id", "pos", "other", "at", "open", "first", "placed")
+    seen = seen.join(words, F.col("id") == F.col("w")).withColumn("cut", F.substring(F.col("words"), 4 * start + 1, 4 * (F.col("pos") + AROUND - start)))
     seen = seen.withColumn("rest", (F.length("words") / 4).cast("int") - F.col("pos")).drop("w", "words")
     schema = ", ".join(f"{c} {kind}" for c, kind in seen.drop("cut").dtypes)
 
@@ -380,10 +390,8 @@ def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFr
 
     numbers = [f"c{k}" for k in range(2 * AROUND // 16)]
     # Stored, so that the join deals both sides anew and a hot seed's rows can be split.
-    seen = stored(spark, seen.mapInArrow(look, schema + "".join(f", {c} long" for c in numbers)), "seen")
-    earlier = seen.groupBy("other", "at", "id").agg(F.min(F.struct("pos", "far", "kinds", "placed", "rest", *numbers)).alias("e"))
-    earlier = stored(spark, earlier.select("other", "at", F.col("id").alias("e_id"), "e"), "earlier")
-    dropped(near)
+    seen = stored_alone(spark, seen.mapInArrow(look, schema + "".join(f", {c} long" for c in numbers)), "seen")
+    earlier = seen.filter("first").select("other", "at", F.col("id").alias("e_id"), F.struct("pos", "rest", "placed", *numbers).alias("e"))
 
     # Equal words along the diagonal, at most: those with equal bits, but for places beyond both texts.
     equal = -F.greatest(F.lit(0), AROUND - F.greatest("pos", "e.pos")) - F.greatest(F.lit(0), AROUND - F.greatest("rest", "e.rest"))
@@ -392,13 +400,113 @@ def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFr
         for k in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
         equal = equal + 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    in_both = lambda c: F.size(F.array_intersect(c, f"e.{c}"))
-    several = F.size("kinds") + F.size("e.kinds") > 2  # of one kind each, no second one can be apart
-    same = F.arrays_overlap("placed", "e.placed")
-    apart = F.arrays_overlap("far", "e.far") | (F.arrays_overlap("kinds", "e.kinds") & (~same | several & (in_both("kinds") > in_both("placed"))))
-    along = same & (equal >= int(np.ceil(ALIKE * LEAST)))
-    both = seen.filter("open").join(earlier, ["other", "at"]).filter((F.col("e_id") < F.col("id")) & (along | apart))
-    return both.select("id", "pos", F.col("e_id").alias("other"), F.col("e.pos").alias("at"), F.lit(K).alias("n"), (F.col("e_id") != F.col("other")).alias("new"))
+    along = (equal >= int(np.ceil(ALIKE * LEAST))) & F.arrays_overlap("placed", "e.placed")
+    by_stretch = seen.filter("open").join(earlier, ["other", "at"]).filter((F.col("e_id") < F.col("id")) & along).withColumn("e_pos", F.col("e.pos"))
+
+    keys = ["id", "pos", "e_id", "e_pos", "other"]
+    both = by_far.select(keys).unionByName(by_apart.select(keys)).unionByName(by_stretch.select(keys)).distinct()
+    both = stored_alone(spark, both, "pairs")
+    dropped(near, far, apart, seen)
+    return both.select("id", "pos", F.col("e_id").alias("other"), F.col("e_pos").alias("at"), F.lit(K).alias("n"), (F.col("e_id") != F.col("other")).alias("new"))
+
+
+def _met(rows: DataFrame, name: str, condition) -> DataFrame:
+    """The rows with a pair of seeds for which the condition holds, stored."""
+    return stored_alone(rows.sparkSession, rows.join(rows.groupBy("pair").agg(condition.alias("met")).filter("met").select("pair"), "pair", "left_semi"), name)
+
+
+def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of matches and passages (pos to at, without other) by document and place, the matches; open are those of
+    another document that no passage holds. Rows that repeat a place count once."""
+    for now in _whole_documents(batches, "id"):
+        ids, pos, at = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "pos", "at"))
+        span = now.column("other").is_null().to_numpy()
+        apart = np.cumsum(np.diff(ids, prepend=ids[0]) != 0) * (int(max(pos.max(), at.max())) + 2 * K)
+        order = np.lexsort((~span, pos + apart))  # passages that start at a place hold it
+        now, ids, pos, at, span, apart = now.take(pa.array(order)), *(v[order] for v in (ids, pos, at, span, apart))
+        until = np.maximum.accumulate(np.where(span, at + apart, -1)) - apart
+        own = ~span
+        own[1:] &= span[:-1] | (np.diff(ids) != 0) | (np.diff(pos) != 0)
+        other = now.column("other").fill_null(0).to_numpy()
+        free = (other != ids) & (until < pos + K)
+        yield pa.RecordBatch.from_arrays([*(now.column(c).combine_chunks().filter(pa.array(own)) for c in ("id", "pos", "other", "at")), pa.array(free[own])], names=["id", "pos", "other", "at", "open"])
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the wanted places that are open or their seed's first in the document: pairs with the seeds within
+    REACH words but not in the stretch (far); with those in the stretch (close) and how far off (apart); what lies
+    how far off there (placed). A place without another seed is left out, and isn't the first."""
+    for now in _whole_documents(batches, "id"):
+        ids, pos, other, at = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "pos", "other", "at"))
+        wanted = np.flatnonzero(now.column("wanted").to_numpy())
+        if not len(wanted):
+            continue
+        with np.errstate(over="ignore"):
+            seed = mix(mix(other.view(U)) + at.view(U))
+        key = np.cumsum(np.diff(ids, prepend=ids[0]) != 0) * (int(pos.max()) + 2 * REACH + 1) + pos
+
+        def within(places: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+            return np.searchsorted(key, key[places] - reach), np.searchsorted(key, key[places] + reach, side="right")  # noqa: B023
+
+        def spread(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return np.repeat(np.arange(len(size)), size), np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+
+        (low, high), (low_, high_) = within(wanted, REACH), within(wanted, K + W - 1)
+        some = high - low > high_ - low_
+        alone = np.flatnonzero(~some)
+        row, there = spread(low_[alone], (high_ - low_)[alone])
+        some[alone[row[seed[there] != seed[wanted[alone]][row]]]] = True
+        wanted, low, high = wanted[some], low[some], high[some]
+        order = np.lexsort((pos[wanted], seed[wanted], ids[wanted]))
+        first = np.ones(len(order), bool)
+        first[order[1:]] = (np.diff(ids[wanted][order]) != 0) | (np.diff(seed[wanted][order]) != 0)
+        used = first | now.column("open").to_numpy()[wanted]
+        wanted, first, low, high = wanted[used], first[used], low[used], high[used]
+        if not len(wanted):
+            continue
+        row, there = spread(low, high - low)
+        here = wanted[row]
+        by = pos[there] - pos[here]
+        with np.errstate(over="ignore"):
+            pair = mix(seed[here] ^ mix(seed[there] + U(1))).view(np.int64)
+            placed = (mix(seed[there] + by.view(U)) >> U(32)).astype(np.uint32).view(np.int32)
+        unlike, close = seed[there] != seed[here], np.abs(by) < K + W
+        order = np.lexsort((pair, row))
+        order = order[~close[order]]
+        again = np.zeros(len(row), bool)  # a seed that stands there again makes no other pair
+        again[order[1:]] = (row[order][1:] == row[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+
+        def lists(where: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+            ends = np.searchsorted(row[where], np.arange(len(wanted) + 1))  # noqa: B023
+            return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[where])) for v in values]
+
+        now = now.take(pa.array(wanted))
+        yield pa.RecordBatch.from_arrays(
+            [*(now.column(c).combine_chunks() for c in ("id", "pos", "other", "at", "open")), pa.array(first), *lists(~close & ~again, pair), *lists(close & unlike, pair, by.astype(np.int32)), *lists(close & (by != 0), placed)],
+            names=["id", "pos", "other", "at", "open", "first", "far", "close", "apart", "placed"],
+        )
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
+    """The rows of sorted batches, with all that have these values equal in one table."""
+    left: pa.Table | None = None
+    for batch in chain_of(batches, (None,)):
+        if batch is not None:
+            now = pa.Table.from_batches([batch])
+            left = pa.concat_tables([left, now]).combine_chunks() if left is not None else now
+            if not left.num_rows:
+                continue
+            unlike = np.zeros(left.num_rows, bool)
+            for name in names:
+                v = left.column(name).to_numpy()
+                unlike |= v != v[-1]
+            edge = np.flatnonzero(unlike)
+            cut = int(edge[-1]) + 1 if len(edge) else 0
+            now, left = left.slice(0, cut), left.slice(cut)
+        else:
+            now, left = left, None
+        if now is not None and now.num_rows:
+            yield now
 
 
 def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
@@ -406,21 +514,7 @@ def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
     spark = matches.sparkSession
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
-        for batch in chain_of(batches, (None,)):
-            if batch is not None:
-                now = pa.Table.from_batches([batch])
-                left = pa.concat_tables([left, now]).combine_chunks() if left is not None else now
-                if not left.num_rows:
-                    continue
-                a, b = left.column("id").to_numpy(), left.column("other").to_numpy()
-                edge = np.flatnonzero((a != a[-1]) | (b != b[-1]))
-                cut = int(edge[-1]) + 1 if len(edge) else 0
-                now, left = left.slice(0, cut), left.slice(cut)
-            else:
-                now, left = left, None
-            if now is None or not now.num_rows:
-                continue
+        for now in _whole_documents(batches, "id", "other"):
             a, b, x, y, n = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "other", "pos", "at", "n"))
             new = now.column("new").to_numpy()
             edges = np.append(np.flatnonzero(np.diff(a, prepend=a[0] - 1) | np.diff(b, prepend=b[0] - 1)), len(a))
@@ -437,7 +531,7 @@ def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = matches.repartition(parts, "id", "other").sortWithinPartitions("id", "other", "pos", "at")
-    made = stored(spark, dealt.mapInArrow(chain, "id long, other long, chain array<int>"), "chains")
+    made = stored_alone(spark, dealt.mapInArrow(chain, "id long, other long, chain array<int>"), "chains")
 
     end = lambda k: F.element_at("chain", -3 + k) + F.element_at("chain", -1)
     cut = lambda start, stop: F.substring(F.col("words"), 4 * start + 1, 4 * (stop - start))

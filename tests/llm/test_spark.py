@@ -5,7 +5,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -180,6 +182,52 @@ def test_altered_passages_whose_pieces_stand_first_elsewhere(spark):
         assert whole and max(y.end_word - y.start_word for y in whole) >= len(x) - 6, k
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {str(f) for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*")}
+
+
+def test_passages_leave_no_shuffle_files(spark):
+    p = words(60, 41)
+    rows = [(k, " ".join(words(40, 300 + k) + (p if k % 2 else p[:25]) + words(40, 400 + k))) for k in range(40)]
+    before = shuffle_files(spark)
+    found = substring.passages(spark.createDataFrame(rows, DOCS))
+    for _ in range(50):  # files are deleted a moment after the job
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+    assert {r.doc_id for r in found.collect()} == set(range(3, 40, 2))
+
+
+def test_surroundings_of_open_places():
+    r = random.Random(3)
+    rows = sorted({(i, p): (i, p, r.choice((i, 90 + p % 3)), r.randint(0, 4)) for i in range(6) for p in r.sample(range(400), 30)}.values())
+    spans = sorted((i, a, None, a + r.randint(10, 90)) for i in range(6) for a in r.sample(range(400), 2))
+    names = ["id", "pos", "other", "at"]
+    mixed = pa.table(dict(zip(names, (pa.array(v, pa.int64()) for v in zip(*sorted(rows + spans, key=lambda x: x[:2]), strict=True)), strict=True)))
+    places = pa.Table.from_batches(substring._open_places(iter(mixed.to_batches(max_chunksize=7))))
+    free = [o != i and not any(i == j and a <= p and p + substring.K <= b for j, a, _, b in spans) for i, p, o, _ in rows]
+    assert [tuple(x.values()) for x in places.to_pylist()] == [(*x, f) for x, f in zip(rows, free, strict=True)] and any(free)
+    anchors = {x[2:] for x, f in zip(rows, free, strict=True) if f}
+    marked = places.append_column("wanted", pa.array([x[2:] in anchors for x in rows]))
+    got = {(x["id"], x["pos"]): x for x in pa.Table.from_batches(substring._surroundings(iter(marked.to_batches(max_chunksize=11)))).to_pylist()}
+    width, firsts = substring.K + substring.W, set()
+    for (i, p, *seed), f in zip(rows, free, strict=True):
+        around = [(q - p, tuple(s)) for j, q, *s in rows if i == j and abs(q - p) <= substring.REACH]
+        far = {s for d, s in around if abs(d) >= width}
+        close = [d for d, s in around if abs(d) < width and s != tuple(seed)]
+        first = tuple(seed) in anchors and bool(far or close) and (i, *seed) not in firsts
+        if first:
+            firsts.add((i, *seed))
+        assert ((i, p) in got) == (tuple(seed) in anchors and bool(far or close) and (f or first))
+        if (i, p) in got:
+            x = got[i, p]
+            assert (x["first"], x["open"], len(x["far"]), x["apart"]) == (first, f, len(far), close)
+            assert len(set(x["far"])) == len(far) and len(x["placed"]) == sum(0 < abs(d) < width for d, _ in around)
+
+
 def test_sentencepiece_table(spark):
     docs = clash(spark.createDataFrame([(1, "hello  world\n"), (2, None), (3, ""), (4, "z" * 5000)], DOCS))
     got = spm.encode_documents(docs, back="__back")
