@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,18 +59,25 @@ def stored(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame
     return out
 
 
-def stored_alone(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
-    """stored(), without the shuffle files of the job that wrote it: else they stay until the driver happens
+@contextmanager
+def alone(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is planned in here go as soon as it ends: else they stay until the driver happens
     to collect its garbage."""
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
     try:
-        return stored(spark, df, name)
+        yield
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def stored_alone(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:
+    """stored(), without the shuffle files of the job that wrote it."""
+    with alone(spark):
+        return stored(spark, df, name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     for df in tables:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.llm import common
-from morphlake.llm.common import U, bounded_batches, in_bucket, mix, slices, stored, table
+from morphlake.llm.common import U, alone, bounded_batches, in_bucket, mix, slices, stored_alone, table
 
 #: Words with codes of their own, at most; each needs this many training occurrences.
 VOCABULARY, LEAST = 1 << 18, 2
@@ -59,6 +59,8 @@ BLOCK, DOC_RATE, TUNE_RATE = 48, 0.02, 0.02
 #: Bytes of text that are scored, counted and tuned on at once; one longer text is taken whole.
 #: Only the last matters to the result: its texts' blocks share a step of the weights.
 CHUNK, GATHER, TUNED = 512 << 10, 1 << 20, 64 << 10
+#: Decisions of several blocks whose inputs are looked up at once.
+TOGETHER = 1 << 16
 #: Words whose counts a task merges before it sends them (8 bytes each).
 COUNTED = 1 << 20
 HEAD = 20  # leading bits of a word's hash by which it is looked up
@@ -298,6 +300,23 @@ def count_into(counts: list, texts: pa.Array, codes: Codes) -> None:
         np.add.at(counts[c], at, np.repeat(times.astype(counts[c].dtype), bits))
 
 
+def packed(piece: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Where a piece of counts isn't zero (a bit for each place, or the places of few), the counts there as bytes,
+    and what counts of 255 and more have beyond it."""
+    at = np.flatnonzero(piece)
+    where = at.astype(np.uint16) if 16 * len(at) < len(piece) else np.packbits(piece != 0)
+    counts = piece[at]
+    return where.tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), (counts[counts >= 255] - 255).astype(np.int32).tobytes()
+
+
+def unpacked_into(total: np.ndarray, where: bytes, counts: bytes, more: bytes) -> None:
+    """Adds a piece of counts that packed() made."""
+    at = np.frombuffer(where, np.uint16) if 8 * len(where) < len(total) else np.flatnonzero(np.unpackbits(np.frombuffer(where, np.uint8)))
+    counts = np.frombuffer(counts, np.uint8).astype(total.dtype)
+    counts[counts == 255] += np.frombuffer(more, np.int32)
+    total[at] += counts
+
+
 def tables_of(counts: list) -> list:
     out = []
     for pair in counts:
@@ -354,6 +373,35 @@ def _refine(codes: Codes, dot: np.ndarray, long: np.ndarray) -> tuple[np.ndarray
     return plain, _within(p, 1e-5, 1 - 1e-5, out=p), (cell, share)
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array, and the place of each one's value among them."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    return x[new], np.cumsum(new) - 1
+
+
+def _blocks(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray) -> Iterator[tuple]:
+    """Each block's decisions, the parts they belong to and their inputs. What no weight changes is made for
+    some blocks together, as many are small."""
+    done = np.append(0, np.cumsum(s.bits))[edges]  # decisions before each block
+    i = 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(done, done[i] + TOGETHER, side="right")) - 1)
+        a, b = edges[i], edges[j]
+        part = Symbols(s.code[a:b], s.bits[a:b], [c[a:b] for c in s.contexts], s.doc[a:b], s.block[a:b], s.letter[a:b])
+        node, bit = _decisions(part)
+        first = np.flatnonzero(np.diff(part_of[a:b], prepend=-1))  # the words of a document, then its spelled bytes
+        doc, kind = part.doc[first], part.letter[first].astype(np.intp)
+        at = (np.cumsum(part.bits) - part.bits)[first]
+        size = np.diff(np.append(at, len(node)))
+        x, gate = _inputs(codes, part, node)
+        parts = np.searchsorted(first, edges[i : j + 1] - a)
+        for k in range(i, j):
+            p, d = slice(parts[k - i], parts[k - i + 1]), slice(done[k] - done[i], done[k + 1] - done[i])
+            yield node[d], bit[d], doc[p], kind[p], at[p] - d.start, size[p], [*(v[d] for v in x[:-1]), x[-1]], gate[d]
+        i = j
+
+
 def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
     """Log2 probability of each text's words and ends, and of the bytes of its spelled words: [texts, 2].
     Documents advance together, block by block; each starts from the common weights and follows its
@@ -365,14 +413,8 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
     own = np.zeros((n_docs, len(SLOTS) + 1), np.float32)
     total = np.zeros((n_docs, 2))
     edges = np.append(np.flatnonzero(np.diff(s.block, prepend=-1)), len(s.block))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = Symbols(s.code[a:b], s.bits[a:b], [c[a:b] for c in s.contexts], s.doc[a:b], s.block[a:b], s.letter[a:b])
-        node, bit = _decisions(part)
-        first = np.flatnonzero(np.diff(part_of[a:b], prepend=-1))  # the words of a document, then its spelled bytes
-        doc, kind = part.doc[first], part.letter[first].astype(np.intp)
-        at = (np.cumsum(part.bits) - part.bits)[first]
-        size = np.diff(np.append(at, len(node)))
-        x, gate = _inputs(codes, part, node)
+    for node, bit, doc, kind, at, size, x, gate in _blocks(codes, s, part_of, edges):
+        docs, which = _runs(doc)
         w = codes.weights.take(gate, axis=0, mode="wrap")
         w += np.repeat(own[doc], size, axis=0)
         dot = w[:, 0] * x[0]
@@ -387,7 +429,6 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
         total[doc, kind] += np.add.reduceat(np.log(p, out=p), at, dtype=np.float64) * LOG2_E
         error = bit - plain
         x = [v * error for v in x]
-        docs, which = np.unique(doc, return_inverse=True)
         step = np.zeros((len(docs), len(x)), np.float32)
         np.add.at(step, which, np.stack([np.add.reduceat(v, at) for v in x], axis=1))
         rate = (DOC_RATE / 8 / np.sqrt(16 + np.bincount(which, size))).astype(np.float32)
@@ -451,15 +492,16 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
                 parts, held, letters = [], 0, np.zeros(256, np.int64)
 
     texts = train.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    both = stored(spark, texts.select("__text").mapInArrow(words, "__byte boolean, __h long, __c long").groupBy("__byte", "__h").agg(F.sum("__c").alias("__c")), "counts")
+    both = stored_alone(spark, texts.select("__text").mapInArrow(words, "__byte boolean, __h long, __c long").groupBy("__byte", "__h").agg(F.sum("__c").alias("__c")), "counts")
     counts = both.filter("not __byte").select("__h", "__c")
     letters = np.zeros(256)
     for byte, count in both.filter("__byte").select("__h", "__c").collect():
         letters[byte] = count
-    n, v = counts.agg(F.coalesce(F.sum("__c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.filter(F.col("__c") >= LEAST).orderBy(F.desc("__c"), "__h").limit(VOCABULARY).toPandas()
+    with alone(spark):
+        n, v = counts.agg(F.coalesce(F.sum("__c"), F.lit(0)), F.count(F.lit(1))).first()
+        top = counts.filter(F.col("__c") >= LEAST).orderBy(F.desc("__c"), "__h").limit(VOCABULARY).toPandas()
+        _, parts_, shards = tuning_plan(texts.count())
 
-    _, parts_, shards = tuning_plan(texts.count())
     key = F.xxhash64("__id", F.when(F.col("__id").isNull(), F.col("__text")))  # so that null ids aren't one shard
     texts = texts.withColumn("__fold", F.pmod(F.shiftrightunsigned(key, 20), F.lit(FOLDS)).cast("int"))
     codes = make_codes(top["__h"].to_numpy().view(U), top["__c"].to_numpy(), int(n), int(v), letters)
@@ -486,29 +528,21 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
         for fold in range(FOLDS):
             for c, total in enumerate(counts_[fold]):
                 for i, piece in enumerate(total.reshape(-1, 2 * PIECE)):
-                    at = np.flatnonzero(piece)
-                    if not len(at):
-                        continue
-                    sparse = 2 * len(at) < len(piece)  # then their places go with them
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([c * 10_000 + i]), pa.array([fold], pa.int32()), pa.array([at.astype(np.uint16).tobytes() if sparse else None], pa.binary()), pa.array([(piece[at] if sparse else piece).tobytes()], pa.binary()),
-                    ], names=["__piece", "__fold", "__at", "__counts"])
+                    if piece.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([c * 10_000 + i]), pa.array([fold], pa.int32()), *(pa.array([x], pa.binary()) for x in packed(piece))], names=["__piece", "__fold", "__at", "__counts", "__more"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A piece of the tables of all documents, and of those without each fold, one after another."""
         total = np.zeros((FOLDS, 2 * PIECE), np.int64)
         for batch in batches:
-            for fold, at, x in zip(batch.column("__fold").to_pylist(), batch.column("__at"), batch.column("__counts"), strict=True):
-                counts_ = np.frombuffer(x.as_buffer(), np.int32)
-                if at.is_valid:
-                    total[fold, np.frombuffer(at.as_buffer(), np.uint16)] += counts_
-                else:
-                    total[fold] += counts_
+            for fold, *parts in zip(batch.column("__fold").to_pylist(), *(batch.column(c) for c in ("__at", "__counts", "__more")), strict=True):
+                unpacked_into(total[fold], *(x.as_buffer() for x in parts))
         whole = total.sum(axis=0)
         made = tables_of([whole, *(whole - own for own in total)])
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.concatenate(made).tobytes()], pa.binary())], names=["__piece", "__tables"])
 
-    gathered = texts.select("__text", "__fold").mapInArrow(gather, "__piece long, __fold int, __at binary, __counts binary").groupBy("__piece").applyInArrow(add, "__piece long, __tables binary").collect()  # as many rows as the tables have pieces, at most
+    with alone(spark):
+        gathered = texts.select("__text", "__fold").mapInArrow(gather, "__piece long, __fold int, __at binary, __counts binary, __more binary").groupBy("__piece").applyInArrow(add, "__piece long, __tables binary").collect()  # as many rows as the tables have pieces, at most
     made = [[np.zeros(1 << k, np.int16) for k in SLOTS] for _ in range(FOLDS + 1)]
     for piece, raw in gathered:
         c, i = divmod(piece, 10_000)
@@ -542,8 +576,9 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
                         _learn(mine, piece.column("__text"))
             return pa.table({"__shard": table.column("__shard").slice(0, 1), "__n": pa.array([table.num_rows]), "__state": pa.array([np.append(mine.weights, mine.apm).tobytes()], pa.binary())})
 
-        states = tuned.filter(F.col("__part") == k % parts_).groupBy("__shard").applyInArrow(learn, "__shard long, __n long, __state binary")
-        found = states.groupBy(F.pmod("__shard", F.lit(AVERAGES))).applyInArrow(average, "__n long, __state binary").collect()
+        with alone(spark):
+            states = tuned.filter(F.col("__part") == k % parts_).groupBy("__shard").applyInArrow(learn, "__shard long, __n long, __state binary")
+            found = states.groupBy(F.pmod("__shard", F.lit(AVERAGES))).applyInArrow(average, "__n long, __state binary").collect()
         if found:
             found.sort(key=lambda r: (r["__n"], bytes(r["__state"])))
             mean = (sum(np.frombuffer(r["__state"], np.float64) for r in found) / sum(r["__n"] for r in found)).astype(np.float32)
@@ -583,7 +618,7 @@ def score(docs: DataFrame, codes: Codes, counts: DataFrame, id_col: str = "doc_i
     schema = "__id long, __bytes long, __n_tokens long, __n_known long, __base double, __words double, __spelled double, __rare array<struct<h: long, k: long>>"
     first = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).mapInArrow(go, schema)
     # Stored, so that the number given to each row holds for both uses.
-    scored = stored(spark, first.withColumn("__row", F.monotonically_increasing_id()), "scored")
+    scored = stored_alone(spark, first.withColumn("__row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("__row", F.inline("__rare")).join(counts.withColumnRenamed("__h", "h"), "h", "left")
     c = F.coalesce(F.col("__c"), F.lit(0))
     # Words without codes: the base charges them among all words, the model among themselves behind the escape.

@@ -396,6 +396,31 @@ def test_language_model_tunes_on_every_document(spark):
     assert np.isfinite(codes.weights).all() and not np.array_equal(codes.weights[0], np.full_like(codes.weights[0], 0.35))
 
 
+def test_language_model_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    rows = [(i, f"the cat {i % 3} sat on the mat {i}") for i in range(40)]
+    mixing_lm.fit(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    for _ in range(50):  # files are deleted a moment after the job
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
+
+
+@pytest.mark.parametrize("share", [0, 0.001, 0.0625, 0.3, 1])
+def test_counts_are_packed_without_loss(share):
+    r = np.random.default_rng(4)
+    piece = np.where(r.random(2 * mixing_lm.PIECE) < share, r.geometric(0.5, 2 * mixing_lm.PIECE), 0).astype(np.int32)
+    some = np.flatnonzero(piece)[:4]
+    piece[some] = [254, 255, 256, 2**31 - 1][: len(some)]
+    total = np.arange(len(piece), dtype=np.int64)
+    made = mixing_lm.packed(piece)
+    mixing_lm.unpacked_into(total, *made)
+    assert np.array_equal(total - np.arange(len(piece)), piece)
+    assert sum(map(len, made)) <= min(len(piece) // 8, 2 * np.count_nonzero(piece)) + np.count_nonzero(piece) + 4 * len(some)
+
+
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
