@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from morphlake.llm import decontaminate, html, linededup, mixing_lm, ngramjoin, spm, substring, topk, toxicity, warc
+from morphlake.llm import decontaminate, html, linededup, mixing_lm, negatives, ngramjoin, quality, spm, substring, topk, toxicity, vectorcodes, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_exact_top_k": topk.query,
     "op9_line_dedup": linededup.query,
     "op10_ngram_jaccard": ngramjoin.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_vector_codes": vectorcodes.query,
+    "op13_quality_rules": quality.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_warc": warc.ORACLE,
     "op8_exact_top_k": topk.ORACLE,
     "op9_line_dedup": linededup.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
+    "op12_vector_codes": vectorcodes.ORACLE,
+    "op13_quality_rules": quality.ORACLE,
 }
