@@ -120,7 +120,7 @@ def common_words(docs: DataFrame, group: Column, text_col: str) -> DataFrame:
     lowered = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = docs.select(group.alias("grp"), F.explode(F.split(lowered, r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
     order = Window.partitionBy("grp").orderBy(F.desc("n"), "word")
-    return words.groupBy("grp", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < COMMON)
+    return words.groupBy("grp", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= COMMON).withColumn("place", F.col("place") - 1)
 
 
 def distance(p: Column, q: Column) -> Column:
