@@ -151,7 +151,8 @@ def _schema(project: Project, args) -> int:
     return 0
 
 
-def _step(project: Project, args):
+def _diff(project: Project, args):
+    """The declared step between two versions, if it may be taken."""
     shapes = project.shapes()
     a, b = shapes.get(args.schema, args.from_version), shapes.get(args.schema, args.to_version)
     if a is None or b is None:
@@ -165,7 +166,7 @@ def _step(project: Project, args):
     d = diff(a, b, plan, project.config.crates)
     if d.verdict == "Denied":
         raise Refused(d.report())
-    return compile_step(d)
+    return d
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -219,7 +220,7 @@ def _dispatch(args) -> int:
             print(project.write_plan(name, draft(diff(a, b)), args.force))
         return 0
     if args.command == "generate":
-        step = _step(project, args)
+        step = compile_step(_diff(project, args))
         path = project.transform_path(args.schema, args.from_version, args.to_version)
         if path.exists() and not args.force:
             raise ShapeError(f"{path.name} exists")
@@ -248,7 +249,7 @@ def _on_store(project: Project, args) -> int:
     if args.command == "adopt":
         store.adopt(args.version)
         return 0
-    step = _step(project, args)
+    step = store.compile(_diff(project, args))
     if args.command == "rollback":
         run = Executor(store, step)
         run.begin_rollback()

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import DEFAULT_BATCH, LARGEST_BATCH
 from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tally
-from morphlake.plans.compile import Step
+from morphlake.plans.compile import FunctionStep, Step
+from morphlake.plans.model import ShapeError
 from morphlake.sources.control import COMPLETED, ROLLED_BACK, ROLLING_BACK, RUNNING, Control, Migration, MigrationError
 from morphlake.sources.store import Store, retried
 
@@ -59,7 +60,7 @@ def report(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
 class Executor:
     """Runs one step over a store. strict holds batches to LARGEST_BATCH keys, else any size goes."""
 
-    def __init__(self, store: Store, step: Step, strict: bool = True, shape_col: str | None = None):
+    def __init__(self, store: Store, step: Step | FunctionStep, strict: bool = True, shape_col: str | None = None):
         self.store, self.step, self.strict, self.shape_col = store, step, strict, shape_col
         self.a, self.b = step.from_version, step.to_version
 
@@ -84,10 +85,29 @@ class Executor:
             raise MigrationError("MigrationAlreadyActive", m.status)
         if m and m.active:
             raise MigrationError("WrongMigration", f"{m.from_version} -> {m.to_version} is active")
-        c.migration = Migration(self.a, self.b, 0, c.length(self.a), RUNNING)
+        self._fits(c)
+        self._place(c)
+        c.migration = Migration(self.a, self.b, 0, c.length(self.a), RUNNING, c.commits + 1)
         self.store.commit(c)
         return c.migration
 
+    def _fits(self, c: Control) -> None:
+        """Refuses a step that was compiled for other columns than those that hold the fields: it would find
+        nothing in them and lose the values."""
+        where, source = c.where(self.step.name, self.a), getattr(self.step, "source", {})
+        if moved := sorted(f for f, column in source.items() if where.get(f, f) != column):
+            raise ShapeError(f"{self.step.name} v{self.a}: {', '.join(f'{f} stands in {where.get(f, f)}, not {source[f]}' for f in moved)}; compile the step with the store")
+        if c.schema and (unknown := [x for x in self.step.consumed if x not in c.schema]):
+            raise ShapeError(f"{self.step.name} v{self.a} -> v{self.b}: the store has no column {', '.join(unknown)} to take values from")
+
+    def _place(self, c: Control) -> None:
+        """Records where the fields of both versions stand."""
+        name, where = self.step.name, dict(c.where(self.step.name, self.a))
+        source = getattr(self.step, "source", None) or where
+        if not c.columns.get(name):
+            c.placed(name, self.a, source)
+        c.placed(name, self.b, self.step.physical if hasattr(self.step, "source") else {**source, **self.step.physical})
+
     def _state(self, c: Control) -> Migration:
         m = c.migration
         if m is None:
@@ -200,7 +220,8 @@ class Executor:
         if m.status != COMPLETED:
             raise MigrationError("MigrationNotComplete", m.status)
         c.require(self.b)
-        c.migration = Migration(self.a, self.b, 0, c.length(self.b), ROLLING_BACK)
+        self._fits(c)
+        c.migration = Migration(self.a, self.b, 0, c.length(self.b), ROLLING_BACK, c.commits + 1)
         self.store.reset_log(self.a, c)
         self.store.commit(c)
         return c.migration
@@ -230,6 +251,7 @@ class Executor:
         m.cursor += n
         if done := m.cursor >= m.total:
             m.status, c.version = ROLLED_BACK, self.a
+            c.columns.get(self.step.name, {}).pop(str(self.b), None)  # nothing stands there any more
         self.store.commit(c)
         return Outcome(self.a, self.b, m.cursor, m.total, **counts, done=done)
 

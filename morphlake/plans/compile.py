@@ -6,7 +6,8 @@ Migrated, AlreadyCurrent, or Skipped for a key without an entry and an entry of
 Every rule is guarded by null, so running a step twice changes nothing the second time.
 
 A field whose type changes gets a column of its own, named after the version, so that files of
-both versions can be read as one table.
+both versions can be read as one table. Where the fields of each version stand is kept in the store's
+record (Columns), so that the next step starts from the columns in which the last one left the values.
 """
 
 from __future__ import annotations
@@ -62,6 +63,7 @@ class Step:
     back: dict[str, str] = field(default_factory=dict)  # column -> SQL of the inverse
     undone: list[str] = field(default_factory=list)  # SQL conditions of the inverse
     reversible: bool = True
+    source: dict[str, str] = field(default_factory=dict)  # field of the old version -> column
     physical: dict[str, str] = field(default_factory=dict)  # field of the new version -> column
 
     @property
@@ -98,22 +100,47 @@ class Step:
         return f"SELECT key,\n{body},\n  CASE WHEN {cond} THEN '{MIGRATED}' ELSE '{CURRENT}' END AS outcome\nFROM {source}\n"
 
 
-def compile_step(d: Diff, physical: dict[str, str] | None = None) -> Step:
-    """The transform of a diff with its plan. physical: columns of the old version's fields."""
+@dataclass(frozen=True)
+class Columns:
+    """Where a store keeps a shape's fields, for compile_step."""
+
+    old: dict[str, str] = field(default_factory=dict)  # of the old version's fields; others are named as they are
+    new: dict[str, str] = field(default_factory=dict)  # of the new version's, if its step has begun before
+    used: frozenset[str] = frozenset()  # columns of any version that is recorded
+    types: dict[str, str] = field(default_factory=dict)  # of all columns there are
+
+    def free(self, name: str, version: int, kind: str, taken: dict[str, str]) -> str:
+        """A column for a new field: its name, or the name and the version where an earlier version's values stand."""
+        found = name
+        while found in self.used or found in taken or self.types.get(found, kind) != kind:
+            found = f"{name}__v{version}" if found == name else f"{found}_"
+        return found
+
+
+def compile_step(d: Diff, columns: Columns | None = None) -> Step:
+    """The transform of a diff with its plan, over the columns in which a store keeps the fields."""
     old, new = d.from_shape, d.to_shape
     plan = d.plan or Plan(old.version, new.version)
     if plan.unfilled():
         raise ShapeError(f"placeholders are left for {', '.join(plan.unfilled())}")
     if d.undeclared() or d.verdict == "Denied":
         raise ShapeError("the step is denied:\n" + d.report())
-    was = {f.name: (physical or {}).get(f.name, f.name) for f in old.fields}
+    columns = columns or Columns()
+    was = {f.name: columns.old.get(f.name, f.name) for f in old.fields}
     kinds = {f.field: f for f in d.findings}
-    step = Step(new.name, old.version, new.version, {}, [], [], {was[f.name]: spark_type(f.declared) for f in old.fields})
+    step = Step(new.name, old.version, new.version, {}, [], [], {was[f.name]: spark_type(f.declared) for f in old.fields}, source=was)
     for f in new.fields:
         found = kinds.get(f.name)
         kind = found.kind if found else None
-        same_type = kind not in ("Retyped",) and not (kind == "Renamed" and old.get(found.old).base != f.base)
-        column = was.get(f.name, f.name) if same_type and kind != "Renamed" else f.name if kind == "Renamed" and f.name not in step.types else f"{f.name}__v{new.version}"
+        column = columns.new.get(f.name)
+        if column is not None and columns.types.get(column, spark_type(f.declared)) != spark_type(f.declared):
+            column = None  # begun, dropped and declared anew with another type
+        if column is None and f.name in was and kind not in ("Retyped", "Renamed"):
+            column = was[f.name]
+        elif column is None and kind == "Retyped":
+            column = columns.free(f"{f.name}__v{new.version}", new.version, spark_type(f.declared), step.types)
+        elif column is None:
+            column = columns.free(f.name, new.version, spark_type(f.declared), step.types)
         step.physical[f.name] = column
         step.types[column] = spark_type(f.declared)
         c = quoted(column)
@@ -167,6 +194,8 @@ class FunctionStep:
     types: dict[str, str]
     forward: Callable[[dict[str, Column]], dict[str, Column]]
     backward: Callable[[dict[str, Column]], dict[str, Column]] | None = None
+    physical: dict[str, str] = field(default_factory=dict)  # field of the new version -> column, where it moves
+    consumed: tuple[str, ...] = ()  # columns that forward can't do without
 
     @property
     def reversible(self) -> bool:

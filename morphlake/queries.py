@@ -604,3 +604,46 @@ def growth_absorbed(spark, d):
     store.put_unindexed(_events(spark, d).filter(late).select("key"))
     store.register(1, _events(spark, d).filter(late).select("key"))
     return report(spark, [run.batch(n), *run.run_to_completion(1 << 20)])
+
+
+# ---------------------------------------------------------------- several steps, one after another
+
+_ITEM = {1: shape("Item", 1, "price: f64"), 2: shape("Item", 2, "price: i64"), 3: shape("Item", 3, "price: i128"), 4: shape("Item", 4, "cost: i128")}
+_ITEM_PLANS = {1: Plan(1, 2, converted={"price": "cast(round(cast(value as double) * 100) as bigint)"}), 2: Plan(2, 3, converted={"price": "value * 10"}), 3: Plan(3, 4, renamed={"price": "cost"})}
+_ITEMS = "(SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1)"
+
+
+def _chained(spark, d) -> tuple[Store, Executor, list]:
+    """Line items put under version 1 and taken to version 4: two conversions to other types and a rename."""
+    store = Store(spark, scratch(spark))
+    store.initialize(1)
+    key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    store.put(_t(spark, d, "lineitem").groupBy(key.alias("key")).agg(F.max(F.col("l_extendedprice").cast("double")).alias("price")), shape=_ITEM[1])
+    outcomes = []
+    for v in (1, 2, 3):
+        run = Executor(store, store.compile(differ.diff(_ITEM[v], _ITEM[v + 1], _ITEM_PLANS[v])), strict=False)
+        run.begin()
+        outcomes += run.run_to_completion(1 << 22, most=1 << 30)
+    return store, run, outcomes
+
+
+@query(f"SELECT key, cents * 10 AS cost FROM {_ITEMS}")
+def chained_steps_read(spark, d):
+    """Version 4 read by its own names."""
+    store, _, _ = _chained(spark, d)
+    return store.read(_ITEM[4]).select("key", F.col("cost").cast("bigint").alias("cost"))
+
+
+@query(f"SELECT v AS from_version, v + 1 AS to_version, count(*) AS visited, count(*) AS migrated, true AS done FROM {_ITEMS}, (SELECT unnest([1, 2, 3]) AS v) GROUP BY v")
+def chained_steps_outcomes(spark, d):
+    _, _, outcomes = _chained(spark, d)
+    return report(spark, outcomes).groupBy("from_version", "to_version").agg(F.sum("visited").alias("visited"), F.sum("migrated").alias("migrated"), F.max("done").alias("done"))
+
+
+@query(f"SELECT key, cents * 10 AS price FROM {_ITEMS}")
+def chained_rollback(spark, d):
+    """The last of the steps taken back, and version 3 read by its own names."""
+    store, run, _ = _chained(spark, d)
+    run.begin_rollback()
+    run.rollback_to_completion(1 << 22, most=1 << 30)
+    return store.read(_ITEM[3]).select("key", F.col("price").cast("bigint").alias("price"))

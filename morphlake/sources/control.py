@@ -13,6 +13,8 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 
+from morphlake.plans.compile import Columns
+from morphlake.plans.model import ShapeError
 from morphlake.sources.files import Record
 
 FORMAT = 1
@@ -50,6 +52,7 @@ class Migration:
     cursor: int
     total: int
     status: str
+    started: int = 0  # number of the record that began it
 
     @property
     def active(self) -> bool:
@@ -77,6 +80,7 @@ class Control:
     lengths: dict[str, int] = field(default_factory=dict)
     schema: dict[str, str] = field(default_factory=dict)  # type of every column of the entries
     streams: dict[str, int] = field(default_factory=dict)  # last batch taken in of each stream
+    columns: dict[str, dict[str, dict[str, str]]] = field(default_factory=dict)  # shape, version, field: the column that holds it
     commits: int = 0  # number of this record
 
     def length(self, version: int) -> int:
@@ -96,9 +100,28 @@ class Control:
         self.logs.setdefault(str(version), []).append(path)
         self.lengths[str(version)] = self.length(version) + n
 
+    # -------- where fields stand
+
+    def where(self, name: str, version: int) -> dict[str, str]:
+        """The column of each field of a version. Before a shape's first step, fields stand under their names."""
+        known = self.columns.get(name, {})
+        if known and str(version) not in known:
+            raise ShapeError(f"where the fields of {name} v{version} stand is not recorded, only v{', v'.join(sorted(known, key=int))}")
+        return known.get(str(version), {})
+
+    def placed(self, name: str, version: int, fields: dict[str, str]) -> None:
+        self.columns.setdefault(name, {})[str(version)] = dict(fields)
+
+    def layout(self, name: str, a: int, b: int) -> Columns:
+        """What the compiler needs to know for a step from a to b."""
+        known = self.columns.get(name, {})
+        used = frozenset(c for v, fields in known.items() if int(v) <= a for c in fields.values())
+        return Columns(self.where(name, a), known.get(str(b), {}), used, self.schema)
+
     @classmethod
-    def load(cls, record: Record) -> Control:
-        number, text = record.newest()
+    def load(cls, record: Record, number: int | None = None) -> Control:
+        """The newest record, or the one of a number."""
+        number, text = record.newest() if number is None else (number, record.at(number))
         if text is None:
             return cls()
         x = json.loads(text)

@@ -135,6 +135,26 @@ class Record:
     def read_text(self) -> str | None:
         return self.newest()[1]
 
+    def at(self, number: int) -> str:
+        """The text of a number that is kept or pinned."""
+        text = self.folder.read(self._name(number))
+        if text is None and (text := self.folder.read(self._pinned(number))) is None:
+            raise KeyError(f"{self.stem} {number} is not kept")
+        return text
+
+    def _pinned(self, number: int) -> str:
+        return f"pinned-{self._name(number)}"
+
+    def pin(self, number: int) -> None:
+        """Keeps a number for good, however many follow it."""
+        self.folder.create(self._pinned(number), self.at(number))
+
+    def pins(self) -> list[int]:
+        return [int(x.split(".")[-2]) for x in self.folder.names(f"pinned-{self.stem}.")]
+
+    def unpin(self, number: int) -> None:
+        self.folder.delete(self._pinned(number))
+
     def put(self, base: int, text: str) -> bool:
         """Makes number base + 1, if base is still the newest."""
         if not self.folder.create(self._name(base + 1), text):

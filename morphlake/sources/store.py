@@ -15,7 +15,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphlake.operators.decode import decode
 from morphlake.operators.log import newest
+from morphlake.plans.compile import Step, compile_step
+from morphlake.plans.diff import Diff
+from morphlake.plans.model import Shape
 from morphlake.sources.control import Control, MigrationError
 from morphlake.sources.files import Folder, Record
 
@@ -53,8 +57,9 @@ class Store:
         self.root = self.folder.root
         self.record = Record(self.folder, "state")
 
-    def control(self) -> Control:
-        return Control.load(self.record)
+    def control(self, number: int | None = None) -> Control:
+        """The newest state, or the one of a record that is kept or pinned."""
+        return Control.load(self.record, number)
 
     def commit(self, control: Control) -> None:
         if not control.save(self.record):
@@ -115,18 +120,38 @@ class Store:
         out = newest(rows, ["key"], ["__commit"]).drop("__commit")
         return out.filter("coalesce(__removed, false) = false").drop("__removed") if "__removed" in out.columns else out
 
+    def compile(self, d: Diff) -> Step:
+        """A step over the columns in which this store keeps the shape's fields."""
+        a, b = d.from_shape.version, d.to_shape.version
+        return compile_step(d, self.control().layout(d.to_shape.name, a, b))
+
+    def read(self, shape: Shape, control: Control | None = None, mode: str = "strict", keys: DataFrame | None = None) -> DataFrame:
+        """key and the fields of a version of a shape by their names, from the columns in which they stand.
+
+        What a row lacks is null, and refused (strict) or marked (skip) if the field is required. Rows that a running
+        migration has not reached show nothing in the fields that it moves.
+        """
+        c = control or self.control()
+        rows, where = self.entries(c, keys), c.where(shape.name, shape.version)
+        there = [(f.name, where.get(f.name, f.name)) for f in shape.fields]
+        return decode(rows.select("key", *(F.col(f"`{c}`").alias(f) for f, c in there if c in rows.columns)), shape, mode, ("key",))
+
     def log(self, version: int, control: Control | None = None) -> DataFrame:
         paths = (control or self.control()).log(version)
         return self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
 
-    def put(self, rows: DataFrame, register: bool = True, stream: tuple[str, int] | None = None) -> bool:
+    def put(self, rows: DataFrame, register: bool = True, stream: tuple[str, int] | None = None, shape: Shape | None = None) -> bool:
         """Writes rows and registers their keys under the version that writes belong to, in one commit.
 
-        stream: the name of a stream and the number of its batch, kept in the same commit; a batch
+        shape: rows have the fields of this shape, which go to the columns in which the store keeps them; without it,
+        rows have the store's columns. stream: the name of a stream and the number of its batch, kept in the same commit; a batch
         that the record has is left out. Says whether the rows were put.
         """
         if stream and self.control().streams.get(stream[0], -1) >= stream[1]:
             return False
+        if shape:
+            where = self.control().where(shape.name, shape.version)
+            rows = rows.select("key", *(F.col(f"`{f}`").alias(where.get(f, f)) for f in shape.names if f in rows.columns))
         path = self.write(rows.sort("key"), "entries")
         written = self.spark.read.parquet(path)
         staged = self._staged(written) if register else None

@@ -4,9 +4,9 @@ import pytest
 from morphlake.operators.executor import DeadlineExpired, Executor, assert_keys_indexed, assert_upgradeable, count_orphans, inspect, report
 from morphlake.operators.log import get
 from morphlake.operators.replay import Forked, replay
-from morphlake.plans.compile import compile_step
+from morphlake.plans.compile import FunctionStep, compile_step
 from morphlake.plans.diff import diff
-from morphlake.plans.model import Plan, shape
+from morphlake.plans.model import Plan, ShapeError, shape
 from morphlake.sources.aliases import Aliases
 from morphlake.sources.control import MigrationError
 from morphlake.sources.files import Folder, Record
@@ -246,3 +246,79 @@ def test_stream_takes_each_entry_once(spark, store, tmp_path):
     assert store.entries().filter("frozen = false").count() == 600 and store.control().version == 2
     assert not store.put(rows(spark, 5, 900), stream=("landing", 1))  # given twice
     assert store.entries().count() == 600
+
+
+V = {
+    1: shape("Item", 1, "price: f64, old: Option<String>"), 2: shape("Item", 2, "price: i64, old: Option<String>"), 3: shape("Item", 3, "price: i128"),
+    4: shape("Item", 4, "cost: i128, old: Option<String>"),
+}
+PLANS = {1: Plan(1, 2, converted={"price": "cast(round(value * 100) as bigint)"}), 2: Plan(2, 3, {}, ("old",), {"price": "value * 10"}), 3: Plan(3, 4, renamed={"price": "cost"})}
+
+
+def step_to(store, v):
+    return store.compile(diff(V[v], V[v + 1], PLANS[v]))
+
+
+def run_to(store, last):
+    for v in range(store.control().version, last):
+        run = Executor(store, step_to(store, v), strict=False)
+        run.begin()
+        assert run.run_to_completion(100)[-1].done
+    return run
+
+
+def items(spark, n):
+    return spark.range(n).select(F.format_string("k%03d", "id").alias("key"), (F.col("id") + 0.25).alias("price"), F.lit("x").alias("old"))
+
+
+def test_chained_steps_keep_their_values(spark, store):
+    store.put(items(spark, 10), shape=V[1])
+    run = run_to(store, 4)
+    c = store.control()
+    assert c.where("Item", 4)["cost"] == "cost" and c.where("Item", 3)["price"] == "price__v3" and c.version == 4
+    read = {r.key: (int(r.cost), r.old) for r in store.read(V[4]).collect()}
+    assert read == {f"k{i:03d}": (i * 1000 + 250, None) for i in range(10)}  # a dropped field that comes again is empty
+    with pytest.raises(ShapeError, match="not recorded"):
+        store.read(shape("Item", 7, "cost: i128"))
+    # live writes by shape land in the right columns, and are read beside the others
+    store.put(spark.sql("select 'new' key, cast(7 as decimal(38,0)) cost, 'y' old"), shape=V[4])
+    assert {(r.key, int(r.cost), r.old) for r in store.read(V[4]).filter("key = 'new' or old is not null").collect()} == {("new", 7, "y")}
+    # the last step is taken back, and taken again
+    run.begin_rollback()
+    assert run.rollback_to_completion(100)[-1].done
+    assert {r.key: int(r.price) for r in store.read(V[3]).collect()} == {**{f"k{i:03d}": i * 1000 + 250 for i in range(10)}, "new": 7}
+    assert "4" not in store.control().columns["Item"]
+    refused("MigrationAlreadyActive", run.begin)  # until the record of the rollback is cleared
+    run.clear()
+    run_to(store, 4)
+    assert store.read(V[4]).filter("cost is null").count() == 0 and store.control().migration.started > 0
+
+
+def test_steps_for_other_columns_are_refused(spark, store):
+    store.put(items(spark, 3), shape=V[1])
+    run_to(store, 2)
+    plain = compile_step(diff(V[2], V[3], PLANS[2]))  # knows nothing of price__v2
+    with pytest.raises(ShapeError, match="price stands in price__v2"):
+        Executor(store, plain).begin()
+    assert store.control().migration.status == "Completed"
+    other = Store(spark, f"{store.root}-other")
+    other.initialize(1)
+    other.put(rows(spark, 2))
+    with pytest.raises(ShapeError, match="no column price"):
+        Executor(other, step_to(other, 1)).begin()
+
+
+def test_columns_of_a_shape_outlive_abort_and_hand_written_steps(spark, store):
+    store.put(items(spark, 6), shape=V[1])
+    run = Executor(store, step_to(store, 1))
+    run.begin()
+    run.batch(2)
+    run.abort()
+    assert step_to(store, 1).physical == run.step.physical  # what was done is found again
+    run_to(store, 2)
+    own = FunctionStep("Item", 2, 3, {"price__v2": "bigint"}, lambda x: {"price__v2": F.coalesce(x["price__v2"], F.lit(0)) * 1})
+    hand = Executor(store, own)
+    hand.begin()
+    hand.run_to_completion(10)
+    same = shape("Item", 3, "price: i64, old: Option<String>")
+    assert {r.price for r in store.read(same).collect()} == {i * 100 + 25 for i in range(6)}
