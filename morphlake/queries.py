@@ -40,15 +40,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def _sql_values(rows: list[tuple], columns: str) -> str:
-    lit = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS t({columns})"
-
-
 # ---------------------------------------------------------------- row transforms
 
 _V1 = shape("Doc", 1, "source: String, n_chars: i64")
@@ -257,100 +248,88 @@ def running_total(spark, d):
 
 # ---------------------------------------------------------------- versions and shapes
 
-_VERSIONS = [("balance", 1), ("balance", 2), ("balance", 4), ("stats", 2), ("item", 1), ("item", 2), ("item", 3)]
+#: Shapes recorded for each part and year of the line items: what was seen of a field in that year gives its type.
+_FIELDS = ("amount", "note", "flag", "owner")
+_CATALOGUE = f"""g AS MATERIALIZED (SELECT 'part' || l_partkey AS name, CAST(year(l_shipdate) - 1994 AS INTEGER) AS version, {list(_FIELDS)}[l_linenumber % 4 + 1] AS field, min(l_orderkey) AS first_key, CAST(sum(l_orderkey) % 12 AS INTEGER) AS k, max(l_quantity) AS q, max(l_discount) AS d, max(l_tax) AS t FROM lineitem GROUP BY 1, 2, 3),
+cat AS MATERIALIZED (SELECT name, version, field, k, CAST(row_number() OVER (PARTITION BY name, version ORDER BY first_key, field) - 1 AS INTEGER) AS ord, CASE WHEN d >= 0.05 AND t > 0.06 THEN 'std::option::Option<' || b || '>' WHEN d >= 0.05 THEN 'Option<' || b || '>' ELSE b END AS declared FROM (SELECT *, CASE WHEN q > 35 THEN 'i64' ELSE 'u32' END AS b FROM g))"""
 
 
-_PAIRS = f"SELECT name, version, next_version FROM (SELECT name, version, lead(version) OVER (PARTITION BY name ORDER BY version) AS next_version FROM {_sql_values(_VERSIONS, 'name, version')})"
+def _catalogue(spark, d) -> DataFrame:
+    """name, version, ord, field, declared, k: one row a field of a shape; k varies what is declared about it."""
+    field = F.element_at(F.array(*map(F.lit, _FIELDS)), F.col("l_linenumber") % 4 + 1)
+    seen = _t(spark, d, "lineitem").groupBy(F.concat(F.lit("part"), "l_partkey").alias("name"), (F.year("l_shipdate") - 1994).alias("version"), field.alias("field"))
+    g = seen.agg(F.min("l_orderkey").alias("first_key"), (F.sum("l_orderkey") % 12).cast("int").alias("k"), F.max("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    base = F.when(F.col("q") > 35, "i64").otherwise("u32")
+    wrapped = lambda head: F.concat(F.lit(head), base, F.lit(">"))
+    declared = F.when((F.col("d") >= 0.05) & (F.col("t") > 0.06), wrapped("std::option::Option<")).when(F.col("d") >= 0.05, wrapped("Option<")).otherwise(base)
+    order = F.row_number().over(Window.partitionBy("name", "version").orderBy("first_key", "field")) - 1
+    return g.select("name", "version", order.alias("ord"), "field", declared.alias("declared"), "k")
 
 
-def _versions(spark) -> DataFrame:
-    return _values(spark, _VERSIONS, "name string, version int")
+_PAIRS = "SELECT name, version, next_version FROM (SELECT name, version, lead(version) OVER (PARTITION BY name ORDER BY version) AS next_version FROM (SELECT DISTINCT name, version FROM cat))"
 
 
-@query(_PAIRS + " WHERE next_version IS NOT NULL")
+@query(f"WITH {_CATALOGUE} {_PAIRS} WHERE next_version IS NOT NULL")
 def version_pairs(spark, d):
-    return versions.pairs(_versions(spark))
+    return versions.pairs(_catalogue(spark, d))
 
 
-@query(_PAIRS + " WHERE next_version <> version + 1")
+@query(f"WITH {_CATALOGUE} {_PAIRS} WHERE next_version <> version + 1")
 def version_gaps(spark, d):
-    return versions.gaps(_versions(spark))
+    return versions.gaps(_catalogue(spark, d))
 
 
-@query(f"SELECT name, max(version) AS latest, CAST(max(version) + 1 AS INTEGER) AS next_version, max(version) - min(version) + 1 = count(*) AS contiguous FROM {_sql_values(_VERSIONS, 'name, version')} GROUP BY 1")
+@query(f"WITH {_CATALOGUE} SELECT name, max(version) AS latest, CAST(max(version) + 1 AS INTEGER) AS next_version, max(version) - min(version) + 1 = count(DISTINCT version) AS contiguous FROM cat GROUP BY 1")
 def latest_next_version(spark, d):
-    return versions.summary(_versions(spark))
-
-
-_NAMES = [("EntryV1",), ("EntryV2",), ("BalanceV12",), ("V3",), ("Stats",), ("ItemV",), ("VaultV2",), ("VaultV10",)]
+    return versions.summary(_catalogue(spark, d))
 
 
-@query(f"SELECT stem, string_agg(name, ',' ORDER BY name) AS members FROM (SELECT name, regexp_extract(name, '^(.+)V([0-9]+)$', 1) AS stem FROM {_sql_values(_NAMES, 'name')}) WHERE stem <> '' GROUP BY 1 HAVING count(*) >= 2")
+@query("""SELECT stem, string_agg(name, ',' ORDER BY name) AS members FROM (SELECT DISTINCT name, regexp_extract(name, '^(.+)V([0-9]+)$', 1) AS stem FROM (
+  SELECT 'Supplier' || l_suppkey || CASE WHEN year(l_shipdate) = 1995 THEN '' WHEN l_linenumber = 7 THEN 'V' ELSE 'V' || (year(l_shipdate) - 1994) END AS name FROM lineitem)) WHERE stem <> '' GROUP BY 1 HAVING count(*) >= 2""")
 def suffix_families(spark, d):
-    return versions.families(_values(spark, _NAMES, "name string")).select("stem", F.concat_ws(",", "members").alias("members"))
-
-
-#: Pairs of shapes: name, old fields, new fields, declarations (directive, field, value).
-_CASES = [
-    ("same", "owner: Address, amount: u32", "owner: Address, amount: u32", []),
-    ("add_optional", "amount: u32", "amount: u32, frozen: Option<bool>", []),
-    ("add_optional_init", "amount: u32", "amount: u32, frozen: Option<bool>", [("init", "frozen", "false")]),
-    ("add_required", "amount: u32", "amount: u32, frozen: bool", []),
-    ("add_required_init", "amount: u32", "amount: u32, frozen: bool", [("init", "frozen", "false")]),
-    ("removed", "amount: u32, legacy: u32", "amount: u32", []),
-    ("removed_dropped", "amount: u32, legacy: u32", "amount: u32", [("dropped", "legacy", None)]),
-    ("retyped", "amount: u32", "amount: i128", []),
-    ("retyped_converted", "amount: u32", "amount: i128", [("converted", "amount", "value")]),
-    ("retyped_blank", "amount: u32", "amount: i128", [("converted", "amount", "  ")]),
-    ("became_optional", "amount: u32", "amount: Option<u32>", []),
-    ("became_required", "amount: Option<u32>", "amount: u32", []),
-    ("became_required_init", "amount: Option<u32>", "amount: u32", [("init", "amount", "0")]),
-    ("renamed", "body: String", "note: String", [("renamed", "body", "note")]),
-    ("renamed_undeclared", "body: String", "note: String", []),
-    ("renamed_retyped", "body: String", "note_len: u32", [("renamed", "body", "note_len"), ("converted", "note_len", "length(value)")]),
-    ("renamed_optional", "body: String", "note: Option<String>", [("renamed", "body", "note")]),
-    ("reordered", "owner: Address, amount: u32", "amount: u32, owner: Address", []),
-    ("spelling", "frozen: std::option::Option<bool>", "frozen: Option<bool>", []),
-    ("three", "amount: u32, legacy: u32, flag: Option<bool>", "amount: i128, flag: bool", []),
-    ("placeholder", "amount: u32", "amount: u32, frozen: bool", [("init", "frozen", "<TODO: a value>")]),
-]
-_STALE = [
-    ("stale_dropped", "amount: u32", "amount: u32", [("dropped", "amount", None)]),
-    ("stale_missing", "amount: u32, legacy: u32", "amount: u32", [("dropped", "legacy", None), ("dropped", "never", None)]),
-    ("stale_init", "amount: u32", "amount: u32", [("init", "amount", "1")]),
-    ("stale_converted", "amount: u32", "amount: u32, x: Option<u32>", [("converted", "amount", "value")]),
-    ("stale_renamed", "a: u32, b: u32", "b: u32", [("renamed", "a", "b"), ("dropped", "a", None)]),
-    ("rename_converted", "a: u32", "b: u32", [("renamed", "a", "b"), ("converted", "b", "value")]),
-    ("good", "a: u32", "b: u32", [("renamed", "a", "b")]),
-    ("good_dropped", "a: u32", "b: u32", [("renamed", "a", "b"), ("dropped", "a", None)]),
-    ("good_converted", "a: u32", "b: i128", [("renamed", "a", "b"), ("converted", "b", "value")]),
-]
-
-
-def _fields(cases, side: int) -> list[tuple]:
-    return [(c[0], i, f.name, f.declared) for c in cases for i, f in enumerate(shape("s", 1, c[side]).fields)]
-
-
-def _declared(cases) -> list[tuple]:
-    return [(c[0], *x) for c in cases for x in c[3]]
-
-
-def _tables(spark, cases) -> tuple[DataFrame, DataFrame, DataFrame]:
-    old, new = (_values(spark, _fields(cases, s), "pair string, ord int, field string, declared string") for s in (1, 2))
-    return old, new, _values(spark, _declared(cases), "pair string, directive string, field string, value string")
-
+    year = F.year("l_shipdate")
+    suffix = F.when(year == 1995, "").when(F.col("l_linenumber") == 7, "V").otherwise(F.concat(F.lit("V"), year - 1994))
+    names = _t(spark, d, "lineitem").select(F.concat(F.lit("Supplier"), "l_suppkey", suffix).alias("name"))
+    return versions.families(names).select("stem", F.concat_ws(",", "members").alias("members"))
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The fields of both versions of every pair, and what is declared about its step."""
+    shapes = _catalogue(spark, d)
+    pair = F.concat_ws(":", "name", "version", "next_version").alias("pair")
+    both = versions.pairs(shapes)
+    old = both.join(shapes, ["name", "version"]).select(pair, "ord", "field", "declared", "k")
+    new = both.join(shapes.withColumnRenamed("version", "next_version"), ["name", "next_version"]).select(pair, "ord", "field", "declared", "k")
+    following = F.element_at(F.array(*map(F.lit, (*_FIELDS[1:], _FIELDS[0]))), F.array_position(F.array(*map(F.lit, _FIELDS)), F.col("field")).cast("int"))
+    said = lambda rows, k, what, value: rows.filter(F.col("k") == k).select("pair", F.lit(what).alias("directive"), "field", value.cast("string").alias("value"))
+    declared = said(old, 0, "dropped", F.lit(None))
+    for k, what, value in ((1, "converted", F.lit("value")), (2, "renamed", following), (3, "converted", F.lit("  ")), (8, "renamed", following), (9, "dropped", F.lit(None))):
+        declared = declared.unionAll(said(old, k, what, value))
+    for k, what, value in ((4, "init", F.lit("0")), (5, "init", F.lit("<TODO: a value>")), (6, "init", F.lit("false")), (7, "converted", F.lit("value"))):
+        declared = declared.unionAll(said(new, k, what, value))
+    return old.drop("k"), new.drop("k"), declared.distinct()
+
+
+_FOLLOWING = f"{[*_FIELDS[1:], _FIELDS[0]]}[list_position({list(_FIELDS)}, field)]"
+_SIDES = f"""{_CATALOGUE},
+vp AS (SELECT *, name || ':' || version || ':' || next_version AS pair FROM ({_PAIRS}) WHERE next_version IS NOT NULL),
+old_side AS MATERIALIZED (SELECT pair, ord, field, declared, k FROM cat JOIN vp USING (name, version)),
+new_side AS MATERIALIZED (SELECT pair, ord, field, declared, k FROM cat JOIN vp ON cat.name = vp.name AND cat.version = vp.next_version),
+said AS (SELECT DISTINCT * FROM (SELECT pair, CASE WHEN k IN (0, 9) THEN 'dropped' WHEN k IN (1, 3) THEN 'converted' ELSE 'renamed' END AS directive, field, CASE k WHEN 1 THEN 'value' WHEN 3 THEN '  ' WHEN 2 THEN {_FOLLOWING} WHEN 8 THEN {_FOLLOWING} END AS value FROM old_side WHERE k IN (0, 1, 2, 3, 8, 9)
+  UNION ALL SELECT pair, CASE WHEN k = 7 THEN 'converted' ELSE 'init' END, field, CASE k WHEN 4 THEN '0' WHEN 5 THEN '<TODO: a value>' WHEN 6 THEN 'false' ELSE 'value' END FROM new_side WHERE k IN (4, 5, 6, 7)))"""
 
 _BASE = "CASE WHEN regexp_matches({0}, '^((core|std)::option::)?Option<(.*)>$') THEN trim(regexp_extract({0}, '^((core|std)::option::)?Option<(.*)>$', 3)) ELSE {0} END"
 _OPT = "regexp_matches({0}, '^((core|std)::option::)?Option<(.*)>$')"
 
 
-def _diff_sql(cases) -> str:
-    has = lambda name, on: f"EXISTS (SELECT 1 FROM decl p WHERE p.pair = {on[0]} AND p.directive = '{name}' AND p.field = {on[1]} AND trim(coalesce(p.value, 'x')) <> '' AND trim(coalesce(p.value, 'x')) NOT LIKE '<TODO%')"
-    return f"""WITH o AS (SELECT *, {_BASE.format('declared')} AS base, {_OPT.format('declared')} AS opt FROM {_sql_values(_fields(cases, 1), 'pair, ord, field, declared')}),
-n AS (SELECT *, {_BASE.format('declared')} AS base, {_OPT.format('declared')} AS opt FROM {_sql_values(_fields(cases, 2), 'pair, ord, field, declared')}),
-decl AS (SELECT * FROM {_sql_values(_declared(cases), 'pair, directive, field, value')}),
-src AS (SELECT n.*, s.field AS old_field FROM n LEFT JOIN (SELECT d.pair, d.field, d.value FROM decl d JOIN o ON o.pair = d.pair AND o.field = d.field WHERE d.directive = 'renamed') s
-  ON s.pair = n.pair AND s.value = n.field AND NOT EXISTS (SELECT 1 FROM o WHERE o.pair = n.pair AND o.field = n.field)),
+def diff_sql(old: str = "old_side", new: str = "new_side", said: str = "said", before: str = _SIDES + ", ") -> str:
+    """Common tables up to findings, over the fields of both sides and the declarations of pairs."""
+    has = lambda name, on: f"EXISTS (SELECT 1 FROM decl p WHERE p.pair = {on[0]} AND p.directive = '{name}' AND p.field = {on[1]} AND trim(coalesce(p.value, 'x')) <> '')"
+    return f"""WITH {before}o AS MATERIALIZED (SELECT *, {_BASE.format('declared')} AS base, {_OPT.format('declared')} AS opt FROM {old}),
+n AS MATERIALIZED (SELECT *, {_BASE.format('declared')} AS base, {_OPT.format('declared')} AS opt FROM {new}),
+decl AS MATERIALIZED (SELECT * FROM {said} WHERE NOT (directive IN ('init', 'converted') AND coalesce(value, '') LIKE '<TODO%')),
+src AS (SELECT n.*, s.field AS old_field FROM n LEFT JOIN (SELECT d.pair, d.value, min(d.field) AS field FROM decl d WHERE d.directive = 'renamed' GROUP BY 1, 2) s
+  ON s.pair = n.pair AND s.value = n.field AND EXISTS (SELECT 1 FROM o WHERE o.pair = s.pair AND o.field = s.field) AND NOT EXISTS (SELECT 1 FROM o WHERE o.pair = n.pair AND o.field = n.field)),
 j AS (SELECT s.pair, s.field, s.ord, s.declared, s.base, s.opt, s.old_field, o.declared AS odecl, o.base AS obase, o.opt AS oopt FROM src s LEFT JOIN o ON o.pair = s.pair AND o.field = coalesce(s.old_field, s.field)),
 f AS (SELECT pair, field, 0 AS part, ord, CASE
   WHEN old_field IS NOT NULL THEN 'Renamed' WHEN odecl IS NULL AND opt THEN 'AddedOptional' WHEN odecl IS NULL THEN 'AddedRequired'
@@ -368,103 +347,131 @@ findings AS (SELECT * FROM f WHERE kind IS NOT NULL UNION ALL SELECT * FROM gone
 """
 
 
-_FIND = "SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY part, ord) - 1 AS INTEGER) AS place, field, kind, CAST(severity AS INTEGER) AS severity FROM findings"
+FINDINGS_SQL = "SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY part, ord) - 1 AS INTEGER) AS place, field, kind, CAST(severity AS INTEGER) AS severity FROM findings"
 
 
-@query(_diff_sql([c for c in _CASES if not c[3]] + [("none", "a: u32", "a: u32", [("init", "q", "1")])]) + _FIND)
+@query(diff_sql(said="(SELECT * FROM said WHERE false)") + FINDINGS_SQL)
 def schema_diff(spark, d):
-    cases = [c for c in _CASES if not c[3]]
-    old, new, _ = _tables(spark, cases)
+    old, new, _ = _sides(spark, d)
     return differ.diff_tables(old, new)
 
 
-@query(_diff_sql(_CASES) + _FIND)
+@query(diff_sql() + FINDINGS_SQL)
 def schema_diff_plan(spark, d):
-    return differ.diff_tables(*_tables(spark, _CASES))
+    return differ.diff_tables(*_sides(spark, d))
 
 
-@query(_diff_sql(_CASES) + "SELECT o.pair, CASE max(coalesce(severity, 0)) WHEN 2 THEN 'Denied' WHEN 1 THEN 'SafeWithLazyMigration' ELSE 'Safe' END AS verdict FROM (SELECT DISTINCT pair FROM o) o LEFT JOIN findings f ON f.pair = o.pair GROUP BY 1")
+@query(diff_sql() + "SELECT o.pair, CASE max(coalesce(severity, 0)) WHEN 2 THEN 'Denied' WHEN 1 THEN 'SafeWithLazyMigration' ELSE 'Safe' END AS verdict FROM (SELECT DISTINCT pair FROM o) o LEFT JOIN findings f ON f.pair = o.pair GROUP BY 1")
 def schema_verdict(spark, d):
-    tables = _tables(spark, _CASES)
+    tables = _sides(spark, d)
     return differ.verdicts(tables[0], differ.diff_tables(*tables))
 
 
-@query(_diff_sql(_CASES) + "SELECT CASE WHEN max(severity) = 2 THEN 'Denied' ELSE 'Other' END AS worst, count(*) FILTER (severity >= 2) AS denied, count(*) FILTER (severity >= 1) AS warnings_up, count(*) AS findings FROM findings")
+@query(diff_sql() + "SELECT CASE max(severity) WHEN 2 THEN 'Denied' WHEN 1 THEN 'Warning' ELSE 'Info' END AS worst, count(*) FILTER (severity >= 2) AS denied, count(*) FILTER (severity >= 1) AS warnings_up, count(*) AS findings FROM findings")
 def findings_at_least(spark, d):
-    return differ.counts(differ.diff_tables(*_tables(spark, _CASES)))
+    return differ.counts(differ.diff_tables(*_sides(spark, d)))
 
 
-_STALE_SQL = """SELECT p.pair, p.directive, p.field FROM decl p WHERE
+STALE_SQL = """SELECT p.pair, p.directive, p.field FROM decl p WHERE
   (p.directive = 'init' AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.pair = p.pair AND f.field = p.field AND f.kind IN ('AddedOptional', 'AddedRequired', 'Retyped', 'BecameRequired', 'Renamed')))
   OR (p.directive = 'dropped' AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.pair = p.pair AND g.field = p.field) AND NOT EXISTS (SELECT 1 FROM src s WHERE s.pair = p.pair AND s.old_field = p.field))
   OR (p.directive = 'converted' AND NOT EXISTS (SELECT 1 FROM j WHERE j.pair = p.pair AND j.field = p.field AND (j.obase <> j.base OR (j.old_field IS NULL AND j.oopt AND NOT j.opt))))
   OR (p.directive = 'renamed' AND NOT (EXISTS (SELECT 1 FROM o WHERE o.pair = p.pair AND o.field = p.field) AND EXISTS (SELECT 1 FROM n WHERE n.pair = p.pair AND n.field = p.value) AND NOT EXISTS (SELECT 1 FROM o WHERE o.pair = p.pair AND o.field = p.value)))"""
 
 
-@query(_diff_sql(_STALE) + _STALE_SQL)
+@query(diff_sql() + STALE_SQL)
 def stale_directives(spark, d):
-    old, new, declared = _tables(spark, _STALE)
+    old, new, declared = _sides(spark, d)
     return differ.stale_tables(declared, differ.diff_tables(old, new, declared), old, new)
 
 
-_SPACE_OLD = [("real", 0, "Migration", "MigrationKey", True), ("real", 1, "Balance", "Address", False), ("real", 2, "Stats", None, False), ("real", 3, "Admin", None, False), ("order", 0, "A", None, False), ("order", 1, "B", "u32", False), ("spelled", 0, "A", "std::vec::Vec< u32 >", False), ("unit", 0, "A", None, False)]
-_SPACE_NEW = [("real", 0, "Migration", "MigrationKey", False), ("real", 1, "Balance", "u64", True), ("real", 2, "Total", None, False), ("real", 3, "Admin", None, False), ("order", 0, "B", "u32", False), ("order", 1, "A", None, False), ("spelled", 0, "A", "Vec<u32>", False), ("unit", 0, "A", "u32", False)]
-_SPACE = "pair, ord, variant, payload, migration"
-
-
-@query(f"""WITH o AS (SELECT * FROM {_sql_values(_SPACE_OLD, _SPACE)}), n AS (SELECT * FROM {_sql_values(_SPACE_NEW, _SPACE)}),
+def space_sql(old: str, new: str) -> str:
+    return f"""WITH o AS (SELECT * FROM {old}), n AS (SELECT * FROM {new}),
 j AS (SELECT coalesce(o.pair, n.pair) AS pair, coalesce(o.variant, n.variant) AS variant, o.variant AS ov, n.variant AS nv, replace(replace(o.payload, ' ', ''), 'std::vec::', '') AS op, replace(replace(n.payload, ' ', ''), 'std::vec::', '') AS np, o.migration AS om, n.migration AS nm FROM o FULL JOIN n ON o.pair = n.pair AND o.variant = n.variant),
 f AS (SELECT pair, variant, 'VariantAdded' AS kind, 0 AS severity FROM j WHERE ov IS NULL UNION ALL SELECT pair, variant, 'VariantRemoved', 2 FROM j WHERE nv IS NULL
 UNION ALL SELECT pair, variant, 'PayloadChanged', 2 FROM j WHERE ov IS NOT NULL AND nv IS NOT NULL AND op IS DISTINCT FROM np UNION ALL SELECT pair, variant, 'MarkerMoved', 2 FROM j WHERE om <> nm)
-SELECT * FROM f UNION ALL SELECT a.pair, '', 'Reordered', 0 FROM (SELECT pair, list(variant ORDER BY ord) AS x FROM o GROUP BY 1) a JOIN (SELECT pair, list(variant ORDER BY ord) AS y FROM n GROUP BY 1) b ON a.pair = b.pair WHERE x <> y AND a.pair NOT IN (SELECT pair FROM f)""")
+SELECT * FROM f UNION ALL SELECT a.pair, '', 'Reordered', 0 FROM (SELECT pair, list(variant ORDER BY ord) AS x FROM o GROUP BY 1) a JOIN (SELECT pair, list(variant ORDER BY ord) AS y FROM n GROUP BY 1) b ON a.pair = b.pair WHERE x <> y AND a.pair NOT IN (SELECT pair FROM f)"""
+
+
+_PAYLOADS = ("u32", "std::vec::Vec< u32 >", "Vec<u32>")
+_SPACE = f"(SELECT user_id || ':' || day(ts) // 4 AS pair, CAST(row_number() OVER (PARTITION BY user_id, day(ts) // 4 ORDER BY min(event_id)) AS INTEGER) AS ord, event_type AS variant, {list(_PAYLOADS)}[CAST(sum(event_id) % 4 AS INTEGER)] AS payload, count(*) % 5 = 0 AS migration FROM events WHERE day(ts) % 4 {{}} GROUP BY user_id, day(ts) // 4, event_type)"
+
+
+def _space(spark, d, when) -> DataFrame:
+    """The event types of a user in some days as a key space: pair, ord, variant, payload, migration."""
+    day = F.dayofmonth("ts")
+    events = _t(spark, d, "events").filter(when(day % 4)).groupBy("user_id", F.expr("dayofmonth(ts) div 4").alias("span"), F.col("event_type").alias("variant"))
+    kind = F.col("k").cast("int")
+    seen = events.agg(F.min("event_id").alias("first_id"), (F.sum("event_id") % 4).alias("k"), (F.count(F.lit(1)) % 5 == 0).alias("migration"))
+    order = F.row_number().over(Window.partitionBy("user_id", "span").orderBy("first_id"))
+    payload = F.when(kind > 0, F.element_at(F.array(*map(F.lit, _PAYLOADS)), F.greatest(kind, F.lit(1))))
+    return seen.select(F.concat_ws(":", "user_id", "span").alias("pair"), order.alias("ord"), "variant", payload.alias("payload"), "migration")
+
+
+@query(space_sql(_SPACE.format("< 2"), _SPACE.format(">= 2")))
 def key_space_diff(spark, d):
-    schema = "pair string, ord int, variant string, payload string, migration boolean"
-    return differ.key_space_tables(_values(spark, _SPACE_OLD, schema), _values(spark, _SPACE_NEW, schema))
+    """The key spaces of the first and the last two days of four, of each user."""
+    return differ.key_space_tables(_space(spark, d, lambda x: x < 2), _space(spark, d, lambda x: x >= 2))
 
 
-_DECLARED = [("balance", 1, "owner: Address"), ("balance", 2, "owner: Address, frozen: Option<bool>"), ("stats", 2, "total: i128"), ("fresh", 1, "a: u32")]
-_COMMITTED = [("balance", 1, "owner: Address"), ("balance", 2, "owner: Address, frozen: bool"), ("stats", 2, "total: i128"), ("gone", 1, "b: u32")]
+_TEXTS = "(SELECT 'part' || l_partkey AS name, CAST(year(l_shipdate) - 1994 AS INTEGER) AS version, string_agg(DISTINCT 'f' || l_linenumber || ': ' || CASE WHEN l_quantity > 35 THEN 'i64' ELSE 'u32' END, ', ' ORDER BY 'f' || l_linenumber || ': ' || CASE WHEN l_quantity > 35 THEN 'i64' ELSE 'u32' END) AS fields FROM lineitem WHERE l_returnflag <> '{}' GROUP BY 1, 2)"
+
+
+def _texts(spark, d, without: str) -> DataFrame:
+    """name, version and the fields of the shapes of parts, as seen without one kind of line items."""
+    field = F.concat(F.lit("f"), "l_linenumber", F.lit(": "), F.when(F.col("l_quantity") > 35, "i64").otherwise("u32"))
+    lines = _t(spark, d, "lineitem").filter(F.col("l_returnflag") != without)
+    return lines.groupBy(F.concat(F.lit("part"), "l_partkey").alias("name"), (F.year("l_shipdate") - 1994).alias("version")).agg(F.concat_ws(", ", F.sort_array(F.collect_set(field))).alias("fields"))
 
 
 @query(f"""SELECT coalesce(a.name, b.name) AS name, coalesce(a.version, b.version) AS version,
   CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'undeclared' WHEN a.fields <> b.fields THEN 'changed' ELSE 'equal' END AS state
-  FROM {_sql_values(_DECLARED, 'name, version, fields').replace(' AS t(', ' AS a(')} FULL JOIN {_sql_values(_COMMITTED, 'name, version, fields').replace(' AS t(', ' AS b(')} ON a.name = b.name AND a.version = b.version""")
+  FROM {_TEXTS.format("R")} a FULL JOIN {_TEXTS.format("A")} b ON a.name = b.name AND a.version = b.version""")
 def snapshot_drift(spark, d):
-    schema = "name string, version int, fields string"
-    return drift_table(_values(spark, _DECLARED, schema), _values(spark, _COMMITTED, schema))
+    """What is declared (seen without returned items) against what is committed (without accepted ones)."""
+    return drift_table(_texts(spark, d, "R"), _texts(spark, d, "A"))
+
 
+#: Type texts, in which {} is a type named after a quantity.
+_TYPES = ("{}", " Option<{}> ", "std::option::Option< Vec<{}> >", "core::option::Option<Option<{}>>", "Option<{}", "alloc::vec::Vec<std::string::String, {}>", "Map<Symbol, core::primitive::{}>", "any_sdk::{}")
+_TYPE_TEXTS = f"(SELECT DISTINCT replace({list(_TYPES)}[CAST(l_orderkey % 8 AS INTEGER) + 1], '{{}}', 'u' || CAST(l_quantity AS INTEGER)) AS declared FROM lineitem)"
 
-_TYPES = [("u32",), (" Option<bool> ",), ("std::option::Option< Vec<u8> >",), ("core::option::Option<Option<u32>>",), ("Option<bool",), ("alloc::vec::Vec<std::string::String>",), ("Map<Symbol, core::primitive::u32>",), ("any_sdk::Address",)]
 
+def _type_texts(spark, d) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("l_orderkey") % 8).cast("int") + 1)
+    return _t(spark, d, "lineitem").select(F.replace(text, F.lit("{}"), F.concat(F.lit("u"), F.col("l_quantity").cast("int"))).alias("declared")).distinct()
 
-@query(f"SELECT declared, {_BASE.format('trim(declared)')} AS base, {_OPT.format('trim(declared)')} AS optional FROM {_sql_values(_TYPES, 'declared')}")
+
+@query(f"SELECT declared, {_BASE.format('trim(declared)')} AS base, {_OPT.format('trim(declared)')} AS optional FROM {_TYPE_TEXTS}")
 def split_option(spark, d):
-    t = _values(spark, _TYPES, "declared string")
-    return t.select("declared", types.base_type(F.col("declared")).alias("base"), types.is_optional(F.col("declared")).alias("optional"))
+    return _type_texts(spark, d).select("declared", types.base_type(F.col("declared")).alias("base"), types.is_optional(F.col("declared")).alias("optional"))
 
 
-@query("SELECT declared, replace(replace(replace(replace(replace(replace(replace(replace(replace(declared, ' ', ''), 'any_sdk::', ''), 'core::option::Option<', 'Option<'), 'std::option::Option<', 'Option<'), 'std::string::String', 'String'), 'alloc::string::String', 'String'), 'alloc::vec::Vec<', 'Vec<'), 'std::vec::Vec<', 'Vec<'), 'core::primitive::', '') AS normalized FROM " + _sql_values(_TYPES, "declared"))
+@query("SELECT declared, replace(replace(replace(replace(replace(replace(replace(replace(replace(declared, ' ', ''), 'any_sdk::', ''), 'core::option::Option<', 'Option<'), 'std::option::Option<', 'Option<'), 'std::string::String', 'String'), 'alloc::string::String', 'String'), 'alloc::vec::Vec<', 'Vec<'), 'std::vec::Vec<', 'Vec<'), 'core::primitive::', '') AS normalized FROM " + _TYPE_TEXTS)
 def normalize_type(spark, d):
-    return _values(spark, _TYPES, "declared string").select("declared", types.normalized(F.col("declared"), ("any_sdk",)).alias("normalized"))
+    return _type_texts(spark, d).select("declared", types.normalized(F.col("declared"), ("any_sdk",)).alias("normalized"))
 
 
-_GATE = [(None, 1), (1, 1), (2, 1), (1, 2), (3, 2)]
+_GATES = "(SELECT max(year(l_shipdate) - 1994) FILTER (l_returnflag = 'A' AND l_quantity > 25) AS recorded, max(year(l_shipdate) - 1994) FILTER (l_returnflag <> 'A') AS expected FROM lineitem GROUP BY l_partkey HAVING expected IS NOT NULL)"
 
 
-@query(f"SELECT recorded, expected, CASE WHEN recorded IS NULL THEN 'NotInitialized' WHEN recorded > expected THEN 'StateNewerThanContract' WHEN recorded < expected THEN 'VersionMismatch' ELSE 'ok' END AS gate, coalesce(recorded < expected, false) AS behind FROM {_sql_values(_GATE, 'recorded, expected')}")
+@query(f"SELECT CAST(recorded AS INTEGER) AS recorded, CAST(expected AS INTEGER) AS expected, CASE WHEN recorded IS NULL THEN 'NotInitialized' WHEN recorded > expected THEN 'StateNewerThanContract' WHEN recorded < expected THEN 'VersionMismatch' ELSE 'ok' END AS gate, coalesce(recorded < expected, false) AS behind FROM {_GATES}")
 def version_gate(spark, d):
-    return versions.gates(_values(spark, _GATE, "recorded int, expected int"))
-
-
-_TAGS = [("live", "aa"), ("next", "bb"), ("other", "cc")]
-
-
-_MOVES = [("live", "next"), ("other", "unknown")]
+    """What readers that expect the last version of one kind of line items meet in the versions of another kind."""
+    version, accepted = F.year("l_shipdate") - 1994, F.col("l_returnflag") == "A"
+    parts = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.max(F.when(accepted & (F.col("l_quantity") > 25), version)).alias("recorded"), F.max(F.when(~accepted, version)).alias("expected"))
+    return versions.gates(parts.filter("expected is not null"))
 
 
-@query(f"WITH t AS (SELECT * FROM {_sql_values(_TAGS, 'tag, hash')}), m AS (SELECT live, candidate FROM {_sql_values(_MOVES, 'live, candidate')}) SELECT t.tag, coalesce(c.hash, t.hash) AS hash FROM t LEFT JOIN m ON m.live = t.tag LEFT JOIN t c ON c.tag = m.candidate")
+@query("""WITH t AS (SELECT 'c' || o_custkey AS tag, md5(CAST(max(o_orderkey) AS VARCHAR)) AS hash FROM orders GROUP BY 1), m AS (SELECT DISTINCT 'c' || o_custkey AS live, 'c' || (o_custkey + 1) AS candidate FROM orders WHERE o_custkey % 3 = 0)
+  SELECT t.tag, coalesce(c.hash, t.hash) AS hash FROM t LEFT JOIN m ON m.live = t.tag LEFT JOIN t c ON c.tag = m.candidate""")
 def alias_promote(spark, d):
-    return promoted(_values(spark, _TAGS, "tag string, hash string"), _values(spark, _MOVES, "live string, candidate string"))
+    """A tag a customer, on their last order; every third is moved to the next customer's, if there is one."""
+    orders = _t(spark, d, "orders")
+    named = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    tags = orders.groupBy(named(F.col("o_custkey")).alias("tag")).agg(F.md5(F.max("o_orderkey").cast("string")).alias("hash"))
+    moves = orders.filter("o_custkey % 3 = 0").select(named(F.col("o_custkey")).alias("live"), named(F.col("o_custkey") + 1).alias("candidate")).distinct()
+    return promoted(tags, moves)
 
 
 _COST = "SELECT l_linenumber AS run, l_suppkey AS batch, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS instructions, CAST(max(CAST(l_quantity AS BIGINT)) AS BIGINT) AS memory, count(*) AS total FROM lineitem GROUP BY 1, 2"
