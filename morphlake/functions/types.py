@@ -63,7 +63,7 @@ def normalized(declared: Column, crates: tuple[str, ...] = ()) -> Column:
 #: What each base type is in Spark. Types not listed are opaque text.
 SPARK_TYPES = {
     "u32": "bigint", "i32": "int", "u64": "decimal(20,0)", "i64": "bigint", "u128": "string", "i128": "decimal(38,0)",
-    "bool": "boolean", "String": "string", "Symbol": "string", "Address": "string", "Bytes": "binary",
+    "f64": "double", "bool": "boolean", "String": "string", "Symbol": "string", "Address": "string", "Bytes": "binary",
 }
 
 

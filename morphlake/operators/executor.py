@@ -15,11 +15,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import DEFAULT_BATCH, LARGEST_BATCH
-from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tally
+from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tallies
 from morphlake.plans.compile import FunctionStep, Step
 from morphlake.plans.model import ShapeError
 from morphlake.sources.control import COMPLETED, ROLLED_BACK, ROLLING_BACK, RUNNING, Control, Migration, MigrationError
@@ -117,15 +117,15 @@ class Executor:
         return m
 
     def _visit(self, c: Control, visits: DataFrame, down: bool) -> tuple[str, dict]:
-        """Evaluates a slice once, writes it, and counts from what was written. Only the entries of
+        """Evaluates a slice once, and counts its outcomes in the job that writes it. Only the entries of
         the slice's keys are read and merged."""
         keys = visits.select("key").distinct()
         entries = self.store.entries(c, keys)
         found = keys.join(entries.withColumn("_present", F.lit(True)), "key", "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
         moved = (self.step.down if down else self.step.up)(found, self.shape_col)
-        path = self.store.write(visits.join(moved.drop("_present"), "key"), "visits")
-        written = self.store.spark.read.parquet(path)
-        return path, tally(per_visit(written, newest_first=down)).first().asDict()
+        seen, counted = per_visit(visits.join(moved.drop("_present"), "key"), newest_first=down), Observation()
+        path = self.store.write(seen.observe(counted, *tallies()), "visits")
+        return path, counted.get
 
     @retried
     def batch(self, limit: int = DEFAULT_BATCH) -> Outcome:
@@ -151,14 +151,15 @@ class Executor:
         m.cursor, m.total = m.cursor + n, total
         if done := m.cursor >= m.total:
             m.status, c.version = COMPLETED, self.b
+        self.store.roll(c)
         self.store.commit(c)
         return Outcome(self.a, self.b, m.cursor, m.total, **counts, done=done)
 
     def _keep(self, c: Control, path: str, counts: dict) -> None:
         """Rows that changed become a delta; rows that did not are not written again."""
         if counts["migrated"]:
-            rows = self.store.spark.read.parquet(path).filter("outcome = 'Migrated'").drop("pos", "step", "outcome").dropDuplicates(["key"])
-            c.add_entries(self.store.write(rows.sort("key"), "entries"), rows)
+            rows = self.store.spark.read.parquet(path).filter("outcome = 'Migrated'").drop("pos", "step", "outcome")  # the first visit of each key
+            c.add_entries(self.store.write(rows.sort("key"), "entries"), rows, counts["migrated"])
 
     def batch_within(self, limit: int, seconds: float) -> Outcome:
         """A batch whose jobs are cancelled after so many seconds (0: never). The record then tells whether
@@ -252,6 +253,7 @@ class Executor:
         if done := m.cursor >= m.total:
             m.status, c.version = ROLLED_BACK, self.a
             c.columns.get(self.step.name, {}).pop(str(self.b), None)  # nothing stands there any more
+        self.store.roll(c)
         self.store.commit(c)
         return Outcome(self.a, self.b, m.cursor, m.total, **counts, done=done)
 

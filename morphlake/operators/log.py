@@ -82,8 +82,13 @@ def duplicates(log: DataFrame, key: str = "key") -> DataFrame:
 
 def tally(visits: DataFrame, by: list[Column] | None = None) -> DataFrame:
     """visited, migrated, already_current, skipped."""
+    return visits.groupBy(*(by or [])).agg(*tallies())
+
+
+def tallies() -> list[Column]:
+    """The columns of tally, to aggregate or to observe."""
     n = lambda name: F.count_if(F.col("outcome") == name).alias
-    return visits.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("visited"), n("Migrated")("migrated"), n("AlreadyCurrent")("already_current"), n("Skipped")("skipped"))
+    return [F.count(F.lit(1)).alias("visited"), n("Migrated")("migrated"), n("AlreadyCurrent")("already_current"), n("Skipped")("skipped")]
 
 
 def per_visit(visits: DataFrame, key: str = "key", newest_first: bool = False) -> DataFrame:

@@ -17,11 +17,11 @@ from morphlake.plans import diff as differ
 from morphlake.plans import versions
 from morphlake.plans.compile import compile_step
 from morphlake.plans.model import Plan, shape
-from morphlake.sources.aliases import promoted
+from morphlake.sources.aliases import StateTags, promoted
 from morphlake.sources.files import scratch
 from morphlake.sources.project import drift_table
 from morphlake.sources.store import Store
-from morphlake.streaming.follow import running_totals
+from morphlake.streaming.follow import follow_totals, ingest, running_totals, totals_so_far, totals_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,7 +188,10 @@ def log_mid_page_slice(spark, d):
 
 @query(f"SELECT key FROM ({_LOG}) WHERE pos = 77")
 def log_get(spark, d):
-    return logs.at(_log(spark, d), 77).select("key")
+    """A position by the guarded read."""
+    log = _log(spark, d)
+    key = logs.get(log, 77, _t(spark, d, "events").count())
+    return _t(spark, d, "events").filter(F.col("event_id") == key).select(F.col("event_id").alias("key"))
 
 
 @query(f"SELECT pos // 150 AS batch, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM ({_LOG}) GROUP BY 1")
@@ -654,3 +657,91 @@ def chained_rollback(spark, d):
     run.begin_rollback()
     run.rollback_to_completion(1 << 22, most=1 << 30)
     return store.read(_ITEM[3]).select("key", F.col("price").cast("bigint").alias("price"))
+
+
+# ---------------------------------------------------------------- states, pieces of a log, dry runs, streams
+
+
+@query("""SELECT 'before' AS tag, CAST(d.doc_id AS VARCHAR) AS key, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'live', CAST(d.doc_id AS VARCHAR), coalesce(l.toxic, 0) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def tagged_states(spark, d):
+    """A tag on the state before a migration and one that is promoted to the state after it: both are read."""
+    store, run = _doc_store(spark, d)
+    tags = StateTags(store)
+    tags.publish("before")
+    tags.publish("live", tags.resolve("before"))
+    run.strict = False
+    run.begin()
+    run.run_to_completion(1 << 20)
+    tags.publish("candidate")
+    tags.promote("live", "candidate")
+    read = lambda tag, of: tags.read(tag, of).select(F.lit(tag).alias("tag"), "key", "toxic")
+    old = shape("Doc", 1, "source: String, n_chars: i64, toxic: Option<i32>")  # what was there of the new field
+    return read("before", old).unionAll(read("live", _V2))
+
+
+@query("""SELECT 1 AS version, 0 AS segment, count(*) AS length, CAST(0 AS BIGINT) AS first_pos, count(*) - 1 AS last_pos FROM events
+  UNION ALL SELECT 2, CAST(i AS INTEGER), 100, i * 100, i * 100 + 99 FROM range(5) t(i)""")
+def log_segments(spark, d):
+    """The pieces in which the logs of both versions are stored after five batches."""
+    store = Store(spark, scratch(spark))
+    store.initialize(1)
+    store.put(_events(spark, d).select("key"))
+    run = Executor(store, _EVENT)
+    run.begin()
+    run.run_to_completion(100, most=5)
+    return store.segments(1).select(F.lit(1).alias("version"), "*").unionAll(store.segments(2).select(F.lit(2), "*"))
+
+
+@query(_VISITS + """, b AS (SELECT pos // 250 AS batch, count(*) AS rows FROM v GROUP BY 1) SELECT CAST(batch AS INTEGER) AS batch, rows, max(t.total) AS total, sum(rows) OVER () AS total_rows, rows > 200 AS over FROM b, t GROUP BY batch, rows""")
+def dry_run_accounts(spark, d):
+    """A migration on a copy of the record: its batches, what they visit, and which exceed a cap of 200 rows."""
+    store, _ = _doc_store(spark, d)
+    got = replay.replay(replay.Forked(store, lambda s: Executor(s, _FILL, strict=False), scratch(spark)), 250, most=1 << 20)
+    caps, every = {"rows": 200}, int(got.total("rows"))
+    rows = [(i, cost["rows"], outcome.total, every, not replay.fits(cost, caps)) for i, (outcome, cost) in enumerate(got.batches)]
+    return spark.createDataFrame(rows, "batch int, rows bigint, total bigint, total_rows bigint, over boolean")
+
+
+_CENTS = "SELECT user_id, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END AS batch, CAST(round(value * 100) AS BIGINT) AS cents FROM events"
+
+
+def _followed(spark, d) -> tuple[str, str]:
+    """Events that land in three parts, each taken in by a stream that is started anew: its checkpoint and what it wrote."""
+    root = scratch(spark)
+    day, cents = F.dayofmonth("ts"), F.round(F.col("value") * 100).cast("bigint").alias("cents")
+    events = _t(spark, d, "events")
+    for part in (day <= 10, (day > 10) & (day <= 20), day > 20):
+        events.filter(part).select("user_id", cents).write.mode("append").parquet(f"{root}/landing")
+        follow_totals(spark, f"{root}/landing", "user_id bigint, cents bigint", "user_id", "cents", f"{root}/checkpoint", f"{root}/totals").awaitTermination()
+    return f"{root}/checkpoint", f"{root}/totals"
+
+
+@query(f"SELECT user_id, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM ({_CENTS}) GROUP BY 1")
+def running_total_state(spark, d):
+    """The sums that stand in the state of a stream after two restarts."""
+    return totals_state(spark, _followed(spark, d)[0], "user_id")
+
+
+@query(f"SELECT user_id, batch, CAST(sum(total) OVER w AS BIGINT) AS total, CAST(sum(n) OVER w AS BIGINT) AS n FROM (SELECT user_id, batch, sum(cents) AS total, count(*) AS n FROM ({_CENTS}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY user_id ORDER BY batch)")
+def running_total_updates(spark, d):
+    """The sum of each user after each micro-batch that moved it."""
+    return spark.read.parquet(_followed(spark, d)[1]).select("user_id", "batch", "total", "n")
+
+
+@query(f"SELECT user_id, CAST(sum(cents) AS BIGINT) AS total, count(*) AS n FROM ({_CENTS}) GROUP BY 1")
+def running_total_latest(spark, d):
+    return totals_so_far(spark, _followed(spark, d)[1])
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS key, value, true AS seen FROM events")
+def stream_ingest_migrate(spark, d):
+    """Events that land in three parts: taken in by a stream that is started anew for each, and migrated."""
+    root = scratch(spark)
+    store = Store(spark, f"{root}/store")
+    store.initialize(1)
+    rows = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), "value", F.dayofmonth("ts").alias("day"))
+    for part in ("day <= 10", "day > 10 and day <= 20", "day > 20"):
+        rows.filter(part).drop("day").write.mode("append").parquet(f"{root}/landing")
+        ingest(spark, f"{root}/landing", "key string, value double", store, f"{root}/checkpoint", Executor(store, _EVENT, strict=False), limit=1 << 20).awaitTermination()
+    return store.read(shape("Event", 2, "value: f64, seen: Option<bool>"))

@@ -9,8 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.sources.control import MigrationError
+from morphlake.plans.model import Shape
+from morphlake.sources.control import Control, MigrationError
 from morphlake.sources.files import Folder, Record
+from morphlake.sources.store import Store
 
 
 class Aliases:
@@ -54,6 +56,60 @@ class Aliases:
         return spark.read.parquet(self.resolve(tag))
 
 
+class StateTags:
+    """Tags that point to states of a store. A tagged state is pinned: it can be read however many follow it."""
+
+    def __init__(self, store: Store):
+        self.store = store
+        self.aliases = Aliases(f"{store.root}/tags", store.spark)
+
+    def _pinned(self, number: int) -> str:
+        try:
+            self.store.record.pin(number)
+        except KeyError as e:
+            raise MigrationError("UnknownExecutableTag", f"state {number} is not kept") from e
+        return str(number)
+
+    def publish(self, tag: str, number: int | None = None) -> int:
+        """Points a tag, new or old, to a state: the newest, if no number is given."""
+        number = self.store.control().commits if number is None else number
+        self.aliases.publish(tag, self._pinned(number))
+        return number
+
+    def exists(self, tag: str) -> bool:
+        return self.aliases.exists(tag)
+
+    def resolve(self, tag: str) -> int:
+        return int(self.aliases.resolve(tag))
+
+    def promote(self, live: str, candidate: str) -> int:
+        """live then points to candidate's state; both must exist."""
+        return int(self.aliases.promote(live, candidate))
+
+    def promote_to(self, live: str, number: int) -> None:
+        """Back to a state whose number was noted."""
+        self.aliases.resolve(live)
+        self.aliases.promote_to(live, self._pinned(number))
+
+    def state(self, tag: str) -> Control:
+        return self.store.control(self.resolve(tag))
+
+    def entries(self, tag: str, keys: DataFrame | None = None) -> DataFrame:
+        """The entries as they were in the tagged state."""
+        return self.store.entries(self.state(tag), keys)
+
+    def read(self, tag: str, shape: Shape, mode: str = "strict") -> DataFrame:
+        return self.store.read(shape, self.state(tag), mode)
+
+    def release(self) -> list[int]:
+        """Lets go of pinned states that no tag points to; a sweep then deletes what only they read. Not while another
+        writer is about to tag an old state."""
+        gone = sorted({*self.store.record.pins()} - {int(x) for x in self.aliases._all().values()})
+        for number in gone:
+            self.store.record.unpin(number)
+        return gone
+
+
 def _known(tags: dict[str, str], tag: str) -> str:
     if tag not in tags:
         raise MigrationError("UnknownExecutableTag", tag)

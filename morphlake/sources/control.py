@@ -70,6 +70,26 @@ class Migration:
         return (self.from_version, self.to_version) == (a, b)
 
 
+#: So many folders of about one size are merged into one while a store is written.
+FAN = 8
+
+
+def run_of(sizes: list[int | None], fan: int = FAN) -> int | None:
+    """Where a run of fan folders of one size class starts at the end of a list: classes are powers of fan, so a
+    list of n writes of one size stays within fan times the logarithm of n. None if there is no such run."""
+    kind = lambda n: None if n is None else len(_digits(n, fan))
+    tail = [kind(n) for n in sizes[-fan:]]
+    return len(sizes) - fan if len(tail) == fan and tail[-1] is not None and len(set(tail)) == 1 else None
+
+
+def _digits(n: int, base: int) -> list[int]:
+    out = []
+    while n:
+        n, r = divmod(n, base)
+        out.append(r)
+    return out
+
+
 @dataclass
 class Control:
     format: int = FORMAT
@@ -81,6 +101,7 @@ class Control:
     schema: dict[str, str] = field(default_factory=dict)  # type of every column of the entries
     streams: dict[str, int] = field(default_factory=dict)  # last batch taken in of each stream
     columns: dict[str, dict[str, dict[str, str]]] = field(default_factory=dict)  # shape, version, field: the column that holds it
+    sizes: dict[str, int] = field(default_factory=dict)  # rows of each folder
     commits: int = 0  # number of this record
 
     def length(self, version: int) -> int:
@@ -89,16 +110,30 @@ class Control:
     def log(self, version: int) -> list[str]:
         return self.logs.get(str(version), [])
 
-    def add_entries(self, path: str, rows: DataFrame) -> None:
+    def add_entries(self, path: str, rows: DataFrame, n: int) -> None:
+        """A folder of n rows that are newer than all before."""
         for name, kind in rows.dtypes:
             if self.schema.setdefault(name, kind) != kind:
                 raise ValueError(f"{name} is {self.schema[name]} in the store and {kind} in the new rows")
         self.entries.append(path)
+        self.sizes[path] = n
 
     def add_log(self, version: int, path: str, n: int) -> None:
         """n rows at the end of a version's log."""
         self.logs.setdefault(str(version), []).append(path)
         self.lengths[str(version)] = self.length(version) + n
+        self.sizes[path] = n
+
+    def replace(self, folders: list[str], first: int, path: str, n: int) -> None:
+        """One folder in place of those from first on."""
+        for old in folders[first:]:
+            self.sizes.pop(old, None)
+        folders[first:] = [path]
+        self.sizes[path] = n
+
+    def folders(self) -> set[str]:
+        """All folders that this state reads."""
+        return {*self.entries, *(x for paths in self.logs.values() for x in paths)}
 
     # -------- where fields stand
 

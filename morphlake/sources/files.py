@@ -106,6 +106,15 @@ class Folder:
             store, path = self._at(name)
             store.delete(path, True)
 
+    def newest(self, name: str) -> dict[str, float]:
+        """The folders below a folder, each with the time (in seconds) of its newest file."""
+        if self.local:
+            found = [x for x in os.scandir(Path(self.root, name)) if x.is_dir()] if os.path.isdir(Path(self.root, name)) else []
+            return {x.name: max([os.stat(x).st_mtime, *(y.stat().st_mtime for y in os.scandir(x))]) for x in found}
+        store, path = self._at(name)
+        found = [x.getPath() for x in store.listStatus(path) if x.isDirectory()] if store.exists(path) else []
+        return {x.getName(): max([0, *(y.getModificationTime() for y in store.listStatus(x))]) / 1000 for x in found}
+
     def size(self) -> int:
         """Bytes of all files below."""
         if self.local:
@@ -149,6 +158,9 @@ class Record:
         """Keeps a number for good, however many follow it."""
         self.folder.create(self._pinned(number), self.at(number))
 
+    def kept(self) -> list[int]:
+        return [int(x.split(".")[-2]) for x in self.folder.names(f"{self.stem}.")]
+
     def pins(self) -> list[int]:
         return [int(x.split(".")[-2]) for x in self.folder.names(f"pinned-{self.stem}.")]
 

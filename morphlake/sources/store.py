@@ -8,6 +8,7 @@ lost starts again from the record that won, so nothing that another has committe
 from __future__ import annotations
 
 import functools
+import time
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -20,10 +21,12 @@ from morphlake.operators.log import newest
 from morphlake.plans.compile import Step, compile_step
 from morphlake.plans.diff import Diff
 from morphlake.plans.model import Shape
-from morphlake.sources.control import Control, MigrationError
+from morphlake.sources.control import Control, MigrationError, run_of
 from morphlake.sources.files import Folder, Record
 
 LOG_SCHEMA = "pos bigint, key string"
+#: Folders below a store that hold data.
+KINDS = ("entries", "log", "staged", "visits", "forks")
 #: How often a writer that lost starts again.
 ATTEMPTS = 50
 #: Keys up to which a set of them is broadcast, to read only their entries.
@@ -97,6 +100,68 @@ class Store:
 
     # -------- entries
 
+    def _merged(self, c: Control, folders: list[str], keys: DataFrame | None = None) -> DataFrame:
+        """The newest row of each key over some folders of entries, oldest first. Removals are rows too."""
+        rows = self.spark.read.schema(", ".join(f"`{k}` {v}" for k, v in c.schema.items())).parquet(*folders)
+        merged = len(folders) > 1
+        if merged:
+            rows = rows.withColumn("__folder", F.regexp_extract("_metadata.file_path", "/entries/([0-9a-f]+)/", 1))
+        if keys is not None:
+            low, high, n = keys.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
+            rows = rows.filter(F.col("key").between(low, high)).join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi")
+        if not merged:
+            return rows
+        order = self.spark.createDataFrame([(p.rsplit("/", 1)[1], i) for i, p in enumerate(folders)], "__folder string, __commit int")
+        rows = rows.join(F.broadcast(order), "__folder").drop("__folder")  # a row a commit
+        return newest(rows, ["key"], ["__commit"]).drop("__commit")
+
+    def roll(self, c: Control) -> None:
+        """Merges runs of folders of about one size at the end of the record's lists, so that the lists, and what a
+        reader opens, grow with the logarithm of the writes. The folders that are replaced stay for readers of
+        older states, until they are swept."""
+        while (first := run_of([c.sizes.get(x) for x in c.entries])) is not None:
+            path = self.write(self._merged(c, c.entries[first:]).sort("key"), "entries")
+            c.replace(c.entries, first, path, self.spark.read.parquet(path).count())
+        for folders in c.logs.values():
+            while (first := run_of([c.sizes.get(x) for x in folders])) is not None:
+                n = sum(c.sizes[x] for x in folders[first:])
+                c.replace(folders, first, self.write(self.spark.read.schema(LOG_SCHEMA).parquet(*folders[first:]), "log"), n)
+
+    def segments(self, version: int, control: Control | None = None) -> DataFrame:
+        """segment, length, first_pos, last_pos: the pieces in which a version's log is stored, in order."""
+        c = control or self.control()
+        rows, start = [], 0
+        for i, path in enumerate(c.log(version)):
+            n = c.sizes[path] if path in c.sizes else self.spark.read.parquet(path).count()
+            rows.append((i, n, start, start + n - 1))
+            start += n
+        return self.spark.createDataFrame(rows, "segment int, length bigint, first_pos bigint, last_pos bigint")
+
+    def footprint(self, version: int) -> int:
+        """What a reader of a version's log opens: its pieces and the record."""
+        found = len(self.control().log(version))
+        return found + 1 if found else 0
+
+    def sweep(self, age: float = 7 * 24 * 3600.0) -> list[str]:
+        """Deletes folders that no kept or pinned state names and whose newest file is older than age (in seconds;
+        longer than any writer takes, since what a writer has not committed yet is named by nobody). Readers of kept and
+        pinned states go on. Returns what was deleted."""
+        before = time.time() - age
+        old = [f"{kind}/{name}" for kind in KINDS for name, at in self.folder.newest(kind).items() if at < before]
+        forks = [Record(Folder(f"{self.root}/forks/{name}", self.spark), "state") for name in self.folder.newest("forks")]
+        named = {"/".join(x.rsplit("/", 2)[-2:]) for r in (self.record, *forks) for n in {*r.kept(), *r.pins()} for x in self._named(r, n)}
+        gone = [x for x in old if x not in named]
+        for x in gone:
+            self.folder.delete(x)
+        return gone
+
+    @staticmethod
+    def _named(record: Record, number: int) -> set[str]:
+        try:
+            return Control.load(record, number).folders()
+        except KeyError:  # no longer kept
+            return set()
+
     def entries(self, control: Control | None = None, keys: DataFrame | None = None) -> DataFrame:
         """The current rows: newest commit of each key, without removed ones.
 
@@ -106,18 +171,7 @@ class Store:
         c = control or self.control()
         if not c.entries:
             return self.spark.createDataFrame([], "key string")
-        rows = self.spark.read.schema(", ".join(f"`{k}` {v}" for k, v in c.schema.items())).parquet(*c.entries)
-        merged = len(c.entries) > 1 or "__removed" in c.schema
-        if merged:
-            rows = rows.withColumn("__folder", F.regexp_extract("_metadata.file_path", "/entries/([0-9a-f]+)/", 1))
-        if keys is not None:
-            low, high, n = keys.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
-            rows = rows.filter(F.col("key").between(low, high)).join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi")
-        if not merged:
-            return rows
-        order = self.spark.createDataFrame([(p.rsplit("/", 1)[1], i) for i, p in enumerate(c.entries)], "__folder string, __commit int")
-        rows = rows.join(F.broadcast(order), "__folder").drop("__folder")  # a row a commit
-        out = newest(rows, ["key"], ["__commit"]).drop("__commit")
+        out = self._merged(c, c.entries, keys)
         return out.filter("coalesce(__removed, false) = false").drop("__removed") if "__removed" in out.columns else out
 
     def compile(self, d: Diff) -> Step:
@@ -155,20 +209,21 @@ class Store:
         path = self.write(rows.sort("key"), "entries")
         written = self.spark.read.parquet(path)
         staged = self._staged(written) if register else None
-        done = self._put(path, written, staged, stream)
+        done = self._put(path, written, staged, stream, sum(n for _, n in staged[1]) if staged else written.count())
         self._unstage(staged)
         return done
 
     @retried
-    def _put(self, path: str, written: DataFrame, staged: tuple | None, stream: tuple[str, int] | None) -> bool:
+    def _put(self, path: str, written: DataFrame, staged: tuple | None, stream: tuple[str, int] | None, n: int) -> bool:
         c = self.control()
         if stream:
             if c.streams.get(stream[0], -1) >= stream[1]:
                 return False
             c.streams[stream[0]] = stream[1]
-        c.add_entries(path, written)
+        c.add_entries(path, written, n)
         if staged:
             self._register(c, c.write_version, staged)
+        self.roll(c)
         self.commit(c)
         return True
 
@@ -215,13 +270,15 @@ class Store:
     def remove(self, keys: DataFrame) -> None:
         """Deletes entries; the log keeps their keys, and a later visit skips them."""
         path = self.write(keys.select("key", F.lit(True).alias("__removed")).sort("key"), "entries")
-        self._put(path, self.spark.read.parquet(path), None, None)
+        written = self.spark.read.parquet(path)
+        self._put(path, written, None, None, written.count())
 
     @retried
     def reset_log(self, version: int, control: Control | None = None) -> None:
         """A log that is truly empty: its old files are no longer named."""
         c = control or self.control()
-        c.logs.pop(str(version), None)
+        for x in c.logs.pop(str(version), []):
+            c.sizes.pop(x, None)
         c.lengths.pop(str(version), None)
         if control is None:
             self.commit(c)
@@ -233,6 +290,8 @@ class Store:
         if len(c.entries) > 1:
             rows = self.entries(c)
             path = self.write(rows.sort("key"), "entries")
+            for x in c.entries:
+                c.sizes.pop(x, None)
             c.entries, c.schema = [], {}
-            c.add_entries(path, rows)
+            c.add_entries(path, rows, self.spark.read.parquet(path).count())
             self.commit(c)

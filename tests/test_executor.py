@@ -7,9 +7,9 @@ from morphlake.operators.replay import Forked, replay
 from morphlake.plans.compile import FunctionStep, compile_step
 from morphlake.plans.diff import diff
 from morphlake.plans.model import Plan, ShapeError, shape
-from morphlake.sources.aliases import Aliases
-from morphlake.sources.control import MigrationError
-from morphlake.sources.files import Folder, Record
+from morphlake.sources.aliases import Aliases, StateTags
+from morphlake.sources.control import MigrationError, run_of
+from morphlake.sources.files import KEPT, Folder, Record
 from morphlake.sources.store import Conflict, Store
 from morphlake.streaming.follow import ingest
 from pyspark.sql import functions as F
@@ -322,3 +322,89 @@ def test_columns_of_a_shape_outlive_abort_and_hand_written_steps(spark, store):
     hand.run_to_completion(10)
     same = shape("Item", 3, "price: i64, old: Option<String>")
     assert {r.price for r in store.read(same).collect()} == {i * 100 + 25 for i in range(6)}
+
+
+def test_tags_on_states(spark, store):
+    tags = StateTags(store)
+    store.put(rows(spark, 5))
+    refused("UnknownExecutableTag", tags.promote, "live", "next")
+    one = tags.publish("live")
+    refused("UnknownExecutableTag", tags.promote, "live", "next")
+    assert tags.resolve("live") == one and not tags.exists("next")
+    store.put(rows(spark, 1).withColumn("amount", F.lit(77).cast("bigint")))
+    tags.publish("next")
+    store.compact()
+    for _ in range(KEPT + 3):
+        store.commit(store.control())  # so many that the tagged records are no longer kept
+    assert not store.folder.read(store.record._name(one))
+    assert tags.promote("live", "next") == tags.resolve("next")
+    assert tags.entries("live").filter("amount = 77").count() == 1
+    tags.promote_to("live", one)
+    assert {r.amount for r in tags.entries("live").collect()} == set(range(5)) == {r.amount for r in tags.read("live", shape("Entry", 1, "amount: u32")).collect()}
+    refused("UnknownExecutableTag", tags.promote_to, "live", 2 if one > 2 else 1)
+    refused("UnknownExecutableTag", tags.promote_to, "nowhere", one)
+    tags.promote_to("next", one)
+    assert tags.release() == [n for n in [one + 1] if n not in store.record.pins()] and store.record.pins() == [one]
+
+
+def test_sweep_keeps_what_states_name_and_what_is_new(spark, store):
+    tags = StateTags(store)
+    store.put(rows(spark, 5))
+    tags.publish("old")
+    run = Executor(store, STEP)
+    run.begin()
+    run.run_to_completion(3)
+    run.clear()
+    under_way = store.write(rows(spark, 2, 50), "entries")  # a writer that has not committed yet
+    assert store.sweep() == [] == store.sweep(age=60)
+    for name in store.folder.names("state.")[:-1]:
+        store.folder.delete(name)
+    gone = store.sweep(age=-1)
+    assert any(x.startswith("visits/") for x in gone) and f"entries/{under_way.rsplit('/', 1)[1]}" in gone
+    assert store.entries().filter("frozen = false").count() == 5 and tags.entries("old").count() == 5 and store.log(2).count() == 5
+    assert store.sweep(age=-1) == []
+
+
+def test_lists_of_a_record_stay_short(spark, store):
+    sizes, longest = [], {}
+    for n in range(1, 501):
+        sizes.append(150)
+        while (first := run_of(sizes)) is not None:
+            sizes[first:] = [sum(sizes[first:])]
+        longest[n] = max(len(sizes), longest.get(n - 1, 0))
+    assert sum(sizes) == 500 * 150 and longest[500] < 2 * longest[50]
+    store.put(rows(spark, 60))
+    run = Executor(store, STEP)
+    run.begin()
+    run.run_to_completion(3)
+    c = store.control()
+    assert len(c.entries) <= 7 and len(c.log(2)) <= 12 and sum(c.sizes[x] for x in c.log(2)) == 60
+    assert store.entries().filter("frozen = false").count() == 60
+    assert [(r.first_pos, r.length) for r in store.segments(2).orderBy("segment").collect()][0] == (0, 24) and store.footprint(2) == len(c.log(2)) + 1
+    assert sorted(r.pos for r in store.log(2).collect()) == list(range(60))
+    store.remove(rows(spark, 10).select("key"))
+    for i in range(9):
+        store.put_unindexed(rows(spark, 1, 100 + i))
+    assert store.entries().count() == 59  # a removal outlives the merge of its folder
+
+
+def test_a_batch_is_counted_by_the_job_that_writes_it(spark, store):
+    store.put(rows(spark, 9))
+    store.register(1, rows(spark, 3).select("key"))
+    run = Executor(store, STEP)
+    run.begin()
+    (o,) = run.run_to_completion(100)
+    assert (o.visited, o.migrated, o.already_current, o.skipped) == (12, 9, 3, 0)
+
+
+def test_errors_say_what_to_do():
+    assert MigrationError("StateNewerThanContract").requires_code_rollback and MigrationError("NotInitialized").requires_code_rollback
+    assert not MigrationError("BatchSizeZero").requires_code_rollback and not MigrationError("BatchSizeZero").retryable
+
+
+def test_promote_to_a_target(tmp_path):
+    a = Aliases(tmp_path / "tags.json")
+    refused("UnknownExecutableTag", a.promote_to, "live", "z")
+    a.publish("live", "x")
+    a.promote_to("live", "z")
+    assert a.resolve("live") == "z"

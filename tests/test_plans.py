@@ -6,7 +6,7 @@ from morphlake.functions.types import normalize_type, spark_type, split_option
 from morphlake.plans.compile import FunctionStep, checked, compile_additive, compile_step, draft
 from morphlake.plans.diff import StaleDirective, diff, diff_tables, key_space_diff, stale_tables, verdicts
 from morphlake.plans.model import Field, KeySpace, Plan, Shape, ShapeError, ShapeSet, Variant, shape
-from morphlake.queries import _CASES, _STALE, _tables
+from test_shapes_sql import CASES, STALE, tables
 from pyspark.sql import functions as F
 
 EXPECTED = {
@@ -45,7 +45,7 @@ def case(name, old, new, declared):
     return shape("s", 1, old), shape("s", 2, new), plan
 
 
-@pytest.mark.parametrize("c", _CASES, ids=[c[0] for c in _CASES])
+@pytest.mark.parametrize("c", CASES, ids=[c[0] for c in CASES])
 def test_decision_table(c):
     # a conversion that is blank, or a directive that a placeholder leaves undeclared, is no stale one
     d = diff(*case(*c))
@@ -55,14 +55,14 @@ def test_decision_table(c):
 
 
 def test_tables_agree_with_the_driver(spark):
-    old, new, declared = _tables(spark, _CASES)
+    old, new, declared = tables(spark, CASES)
     found = diff_tables(old, new, declared).collect()
-    got = {c[0]: [(r.field, r.kind, r.severity) for r in sorted(found, key=lambda r: r.place) if r.pair == c[0]] for c in _CASES}
+    got = {c[0]: [(r.field, r.kind, r.severity) for r in sorted(found, key=lambda r: r.place) if r.pair == c[0]] for c in CASES}
     assert got == {n: f for n, (f, _) in EXPECTED.items()}
     assert {r.pair: r.verdict for r in verdicts(old, diff_tables(old, new, declared)).collect()} == {n: v for n, (_, v) in EXPECTED.items()}
 
 
-@pytest.mark.parametrize("c", _STALE, ids=[c[0] for c in _STALE])
+@pytest.mark.parametrize("c", STALE, ids=[c[0] for c in STALE])
 def test_stale_directives_are_errors(c):
     if c[0].startswith("good"):
         diff(*case(*c))
@@ -80,7 +80,7 @@ def test_both_forms_agree_on_random_plans(spark):
         some = lambda values: {n: r.choice(values) for n in r.sample("abcde", r.randint(0, 2))} if r.random() < 0.5 else {}
         given = [("init", n, v) for n, v in some(["1", "<TODO: x>"]).items()] + [("dropped", n, None) for n in some([""])] + [("converted", n, v) for n, v in some(["value", " ", "<TODO: y>"]).items()] + [("renamed", a, b) for a, b in renamed.items()]
         cases.append((str(k), *(", ".join(f"{n}: {t}" for n, t in x.items()) for x in (old, new)), given))
-    old, new, declared = _tables(spark, cases)
+    old, new, declared = tables(spark, cases)
     table = diff_tables(old, new, declared, ("kit",)).cache()
     findings, stale = defaultdict(list), defaultdict(set)
     for x in table.orderBy("pair", "place").collect():
