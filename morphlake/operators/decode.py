@@ -41,6 +41,14 @@ def decode_json(rows: DataFrame, column: str, shape: Shape, keep: tuple[str, ...
     return out.withColumn("_decode_ok", ok)
 
 
+def decode_variant(rows: DataFrame, column: str, shape: Shape, mode: str = "strict", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of a VARIANT by name, each as its type. What is missing or of another type is null; for a required field that is
+    an error (strict) or marks the row (skip), as in decode."""
+    value = F.col(column)
+    taken = [F.try_variant_get(value, f"$['{f.name}']", spark_type(f.declared)).alias(f.name) for f in shape.fields]
+    return decode(rows.select(*keep, *taken), shape, mode, keep)
+
+
 def json_field(column: Column, name: str, kind: str) -> Column:
     """A field of a JSON text as its type; an error that names the field where it is missing or
     something else. Numbers may be quoted."""

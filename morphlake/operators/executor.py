@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import DEFAULT_BATCH, LARGEST_BATCH
 from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tallies
-from morphlake.plans.compile import FunctionStep, Step
-from morphlake.plans.model import ShapeError
+from morphlake.plans.compile import FunctionStep, Step, VariantStep
+from morphlake.plans.model import KeySpace, ShapeError
 from morphlake.sources.control import COMPLETED, ROLLED_BACK, ROLLING_BACK, RUNNING, Control, Migration, MigrationError
 from morphlake.sources.store import Store, retried
 
@@ -58,10 +58,14 @@ def report(spark: SparkSession, outcomes: list[Outcome]) -> DataFrame:
 
 
 class Executor:
-    """Runs one step over a store. strict holds batches to LARGEST_BATCH keys, else any size goes."""
+    """Runs one step over a store. strict holds batches to LARGEST_BATCH keys, else any size goes.
 
-    def __init__(self, store: Store, step: Step | FunctionStep, strict: bool = True, shape_col: str | None = None):
-        self.store, self.step, self.strict, self.shape_col = store, step, strict, shape_col
+    Entries of other shapes are skipped: shape_col names a column that tells them apart, or variant (a key space and
+    a variant of it) says whose keys are this shape's; then the entries of other keys are not read at all.
+    """
+
+    def __init__(self, store: Store, step: Step | FunctionStep | VariantStep, strict: bool = True, shape_col: str | None = None, variant: tuple[KeySpace, str] | None = None):
+        self.store, self.step, self.strict, self.shape_col, self.variant = store, step, strict, shape_col, variant
         self.a, self.b = step.from_version, step.to_version
 
     def _sized(self, limit: int) -> None:
@@ -120,7 +124,8 @@ class Executor:
         """Evaluates a slice once, and counts its outcomes in the job that writes it. Only the entries of
         the slice's keys are read and merged."""
         keys = visits.select("key").distinct()
-        entries = self.store.entries(c, keys)
+        ours = keys.filter(self.variant[0].within(self.variant[1])) if self.variant else keys
+        entries = self.store.entries(c, ours)
         found = keys.join(entries.withColumn("_present", F.lit(True)), "key", "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
         moved = (self.step.down if down else self.step.up)(found, self.shape_col)
         seen, counted = per_visit(visits.join(moved.drop("_present"), "key"), newest_first=down), Observation()

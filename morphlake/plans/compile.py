@@ -224,6 +224,41 @@ class FunctionStep:
         return self._run(rows, self.backward, shape_col)
 
 
+@dataclass
+class VariantStep:
+    """A step over entries whose fields stand in one VARIANT column, so that entries of many shapes share a
+    store. Fields are taken out by name as their types (null where missing or of another type), the step runs over them,
+    and what it migrates is put back as a new object."""
+
+    step: Step
+    column: str = "value"
+    source: dict[str, str] = field(default_factory=dict)
+    physical: dict[str, str] = field(default_factory=dict)
+    consumed: tuple[str, ...] = ()
+
+    name = property(lambda self: self.step.name)
+    from_version = property(lambda self: self.step.from_version)
+    to_version = property(lambda self: self.step.to_version)
+    reversible = property(lambda self: self.step.reversible)
+
+    def _run(self, rows: DataFrame, run: Callable, shape_col: str | None, fields: list[str]) -> DataFrame:
+        names = {c: f"__outer_{c}" for c in rows.columns if c != "_present"}
+        value = F.col(quoted(self.column))
+        taken = [F.try_variant_get(value, f"$['{n}']", kind).alias(n) for n, kind in self.step.types.items()]
+        opened = rows.select(*(["_present"] if "_present" in rows.columns else []), *(F.col(quoted(c)).alias(o) for c, o in names.items()), *taken)
+        done = run(opened, names.get(shape_col))
+        there = F.col(quoted(names[self.column])).isNotNull()
+        made = F.when((F.col("outcome") == MIGRATED) & there, F.to_variant_object(F.struct(*map(quoted, fields)))).otherwise(F.col(quoted(names[self.column])))
+        outcome = F.when(there, F.col("outcome")).otherwise(SKIPPED)
+        return done.select(*(["_present"] if "_present" in rows.columns else []), *(made.alias(c) if c == self.column else F.col(quoted(o)).alias(c) for c, o in names.items()), outcome.alias("outcome"))
+
+    def up(self, rows: DataFrame, shape_col: str | None = None) -> DataFrame:
+        return self._run(rows, self.step.up, shape_col, list(self.step.physical.values()))
+
+    def down(self, rows: DataFrame, shape_col: str | None = None) -> DataFrame:
+        return self._run(rows, self.step.down, shape_col, list(self.step.source.values()))
+
+
 def draft(d: Diff) -> Plan:
     """A plan with a placeholder for every denied finding."""
     init, conv, dropped = {}, {}, []

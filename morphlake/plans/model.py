@@ -8,13 +8,17 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from morphlake.functions.types import normalize_type, spark_type, split_option
 
 
+#: What stands between the parts of a key's text.
+_BETWEEN = "\x1f"
+
+
 class ShapeError(ValueError):
     """A declaration, file or pair of versions that can't be used."""
 
@@ -150,6 +154,30 @@ class KeySpace:
             raise ShapeError(f"{self.name} has no variant {variant}")
         return F.struct(F.lit(variant).alias("variant"), F.array(*[p.cast("string") for p in payload]).alias("payload") if payload else F.array().cast("array<string>").alias("payload"))
 
+    def key(self, variant: str, *payload) -> Column:
+        """The key of a variant as a text. Keys of one variant stand together in the order of texts, so a range of
+        keys, and the files that hold it, is one variant's."""
+        return self.text(self.wrap(variant, *payload))
+
+    @staticmethod
+    def text(wrapped: Column) -> Column:
+        """The text of a wrapped key: its parts, joined by a character that they then can't hold."""
+        safe = lambda x: F.coalesce(F.replace(F.replace(x, F.lit("%"), F.lit("%25")), F.lit(_BETWEEN), F.lit("%1f")), F.lit("%00"))
+        return F.concat_ws(_BETWEEN, wrapped["variant"], F.transform(wrapped["payload"], safe))
+
+    @staticmethod
+    def parts(key: Column) -> Column:
+        """The wrapped key of a text: variant and payload."""
+        plain = lambda x: F.when(x != "%00", F.replace(F.replace(x, F.lit("%1f"), F.lit(_BETWEEN)), F.lit("%25"), F.lit("%")))
+        pieces = F.split(key, _BETWEEN)
+        return F.struct(pieces[0].alias("variant"), F.transform(F.slice(pieces, 2, F.size(pieces)), plain).alias("payload"))
+
+    def within(self, variant: str, key: str = "key") -> Column:
+        """Whether keys are of a variant: a range, which a scan can use to leave out files."""
+        if self.get(variant) is None:
+            raise ShapeError(f"{self.name} has no variant {variant}")
+        return (F.col(key) >= variant) & (F.col(key) < variant + chr(ord(_BETWEEN) + 1))
+
     def to_json(self) -> str:
         return json.dumps({"name": self.name, "variants": [{"name": v.name, **({} if v.payload is None else {"payload": v.payload}), **({"migration": True} if v.migration else {})} for v in self.variants]}, indent=2) + "\n"
 
@@ -250,3 +278,22 @@ class ShapeSet:
         """name, version, ord, field, declared: one row per field."""
         rows = [(s.name, s.version, i, f.name, f.declared) for s in self for i, f in enumerate(s.fields)]
         return spark.createDataFrame(rows, "name string, version int, ord int, field string, declared string")
+
+
+class ShapeFields:
+    """A table function: the fields of a shape from its JSON text, one row each. In SQL after register():
+    SELECT t.* FROM files, LATERAL shape_fields(files.value) t."""
+
+    COLUMNS = "name string, version int, ord int, field string, declared string, base string, optional boolean"
+
+    def eval(self, text: str):
+        if text is None:
+            return
+        found = Shape.from_json(text)
+        for i, f in enumerate(found.fields):
+            yield found.name, found.version, i, f.name, f.declared, f.base, f.optional
+
+
+def register(spark: SparkSession) -> None:
+    """Makes shape_fields known to SQL."""
+    spark.udtf.register("shape_fields", F.udtf(ShapeFields, returnType=ShapeFields.COLUMNS))

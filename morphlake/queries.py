@@ -11,12 +11,12 @@ from morphlake.functions import numbers, types
 from morphlake.functions.numbers import LARGEST_BATCH
 from morphlake.operators import log as logs
 from morphlake.operators import replay
-from morphlake.operators.decode import decode, decode_json
+from morphlake.operators.decode import decode, decode_json, decode_variant
 from morphlake.operators.executor import Executor, report
 from morphlake.plans import diff as differ
 from morphlake.plans import versions
-from morphlake.plans.compile import compile_step
-from morphlake.plans.model import Plan, shape
+from morphlake.plans.compile import VariantStep, compile_step
+from morphlake.plans.model import KeySpace, Plan, Variant, register, shape
 from morphlake.sources.aliases import StateTags, promoted
 from morphlake.sources.files import scratch
 from morphlake.sources.project import drift_table
@@ -745,3 +745,61 @@ def stream_ingest_migrate(spark, d):
         rows.filter(part).drop("day").write.mode("append").parquet(f"{root}/landing")
         ingest(spark, f"{root}/landing", "key string, value double", store, f"{root}/checkpoint", Executor(store, _EVENT, strict=False), limit=1 << 20).awaitTermination()
     return store.read(shape("Event", 2, "value: f64, seen: Option<bool>"))
+
+
+# ---------------------------------------------------------------- entries of many shapes in one store
+
+_SPACES = KeySpace("Records", (Variant("Event", "u64"), Variant("Order", "(u64, u64)"), Variant("Migration", None, True)))
+_PROP = shape("Prop", 1, "k: i64"), shape("Prop", 2, "k: i64, seen: Option<bool>")
+_ORDER = shape("Order", 1, "status: String, cents: i64")
+
+
+def _mixed(spark, d) -> tuple[Store, list]:
+    """The properties of events and the orders under one key space, as VARIANT values; the events' shape is migrated."""
+    store = Store(spark, scratch(spark))
+    store.initialize(1)
+    events = _t(spark, d, "events").select(_SPACES.key("Event", F.col("event_id")).alias("key"), F.parse_json("props").alias("value"))
+    order = F.struct(F.col("o_orderstatus").alias("status"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    orders = _t(spark, d, "orders").select(_SPACES.key("Order", F.col("o_custkey"), F.col("o_orderkey")).alias("key"), F.to_variant_object(order).alias("value"))
+    store.put(orders)
+    store.put(events)
+    step = VariantStep(compile_step(differ.diff(*_PROP, Plan(1, 2, init={"seen": "k % 2 = 0"}))))
+    run = Executor(store, step, strict=False, variant=(_SPACES, "Event"))
+    run.begin()
+    return store, run.run_to_completion(1 << 20)
+
+
+@query("""SELECT 'Event' AS variant, CAST(event_id AS VARCHAR) AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 0 AS seen, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS cents FROM events
+  UNION ALL SELECT 'Order', CAST(o_custkey AS VARCHAR) || '/' || CAST(o_orderkey AS VARCHAR), NULL, NULL, o_orderstatus, CAST(round(o_totalprice * 100) AS BIGINT) FROM orders""")
+def mixed_store_read(spark, d):
+    """Each variant read by its own shape, keys taken apart again."""
+    entries = _mixed(spark, d)[0].entries()
+    key = _SPACES.parts(F.col("key"))
+    named = entries.select("key", key["variant"].alias("variant"), F.concat_ws("/", key["payload"]).alias("id"), "value")
+    props = decode_variant(named.filter(_SPACES.within("Event")), "value", _PROP[1], keep=("variant", "id"))
+    orders = decode_variant(named.filter(_SPACES.within("Order")), "value", _ORDER, keep=("variant", "id"))
+    return props.unionByName(orders, allowMissingColumns=True)
+
+
+@query("""SELECT (SELECT count(*) FROM events) + (SELECT count(*) FROM orders) AS visited, (SELECT count(*) FROM events) AS migrated, CAST(0 AS BIGINT) AS already_current, (SELECT count(*) FROM orders) AS skipped""")
+def mixed_store_outcomes(spark, d):
+    """One migration over all keys: those of the other variant are skipped, and their entries not read."""
+    return report(spark, _mixed(spark, d)[1]).agg(*(F.sum(c).alias(c) for c in ("visited", "migrated", "already_current", "skipped")))
+
+
+@query("""SELECT 'Event' AS variant, false AS ok, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'Order', true, count(*) FROM orders""")
+def mixed_store_unreadable(spark, d):
+    """How many entries of each variant the orders' shape can read: the others are counted, not lost."""
+    entries = _mixed(spark, d)[0].entries().select(_SPACES.parts(F.col("key"))["variant"].alias("variant"), "value")
+    read = decode_variant(entries, "value", _ORDER, "skip", keep=("variant",))
+    return read.groupBy("variant", F.col("_decode_ok").alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_CATALOGUE} SELECT name, version, ord, field, declared, {_BASE.format('declared')} AS base, {_OPT.format('declared')} AS optional FROM cat")
+def declared_fields(spark, d):
+    """Shapes written as their JSON files, and their fields by the table function over them."""
+    field = F.struct(F.col("field").alias("name"), "declared")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", field.alias("f")))), lambda x: x["f"])
+    files = _catalogue(spark, d).groupBy("name", "version").agg(F.to_json(F.struct("version", "name", listed.alias("fields"))).alias("text"))
+    register(spark)
+    return spark.sql("SELECT t.* FROM {files} f, LATERAL shape_fields(f.text) t", files=files)

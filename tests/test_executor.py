@@ -1,12 +1,13 @@
 import json
 
 import pytest
+from morphlake.operators.decode import decode_variant
 from morphlake.operators.executor import DeadlineExpired, Executor, assert_keys_indexed, assert_upgradeable, count_orphans, inspect, report
 from morphlake.operators.log import get
 from morphlake.operators.replay import Forked, replay
-from morphlake.plans.compile import FunctionStep, compile_step
+from morphlake.plans.compile import FunctionStep, VariantStep, compile_step
 from morphlake.plans.diff import diff
-from morphlake.plans.model import Plan, ShapeError, shape
+from morphlake.plans.model import KeySpace, Plan, ShapeError, Variant, register, shape
 from morphlake.sources.aliases import Aliases, StateTags
 from morphlake.sources.control import MigrationError, run_of
 from morphlake.sources.files import KEPT, Folder, Record
@@ -408,3 +409,54 @@ def test_promote_to_a_target(tmp_path):
     a.publish("live", "x")
     a.promote_to("live", "z")
     assert a.resolve("live") == "z"
+
+
+SPACE = KeySpace("K", (Variant("A", "u32"), Variant("AB", "(u32, Address)"), Variant("Stats"), Variant("Migration", None, True)))
+
+
+def test_keys_of_variants(spark):
+    texts = ["plain", "", None, "%", "%1f", "a\x1fb", "%00", "é%25"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int").select("t", "i", SPACE.key("AB", F.col("i"), F.col("t")).alias("key"))
+    for r in df.withColumn("p", SPACE.parts(F.col("key"))).collect():
+        assert (r.p.variant, r.p.payload) == ("AB", [str(r.i), r.t])
+    unit = df.select(SPACE.key("Stats").alias("key")).withColumn("p", SPACE.parts(F.col("key"))).first()
+    assert unit.key == "Stats" and unit.p.payload == []
+    both = df.select("key").unionAll(df.select(SPACE.key("A", F.col("i"))))
+    assert both.filter(SPACE.within("A")).count() == both.filter(SPACE.within("AB")).count() == len(texts)
+    with pytest.raises(ShapeError):
+        SPACE.within("Nothing")
+
+
+def test_variants_share_a_store(spark, store):
+    a = spark.range(6).select(SPACE.key("A", F.col("id")).alias("key"), F.to_variant_object(F.struct(F.col("id").alias("amount"))).alias("value"))
+    b = spark.range(4).select(SPACE.key("AB", F.col("id"), F.lit("x")).alias("key"), F.parse_json(F.lit('{"amount": "seven", "key": 1}')).alias("value"))
+    store.put(a)
+    store.put(b)
+    store.register(1, spark.range(6, 8).select(SPACE.key("A", F.col("id")).alias("key")))  # keys without entries
+    step = VariantStep(compile_step(diff(shape("Entry", 1, "amount: i64"), shape("Entry", 2, "total: i64, frozen: Option<bool>"), Plan(1, 2, {"frozen": "amount > 2"}, renamed={"amount": "total"}))))
+    run = Executor(store, step, variant=(SPACE, "A"))
+    run.begin()
+    (o,) = run.run_to_completion(100)
+    assert (o.visited, o.migrated, o.already_current, o.skipped) == (12, 6, 0, 6)
+    now = store.entries()
+    got = decode_variant(now.filter(SPACE.within("A")), "value", shape("Entry", 2, "total: i64, frozen: Option<bool>"), keep=("key",))
+    assert {r.key: (r.total, r.frozen) for r in got.collect()} == {f"A\x1f{i}": (i, i > 2) for i in range(6)}
+    assert {r.v for r in now.filter(SPACE.within("AB")).select(F.to_json("value").alias("v")).collect()} == {'{"amount":"seven","key":1}'}
+    read = decode_variant(now, "value", shape("Entry", 2, "total: i64"), "skip", keep=("key",))
+    assert read.filter("_decode_ok").count() == 6 and read.count() == 10
+    with pytest.raises(Exception, match="total is missing"):
+        decode_variant(now, "value", shape("Entry", 2, "total: i64")).collect()
+    plan = store.entries(keys=a.select("key"))._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(key,A\x1f5)" in plan  # files of other variants lie outside of this range
+    run.begin_rollback()
+    run.rollback_to_completion(100)
+    back = decode_variant(store.entries().filter(SPACE.within("A")), "value", shape("Entry", 1, "amount: i64"))
+    assert sorted(r.amount for r in back.collect()) == list(range(6))
+
+
+def test_table_function(spark):
+    register(spark)
+    texts = [shape("E", 2, "a: u32, b: Option<Vec<u32>>").to_json(), shape("F", 1, "").to_json(), None]
+    files = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = spark.sql("SELECT t.* FROM {files} f, LATERAL shape_fields(f.text) t", files=files).collect()
+    assert sorted(map(tuple, got)) == [("E", 2, 0, "a", "u32", "u32", False), ("E", 2, 1, "b", "Option<Vec<u32>>", "Vec<u32>", True)]
