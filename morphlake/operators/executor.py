@@ -145,7 +145,7 @@ class Executor:
         n = min(limit, max(total - m.cursor, 0))
         counts = {"visited": 0, "migrated": 0, "already_current": 0, "skipped": 0}
         if n:
-            visits = slice_of(self.store.log(self.a, c), m.cursor, n)
+            visits = slice_of(self.store.log(self.a, c, m.cursor, n), m.cursor, n)
             path, counts = self._visit(c, visits, down=False)
             if counts["visited"] != n:
                 raise MigrationError("CorruptIndex", f"{counts['visited']} of {n} positions from {m.cursor}")
@@ -246,7 +246,7 @@ class Executor:
         n = min(limit, m.total - m.cursor)
         counts = {"visited": 0, "migrated": 0, "already_current": 0, "skipped": 0}
         if n:
-            visits = reversed_slice(self.store.log(self.b, c), m.total, m.cursor, n)
+            visits = reversed_slice(self.store.log(self.b, c, m.total - m.cursor - n, n), m.total, m.cursor, n)
             path, counts = self._visit(c, visits, down=True)
             if counts["visited"] != n:
                 raise MigrationError("CorruptIndex", f"{counts['visited']} of {n} positions")

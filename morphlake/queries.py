@@ -18,9 +18,11 @@ from morphlake.plans import versions
 from morphlake.plans.compile import VariantStep, compile_step
 from morphlake.plans.model import KeySpace, Plan, Variant, register, shape
 from morphlake.sources.aliases import StateTags, promoted
+from morphlake.sources.coverage import Coverage
 from morphlake.sources.files import scratch
 from morphlake.sources.project import drift_table
 from morphlake.sources.store import Store
+from morphlake.sources.tables import register_sources
 from morphlake.streaming.follow import follow_totals, ingest, running_totals, totals_so_far, totals_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +805,45 @@ def declared_fields(spark, d):
     files = _catalogue(spark, d).groupBy("name", "version").agg(F.to_json(F.struct("version", "name", listed.alias("fields"))).alias("text"))
     register(spark)
     return spark.sql("SELECT t.* FROM {files} f, LATERAL shape_fields(f.text) t", files=files)
+
+
+# ---------------------------------------------------------------- a store as a source, coverage without moving the log
+
+
+@query(f"SELECT pos, key FROM ({_EVENT_LOG}) WHERE pos >= 120 AND pos < 340")
+def log_source_slice(spark, d):
+    """A slice of a log through the data source: the bounds reach it, and it opens the pieces that hold them."""
+    store = Store(spark, scratch(spark))
+    store.initialize(1)
+    store.put(_events(spark, d).select("key"))
+    run = Executor(store, _EVENT)
+    run.begin()
+    run.run_to_completion(100, most=5)
+    register_sources(spark)
+    return spark.read.format("morphlake").option("table", "log").option("version", "2").load(store.root).filter("pos >= 120 and pos < 340")
+
+
+@query(f"""SELECT 1 AS version, count(*) AS index_len, 'Running' AS status, CAST(300 AS BIGINT) AS cursor, count(*) AS total, count(*) - 300 AS remaining, 3000000 // count(*) AS progress_bp, true AS migration_active FROM ({_EVENT_LOG})""")
+def status_source(spark, d):
+    """What is recorded of a migration after two batches."""
+    store = Store(spark, scratch(spark))
+    store.initialize(1)
+    store.put(_events(spark, d).select("key"))
+    run = Executor(store, _EVENT)
+    run.begin()
+    run.run_to_completion(LARGEST_BATCH, most=2)
+    register_sources(spark)
+    return spark.read.format("morphlake").option("table", "status").load(store.root).select("version", "index_len", "status", "cursor", "total", "remaining", "progress_bp", "migration_active")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
+def orphan_keys_bucketed(spark, d):
+    """Orders without line items: the keys of the line items are registered in two parts, in a log whose bucketed table takes in the second part only when it comes."""
+    store = Store(spark, scratch(spark))
+    store.initialize(1)
+    keys = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("key")).agg(F.max("l_shipdate").alias("last"))
+    coverage = Coverage(store, 1)
+    for part in ("last < '1998-01-01'", "last >= '1998-01-01'"):
+        store.register(1, keys.filter(part).select("key"))
+        coverage.refresh()
+    return coverage.orphans(_t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key")))

@@ -190,8 +190,18 @@ class Store:
         there = [(f.name, where.get(f.name, f.name)) for f in shape.fields]
         return decode(rows.select("key", *(F.col(f"`{c}`").alias(f) for f, c in there if c in rows.columns)), shape, mode, ("key",))
 
-    def log(self, version: int, control: Control | None = None) -> DataFrame:
-        paths = (control or self.control()).log(version)
+    def log(self, version: int, control: Control | None = None, start: int = 0, limit: int | None = None) -> DataFrame:
+        """pos and key of a version's log; only the pieces that hold positions from start on, up to limit of them, are read."""
+        c = control or self.control()
+        paths, at = [], 0
+        for path in c.log(version):
+            n = c.sizes.get(path)
+            if n is None:  # a record from before pieces were counted
+                paths, at = c.log(version), 0
+                break
+            if at + n > start and (limit is None or at < start + limit):
+                paths.append(path)
+            at += n
         return self.spark.read.schema(LOG_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], LOG_SCHEMA)
 
     def put(self, rows: DataFrame, register: bool = True, stream: tuple[str, int] | None = None, shape: Shape | None = None) -> bool:

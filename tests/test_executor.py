@@ -9,11 +9,14 @@ from morphlake.plans.compile import FunctionStep, VariantStep, compile_step
 from morphlake.plans.diff import diff
 from morphlake.plans.model import KeySpace, Plan, ShapeError, Variant, register, shape
 from morphlake.sources.aliases import Aliases, StateTags
+from morphlake.sources.coverage import Coverage, save
 from morphlake.sources.control import MigrationError, run_of
 from morphlake.sources.files import KEPT, Folder, Record
 from morphlake.sources.store import Conflict, Store
+from morphlake.sources.tables import LogReader, register_sources
 from morphlake.streaming.follow import ingest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
 STEP = compile_step(diff(shape("Entry", 1, "amount: u32"), shape("Entry", 2, "amount: u32, frozen: Option<bool>"), Plan(1, 2, {"frozen": "false"})))
 
@@ -460,3 +463,50 @@ def test_table_function(spark):
     files = spark.createDataFrame([(t,) for t in texts], "text string")
     got = spark.sql("SELECT t.* FROM {files} f, LATERAL shape_fields(f.text) t", files=files).collect()
     assert sorted(map(tuple, got)) == [("E", 2, 0, "a", "u32", "u32", False), ("E", 2, 1, "b", "Option<Vec<u32>>", "Vec<u32>", True)]
+
+
+def test_the_data_source_opens_the_pieces_it_needs(spark, store):
+    register_sources(spark)
+    read = lambda table, **more: spark.read.format("morphlake").options(table=table, **more).load(store.root)
+    assert read("log").count() == 0 and read("status").first().version == 1
+    store.put(rows(spark, 9))
+    run = Executor(store, STEP)
+    run.begin()
+    run.run_to_completion(3, most=2)
+    got = read("log", version="2").filter("pos >= 1 and pos < 4 and key <> 'k00002'")
+    assert sorted((r.pos, r.key) for r in got.collect()) == [(1, "k00001"), (3, "k00003")]
+    reader = LogReader({"path": store.root, "version": "2"})
+    left = list(reader.pushFilters([GreaterThan(("pos",), 2), LessThanOrEqual(("pos",), 5), EqualTo(("key",), "x")]))
+    assert left == [EqualTo(("key",), "x")] and [(p.low, p.high) for p in reader.partitions()] == [(3, 5)]
+    s = read("status").first()
+    assert (s.version, s.index_len, s.status, s.cursor, s.remaining, s.progress_bp, s.migration_active, s.commits) == (1, 9, "Running", 6, 3, 6666, True, store.control().commits)
+    commits = {r.state: r for r in read("commits").collect()}
+    assert len(commits) == store.control().commits and commits[max(commits)].cursor == 6
+    assert read("status", state=str(min(commits))).first().status is None
+    with pytest.raises(Exception, match="not kept"):
+        read("status", state="99").collect()
+
+
+def test_coverage_leaves_the_log_where_it_is(spark, store):
+    store.put(rows(spark, 50))
+    coverage = Coverage(store, 1, buckets=4)
+    assert coverage.refresh() == 50 and coverage.refresh() == 0
+    store.register(1, rows(spark, 5, 100).select("key"))
+    assert coverage.refresh() == 5
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        save(rows(spark, 3, 48).unionAll(rows(spark, 10, 98)).select("key"), "live_keys", 4)
+        plain = coverage.orphans(rows(spark, 3, 200).select("key"))
+        bucketed = coverage.orphans(spark.table("live_keys"))
+        assert plain.count() == 3 and sorted(r.key for r in bucketed.collect()) == ["k00050", "k00098", "k00099", "k00105", "k00106", "k00107"]
+        count = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+        assert count(plain) == 1 and count(bucketed) == 0
+        assert coverage.contains(spark.table("live_keys")).count() == 7
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS live_keys")
+    store.reset_log(1)
+    store.register(1, rows(spark, 2).select("key"))
+    coverage.refresh()
+    assert coverage.keys().count() == 2
+    coverage.drop()
