@@ -847,3 +847,17 @@ def orphan_keys_bucketed(spark, d):
         store.register(1, keys.filter(part).select("key"))
         coverage.refresh()
     return coverage.orphans(_t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key")))
+
+
+@query("""SELECT CAST(d.doc_id AS VARCHAR) AS key, d.source, CAST(d.n_chars + CASE WHEN d.lang = 'fr' THEN 1 ELSE 0 END AS BIGINT) AS n_chars, CAST(coalesce(l.toxic, 0) + CASE WHEN d.lang = 'fr' THEN 10 ELSE 0 END AS INTEGER) AS toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def read_modify_write(spark, d):
+    """A live change of some entries between two batches of a migration: old-shaped ones are changed as new-shaped ones."""
+    store, run = _doc_store(spark, d)
+    run.begin()
+    run.batch(LARGEST_BATCH)
+    french = _t(spark, d, "documents").filter("lang = 'fr'").select(F.col("doc_id").cast("string").alias("key"))
+    store.update(_V2, french, lambda rows: rows.withColumn("n_chars", F.col("n_chars") + 1).withColumn("toxic", F.col("toxic") + 10), _FILL)
+    run.strict = False
+    run.run_to_completion(1 << 20)
+    return store.read(_V2)

@@ -237,6 +237,37 @@ class Store:
         self.commit(c)
         return True
 
+    @retried
+    def update(self, shape: Shape, keys: DataFrame, change: Callable[[DataFrame], DataFrame], step: Step | None = None) -> int:
+        """Reads the rows of some keys by a shape, changes and writes them, in one commit; returns how many keys were written.
+
+        change gets key and the shape's fields (null for keys without an entry) and returns rows of the same columns;
+        those it leaves out are not written. shape is that of the version that writes belong to: while a migration
+        runs, the new one, and with its step rows that have not been reached are seen, and written, as it moves them; their
+        later visit finds them current. If another writer commits meanwhile, all is done again on what that writer left, so
+        no change is lost.
+        """
+        c = self.control()
+        if c.write_version != shape.version:
+            raise MigrationError("VersionMismatch", f"writes belong to v{c.write_version}, not v{shape.version}")
+        keys, where = keys.select("key").distinct(), c.where(shape.name, shape.version)
+        found = keys.join(self.entries(c, keys), "key", "left")
+        if step:
+            found = step.up(found).drop("outcome")
+        there = [(f.name, where.get(f.name, f.name)) for f in shape.fields]
+        seen = decode(found.select("key", *(F.col(f"`{x}`").alias(f) for f, x in there if x in found.columns)), shape, "skip", ("key",)).drop("_decode_ok")
+        made = decode(change(seen), shape, "strict", ("key",))  # a row without a required field is refused
+        path = self.write(made.select("key", *(F.col(f"`{f}`").alias(x) for f, x in there)).sort("key"), "entries")
+        written = self.spark.read.parquet(path)
+        staged = self._staged(written)
+        n = sum(n for _, n in staged[1])
+        c.add_entries(path, written, n)
+        self._register(c, c.write_version, staged)
+        self.roll(c)
+        self._unstage(staged)
+        self.commit(c)
+        return n
+
     def put_unindexed(self, rows: DataFrame) -> None:
         self.put(rows, register=False)
 

@@ -510,3 +510,30 @@ def test_coverage_leaves_the_log_where_it_is(spark, store):
     coverage.refresh()
     assert coverage.keys().count() == 2
     coverage.drop()
+
+
+NEW = shape("Entry", 2, "amount: u32, frozen: Option<bool>")
+
+
+def test_updates_between_batches(spark, store):
+    store.put(rows(spark, 6))
+    run = Executor(store, STEP)
+    run.begin()
+    run.batch(2)
+    late = []
+
+    def add(df):
+        if not late:  # another writer commits while this one works
+            late.append(store.put(rows(spark, 1, 5).withColumn("amount", F.lit(50).cast("bigint"))))
+        return df.withColumn("amount", F.coalesce("amount", F.lit(0)) + 100).withColumn("frozen", F.coalesce("frozen", F.lit(True)))
+
+    keys = rows(spark, 3, 4).select("key")  # two old-shaped rows, and a key without an entry
+    assert store.update(NEW, keys, add, STEP) == 3
+    run.run_to_completion(100)
+    got = {r.key: (r.amount, r.frozen) for r in store.read(NEW).collect()}
+    assert got == {**{f"k{i:05d}": (i, False) for i in range(4)}, "k00004": (104, False), "k00005": (150, False), "k00006": (100, False)}
+    assert store.control().length(2) == len(store.log(2).collect()) >= 10
+    refused("VersionMismatch", store.update, shape("Entry", 1, "amount: u32"), keys, add)
+    with pytest.raises(Exception, match="amount is missing"):
+        store.update(NEW, keys, lambda df: df.withColumn("amount", F.lit(None).cast("bigint")))
+    assert store.update(NEW, keys, lambda df: df.filter("false")) == 0 and store.read(NEW).count() == 7
