@@ -1,29 +1,40 @@
 """The key log: an append-only table of (pos, key). It is a log, not a set: keys may repeat.
 
-Positions are given without a global sort in one task: rows are counted by buckets that follow
-the order, the few counts are summed up, and rows are numbered inside their bucket.
+Positions are given without a global sort in one task: rows are sorted by ranges and staged, the few counts
+of the ranges are summed up, and rows are numbered inside their range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import LARGEST_BATCH, page_of
 from morphlake.sources.control import MigrationError
 
 
-def with_positions(rows: DataFrame, bucket: Column, order: list[str], start: int = 0, name: str = "pos") -> DataFrame:
-    """rows numbered by (bucket, order) from start. bucket must never fall along the order, and
-    order must tell rows of a bucket apart; a bucket is sorted in one task, so choose it small."""
-    rows = rows.withColumn("__bucket", bucket)
-    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    # One row per bucket: the only window without a partition.
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    numbered = rows.withColumn("__i", inside).join(offsets, rows["__bucket"].eqNullSafe(offsets["__bucket"])).drop(offsets["__bucket"])
-    return numbered.withColumn(name, (F.col("__offset") + F.col("__i") - 1 + start).cast("bigint")).drop("__bucket", "__offset", "__i")
+def staged(rows: DataFrame, order: list[str], path: str) -> list[tuple[int, int]]:
+    """Writes rows, sorted once by ranges of the order, and says how many each part of it holds (a pair a task)."""
+    rows.sort(*order).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    return sorted((r[0], r[1]) for r in rows.sparkSession.read.parquet(path).groupBy(F.shiftright("__m", 33)).count().collect())
+
+
+def numbered(spark: SparkSession, path: str, counts: list[tuple[int, int]], start: int = 0, name: str = "pos") -> DataFrame:
+    """Staged rows numbered from start on: the parts' counts give each part's first number, its rows follow."""
+    offsets = []
+    for part, n in counts:
+        offsets.append((part, start))
+        start += n
+    table = spark.createDataFrame(offsets, "__p bigint, __o bigint")
+    rows = spark.read.parquet(path).withColumn("__p", F.shiftright("__m", 33).cast("bigint")).join(F.broadcast(table), "__p")  # one row a task
+    inside = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn(name, (F.col("__o") + inside).cast("bigint")).drop("__p", "__o", "__m")
+
+
+def with_positions(rows: DataFrame, order: list[str], path: str, start: int = 0, name: str = "pos") -> DataFrame:
+    """rows numbered by an order that tells them apart, staged at path. No range of the order is one task's alone, however
+    many rows fall into it."""
+    return numbered(rows.sparkSession, path, staged(rows, order, path), start, name)
 
 
 def pages(log: DataFrame) -> DataFrame:

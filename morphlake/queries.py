@@ -155,7 +155,7 @@ _LOG = "SELECT CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS
 
 def _log(spark, d) -> DataFrame:
     events = _t(spark, d, "events").select("ts", "event_id")
-    return logs.with_positions(events, F.date_trunc("minute", "ts"), ["ts", "event_id"]).select("pos", F.col("event_id").alias("key"))
+    return logs.with_positions(events, ["ts", "event_id"], scratch(spark)).select("pos", F.col("event_id").alias("key"))
 
 
 @query(_LOG)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.operators.decode import decode
-from morphlake.operators.log import newest
+from morphlake.operators.log import newest, numbered, staged
 from morphlake.plans.compile import Step, compile_step
 from morphlake.plans.diff import Diff
 from morphlake.plans.model import Shape
@@ -286,27 +286,19 @@ class Store:
 
     def _staged(self, keys: DataFrame) -> tuple[str, list[tuple[int, int]]]:
         """Keys sorted once and written, with the rows of each part of the order."""
-        path = self.write(keys.select("key").sort("key").withColumn("__m", F.monotonically_increasing_id()), "staged")
-        part = F.shiftright("__m", 33)
-        return path, sorted((r[0], r[1]) for r in self.spark.read.parquet(path).groupBy(part).count().collect())  # one row a task
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        return path, staged(keys.select("key"), ["key"], path)
 
     def _unstage(self, staged: tuple | None) -> None:
         if staged:
             self.folder.delete(staged[0].removeprefix(f"{self.root}/"))
 
-    def _register(self, c: Control, version: int, staged: tuple[str, list[tuple[int, int]]]) -> None:
+    def _register(self, c: Control, version: int, keys: tuple[str, list[tuple[int, int]]]) -> None:
         """Numbers staged keys on from the log's end, part by part from the parts' counts."""
-        path, counts = staged
-        start, offsets = c.length(version), []
-        for p, n in counts:
-            offsets.append((p, start))
-            start += n
-        if not offsets:
-            return
-        part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-        table = self.spark.createDataFrame(offsets, "__p bigint, __o bigint")
-        numbered = self.spark.read.parquet(path).withColumn("__p", part.cast("bigint")).join(F.broadcast(table), "__p")  # one row a task
-        c.add_log(version, self.write(numbered.select((F.col("__o") + inside).cast("bigint").alias("pos"), "key"), "log"), start - c.length(version))
+        path, counts = keys
+        if counts:
+            rows = numbered(self.spark, path, counts, c.length(version))
+            c.add_log(version, self.write(rows.select("pos", "key"), "log"), sum(n for _, n in counts))
 
     def remove(self, keys: DataFrame) -> None:
         """Deletes entries; the log keeps their keys, and a later visit skips them."""

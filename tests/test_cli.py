@@ -212,8 +212,8 @@ def test_versions_of_tables_and_sets(spark):
     assert {(r.name, r.latest, r.next_version) for r in versions.summary(table).collect()} == {(n, own.latest(n).version, own.next_version(n)) for n in own.names()}
 
 
-def test_slices_tile_the_log(spark):
-    log = with_positions(spark.range(137).withColumnRenamed("id", "key"), F.floor(F.col("key") / 10), ["key"]).cache()
+def test_slices_tile_the_log(spark, tmp_path):
+    log = with_positions(spark.range(137).withColumnRenamed("id", "key"), ["key"], str(tmp_path / "log")).cache()
     whole = [r.key for r in log.orderBy("pos").collect()]
     tiles = [r.key for i in range(0, 160, 32) for r in slice_of(log, i, 32).orderBy("pos").collect()]
     assert tiles == whole == list(range(137))
