@@ -8,8 +8,10 @@ decoded by Viterbi, a batch of pages in step. The labelled pages come from a see
 of page layouts (articles with menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments around and inside them), so training is the same everywhere.
 
-Defined cases: null, empty and text-free html give an empty text. Scripts, styles, templates,
-titles and comments of the markup never give blocks; an unclosed one runs to the page's end. A
+Defined cases: null, empty and text-free html give an empty text. Scripts, styles, titles and
+comments of the markup never give blocks; an unclosed one runs to the page's end. Text that stands
+in for what a browser can't or won't show (`noscript`, `object` and their like) is a block of its
+own, and the field decides on it. A
 `<` that opens no tag is text. Nothing is cut: any number of blocks of any length is read.
 Rows that repeat an id are each extracted. Extra columns pass through in `extract`; one with the
 name of the result gives way to it. The time to read a page follows its length, however
@@ -36,10 +38,12 @@ from morphlake.llm.common import bounded_batches, slices, table
 ROWS = 1 << 14  # hashed features
 TRAIN_PAGES, SEED, STEPS, RATE, DECAY = 400, 20, 250, 0.1, 1e-3
 
-#: Fixed values of HTML: elements that never hold shown text, that have no end tag, and that break a line of text.
-HIDDEN = "script|style|noscript|template|title|iframe|svg|canvas|object"
+#: Fixed values of HTML: elements that never hold text of the page, that have no end tag, and that break a line of text.
+HIDDEN = "script|style|title"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
+#: Elements shown in place of something else; their text stands in blocks of its own, and a line goes on around one without text.
+APART = frozenset("canvas iframe noscript object svg template".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
@@ -74,6 +78,7 @@ class _Open:
         self.places: dict[str, list[int]] = {}  # where the elements of each name stand among them
         self.blocks: list[int] = []  # where the block-level ones stand
         self.links = 0
+        self.aparts: list[int] = []  # where those of APART stand
 
     def push(self, name: str, attributes: str) -> None:
         at = len(self.frames)
@@ -82,6 +87,8 @@ class _Open:
         if name in BLOCK:
             self.blocks.append(at)
         self.links += name == "a"
+        if name in APART:
+            self.aparts.append(at)
 
     def cut(self, at: int) -> None:
         """Closes all from this place on."""
@@ -91,16 +98,18 @@ class _Open:
             if name in BLOCK:
                 self.blocks.pop()
             self.links -= name == "a"
+            if name in APART:
+                self.aparts.pop()
 
     def close(self, name: str) -> None:
         """An end tag. One of an inline element closes nothing beyond its block; one without a start tag, nothing."""
         places = self.places.get(name)
-        if places and (name in BLOCK or not self.blocks or places[-1] > self.blocks[-1]):
+        if places and (name in BLOCK or name in APART or not self.blocks or places[-1] > self.blocks[-1]):
             self.cut(places[-1])
 
     def close_block(self, names: set[str]) -> None:
-        """What the start tag of another block closes, if that is the nearest block."""
-        if self.blocks and self.frames[self.blocks[-1]][0] in names:
+        """What the start tag of another block closes, if that is the nearest block and nothing apart is open in it."""
+        if self.blocks and self.frames[self.blocks[-1]][0] in names and not (self.aparts and self.aparts[-1] > self.blocks[-1]):
             self.cut(self.blocks[-1])
 
     @property
@@ -117,7 +126,7 @@ def blocks_of(page: str) -> list[tuple[str, tuple]]:
     out: list[tuple[str, tuple, str, int]] = []
     open_ = _Open()
     pieces: list[str] = []
-    links, where, at = 0, None, 0
+    links, where, apart, at = 0, None, 0, 0
 
     def flush() -> None:
         nonlocal pieces, links, where
@@ -129,9 +138,12 @@ def blocks_of(page: str) -> list[tuple[str, tuple]]:
         pieces, links, where = [], 0, None
 
     def say(text: str) -> None:
-        nonlocal links, where
-        if where is None and text.strip():
-            where = (open_.holder, open_.rows)
+        nonlocal links, where, apart
+        if text.strip():
+            if where is not None and len(open_.aparts) != apart:
+                flush()
+            if where is None:
+                where, apart = (open_.holder, open_.rows), len(open_.aparts)
         pieces.append(text)
         if open_.links:
             links += len(text)
@@ -316,7 +328,19 @@ def labelled_page(r: random.Random) -> str:
         inner = r.choice(["{}", "<p>{}</p>", "<div>{}</div>"]).format(text) + (links(2, 5) if r.random() < 0.3 else "")
         return wrap("footer", "", inner) if r.random() < 0.7 else wrap("div", attr("footer", "copyright", "bottom", "legal", "credits"), inner)
 
+    def instead() -> str:
+        kind = r.choice(sorted(APART))
+        text = no(r.choice([words(2, 8), sentences(1)]))
+        return wrap(kind, "", f"<text>{text}</text>" if kind == "svg" else text)
+
+    def outside() -> str:
+        return wrap(r.choice(sorted(APART)), "", r.choice(["<p>{}</p>", "<div>{}</div>", "{}"]).format(no(sentences(r.randint(1, 3)))))
+
     def part() -> str:
+        inner = plain_part()
+        return wrap(r.choice(sorted(APART)), "", inner) if r.random() < 0.06 else inner
+
+    def plain_part() -> str:
         kind = r.random()
         yes = lambda x: mark(_YES, x)
         if kind < 0.7:
@@ -337,7 +361,7 @@ def labelled_page(r: random.Random) -> str:
         return wrap("figure", "", f"<img><figcaption>{yes(words(3, 10))}</figcaption>")
 
     parts = [f"<h1>{mark(_YES, words(2, 12))}</h1>"] + [part() for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14]))]
-    for make in (advert, notice, side, form, comments):
+    for make in (advert, notice, side, form, comments, instead):
         if r.random() < 0.12:
             parts.insert(r.randint(1, len(parts)), make())
     body = "".join(parts)
@@ -348,8 +372,8 @@ def labelled_page(r: random.Random) -> str:
         body = wrap("main", "", body)
     elif style < 0.95:
         body = wrap(r.choice(["div", "section"]), attr("content", "post", "entry", "article", "story", "main", "article-body", "post-content", "entry-content"), body)
-    before = [make() for make, chance in ((notice, 0.25), (head, 0.5), (menu, 0.7), (form, 0.15), (advert, 0.5), (side, 0.2)) if r.random() < chance]
-    after = [make() for make, chance in ((advert, 0.2), (comments, 0.4), (side, 0.35), (form, 0.15), (notice, 0.15), (foot, 0.85)) if r.random() < chance]
+    before = [make() for make, chance in ((notice, 0.25), (head, 0.5), (menu, 0.7), (form, 0.15), (advert, 0.5), (side, 0.2), (outside, 0.2)) if r.random() < chance]
+    after = [make() for make, chance in ((advert, 0.2), (comments, 0.4), (side, 0.35), (form, 0.15), (notice, 0.15), (outside, 0.1), (foot, 0.85)) if r.random() < chance]
     if r.random() < 0.3:
         r.shuffle(before)
     inner = "".join([*before, body, *after])

@@ -258,6 +258,17 @@ def test_extraction_cases(field):
     assert got[1:3] == ["", ""] and len(got) == 6
 
 
+def test_text_that_stands_in_for_something_is_kept_where_the_article_is(field):
+    long = ["Words of the first part go on and on, as they do.", "The second part has a sentence. And another one.", "At last it ends here, with some more words."]
+    menu, foot = "<noscript><p>Please turn scripts on.</p></noscript><nav><ul><li><a href='/a'>Home</a></li></ul></nav>", "<footer>&copy; us</footer>"
+    for kind in ("noscript", "object", "canvas", "template", "iframe", "svg"):
+        pages = [f"{menu}<article><h1>Head</h1><p>{long[0]}</p><{kind} x='y'><p>{long[1]}</p></{kind}><p>{long[2]}</p></article>{foot}"]
+        pages.append(f"{menu}<article><h1>Head</h1><p>{long[0]}<{kind}><p>{long[1]}</{kind}><p>{long[2]}</article>{foot}")
+        assert html.extract_texts(field, pages) == ["\n".join(["Head", *long])] * 2, kind
+    cases = {"<p>a<svg><path d='x'></path></svg>b": ["ab"], "<p>a<noscript>b</noscript>c": ["a", "b", "c"], "<p>a<object><p>b</object>c<p>d": ["a", "b", "c", "d"], "<iframe>a": ["a"], "<title>a</title>b": ["b"]}
+    assert {k: [t for t, _ in html.blocks_of(k)] for k in cases} == cases
+
+
 def test_broken_pages_are_read_in_time_that_follows_their_length(field):
     makers = [lambda n: "<a " * n, lambda n: "<div>" * n + "</section>" * n, lambda n: "<i><div>" + "<b>" * n + "</i>" * n, lambda n: "<a \"'>" * n, lambda n: "<!--" * n, lambda n: "<script " * n + ">", lambda n: "<li>" * n, lambda n: "<p " + "x=' " * n + ">"]
     for make in makers:
