@@ -34,13 +34,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of linked documents. Rows that repeat an id
-    and a text are one."""
+    """The document with the least id of each class of linked documents; null ids come last, and of several texts of
+    that id the one of the least hash stays. Each text of a repeated or null id is a document of its own. Rows that
+    repeat an id and a text are one. Documents with no words are in no class and stay."""
     linked = ngramjoin.link_documents(docs, width=WIDTH, percent=PERCENT)
-    own, text = fresh(docs, "__kept", "__text")
-    first = linked.filter(F.col("__id").eqNullSafe(F.col("__component"))).select(F.col("__id").alias(own)).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
-    return kept.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).select(*docs.columns)
+    own, text, hashed = fresh(docs, "__kept", "__text", "__hash")
+    one = F.min(F.struct(F.col("__id").isNull().alias("last"), "__id", "__hash")).alias("first")
+    first = linked.filter("__class is not null").groupBy("__class").agg(one).select("first.__id", "first.__hash")
+    first = first.unionAll(linked.filter("__class is null").select("__id", "__hash").distinct())
+    marked = docs.withColumn(text, F.xxhash64("text"))
+    kept = marked.join(first.toDF(own, hashed), F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(text) == F.col(hashed)), "left_semi")
+    return kept.dropDuplicates(["doc_id", text]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -244,7 +244,8 @@ def _classes(old: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """__id, __n, __class, __component of each row: the size of its set and the least id of its class."""
+    """__id, __hash, __n, __class, __component of each row: the hash of its text (xxhash64), the size of its set and
+    the least id of its class."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
@@ -256,7 +257,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sets = sets_of(batch, width)
             names = fingerprints(sets)
             bits = [None if not len(x) or k in seen or seen.add(k) else bitmap(x) for k, x in zip(names.tolist(), sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary())], names=["__id", "sid", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__hash"), pa.array(names), pa.array([len(x) for x in sets], pa.int64()), pa.array(bits, pa.binary())], names=["__id", "__hash", "sid", "n", "bits"])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies enter once a task
@@ -273,7 +274,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             common = np.array([int(ranks.value[(x & U(SKETCH - 1)).astype(np.int64)].mean() / 2) if len(x) else 0 for x in sets], np.int16)
             yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(names, sizes)), pa.array(np.repeat(n, sizes)), pa.array(np.repeat(common, sizes))], names=["token", "sid", "n", "common"])
 
-    named = stored(spark, texts.mapInArrow(name, "__id long, sid long, n long, bits binary"), "named")
+    named = stored(spark, texts.withColumn("__hash", F.xxhash64("__text")).mapInArrow(name, "__id long, __hash long, sid long, n long, bits binary"), "named")
     entries = texts.select("__text").mapInArrow(enter, "token long, sid long, n int, common short")
     leaders = entries.groupBy("token").agg(F.max(F.struct("common", "sid", "n")).alias("lo"), F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most")
     # Stored, so that the join deals both sides anew and a hot member's rows can be split.
@@ -379,11 +380,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = _classes(classes, links)
     dropped(placed, more, links, bits)
 
-    out = named.join(classes, "sid", "left").select("__id", F.col("n").alias("__n"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("__class"))
+    out = named.join(classes, "sid", "left").select("__id", "__hash", F.col("n").alias("__n"), F.when(F.col("n") > 0, F.coalesce("comp", "sid")).alias("__class"))
     least = out.filter("__class is not null").groupBy("__class").agg(F.min("__id").alias("__least"))
     # Stored, so that the join deals both sides anew and a hot class can be split.
     least = stored(spark, least, "least")
-    return out.join(least, "__class", "left").select("__id", "__n", "__class", F.coalesce("__least", "__id").alias("__component"))
+    return out.join(least, "__class", "left").select("__id", "__hash", "__n", "__class", F.coalesce("__least", "__id").alias("__component"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -470,6 +470,17 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     assert all(x.n_tokens == len(x.ids) and x.lang == "en" and x.source == "s" for x in got.values())
 
 
+def test_pipeline_keeps_one_of_near_copies_of_repeated_and_null_ids(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = (words(60, k) for k in (1, 2, 3))
+    near = lambda x, end: " ".join([*x, end])
+    rows = [(2, near(a, "one")), (5, near(a, "two")), (5, near(b, "one")), (6, near(b, "two")), (None, near(c, "one")), (None, near(c, "two")), (None, near(a, "three")), (None, "alone"), (None, None), (None, ""), (7, None), (7, None), (5, near(b, "one"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS).withColumn("__hash", F.lit("clash"))
+    kept = [(x.doc_id, x.text) for x in pipeline.keep_one_of_near_copies(spark, docs, "").collect()]
+    assert sum(x in kept for x in rows[4:6]) == 1
+    assert sorted((x for x in kept if x not in rows[4:6]), key=str) == sorted([rows[0], rows[2], *rows[7:11]], key=str)
+
+
 def test_pipeline_of_odd_tables(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     for name in ("empty", "one"):
