@@ -410,16 +410,19 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
     order = np.argsort(part_of, kind="stable")
     s = Symbols(s.code[order], s.bits[order], [c[order] for c in s.contexts], s.doc[order], s.block[order], s.letter[order])
     part_of = part_of[order]
-    own = np.zeros((n_docs, len(SLOTS) + 1), np.float32)
+    # Weights by input, so that each input's stand side by side.
+    common_ = np.ascontiguousarray(codes.weights.T)
+    own = np.zeros((len(SLOTS) + 1, n_docs), np.float32)
     total = np.zeros((n_docs, 2))
     edges = np.append(np.flatnonzero(np.diff(s.block, prepend=-1)), len(s.block))
     for node, bit, doc, kind, at, size, x, gate in _blocks(codes, s, part_of, edges):
         docs, which = _runs(doc)
-        w = codes.weights.take(gate, axis=0, mode="wrap")
-        w += np.repeat(own[doc], size, axis=0)
-        dot = w[:, 0] * x[0]
-        for j in range(1, len(x)):
-            dot += w[:, j] * x[j]
+        dot = np.zeros(len(node), np.float32)
+        for j, v in enumerate(x):
+            w = common_[j].take(gate, mode="wrap")
+            w += own[j].take(doc).repeat(size)
+            w *= v
+            dot += w
         long = (node > 255).astype(np.intp)
         long += node > 1 << 14
         long *= APM
@@ -428,18 +431,24 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
         np.abs(p, out=p)
         total[doc, kind] += np.add.reduceat(np.log(p, out=p), at, dtype=np.float64) * LOG2_E
         error = bit - plain
-        x = [v * error for v in x]
-        step = np.zeros((len(docs), len(x)), np.float32)
-        np.add.at(step, which, np.stack([np.add.reduceat(v, at) for v in x], axis=1))
         rate = (DOC_RATE / 8 / np.sqrt(16 + np.bincount(which, size))).astype(np.float32)
-        own[docs] = own[docs] * np.float32(0.98) + rate[:, None] * step
+        seen = np.sqrt(4 + np.bincount(gate, minlength=len(codes.weights))) if learn else None
+        for j, v in enumerate(x):
+            v = np.multiply(v, error, out=v if j < len(x) - 1 else None)  # inputs are looked up anew for each block
+            step = np.bincount(which, np.add.reduceat(v, at), len(docs)).astype(np.float32)
+            own[j, docs] = own[j, docs] * np.float32(0.98) + rate * step
+            if learn:
+                common_[j] += (TUNE_RATE * np.bincount(gate, v, len(codes.weights)) / seen).astype(np.float32)
         if learn:
-            seen = np.sqrt(4 + np.bincount(gate, minlength=len(codes.weights)))
-            for j, v in enumerate(x):
-                codes.weights[:, j] += (TUNE_RATE * np.bincount(gate, v, len(codes.weights)) / seen).astype(np.float32)
-            for at, w in ((cell, 1 - share), (cell + 1, share)):
-                mass = np.bincount(at, w, len(codes.apm))
-                codes.apm += (0.02 * (np.bincount(at, w * bit, len(codes.apm)) - mass * codes.apm) / (1 + 0.02 * mass)).astype(np.float32)
+            # By cell and bit: how many, and how much of them lies on the next cell.
+            cell += cell
+            cell += bit
+            here, ahead = np.bincount(cell, minlength=2 * len(codes.apm)).reshape(-1, 2), np.bincount(cell, share, 2 * len(codes.apm)).reshape(-1, 2)
+            for masses in (here - ahead, np.roll(ahead, 1, axis=0)):
+                mass = masses.sum(axis=1)
+                codes.apm += (0.02 * (masses[:, 1] - mass * codes.apm) / (1 + 0.02 * mass)).astype(np.float32)
+    if learn:
+        codes.weights[:] = common_.T
     return total
 
 
