@@ -20,8 +20,8 @@ held-out rule. Rows that repeat an id are each scored. Without training document
 
 Sizes that don't follow the input: the vocabulary and the tables. The mixing weights are tuned on
 all training documents, each taken whole. They are dealt to folds, and each is tuned on with tables
-that lack its own fold, so that the weights are tuned on unseen text. Few documents are gone over
-PASSES times; more are dealt to as many parts, one for each pass. Word and byte counts, N, V and the counts of the tables that score are gathered from
+that lack its own fold, so that the weights are tuned on unseen text. They are dealt to PASSES parts,
+one for each pass, however many they are; rows that repeat an id or a text are dealt row by row. Word and byte counts, N, V and the counts of the tables that score are gathered from
 all training documents.
 """
 
@@ -474,9 +474,16 @@ def tune(codes: Codes, texts: pa.Array) -> None:
 
 def tuning_plan(n: int) -> tuple[int, int, int]:
     """Of n training documents, one in how many is tuned on (all are), in how many parts, each for a pass of
-    its own (one part: every pass goes over all), and in how many shards a part is."""
-    parts = PASSES if n >= PASSES * TUNING else 1
-    return 1, parts, max(1, n // parts // TUNING)
+    its own, and in how many shards a part is."""
+    return 1, PASSES, max(1, n // PASSES // TUNING)
+
+
+def dealt(texts: DataFrame, parts: int, shards: int) -> DataFrame:
+    """texts with the part and the shard of each row. Rows are dealt by their places too, so that one that is
+    repeated many times isn't one shard."""
+    row = F.xxhash64("__id", "__text", F.monotonically_increasing_id())
+    part, shard = F.pmod(F.shiftrightunsigned(row, 48), F.lit(parts)), F.pmod(F.shiftrightunsigned(row, 32), F.lit(shards))
+    return texts.withColumns({"__part": part, "__shard": shard})
 
 
 def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]:
@@ -511,7 +518,7 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
         top = counts.filter(F.col("__c") >= LEAST).orderBy(F.desc("__c"), "__h").limit(VOCABULARY).toPandas()
         _, parts_, shards = tuning_plan(texts.count())
 
-    key = F.xxhash64("__id", F.when(F.col("__id").isNull(), F.col("__text")))  # so that null ids aren't one shard
+    key = F.xxhash64("__id", "__text")  # copies of a row are of one fold, so none is tuned on with tables that hold another
     texts = texts.withColumn("__fold", F.pmod(F.shiftrightunsigned(key, 20), F.lit(FOLDS)).cast("int"))
     codes = make_codes(top["__h"].to_numpy().view(U), top["__c"].to_numpy(), int(n), int(v), letters)
     bare = spark.sparkContext.broadcast(codes)  # bounded by VOCABULARY
@@ -562,8 +569,7 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
     without = spark.sparkContext.broadcast(made[1:])  # of fixed size
 
     # A shard's documents are learned from in order, one fold after another; the shards' weights are averaged after each pass.
-    part = F.pmod(F.shiftrightunsigned(key, 48), F.lit(parts_)).alias("__part")
-    tuned = texts.select("__id", "__fold", "__text", part, F.pmod(F.shiftrightunsigned(key, 32), F.lit(shards)).alias("__shard"))
+    tuned = dealt(texts, parts_, shards)
 
     def average(table: pa.Table) -> pa.Table:
         """Of some shards' states, the sum and what it counts for."""

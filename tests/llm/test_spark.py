@@ -388,14 +388,22 @@ def test_language_model_tunes_on_whole_texts(spark):
 
 def test_language_model_tunes_on_every_document(spark):
     assert all(mixing_lm.tuning_plan(n)[0] == 1 for n in (1, 400, 1300, 10**4, 10**8))
-    for n in (1199, 1200, 10**4, 10**8):  # a shard keeps its size, a pass has a part of its own or all
+    for n in (1, 1199, 1200, 10**4, 10**8):  # a pass has a part of its own at any size, and a shard never grows
         _, parts, shards = mixing_lm.tuning_plan(n)
-        assert parts in (1, mixing_lm.PASSES) and mixing_lm.TUNING <= n / parts / shards < 2 * mixing_lm.TUNING
+        assert parts == mixing_lm.PASSES and n / parts / shards < 2 * mixing_lm.TUNING
+        assert shards == 1 or n / parts / shards >= mixing_lm.TUNING
     rows = [(None, f"the cat {i % 3} sat on the mat {i}") for i in range(1300)]
     codes, _ = mixing_lm.fit(spark.createDataFrame(rows, DOCS), "doc_id", "text")
     assert np.isfinite(codes.weights).all() and not np.array_equal(codes.weights[0], np.full_like(codes.weights[0], 0.35))
 
 
+def test_language_model_splits_a_row_that_is_repeated(spark):
+    rows = [(7, "the same row stands here")] * 6000 + [(i, f"the cat {i % 3} sat on the mat {i}") for i in range(6000)]
+    dealt = mixing_lm.dealt(spark.createDataFrame(rows, "__id bigint, __text string"), 3, 10)
+    sizes = [x["count"] for x in dealt.groupBy("__part", "__shard").count().collect()]
+    assert len(sizes) == 30 and sum(sizes) == 12000 and max(sizes) < 600
+
+
 def test_language_model_leaves_no_shuffle_files(spark):
     before = shuffle_files(spark)
     rows = [(i, f"the cat {i % 3} sat on the mat {i}") for i in range(40)]
