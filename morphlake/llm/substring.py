@@ -6,7 +6,10 @@ occurrence (least id, then position) is the anchor of all later ones, so matches
 input and never with the square of a group. The pieces of a passage may stand first in different
 documents, so where seeds that repeat lie close together, runs of LONG words are seeds as well,
 with anchors of their own: every run of LONG + DENSE - 1 equal words that stands in an earlier
-document is matched to one that holds LONG of them in a row. The matches of a document with another are joined
+document is matched to one that holds LONG of them in a row. Places that no passage holds then are
+matched again by pairs of seeds and by a seed with a block of words near it, each of which has an
+anchor as well: an altered passage is found unless for each such key that it shares with an alike
+document another one is earlier. The matches of a document with another are joined
 to segments along diagonals and chained in order: a segment's best predecessor ends before it
 in both documents, and is found as a prefix maximum in a Fenwick tree over the other document's
 positions, with a cost for each word skipped in near. Chains are aligned on the words: gaps
@@ -24,7 +27,6 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain as chain_of
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ GAP, LEAST, ALIKE = 0.05, 48, 0.8
 SEEDS, MARGIN = 2, 48
 #: Words on either side within which a seed has another of its chain: a cost of GAP a word leaves no more of a seed's K.
 REACH = int(K / GAP) + K
-#: Words on either side of a place that tell whether an alignment without gaps can be a passage.
-AROUND = 64
+#: Words on either side of a seed that tell it from other places of it, in blocks of so many: a passage of LEAST
+#: words has no more beside a seed.
+AROUND, BLOCK = LEAST, 4
+OFFSETS = [*range(-AROUND, 0, BLOCK), *range(K, K + AROUND, BLOCK)]
 #: Words of a long seed, and the window of which it is the least. One of them is worth SEEDS.
 LONG, DENSE = LEAST, 3
 #: What a word is compared by.
@@ -343,11 +347,11 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
-    """Matches with every earlier document, of the places that no passage found so far holds. An anchor stands
-    for its seed. Two documents are matched there if they have another seed in common within REACH words, as a
-    chain has SEEDS of them; new are those that are not the anchor's. Where all of these lie in one stretch, on
-    one diagonal, the alignment has no gaps, and as many words must be equal along it as a passage has at least.
-    Documents meet by the pair of seeds, not by one of them, wherever it can tell more than the stretch."""
+    """Matches of the places that no passage found so far holds, by keys that tell more than a seed does: pairs of
+    seeds within REACH words, as a chain has SEEDS of them, and a seed with BLOCK words at one distance from it, as
+    most of a passage's words are equal. A key's first document is its anchor, and each open place is matched with
+    the anchors of its keys, so rows grow with the places and never with the square of those that share a phrase.
+    New are the matches with other documents than the seed's own anchor."""
     spark = matches.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = found.select(F.col("doc_id").alias("id"), F.col("start_word").cast("int").alias("pos"), F.lit(None).cast("long").alias("other"), F.col("end_word").cast("int").alias("at"))
@@ -356,63 +360,60 @@ def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFr
     # Only the seeds of open places are matched.
     anchors = stored_alone(spark, places.filter("open").select("other", "at").distinct(), "anchors")
     marked = places.join(anchors.withColumn("wanted", F.lit(True)), ["other", "at"], "left").select("id", "pos", "other", "at", "open", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    near = stored_alone(spark, dealt(marked).mapInArrow(_surroundings, "id long, pos int, other long, at int, open boolean, first boolean, far array<long>, close array<long>, apart array<int>, placed array<int>"), "near")
+    near = stored_alone(spark, dealt(marked).mapInArrow(_surroundings, "id long, pos int, other long, at int, open boolean, pairs array<long>"), "near")
     dropped(places, anchors)
 
-    # Another seed in common that lies further off, or in the stretch at another distance.
-    far = near.select("id", "pos", "other", "at", "open", "first", F.explode("far").alias("pair"))
-    far = _met(far, "far", F.min("id") < F.max(F.when(F.col("open"), F.col("id"))))
-    apart = near.select("id", "pos", "other", "at", "open", "first", F.inline(F.arrays_zip(F.col("close").alias("pair"), F.col("apart").alias("by"))))
-    apart = _met(apart, "apart", (F.min("id") < F.max(F.when(F.col("open"), F.col("id")))) & (F.min("by") < F.max("by")))
-    name = lambda df, *more: df.filter("first").select("pair", F.col("id").alias("e_id"), F.col("pos").alias("e_pos"), *more)
-    by_far = far.filter("open").join(name(far), "pair").filter("e_id < id")
-    by_apart = apart.filter("open").join(name(apart, F.col("by").alias("e_by")), "pair").filter("e_id < id and by <> e_by")
-
-    # Words of the places that have another seed in the stretch.
     start = F.greatest(F.lit(0), F.col("pos") - AROUND)
-    seen = near.filter("size(placed) > 0").select("id", "pos", "other", "at", "open", "first", "placed")
-    seen = seen.join(words, F.col("id") == F.col("w")).withColumn("cut", F.substring(F.col("words"), 4 * start + 1, 4 * (F.col("pos") + AROUND - start)))
-    seen = seen.withColumn("rest", (F.length("words") / 4).cast("int") - F.col("pos")).drop("w", "words")
-    schema = ", ".join(f"{c} {kind}" for c, kind in seen.drop("cut").dtypes)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Four bits of each word around a place, in numbers of 16 words."""
-        for batch in batches:
-            m = np.zeros((batch.num_rows, 2 * AROUND), np.uint8)
-            for row, pos, raw in zip(m, batch.column("pos").to_pylist(), batch.column("cut").to_pylist(), strict=True):
-                v = np.frombuffer(raw, WORD)
-                begin = AROUND - min(pos, AROUND)
-                row[begin : begin + len(v)] = v & WORD(15)
-            packed = (m.reshape(len(m), -1, 16).astype(U) << np.arange(0, 64, 4, dtype=U)).sum(axis=2, dtype=U)
-            batch = batch.drop_columns(["cut"])
-            more = [pa.array(packed[:, k].copy().view(np.int64)) for k in range(packed.shape[1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *(f"c{k}" for k in range(len(more)))])
-
-    numbers = [f"c{k}" for k in range(2 * AROUND // 16)]
-    # Stored, so that the join deals both sides anew and a hot seed's rows can be split.
-    seen = stored_alone(spark, seen.mapInArrow(look, schema + "".join(f", {c} long" for c in numbers)), "seen")
-    earlier = seen.filter("first").select("other", "at", F.col("id").alias("e_id"), F.struct("pos", "rest", "placed", *numbers).alias("e"))
-
-    # Equal words along the diagonal, at most: those with equal bits, but for places beyond both texts.
-    equal = -F.greatest(F.lit(0), AROUND - F.greatest("pos", "e.pos")) - F.greatest(F.lit(0), AROUND - F.greatest("rest", "e.rest"))
-    for c in numbers:
-        x = F.col(c).bitwiseXOR(F.col(f"e.{c}"))
-        for k in (1, 2):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        equal = equal + 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    along = (equal >= int(np.ceil(ALIKE * LEAST))) & F.arrays_overlap("placed", "e.placed")
-    by_stretch = seen.filter("open").join(earlier, ["other", "at"]).filter((F.col("e_id") < F.col("id")) & along).withColumn("e_pos", F.col("e.pos"))
-
-    keys = ["id", "pos", "e_id", "e_pos", "other"]
-    both = by_far.select(keys).unionByName(by_apart.select(keys)).unionByName(by_stretch.select(keys)).distinct()
-    both = stored_alone(spark, both, "pairs")
-    dropped(near, far, apart, seen)
-    return both.select("id", "pos", F.col("e_id").alias("other"), F.col("e_pos").alias("at"), F.lit(K).alias("n"), (F.col("e_id") != F.col("other")).alias("new"))
-
-
-def _met(rows: DataFrame, name: str, condition) -> DataFrame:
-    """The rows with a pair of seeds for which the condition holds, stored."""
-    return stored_alone(rows.sparkSession, rows.join(rows.groupBy("pair").agg(condition.alias("met")).filter("met").select("pair"), "pair", "left_semi"), name)
+    cut = F.substring(F.col("words"), 4 * start + 1, 4 * (F.col("pos") + K + AROUND - start))
+    around = near.select("id", "pos", "other", "at", "open").join(words, F.col("id") == F.col("w")).select("id", "pos", "other", "at", "open", cut.alias("cut"))
+    blocks = stored_alone(spark, around.mapInArrow(_blocks, "id long, pos int, other long, open boolean, blocks array<long>"), "blocks")
+
+    by_pair = _with_anchors(near.select("id", "pos", "other", "open", F.explode("pairs").alias("key")))
+    by_block = _with_anchors(blocks.select("id", "pos", "other", "open", F.posexplode("blocks").alias("k", "key")).filter("key is not null"))
+    # A block is as good as a seed, where it stands. It is matched beside the seed it was found by.
+    by = F.element_at(F.array(*(F.lit(o) for o in OFFSETS)), F.col("k") + 1)
+    rows = lambda pos, at, n: F.struct(pos.cast("int").alias("pos"), at.cast("int").alias("at"), F.lit(n).alias("n"))
+    seed = rows(F.col("pos"), F.col("e_pos"), K)
+    by_block = by_block.select("id", "e_id", "other", F.explode(F.array(seed, rows(F.col("pos") + by, F.col("e_pos") + by, BLOCK))).alias("m"))
+    both = by_pair.select("id", "e_id", "other", seed.alias("m")).unionByName(by_block).groupBy("id", "e_id", "m").agg(F.max(F.col("e_id") != F.col("other")).alias("new"))
+    both = stored_alone(spark, both.select("id", F.col("e_id").alias("other"), "m.pos", "m.at", "m.n", "new"), "pairs")
+    dropped(near, blocks)
+    return both
+
+
+def _with_anchors(rows: DataFrame) -> DataFrame:
+    """The open rows with their key's first document and place (e_id, e_pos), if it is an earlier document."""
+    first = rows.groupBy("key").agg(F.min(F.struct("id", "pos")).alias("e"), F.max(F.when(F.col("open"), F.col("id"))).alias("top")).filter("e.id < top")
+    # Stored, so that the join deals both sides anew and a hot key's rows can be split.
+    first = stored_alone(rows.sparkSession, first.select("key", F.col("e.id").alias("e_id"), F.col("e.pos").alias("e_pos")), "key_first")
+    return rows.filter("open").join(first, "key").filter("e_id < id")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places with the words around them (cut), a key of the seed with BLOCK words at each of OFFSETS; null
+    where the text ends before."""
+    for batch in batches:
+        pos, other, at = (batch.column(c).to_numpy().astype(np.int64) for c in ("pos", "other", "at"))
+        m = np.zeros((len(pos), 2 * AROUND + K), U)
+        begin = AROUND - np.minimum(pos, AROUND)
+        end = begin.copy()
+        for i, raw in enumerate(batch.column("cut").to_pylist()):
+            v = np.frombuffer(raw, WORD)
+            end[i] += len(v)
+            m[i, begin[i] : end[i]] = v
+        with np.errstate(over="ignore"):
+            seed = mix(mix(other.view(U)) + at.view(U))
+            keys = np.empty((len(pos), len(OFFSETS)), U)
+            for k, o in enumerate(OFFSETS):
+                h = mix(seed + U(k + 1))
+                for j in range(AROUND + o, AROUND + o + BLOCK):
+                    h = mix((h ^ m[:, j]) + U(1))
+                keys[:, k] = h
+        low = np.array(OFFSETS) + AROUND
+        null = (low < begin[:, None]) | (low + BLOCK > end[:, None])
+        ends = pa.array(np.arange(len(pos) + 1, dtype=np.int32) * len(OFFSETS))
+        lists = pa.ListArray.from_arrays(ends, pa.array(keys.view(np.int64).ravel(), mask=null.ravel()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "pos", "other", "open")), lists], names=["id", "pos", "other", "open", "blocks"])
 
 
 def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,9 +434,8 @@ def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the wanted places that are open or their seed's first in the document: pairs with the seeds within
-    REACH words but not in the stretch (far); with those in the stretch (close) and how far off (apart); what lies
-    how far off there (placed). A place without another seed is left out, and isn't the first."""
+    """Of the wanted places that are open or their seed's first in the document: their pairs with the seeds within
+    REACH words. A place without another place of a seed is left out, and isn't the first."""
     for now in _whole_documents(batches, "id"):
         ids, pos, other, at = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "pos", "other", "at"))
         wanted = np.flatnonzero(now.column("wanted").to_numpy())
@@ -451,11 +451,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         def spread(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return np.repeat(np.arange(len(size)), size), np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
 
-        (low, high), (low_, high_) = within(wanted, REACH), within(wanted, K + W - 1)
-        some = high - low > high_ - low_
-        alone = np.flatnonzero(~some)
-        row, there = spread(low_[alone], (high_ - low_)[alone])
-        some[alone[row[seed[there] != seed[wanted[alone]][row]]]] = True
+        low, high = within(wanted, REACH)
+        some = high - low > 1
         wanted, low, high = wanted[some], low[some], high[some]
         order = np.lexsort((pos[wanted], seed[wanted], ids[wanted]))
         first = np.ones(len(order), bool)
@@ -465,48 +462,41 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(wanted):
             continue
         row, there = spread(low, high - low)
-        here = wanted[row]
-        by = pos[there] - pos[here]
         with np.errstate(over="ignore"):
-            pair = mix(seed[here] ^ mix(seed[there] + U(1))).view(np.int64)
-            placed = (mix(seed[there] + by.view(U)) >> U(32)).astype(np.uint32).view(np.int32)
-        unlike, close = seed[there] != seed[here], np.abs(by) < K + W
+            pair = mix(seed[wanted[row]] ^ mix(seed[there] + U(1))).view(np.int64)
         order = np.lexsort((pair, row))
-        order = order[~close[order]]
-        again = np.zeros(len(row), bool)  # a seed that stands there again makes no other pair
-        again[order[1:]] = (row[order][1:] == row[order][:-1]) & (pair[order][1:] == pair[order][:-1])
-
-        def lists(where: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
-            ends = np.searchsorted(row[where], np.arange(len(wanted) + 1))  # noqa: B023
-            return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v[where])) for v in values]
-
+        order = order[there[order] != wanted[row[order]]]
+        new = np.ones(len(order), bool)  # a seed that stands there again makes no other pair
+        new[1:] = (np.diff(row[order]) != 0) | (np.diff(pair[order].view(U)) != 0)
+        row, pair = row[order][new], pair[order][new]
+        ends = pa.array(np.searchsorted(row, np.arange(len(wanted) + 1)).astype(np.int32))
         now = now.take(pa.array(wanted))
-        yield pa.RecordBatch.from_arrays(
-            [*(now.column(c).combine_chunks() for c in ("id", "pos", "other", "at", "open")), pa.array(first), *lists(~close & ~again, pair), *lists(close & unlike, pair, by.astype(np.int32)), *lists(close & (by != 0), placed)],
-            names=["id", "pos", "other", "at", "open", "first", "far", "close", "apart", "placed"],
-        )
+        columns = (now.column(c).combine_chunks() for c in ("id", "pos", "other", "at", "open"))
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, pa.array(pair))], names=["id", "pos", "other", "at", "open", "pairs"])
 
 
 def _whole_documents(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[pa.Table]:
     """The rows of sorted batches, with all that have these values equal in one table."""
-    left: pa.Table | None = None
-    for batch in chain_of(batches, (None,)):
-        if batch is not None:
-            now = pa.Table.from_batches([batch])
-            left = pa.concat_tables([left, now]).combine_chunks() if left is not None else now
-            if not left.num_rows:
-                continue
-            unlike = np.zeros(left.num_rows, bool)
-            for name in names:
-                v = left.column(name).to_numpy()
-                unlike |= v != v[-1]
-            edge = np.flatnonzero(unlike)
-            cut = int(edge[-1]) + 1 if len(edge) else 0
-            now, left = left.slice(0, cut), left.slice(cut)
-        else:
-            now, left = left, None
-        if now is not None and now.num_rows:
-            yield now
+    left: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        unlike = np.zeros(batch.num_rows, bool)
+        for name in names:
+            v = batch.column(name).to_numpy()
+            unlike |= v != v[-1]
+        edge = np.flatnonzero(unlike)
+        cut = int(edge[-1]) + 1 if len(edge) else 0
+        last = [left[-1].column(name)[-1].as_py() for name in names] if left else None
+        if left and (cut or [batch.column(name)[-1].as_py() for name in names] != last):
+            # The rows so far end in this batch, or ended with the last one.
+            yield pa.Table.from_batches([*left, batch.slice(0, cut)]).combine_chunks()
+            left = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        left.append(batch.slice(cut))
+    if left:
+        yield pa.Table.from_batches(left).combine_chunks()
 
 
 def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:

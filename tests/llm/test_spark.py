@@ -213,19 +213,52 @@ def test_surroundings_of_open_places():
     anchors = {x[2:] for x, f in zip(rows, free, strict=True) if f}
     marked = places.append_column("wanted", pa.array([x[2:] in anchors for x in rows]))
     got = {(x["id"], x["pos"]): x for x in pa.Table.from_batches(substring._surroundings(iter(marked.to_batches(max_chunksize=11)))).to_pylist()}
-    width, firsts = substring.K + substring.W, set()
+    firsts = set()
     for (i, p, *seed), f in zip(rows, free, strict=True):
-        around = [(q - p, tuple(s)) for j, q, *s in rows if i == j and abs(q - p) <= substring.REACH]
-        far = {s for d, s in around if abs(d) >= width}
-        close = [d for d, s in around if abs(d) < width and s != tuple(seed)]
-        first = tuple(seed) in anchors and bool(far or close) and (i, *seed) not in firsts
+        around = [tuple(s) for j, q, *s in rows if i == j and q != p and abs(q - p) <= substring.REACH]
+        first = tuple(seed) in anchors and bool(around) and (i, *seed) not in firsts
         if first:
             firsts.add((i, *seed))
-        assert ((i, p) in got) == (tuple(seed) in anchors and bool(far or close) and (f or first))
+        assert ((i, p) in got) == (tuple(seed) in anchors and bool(around) and (f or first))
         if (i, p) in got:
-            x = got[i, p]
-            assert (x["first"], x["open"], len(x["far"]), x["apart"]) == (first, f, len(far), close)
-            assert len(set(x["far"])) == len(far) and len(x["placed"]) == sum(0 < abs(d) < width for d, _ in around)
+            assert got[i, p]["open"] == f and len(set(got[i, p]["pairs"])) == len(got[i, p]["pairs"]) == len(set(around))
+
+
+def test_whole_documents():
+    r = random.Random(9)
+    rows = sorted((r.randint(0, 12), r.randint(0, 2), k) for k in range(200))
+    whole = pa.table(dict(zip("abk", (pa.array(v) for v in zip(*rows, strict=True)), strict=True)))
+    for size in (1, 3, 50, 1000):
+        parts = [t.to_pylist() for t in substring._whole_documents(iter(whole.to_batches(max_chunksize=size)), "a", "b")]
+        assert sum(parts, []) == whole.to_pylist()
+        groups = [{(x["a"], x["b"]) for x in part} for part in parts]
+        assert sum(map(len, groups)) == len(set().union(*groups)) == len({x[:2] for x in rows})
+
+
+def test_altered_copies_of_a_family(spark):
+    """Passages of an altered family grow with it, and those of a brute-force comparison are found."""
+    counts = {}
+    for size in (20, 40):
+        r = random.Random(size)
+        p = words(60, 21)
+        rows = [(10, words(50, 22) + p[:30]), (11, p[30:] + words(50, 23))]
+        rows += [(20 + k, words(20, 100 + k) + [w if r.random() > 0.06 else f"new{k}x{i}" for i, w in enumerate(p)] + words(20, 200 + k)) for k in range(size)]
+        rows += [(100 + k, words(30, 300 + k) + p[10:22] + words(30, 400 + k)) for k in range(size)]
+        found = substring.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], DOCS)).collect()
+        counts[size] = len(found)
+        # By brute force: family members with an earlier one that has as many equal words on a diagonal of LEAST words or more.
+        alike = set()
+        for i, w in rows:
+            for j, v in rows:
+                if j < i:
+                    for d in range(-len(v), len(w)):
+                        same = [w[k] == v[k - d] for k in range(max(0, d), min(len(w), len(v) + d))]
+                        if any(sum(same[k : k + substring.LEAST]) >= substring.ALIKE * substring.LEAST for k in range(len(same) - substring.LEAST + 1)):
+                            alike.add(i)
+        got = {x.doc_id for x in found}
+        assert len(got & alike) >= 0.9 * len(alike) and len(alike) >= size - 2, (len(got & alike), len(alike))
+        assert not {i for i in got if i >= 100}
+    assert counts[40] < 3 * counts[20], counts
 
 
 def test_sentencepiece_table(spark):
