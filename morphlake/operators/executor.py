@@ -1,6 +1,6 @@
 """The batched rewrite: begin, batch, abort, clear; and rollback, newest first.
 
-One Spark job visits a slice of the log: its distinct keys are joined to their entries, the
+One Spark job visits a slice of the log, of one batch or of several: its keys are joined to their entries, the
 step's columns are evaluated once and written with their outcomes, and only then does one
 new control record make the batch, the cursor and the carried-forward log visible. A batch that
 fails leaves no trace; running it again is harmless, as steps are idempotent. If another writer
@@ -15,11 +15,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import astuple, dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import DEFAULT_BATCH, LARGEST_BATCH
-from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tallies
+from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tallies, tally
 from morphlake.plans.compile import FunctionStep, Step, VariantStep
 from morphlake.plans.model import KeySpace, ShapeError
 from morphlake.sources.control import COMPLETED, ROLLED_BACK, ROLLING_BACK, RUNNING, Control, Migration, MigrationError
@@ -47,6 +47,10 @@ class Outcome:
         return self.visited == 0 and not self.done
 
 
+#: The counts of a batch that visits nothing.
+NOTHING = {"visited": 0, "migrated": 0, "already_current": 0, "skipped": 0}
+
+
 class DeadlineExpired(Exception):
     """A batch took too long and is known not to be kept."""
 
@@ -120,51 +124,72 @@ class Executor:
             raise MigrationError("WrongMigration", f"{m.from_version} -> {m.to_version} is recorded")
         return m
 
-    def _visit(self, c: Control, visits: DataFrame, down: bool) -> tuple[str, dict]:
-        """Evaluates a slice once, and counts its outcomes in the job that writes it. Only the entries of
-        the slice's keys are read and merged."""
-        keys = visits.select("key").distinct()
-        ours = keys.filter(self.variant[0].within(self.variant[1])) if self.variant else keys
-        entries = self.store.entries(c, ours)
-        found = keys.join(entries.withColumn("_present", F.lit(True)), "key", "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
-        moved = (self.step.down if down else self.step.up)(found, self.shape_col)
-        seen, counted = per_visit(visits.join(moved.drop("_present"), "key"), newest_first=down), Observation()
+    def _visit(self, c: Control, visits: DataFrame, down: bool, place: Column, limit: int, n: int) -> tuple[str, list[dict]]:
+        """Evaluates a slice of n positions once; returns what it wrote and the outcomes of its batches. Only entries in the
+        range of the slice's keys are read and merged. place counts the slice's positions in the order of the visits."""
+        keys = visits.select("key")
+        entries = self.store.around(c, keys.filter(self.variant[0].within(self.variant[1])) if self.variant else keys)
+        apart = {x: f"__{x}" for x in ("pos", "step") if x in visits.columns}
+        found = visits.withColumnsRenamed(apart).join(entries.withColumn("_present", F.lit(True)), "key", "left").withColumn("_present", F.coalesce("_present", F.lit(False)))
+        moved = (self.step.down if down else self.step.up)(found, self.shape_col).drop("_present").withColumnsRenamed({y: x for x, y in apart.items()})
+        seen, counted = per_visit(moved, newest_first=down), Observation()
         path = self.store.write(seen.observe(counted, *tallies()), "visits")
-        return path, counted.get
+        if n <= limit:
+            counts = {0: counted.get}
+        else:
+            rows = tally(self.store.spark.read.parquet(path), [F.floor(place / limit).cast("bigint").alias("batch")]).collect()
+            counts = {r["batch"]: {k: r[k] for k in NOTHING} for r in rows}
+        got = [counts.get(i, NOTHING) for i in range(-(-n // limit))]
+        for i, x in enumerate(got):
+            if x["visited"] != (wanted := min(limit, n - i * limit)):
+                raise MigrationError("CorruptIndex", f"{x['visited']} of {wanted} positions of batch {i} of the slice")
+        return path, got
+
+    def _outcomes(self, m: Migration, start: int, limit: int, counts: list[dict]) -> list[Outcome]:
+        """The outcomes of batches from start on, up to the cursor of m."""
+        ends = [min(start + (i + 1) * limit, m.cursor) for i in range(len(counts))]
+        return [Outcome(self.a, self.b, end, m.total, **x, done=end >= m.total) for end, x in zip(ends, counts)]
 
-    @retried
     def batch(self, limit: int = DEFAULT_BATCH) -> Outcome:
+        return self.batches(limit)[0]
+
+    @retried
+    def batches(self, limit: int = DEFAULT_BATCH, most: int = 1) -> list[Outcome]:
+        """The next batches, at most so many of at most limit keys each, evaluated by one job and made visible by one
+        commit: all or none. Each has its own outcome, as if they had run one after another: what an earlier one has
+        moved is current for a later one."""
         self._sized(limit)
         c = self.store.control()
         m = self._state(c)
         if m.status == COMPLETED:
-            return Outcome(self.a, self.b, m.cursor, m.total, done=True)
+            return [Outcome(self.a, self.b, m.cursor, m.total, done=True)]
         if m.status != RUNNING:
             raise MigrationError("NoActiveMigration", m.status)
-        total = max(m.total, c.length(self.a))
-        n = min(limit, max(total - m.cursor, 0))
-        counts = {"visited": 0, "migrated": 0, "already_current": 0, "skipped": 0}
+        start, total = m.cursor, max(m.total, c.length(self.a))
+        n, counts = min(limit * most, max(total - start, 0)), [NOTHING]
         if n:
-            visits = slice_of(self.store.log(self.a, c, m.cursor, n), m.cursor, n)
-            path, counts = self._visit(c, visits, down=False)
-            if counts["visited"] != n:
-                raise MigrationError("CorruptIndex", f"{counts['visited']} of {n} positions from {m.cursor}")
+            visits = slice_of(self.store.log(self.a, c, start, n), start, n)
+            path, counts = self._visit(c, visits, False, F.col("pos") - start, limit, n)
             self._keep(c, path, counts)
-            start = c.length(self.b)
-            carried = self.store.spark.read.parquet(path).select((F.col("pos") - m.cursor + start).cast("bigint").alias("pos"), "key")
+            end = c.length(self.b)
+            carried = self.store.spark.read.parquet(path).select((F.col("pos") - start + end).cast("bigint").alias("pos"), "key")
             c.add_log(self.b, self.store.write(carried, "log"), n)
-        m.cursor, m.total = m.cursor + n, total
-        if done := m.cursor >= m.total:
+        m.cursor, m.total = start + n, total
+        if m.cursor >= m.total:
             m.status, c.version = COMPLETED, self.b
         self.store.roll(c)
         self.store.commit(c)
-        return Outcome(self.a, self.b, m.cursor, m.total, **counts, done=done)
+        return self._outcomes(m, start, limit, counts)
 
-    def _keep(self, c: Control, path: str, counts: dict) -> None:
-        """Rows that changed become a delta; rows that did not are not written again."""
-        if counts["migrated"]:
+    def _keep(self, c: Control, path: str, counts: list[dict]) -> None:
+        """Rows that changed become a delta; rows that did not are not written again. A delta of as many keys as the one
+        folder before it has rows holds each of them, and takes its place."""
+        if n := sum(x["migrated"] for x in counts):
             rows = self.store.spark.read.parquet(path).filter("outcome = 'Migrated'").drop("pos", "step", "outcome")  # the first visit of each key
-            c.add_entries(self.store.write(rows.sort("key"), "entries"), rows, counts["migrated"])
+            whole = len(c.entries) == 1 and c.sizes.get(c.entries[0]) == n
+            c.add_entries(self.store.write(rows.sort("key"), "entries"), rows, n)
+            if whole:
+                c.replace(c.entries, 0, c.entries[-1], n)
 
     def batch_within(self, limit: int, seconds: float) -> Outcome:
         """A batch whose jobs are cancelled after so many seconds (0: never). The record then tells whether
@@ -180,12 +205,10 @@ class Executor:
                 raise
             return Outcome(self.a, self.b, now.cursor, now.total, visited=now.cursor - before.cursor, done=now.status == COMPLETED)
 
-    def run_to_completion(self, limit: int = DEFAULT_BATCH, most: int = 1000) -> list[Outcome]:
-        """Batches until done; reaching most is no error, the next call goes on."""
-        out: list[Outcome] = []
-        while len(out) < most and not (out and out[-1].done):
-            out.append(self.batch(limit))
-        return out
+    def run_to_completion(self, limit: int = DEFAULT_BATCH, most: int = 1000, together: int = 1) -> list[Outcome]:
+        """Batches until done; reaching most is no error, the next call goes on. So many as together says are evaluated by
+        one job and kept by one commit, so that the number of jobs does not grow with that of small batches."""
+        return _run(self.batches, limit, most, together)
 
     def status(self) -> Migration | None:
         return self.store.control().migration
@@ -232,41 +255,46 @@ class Executor:
         self.store.commit(c)
         return c.migration
 
-    @retried
     def rollback_batch(self, limit: int = DEFAULT_BATCH) -> Outcome:
+        return self.rollback_batches(limit)[0]
+
+    @retried
+    def rollback_batches(self, limit: int = DEFAULT_BATCH, most: int = 1) -> list[Outcome]:
+        """As batches, newest first."""
         self._sized(limit)
         c = self.store.control()
         m = self._state(c)
         if m.status == ROLLED_BACK:
-            return Outcome(self.a, self.b, m.cursor, m.total, done=True)
+            return [Outcome(self.a, self.b, m.cursor, m.total, done=True)]
         if m.status != ROLLING_BACK:
             raise MigrationError("NoActiveMigration", m.status)
         if c.length(self.b) > m.total:
             raise MigrationError("OrphanedEntries", f"{c.length(self.b) - m.total} keys were written under v{self.b} since the rollback began")
-        n = min(limit, m.total - m.cursor)
-        counts = {"visited": 0, "migrated": 0, "already_current": 0, "skipped": 0}
+        start, n, counts = m.cursor, min(limit * most, m.total - m.cursor), [NOTHING]
         if n:
-            visits = reversed_slice(self.store.log(self.b, c, m.total - m.cursor - n, n), m.total, m.cursor, n)
-            path, counts = self._visit(c, visits, down=True)
-            if counts["visited"] != n:
-                raise MigrationError("CorruptIndex", f"{counts['visited']} of {n} positions")
+            visits = reversed_slice(self.store.log(self.b, c, m.total - start - n, n), m.total, start, n)
+            path, counts = self._visit(c, visits, True, F.col("step") - start, limit, n)
             self._keep(c, path, counts)
             # the log of the old version keeps its order: position for position
             carried = self.store.spark.read.parquet(path).select("pos", "key")
             c.add_log(self.a, self.store.write(carried, "log"), n)
-        m.cursor += n
-        if done := m.cursor >= m.total:
+        m.cursor = start + n
+        if m.cursor >= m.total:
             m.status, c.version = ROLLED_BACK, self.a
             c.columns.get(self.step.name, {}).pop(str(self.b), None)  # nothing stands there any more
         self.store.roll(c)
         self.store.commit(c)
-        return Outcome(self.a, self.b, m.cursor, m.total, **counts, done=done)
+        return self._outcomes(m, start, limit, counts)
+
+    def rollback_to_completion(self, limit: int = DEFAULT_BATCH, most: int = 1000, together: int = 1) -> list[Outcome]:
+        return _run(self.rollback_batches, limit, most, together)
+
 
-    def rollback_to_completion(self, limit: int = DEFAULT_BATCH, most: int = 1000) -> list[Outcome]:
-        out: list[Outcome] = []
-        while len(out) < most and not (out and out[-1].done):
-            out.append(self.rollback_batch(limit))
-        return out
+def _run(batches: Callable[[int, int], list[Outcome]], limit: int, most: int, together: int) -> list[Outcome]:
+    out: list[Outcome] = []
+    while len(out) < most and not (out and out[-1].done):
+        out += batches(limit, min(together, most - len(out)))
+    return out
 
 
 def _within(spark: SparkSession, seconds: float, f: Callable[[], Outcome]) -> Outcome:

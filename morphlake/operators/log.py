@@ -103,9 +103,10 @@ def tallies() -> list[Column]:
 
 
 def per_visit(visits: DataFrame, key: str = "key", newest_first: bool = False) -> DataFrame:
-    """Outcomes of log rows from outcomes of keys: only a key's first visit can be Migrated."""
-    w = Window.partitionBy(key).orderBy(F.desc("pos") if newest_first else F.asc("pos"))
-    again = (F.col("outcome") == "Migrated") & (F.row_number().over(w) > 1)
+    """Outcomes of log rows from outcomes of keys: only a key's first visit can be Migrated. The first is found as the
+    least position (a log's positions differ), so rows that are sorted by key are not sorted once more."""
+    first = (F.max("pos") if newest_first else F.min("pos")).over(Window.partitionBy(key))
+    again = (F.col("outcome") == "Migrated") & (F.col("pos") != first)
     return visits.withColumn("outcome", F.when(again, "AlreadyCurrent").otherwise(F.col("outcome")))
 
 

@@ -100,7 +100,7 @@ class Store:
 
     # -------- entries
 
-    def _merged(self, c: Control, folders: list[str], keys: DataFrame | None = None) -> DataFrame:
+    def _merged(self, c: Control, folders: list[str], keys: DataFrame | None = None, exact: bool = True) -> DataFrame:
         """The newest row of each key over some folders of entries, oldest first. Removals are rows too."""
         rows = self.spark.read.schema(", ".join(f"`{k}` {v}" for k, v in c.schema.items())).parquet(*folders)
         merged = len(folders) > 1
@@ -108,7 +108,9 @@ class Store:
             rows = rows.withColumn("__folder", F.regexp_extract("_metadata.file_path", "/entries/([0-9a-f]+)/", 1))
         if keys is not None:
             low, high, n = keys.agg(F.min("key"), F.max("key"), F.count(F.lit(1))).first()
-            rows = rows.filter(F.col("key").between(low, high)).join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi")
+            rows = rows.filter(F.col("key").between(low, high))
+            if exact or n <= BROADCAST_KEYS:
+                rows = rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, "key", "left_semi")
         if not merged:
             return rows
         order = self.spark.createDataFrame([(p.rsplit("/", 1)[1], i) for i, p in enumerate(folders)], "__folder string, __commit int")
@@ -171,8 +173,16 @@ class Store:
         c = control or self.control()
         if not c.entries:
             return self.spark.createDataFrame([], "key string")
-        out = self._merged(c, c.entries, keys)
-        return out.filter("coalesce(__removed, false) = false").drop("__removed") if "__removed" in out.columns else out
+        return self._live(self._merged(c, c.entries, keys))
+
+    def around(self, c: Control, keys: DataFrame) -> DataFrame:
+        """The current rows of at least these keys, for a join to them that follows: of a few keys only theirs, of many
+        those in their range, so that many keys are not dealt once more."""
+        return self._live(self._merged(c, c.entries, keys, exact=False)) if c.entries else self.entries(c)
+
+    @staticmethod
+    def _live(rows: DataFrame) -> DataFrame:
+        return rows.filter("coalesce(__removed, false) = false").drop("__removed") if "__removed" in rows.columns else rows
 
     def compile(self, d: Diff) -> Step:
         """A step over the columns in which this store keeps the shape's fields."""
