@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -53,21 +54,27 @@ def replay(caller: BatchCaller, limit: int, most: int = 1000) -> Replay:
 
 
 class Forked:
-    """Batches on a copy: the control record is copied, data files are only read."""
+    """Batches on a copy: the control record is copied, data files are only read. So many as together says are evaluated by
+    one job: their rows are counted each, its seconds and bytes are shared among them by rows."""
 
-    def __init__(self, store: Store, make: Callable[[Store], Executor], root: str | Path):
+    def __init__(self, store: Store, make: Callable[[Store], Executor], root: str | Path, together: int = 1):
         self.store = Store(store.spark, root)
         self.store.record.put(0, store.record.read_text())
-        self.executor = make(self.store)
+        self.executor, self.together = make(self.store), together
         self.begun = False
+        self.ready: deque[tuple[Outcome, dict]] = deque()
 
     def call(self, limit: int) -> tuple[Outcome, dict]:
-        began, before = time.time(), self.store.folder.size()
-        if not self.begun:
-            self.executor.begin()
-            self.begun = True
-        outcome = self.executor.batch(limit)
-        return outcome, {"seconds": time.time() - began, "bytes": self.store.folder.size() - before, "rows": outcome.visited}
+        if not self.ready:
+            began, before = time.time(), self.store.folder.size()
+            if not self.begun:
+                self.executor.begin()
+                self.begun = True
+            outcomes = self.executor.batches(limit, self.together)
+            seconds, size, n = time.time() - began, self.store.folder.size() - before, sum(o.visited for o in outcomes) or 1
+            one = len(outcomes) == 1
+            self.ready.extend((o, {"seconds": seconds if one else seconds * o.visited / n, "bytes": size if one else size * o.visited // n, "rows": o.visited}) for o in outcomes)
+        return self.ready.popleft()
 
 
 #: What one batch may use at most, by resource. A cap of none is not held.
