@@ -102,6 +102,16 @@ def tallies() -> list[Column]:
     return [F.count(F.lit(1)).alias("visited"), n("Migrated")("migrated"), n("AlreadyCurrent")("already_current"), n("Skipped")("skipped")]
 
 
+#: Rows that a task of dealt gets, about.
+TASK_ROWS = 1 << 17
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by key into so many tasks that each gets about TASK_ROWS of them, so that what a task sorts or groups does
+    not grow with the table (a key's own rows stay together)."""
+    return rows.repartition(-(-rows.count() // TASK_ROWS) or 1, key)
+
+
 def per_visit(visits: DataFrame, key: str = "key", newest_first: bool = False) -> DataFrame:
     """Outcomes of log rows from outcomes of keys: only a key's first visit can be Migrated. The first is found as the
     least position (a log's positions differ), so rows that are sorted by key are not sorted once more."""
