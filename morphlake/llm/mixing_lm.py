@@ -234,7 +234,7 @@ def tokens_of(texts: pa.Array, codes: Codes, also: np.ndarray | None = None) ->
     inner[begin] = False
     own = np.repeat(spelled, extra[spelled])
     k = np.arange(len(own)) - np.repeat(np.cumsum(extra[spelled]) - extra[spelled], extra[spelled])
-    byte = np.where(k < length[own], raw[np.minimum(at[own] + k, len(raw) - 1)], np.uint8(32)) if len(own) else np.zeros(0, np.uint8)
+    byte = np.where(k < length[own], raw[np.minimum(at[own] + k, len(raw) - 1)], np.uint8(32)) if len(raw) else np.full(len(own), 32, np.uint8)
     back = [np.zeros(len(byte), U) for _ in range(5)]
     for i, x in enumerate(back, 1):
         x[i:] = np.where(k[i:] >= i, byte[:-i], np.uint8(0))

@@ -319,3 +319,13 @@ def test_signature_trees_lose_no_pair():
     got = {tuple(sorted(p)) for p in ngramjoin.similar_pairs(sizes, bits, classes, rows, rows, 85).tolist()}
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if ngramjoin.similar(sets[i], sets[j], 85)}
     assert want and want <= got and len(got) < 120 * 119 // 2
+
+
+def test_a_task_of_empty_texts_only_is_counted():
+    """The end of a text is spelled while ends are rare; a part that holds no word then has no byte to look at."""
+    kinds = np.array([1, int(mixing_lm.END)], np.uint64)
+    order = np.argsort(kinds)
+    codes = mixing_lm.make_codes(kinds[order], np.array([3, 1])[order], 4, 2)
+    also = np.append(codes.counts < mixing_lm.SPELLED, False)
+    tokens, s = mixing_lm.tokens_of(pa.array([None, ""]), codes, also)
+    assert list(s.letter) == [False, True, False, True] and len(s.code) == 4
