@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +64,26 @@ def minimizers(hashes: np.ndarray, splits: np.ndarray, counts: np.ndarray, width
     """Rows of the k-mers that are the least of some window of that width within their text (all texts
     at once; of texts with fewer k-mers, the least). The first of equal ones wins."""
     n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(splits) - 1), np.diff(splits))
-    best, at = hashes.copy(), np.arange(n)
-    step = 1
+    kept = np.zeros(n, bool)
+    best, off = hashes, np.zeros(n, np.int16 if width < 1 << 15 else np.int64)
     covered = 1
-    while covered < width:  # minima of windows of doubled width, then of the whole
+    while covered < min(width, n):  # minima of windows of doubled width, then of the whole; one that crosses a text's end isn't used
         step = min(covered, width - covered)
-        later = np.minimum(np.arange(n) + step, splits[1:][text] - 1)
-        swap = best[later] < best
-        best, at = np.where(swap, best[later], best), np.where(swap, at[later], at)
+        m = max(0, len(best) - step)
+        swap = best[step:] < best[:m]
+        best, off = np.where(swap, best[step:], best[:m]), np.where(swap, off[step:] + off.dtype.type(step), off[:m])
         covered += step
-    last = np.maximum(splits[1:][text] - width, splits[:-1][text])  # the last window that is whole
-    return np.unique(at[np.arange(n) <= last])
+    size = np.diff(splits)
+    if covered >= width:
+        whole = np.zeros(n + 1, np.int8)  # where the windows that are whole begin
+        some = size >= width
+        whole[splits[:-1][some]] += 1
+        whole[splits[1:][some] - width + 1] -= 1
+        at = np.flatnonzero(np.cumsum(whole[:n], dtype=np.int8))
+        kept[at + off[at]] = True
+    for i in np.flatnonzero((size > 0) & (size < width)).tolist():
+        kept[splits[i] + int(hashes[splits[i] : splits[i + 1]].argmin())] = True
+    return np.flatnonzero(kept)
 
 
 def long_seeds(words: np.ndarray, splits: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,6 +166,21 @@ def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> list[tu
     return out
 
 
+def _only_segments(x: np.ndarray, y: np.ndarray, n: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """chains() of many pairs of documents at once, where it is plain: whether all matches of a pair are one segment,
+    that segment, and its seeds."""
+    pair = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    order = np.lexsort((x, x - y, pair))
+    x, y, n = x[order], y[order], n[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (np.diff(x - y) != 0) | (np.diff(pair) != 0)
+    apart = np.cumsum(new) * (int((x + n).max()) + 1)
+    reach = np.maximum.accumulate(x + n + apart) - apart
+    new[1:] |= x[1:] - reach[:-1] > W - 1
+    at = edges[:-1]
+    return np.add.reduceat(new, at, dtype=np.int64) == 1, np.stack([x[at], y[at], reach[edges[1:] - 1] - x[at]], axis=1), np.add.reduceat(np.where(n > K, SEEDS, 1), at)
+
+
 def _gap_matches(u: np.ndarray, v: np.ndarray) -> int:
     """Equal words of the best alignment of two runs (longest common subsequence), at any length.
     A row of the alignment is the bits of numbers, BITS in each, so a word costs a few operations on them."""
@@ -258,6 +280,32 @@ def align(a: np.ndarray, b: np.ndarray, a0: int, b0: int, chain: list[tuple[int,
     return sorted(out)
 
 
+def _n_words(texts: pa.Array) -> np.ndarray:
+    return pa.compute.binary_length(texts).to_numpy().astype(np.int64) // WORD().itemsize
+
+
+def _single(a: pa.Array, b: pa.Array, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """align() of many chains of one segment each, in the words of a and b: whether the whole is alike enough, its
+    start and end in both, and matched words."""
+    (u, u_ends), (v, v_ends) = ((np.frombuffer(raw.tobytes(), WORD), ends // WORD().itemsize) for raw, ends in map(common.buffer_of, (a, b)))
+    row = np.arange(len(x))
+
+    def extension(p: np.ndarray, q: np.ndarray, m: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        k = np.arange(max(1, int(m.max(initial=0))))
+        inside = k < m[:, None]
+        same = u[np.where(inside, p[:, None] + by * k, 0)] == v[np.where(inside, q[:, None] + by * k, 0)]
+        total = np.cumsum(np.where(inside & same, 1, -2), axis=1)
+        best = total.argmax(axis=1)
+        words = np.where(total[row, best] > 0, best + 1, 0)
+        return words, np.where(words > 0, (total[row, best] + 2 * words) // 3, 0)
+
+    p, q = u_ends[:-1] + x, v_ends[:-1] + y
+    l, lm = extension(p - 1, q - 1, np.minimum(x, y), -1)
+    r, rm = extension(p + n, q + n, np.minimum(u_ends[1:] - p, v_ends[1:] - q) - n, 1)
+    matched = n + lm + rm
+    return matched >= ALIKE * (l + n + r), x - l, x + n + r, y - l, y + n + r, matched
+
+
 def _words32(batch: pa.RecordBatch) -> pa.Array:
     """32 bits of each word's hash, as bytes of each text."""
     out: list[bytes] = []
@@ -507,13 +555,19 @@ def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
         for now in _whole_documents(batches, "id", "other"):
             a, b, x, y, n = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "other", "pos", "at", "n"))
             new = now.column("new").to_numpy()
-            edges = np.append(np.flatnonzero(np.diff(a, prepend=a[0] - 1) | np.diff(b, prepend=b[0] - 1)), len(a))
+            first = np.flatnonzero(np.diff(a, prepend=a[0] - 1) | np.diff(b, prepend=b[0] - 1))
+            edges = np.append(first, len(a))
+            used = ((np.diff(edges) >= SEEDS) | (n[first] != K)) & np.logical_or.reduceat(new, first)
+            alone, segment, total = _only_segments(x, y, n, edges)
+            alone, whole = alone & used, alone & used & (total >= SEEDS)
+            if whole.any():
+                chain_ends = pa.array(3 * np.arange(whole.sum() + 1, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first[whole]]), pa.array(b[first[whole]]), pa.ListArray.from_arrays(chain_ends, pa.array(segment[whole].astype(np.int32).ravel()))], names=["id", "other", "chain"])
             rows = []
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if j - i < SEEDS and n[i] == K or not new[i:j].any():
-                    continue
-                for segments, total in chains(x[i:j], y[i:j], n[i:j]):
-                    if total >= SEEDS:
+            for k in np.flatnonzero(used & ~alone).tolist():
+                i, j = int(edges[k]), int(edges[k + 1])
+                for segments, seeds in chains(x[i:j], y[i:j], n[i:j]):
+                    if seeds >= SEEDS:
                         rows.append((a[i], b[i], [v for s in segments for v in s]))
             if rows:
                 one, two, three = zip(*rows, strict=True)
@@ -532,10 +586,24 @@ def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RESULT.split(", ")]
         for batch in batches:
+            # Nearly all chains are one segment, and nearly all of these are alike enough as a whole.
+            one = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column("chain")), 3))
+            rest = [batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column("chain")), 3))]
+            if one.num_rows:
+                x, y, n = one.column("chain").flatten().to_numpy().astype(np.int64).reshape(-1, 3).T
+                a0, b0 = (one.column(c).to_numpy().astype(np.int64) for c in ("a0", "b0"))
+                held = (x - a0 + n <= _n_words(one.column("a"))) & (y - b0 + n <= _n_words(one.column("b")))
+                one, x, y, n, a0, b0 = one.filter(pa.array(held)), *(v[held] for v in (x, y, n, a0, b0))
+                alike, x0, x1, y0, y1, matched = _single(one.column("a"), one.column("b"), x - a0, y - b0, n)
+                long = alike & (x1 - x0 >= LEAST)
+                yield pa.RecordBatch.from_arrays([*(one.column(c).filter(pa.array(long)) for c in ("id", "other")), *(pa.array(v[long], pa.int64()) for v in (x0 + a0, x1 + a0, y0 + b0, y1 + b0, matched))], names=names)
+                rest.append(one.filter(pa.array(~alike)))
             rows = []
-            for i, o, c, a0, b0, a, b in zip(*(batch.column(n).to_pylist() for n in ("id", "other", "chain", "a0", "b0", "a", "b")), strict=True):
-                rows += [(i, o, *p) for p in align(np.frombuffer(a, WORD), np.frombuffer(b, WORD), a0, b0, list(zip(c[0::3], c[1::3], c[2::3], strict=True)))]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (zip(*rows, strict=True) if rows else [[]] * 7)], names=names)
+            for part in rest:
+                for i, o, c, a0, b0, a, b in zip(*(part.column(n).to_pylist() for n in ("id", "other", "chain", "a0", "b0", "a", "b")), strict=True):
+                    rows += [(i, o, *p) for p in align(np.frombuffer(a, WORD), np.frombuffer(b, WORD), a0, b0, list(zip(c[0::3], c[1::3], c[2::3], strict=True)))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*rows, strict=True)], names=names)
 
     return both.mapInArrow(lay, RESULT)
 

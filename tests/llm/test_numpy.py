@@ -329,3 +329,51 @@ def test_a_task_of_empty_texts_only_is_counted():
     also = np.append(codes.counts < mixing_lm.SPELLED, False)
     tokens, s = mixing_lm.tokens_of(pa.array([None, ""]), codes, also)
     assert list(s.letter) == [False, True, False, True] and len(s.code) == 4
+
+
+def test_minimizers_of_texts_equal_those_of_windows():
+    r = np.random.default_rng(7)
+    for _ in range(100):
+        size = r.choice([0, 1, 3, 11, 12, 13, 40], int(r.integers(0, 10)))
+        splits = np.append(0, np.cumsum(size)).astype(np.int64)
+        h = r.integers(0, int(r.choice([3, 1 << 60])), int(splits[-1])).astype(np.uint64)
+        for width in (1, 3, 12):
+            want = set()
+            for a, b in zip(splits[:-1].tolist(), splits[1:].tolist(), strict=True):
+                want |= {i + int(h[i : min(i + width, b)].argmin()) for i in range(a, max(b - width + 1, min(a + 1, b)))}
+            assert substring.minimizers(h, splits, size, width).tolist() == sorted(want)
+
+
+def test_chains_of_one_segment_are_laid_together_as_one_by_one():
+    r = np.random.default_rng(8)
+    rows = []
+    for _ in range(2000):
+        x, y, n = (int(v) for v in r.integers((0, 0, 6), (49, 49, 80)))
+        a, b = (r.integers(0, 1000, m).astype(np.uint32) for m in (x + n + int(r.integers(0, 49)), y + n + int(r.integers(0, 49))))
+        b[y : y + n] = a[x : x + n]
+        m = min(x, y)
+        b[y - m : y] = np.where(r.random(m) < 0.7, a[x - m : x], b[y - m : y])
+        m = min(len(a) - x, len(b) - y) - n
+        b[y + n : y + n + m] = np.where(r.random(m) < 0.7, a[x + n : x + n + m], b[y + n : y + n + m])
+        rows.append((a, b, x, y, n))
+    columns = [pa.array([v[k].tobytes() for v in rows], pa.binary()) for k in (0, 1)]
+    alike, *spans = substring._single(*columns, *(np.array([v[k] for v in rows]) for k in (2, 3, 4)))
+    assert alike.any() and not alike.all()
+    for whole, span, (a, b, x, y, n) in zip(alike, zip(*(v.tolist() for v in spans), strict=True), rows, strict=True):
+        if whole:
+            assert substring.align(a, b, 0, 0, [(x, y, n)]) == ([span] if span[1] - span[0] >= substring.LEAST else [])
+
+
+def test_pairs_of_one_segment_are_chained_together_as_one_by_one():
+    r = np.random.default_rng(9)
+    pairs = []
+    for _ in range(500):
+        x = np.unique(r.integers(0, 60, int(r.integers(1, 12))))
+        y = x + (0 if r.random() < 0.7 else r.integers(0, 3, len(x)))
+        pairs.append((x, y, r.choice([substring.K, substring.LONG], len(x), p=[0.8, 0.2])))
+    edges = np.append(0, np.cumsum([len(v[0]) for v in pairs]))
+    alone, segment, seeds = substring._only_segments(*(np.concatenate([v[k] for v in pairs]) for k in range(3)), edges)
+    assert alone.any() and not alone.all()
+    for one, found, total, v in zip(alone, segment.tolist(), seeds.tolist(), pairs, strict=True):
+        made = substring.chains(*v)
+        assert not one or made == [([tuple(found)], total)]
