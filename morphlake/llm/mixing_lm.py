@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -193,7 +193,7 @@ class Tokens:
 def tokens_of(texts: pa.Array, codes: Codes, also: np.ndarray | None = None) -> tuple[Tokens, Symbols]:
     """also: words of the vocabulary to spell as well, to learn spelling from them."""
     raw, offsets = common.buffer_of(texts)
-    raw = common._LOWER[raw]
+    raw = common.lowered(raw)
     starts, ends, splits = common.word_spans(raw, offsets)
     words = common.span_hashes(raw, starts, ends)
     counts = np.diff(splits)
@@ -329,14 +329,8 @@ def tables_of(counts: list) -> list:
     return out
 
 
-def _within(x: np.ndarray, low: float, high: float, out: np.ndarray | None = None) -> np.ndarray:
-    out = np.maximum(x, np.float32(low), out=out)
-    return np.minimum(out, np.float32(high), out=out)
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
-    out = _within(x, -30, 30)
-    np.negative(out, out=out)
+    out = np.negative(x)
     np.exp(out, out=out)  # exp and log of 32 bits are vectorised, tanh and log2 are not
     out += np.float32(1)
     return np.reciprocal(out, out=out)
@@ -357,32 +351,40 @@ def _inputs(codes: Codes, s: Symbols, node: np.ndarray) -> tuple[list, np.ndarra
 def _refine(codes: Codes, dot: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Probability of a one from the mixer; half of it and half of the map's; the map's cells."""
     plain = _squash(dot)
-    share = _within(dot, -7.99, 7.99)
+    share = np.clip(dot, np.float32(-7.99), np.float32(7.99), out=dot)
     share *= np.float32(2)
     share += np.float32((APM - 1) / 2)
     cell = share.astype(np.intp)
     share -= cell
     cell += long
     under = codes.apm.take(cell, mode="wrap")
-    p = codes.apm.take(cell + 1, mode="wrap")
+    p = codes.apm[1:].take(cell, mode="wrap")
     p -= under
     p *= share
     p += under
     p += plain
     p *= np.float32(0.5)
-    return plain, _within(p, 1e-5, 1 - 1e-5, out=p), (cell, share)
-
+    return plain, p, (cell, share)
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a sorted array, and the place of each one's value among them."""
-    new = np.ones(len(x), bool)
-    new[1:] = x[1:] != x[:-1]
-    return x[new], np.cumsum(new) - 1
 
-
-def _blocks(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray) -> Iterator[tuple]:
-    """Each block's decisions, the parts they belong to and their inputs. What no weight changes is made for
-    some blocks together, as many are small."""
+@dataclass
+class Group:
+    """Some blocks in a row, and what no weight changes of their decisions, as many blocks are small. Those of a block
+    come by document, and a document's words before the bytes of its spelled words (two parts)."""
+
+    one: np.ndarray  # whether a decision is a one, as a number
+    long: np.ndarray  # where its map begins
+    x: list  # log-odds of each context and a constant
+    gate: np.ndarray
+    edges: list  # decisions, and documents of blocks, before each block
+    docs: np.ndarray  # the documents of each block
+    at: np.ndarray  # where their decisions begin in their block
+    size: np.ndarray
+    parts: tuple[np.ndarray, np.ndarray]  # where parts begin, and which of all texts' parts they are
+    gates: tuple | None = None  # if weights are to be learned: by block, the decisions in order of their gates, where each gate begins, and its rate
+
+
+def _groups(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray, learn: bool) -> Iterator[Group]:
     done = np.append(0, np.cumsum(s.bits))[edges]  # decisions before each block
     i = 0
     while i < len(edges) - 1:
@@ -390,15 +392,25 @@ def _blocks(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray) ->
         a, b = edges[i], edges[j]
         part = Symbols(s.code[a:b], s.bits[a:b], [c[a:b] for c in s.contexts], s.doc[a:b], s.block[a:b], s.letter[a:b])
         node, bit = _decisions(part)
-        first = np.flatnonzero(np.diff(part_of[a:b], prepend=-1))  # the words of a document, then its spelled bytes
-        doc, kind = part.doc[first], part.letter[first].astype(np.intp)
-        at = (np.cumsum(part.bits) - part.bits)[first]
-        size = np.diff(np.append(at, len(node)))
+        begin = np.cumsum(part.bits) - part.bits
+        first = np.flatnonzero(np.diff(part_of[a:b], prepend=-1))
+        kinds = part.doc[first] * 2 + part.letter[first]
+        own = np.flatnonzero(np.diff(part_of[a:b] >> 1, prepend=-1))
+        at = begin[own]
         x, gate = _inputs(codes, part, node)
-        parts = np.searchsorted(first, edges[i : j + 1] - a)
-        for k in range(i, j):
-            p, d = slice(parts[k - i], parts[k - i + 1]), slice(done[k] - done[i], done[k + 1] - done[i])
-            yield node[d], bit[d], doc[p], kind[p], at[p] - d.start, size[p], [*(v[d] for v in x[:-1]), x[-1]], gate[d]
+        long = (node > 255).view(np.int8) + (node > 1 << 14)
+        long = long.astype(np.intp)
+        long *= APM
+        until, of = done[i : j + 1] - done[i], np.searchsorted(own, edges[i : j + 1] - a)
+        gates = None
+        if learn:
+            key = np.repeat(np.arange(j - i) * len(codes.weights), np.diff(until)) + gate
+            order = np.argsort(key.astype(np.uint16) if (j - i) * len(codes.weights) <= 1 << 16 else key, kind="stable")
+            key = key[order]
+            runs = np.flatnonzero(np.diff(key, prepend=-1))
+            times = np.diff(np.append(runs, len(key)))
+            gates = (order - np.repeat(until[:-1], np.diff(until)), runs - until[key[runs] // len(codes.weights)], key[runs] % len(codes.weights), (TUNE_RATE / np.sqrt(4 + times)).astype(np.float32)[:, None], np.searchsorted(runs, until).tolist())
+        yield Group(bit.astype(np.float32), long, x, gate, list(zip(until.tolist(), of.tolist(), strict=True)), part.doc[own], at - np.repeat(until[:-1], np.diff(of)), np.diff(np.append(at, len(node))), (begin[first], kinds), gates)
         i = j
 
 
@@ -411,36 +423,62 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
     s = Symbols(s.code[order], s.bits[order], [c[order] for c in s.contexts], s.doc[order], s.block[order], s.letter[order])
     part_of = part_of[order]
     own = np.zeros((n_docs, len(SLOTS) + 1), np.float32)
-    total = np.zeros((n_docs, 2))
+    total = np.zeros(n_docs * 2)
     edges = np.append(np.flatnonzero(np.diff(s.block, prepend=-1)), len(s.block))
-    for node, bit, doc, kind, at, size, x, gate in _blocks(codes, s, part_of, edges):
-        docs, which = _runs(doc)
-        w = codes.weights.take(gate, axis=0, mode="wrap")
-        w += np.repeat(own[doc], size, axis=0)
-        dot = w[:, 0] * x[0]
-        for j in range(1, len(x)):
-            dot += w[:, j] * x[j]
-        long = (node > 255).astype(np.intp)
-        long += node > 1 << 14
-        long *= APM
-        plain, p, (cell, share) = _refine(codes, dot, long)
-        p -= bit == 0
-        np.abs(p, out=p)
-        total[doc, kind] += np.add.reduceat(np.log(p, out=p), at, dtype=np.float64) * LOG2_E
-        error = bit - plain
-        x = [v * error for v in x]
-        step = np.zeros((len(docs), len(x)), np.float32)
-        np.add.at(step, which, np.stack([np.add.reduceat(v, at) for v in x], axis=1))
-        rate = (DOC_RATE / 8 / np.sqrt(16 + np.bincount(which, size))).astype(np.float32)
-        own[docs] = own[docs] * np.float32(0.98) + rate[:, None] * step
-        if learn:
-            seen = np.sqrt(4 + np.bincount(gate, minlength=len(codes.weights)))
-            for j, v in enumerate(x):
-                codes.weights[:, j] += (TUNE_RATE * np.bincount(gate, v, len(codes.weights)) / seen).astype(np.float32)
-            for at, w in ((cell, 1 - share), (cell + 1, share)):
-                mass = np.bincount(at, w, len(codes.apm))
-                codes.apm += (0.02 * (np.bincount(at, w * bit, len(codes.apm)) - mass * codes.apm) / (1 + 0.02 * mass)).astype(np.float32)
-    return total
+    with np.errstate(over="ignore"):  # odds beyond all bounds are those of no chance
+        for g in _groups(codes, s, part_of, edges, learn):
+            chance = np.empty(len(g.one), np.float32)
+            rate = (DOC_RATE / 8 / np.sqrt(16 + g.size)).astype(np.float32)[:, None]
+            for k, ((low, from_doc), (high, to_doc)) in enumerate(pairwise(g.edges)):
+                docs, at, size = g.docs[from_doc:to_doc], g.at[from_doc:to_doc], g.size[from_doc:to_doc]
+                w = codes.weights.take(g.gate[low:high], axis=0, mode="wrap")
+                mine = own[docs]
+                w += mine.repeat(size, axis=0)
+                x = [v[low:high] for v in g.x[:-1]]
+                dot = w[:, -1] * g.x[-1]
+                for c, v in enumerate(x):
+                    v_ = w[:, c]
+                    v_ *= v
+                    dot += v_
+                plain, p, (cell, share) = _refine(codes, dot, g.long[low:high])
+                chance[low:high] = p
+                error = g.one[low:high] - plain
+                step = np.empty((len(docs), len(g.x)), np.float32)
+                for c, v in enumerate(x):
+                    v *= error  # they are not looked at again
+                    np.add.reduceat(v, at, out=step[:, c])
+                error *= g.x[-1]
+                np.add.reduceat(error, at, out=step[:, -1])
+                step *= rate[from_doc:to_doc]
+                mine *= np.float32(0.98)
+                mine += step
+                own[docs] = mine
+                if learn:
+                    order, runs, gates, tuned, bounds = g.gates
+                    r, by_gate = slice(bounds[k], bounds[k + 1]), order[low:high]
+                    step = np.empty((r.stop - r.start, len(g.x)), np.float32)
+                    for c, v in enumerate([*x, error]):
+                        np.add.reduceat(v.take(by_gate), runs[r], out=step[:, c])
+                    step *= tuned[r]
+                    codes.weights[gates[r]] += step
+                    _learn_map(codes.apm, cell, share, g.one[low:high])
+            chance -= np.float32(1) - g.one
+            np.abs(chance, out=chance)
+            np.clip(chance, np.float32(1e-5), np.float32(1 - 1e-5), out=chance)
+            begin, kinds = g.parts
+            total += np.bincount(kinds, np.add.reduceat(np.log(chance, out=chance), begin, dtype=np.float64) * LOG2_E, n_docs * 2)
+    return total.reshape(n_docs, 2)
+
+
+def _learn_map(apm: np.ndarray, cell: np.ndarray, share: np.ndarray, one: np.ndarray) -> None:
+    """Moves the cells on either side of each decision to it, by its share of them: first those below, then those above."""
+    key = cell * 2
+    key += one.astype(np.intp)
+    times, above = np.bincount(key, minlength=2 * len(apm)), np.bincount(key, share, 2 * len(apm))
+    below = times - above
+    for zeros, ones, cells in ((below[0::2], below[1::2], apm), (above[0:-2:2], above[1:-2:2], apm[1:])):
+        both = zeros + ones
+        cells += ((ones - both * cells) / (50 + both)).astype(np.float32)
 
 
 def untuned(codes: Codes) -> None:
@@ -477,6 +515,12 @@ def dealt(texts: DataFrame, parts: int, shards: int) -> DataFrame:
     return texts.withColumns({"__part": part, "__shard": shard})
 
 
+def by_length(table: pa.Table) -> pa.Table:
+    """A shard's rows by fold, those of like length together, as they advance together."""
+    size = pa.compute.binary_length(table.column("__text"))
+    return table.append_column("__size", size).sort_by([(c, "ascending") for c in ("__fold", "__size", "__id", "__text")])
+
+
 def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]:
     """The model, and the counts of all training words (__h, __c), stored."""
     spark = train.sparkSession
@@ -489,7 +533,7 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
                 h, _ = common.word_hashes(piece.column("__text"))
                 parts += [h, np.full(piece.num_rows, END, U)]
                 held += len(h)
-                raw = common._LOWER[common.buffer_of(piece.column("__text"))[0]]
+                raw = common.lowered(common.buffer_of(piece.column("__text"))[0])
                 letters += np.bincount(np.where(common._WHITE[raw], np.uint8(32), raw), minlength=256)
             if parts and (held > COUNTED or batch is None):
                 h, c = np.unique(np.concatenate(parts), return_counts=True)
@@ -559,7 +603,7 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
     untuned(codes)
     without = spark.sparkContext.broadcast(made[1:])  # of fixed size
 
-    # A shard's documents are learned from in order, one fold after another; the shards' weights are averaged after each pass.
+    # A shard's documents are learned from in order, one fold after another and short ones first; the shards' weights are averaged after each pass.
     tuned = dealt(texts, parts_, shards)
 
     def average(table: pa.Table) -> pa.Table:
@@ -573,7 +617,7 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
 
         def learn(table: pa.Table) -> pa.Table:
             mine = replace(bare.value, weights=state[0].copy(), apm=state[1].copy())
-            table = table.sort_by([("__fold", "ascending"), ("__id", "ascending"), ("__text", "ascending")])
+            table = by_length(table)
             for fold in range(FOLDS):
                 mine.tables = without.value[fold]
                 rows = table.filter(pa.compute.equal(table.column("__fold"), fold)).combine_chunks()

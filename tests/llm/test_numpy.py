@@ -377,3 +377,14 @@ def test_pairs_of_one_segment_are_chained_together_as_one_by_one():
     for one, found, total, v in zip(alone, segment.tolist(), seeds.tolist(), pairs, strict=True):
         made = substring.chains(*v)
         assert not one or made == [([tuple(found)], total)]
+
+
+def test_a_shard_learns_from_texts_of_like_length_together():
+    r = np.random.default_rng(10)
+    texts = ["w " * int(n) for n in r.permutation([*[100] * 1000, *[4000] * 10])]
+    rows = pa.table({"__fold": pa.array([0] * 1010), "__id": pa.array(range(1010)), "__text": pa.array(texts)})
+    ordered = mixing_lm.by_length(rows)
+    sizes = [len(t) for t in ordered.column("__text").to_pylist()]
+    assert sorted(ordered.column("__id").to_pylist()) == list(range(1010)) and sizes == sorted(sizes)
+    steps = lambda t: sum(-(-max(map(len, p.column("__text").to_pylist())) // (2 * mixing_lm.BLOCK)) for b in t.combine_chunks().to_batches() for p in common.slices(b, "__text", mixing_lm.TUNED))
+    assert steps(ordered) < 0.7 * steps(rows)
