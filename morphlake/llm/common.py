@@ -115,11 +115,13 @@ _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
-    x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    y ^= y >> U(27)
+    y *= U(0x94D049BB133111EB)
+    y ^= y >> U(31)
+    return y
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(_BASE))
@@ -203,14 +205,15 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with at most limit bytes of text each, or one row."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = 1, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with at most limit bytes of text each, or one row. With rows, a piece of fewer rows goes on
+    to at most so many bytes."""
     if not batch.num_rows:
         return
     sizes = np.diff(buffer_of(batch.column(column))[1])
     start, used = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if i > start and used + size > limit:
+        if i > start and used + size > limit and (used + size > most or min(i - start, len(sizes) - i) >= rows):
             yield batch.slice(start, i - start)
             start, used = i, 0
         used += size

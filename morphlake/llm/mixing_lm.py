@@ -48,21 +48,25 @@ SPELLED = 8
 SLOTS = (20, 20, 20)
 #: The words whose last occurrence is a context, by rank.
 FREQUENT = 64
-#: Training documents of a shard, on which weights are tuned in order; passes, after each of which the shards' are averaged.
+#: Training documents of a shard, on which weights are tuned in order; passes, after each of which the units' are averaged.
 TUNING, PASSES = 400, 3
 #: Rows of averages that reach the driver after a pass, at most.
 AVERAGES = 64
 #: Folds of these documents.
 FOLDS = 5
-#: Tokens of a document between two updates of its own weights, and the rates.
-BLOCK, DOC_RATE, TUNE_RATE = 48, 0.02, 0.02
+#: Tokens of a document between two updates of its own weights, and the rates. The latter fits steps of TUNED_ROWS texts or more.
+BLOCK, DOC_RATE, TUNE_RATE = 48, 0.02, 0.006
 #: Bytes of text that are scored, counted and tuned on at once; one longer text is taken whole.
 #: Only the last matters to the result: its texts' blocks share a step of the weights.
-CHUNK, GATHER, TUNED = 512 << 10, 1 << 20, 64 << 10
+CHUNK, GATHER, TUNED = 256 << 10, 1 << 20, 64 << 10
+#: Texts that are scored and tuned on at once, at least, unless they hold over common.CHUNK_BYTES: the steps of few texts are small.
+SCORED_ROWS, TUNED_ROWS = 64, 32
 #: Decisions of several blocks whose inputs are looked up at once.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 15
 #: Words whose counts a task merges before it sends them (8 bytes each).
 COUNTED = 1 << 20
+#: Bytes of memory, twice over, that a task keeps for its next arrays.
+KEPT = 30 << 20
 HEAD = 20  # leading bits of a word's hash by which it is looked up
 GATES = 4  # levels of what a slot has seen
 APM = 33
@@ -190,6 +194,13 @@ class Tokens:
     known: np.ndarray
 
 
+def keep_memory() -> None:
+    """Tells the C library to keep what this process frees, up to twice this size: it follows the largest array that was
+    freed. Else each block's arrays are given back and touched anew."""
+    whole = np.empty(KEPT, np.uint8)
+    del whole
+
+
 def tokens_of(texts: pa.Array, codes: Codes, also: np.ndarray | None = None) -> tuple[Tokens, Symbols]:
     """also: words of the vocabulary to spell as well, to learn spelling from them."""
     raw, offsets = common.buffer_of(texts)
@@ -354,8 +365,9 @@ def _refine(codes: Codes, dot: np.ndarray, long: np.ndarray) -> tuple[np.ndarray
     share = np.clip(dot, np.float32(-7.99), np.float32(7.99), out=dot)
     share *= np.float32(2)
     share += np.float32((APM - 1) / 2)
-    cell = share.astype(np.intp)
-    share -= cell
+    cell = share.astype(np.int32)  # by way of 32 bits, as these casts are vectorised
+    share -= cell.astype(np.float32)
+    cell = cell.astype(np.intp)
     cell += long
     under = codes.apm.take(cell, mode="wrap")
     p = codes.apm[1:].take(cell, mode="wrap")
@@ -367,6 +379,11 @@ def _refine(codes: Codes, dot: np.ndarray, long: np.ndarray) -> tuple[np.ndarray
     return plain, p, (cell, share)
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.append(np.zeros(min(len(x), 1), np.intp), np.flatnonzero(x[1:] != x[:-1]) + 1)
+
+
 @dataclass
 class Group:
     """Some blocks in a row, and what no weight changes of their decisions, as many blocks are small. Those of a block
@@ -381,10 +398,9 @@ class Group:
     at: np.ndarray  # where their decisions begin in their block
     size: np.ndarray
     parts: tuple[np.ndarray, np.ndarray]  # where parts begin, and which of all texts' parts they are
-    gates: tuple | None = None  # if weights are to be learned: by block, the decisions in order of their gates, where each gate begins, and its rate
 
 
-def _groups(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray, learn: bool) -> Iterator[Group]:
+def _groups(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray) -> Iterator[Group]:
     done = np.append(0, np.cumsum(s.bits))[edges]  # decisions before each block
     i = 0
     while i < len(edges) - 1:
@@ -393,24 +409,16 @@ def _groups(codes: Codes, s: Symbols, part_of: np.ndarray, edges: np.ndarray, le
         part = Symbols(s.code[a:b], s.bits[a:b], [c[a:b] for c in s.contexts], s.doc[a:b], s.block[a:b], s.letter[a:b])
         node, bit = _decisions(part)
         begin = np.cumsum(part.bits) - part.bits
-        first = np.flatnonzero(np.diff(part_of[a:b], prepend=-1))
+        first = _changes(part_of[a:b])
         kinds = part.doc[first] * 2 + part.letter[first]
-        own = np.flatnonzero(np.diff(part_of[a:b] >> 1, prepend=-1))
+        own = first[_changes(part_of[a:b][first] >> 1)]
         at = begin[own]
         x, gate = _inputs(codes, part, node)
         long = (node > 255).view(np.int8) + (node > 1 << 14)
         long = long.astype(np.intp)
         long *= APM
         until, of = done[i : j + 1] - done[i], np.searchsorted(own, edges[i : j + 1] - a)
-        gates = None
-        if learn:
-            key = np.repeat(np.arange(j - i) * len(codes.weights), np.diff(until)) + gate
-            order = np.argsort(key.astype(np.uint16) if (j - i) * len(codes.weights) <= 1 << 16 else key, kind="stable")
-            key = key[order]
-            runs = np.flatnonzero(np.diff(key, prepend=-1))
-            times = np.diff(np.append(runs, len(key)))
-            gates = (order - np.repeat(until[:-1], np.diff(until)), runs - until[key[runs] // len(codes.weights)], key[runs] % len(codes.weights), (TUNE_RATE / np.sqrt(4 + times)).astype(np.float32)[:, None], np.searchsorted(runs, until).tolist())
-        yield Group(bit.astype(np.float32), long, x, gate, list(zip(until.tolist(), of.tolist(), strict=True)), part.doc[own], at - np.repeat(until[:-1], np.diff(of)), np.diff(np.append(at, len(node))), (begin[first], kinds), gates)
+        yield Group(bit.astype(np.float32), long, x, gate, list(zip(until.tolist(), of.tolist(), strict=True)), part.doc[own], at - np.repeat(until[:-1], np.diff(of)), np.diff(np.append(at, len(node))), (begin[first], kinds))
         i = j
 
 
@@ -424,9 +432,9 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
     part_of = part_of[order]
     own = np.zeros((n_docs, len(SLOTS) + 1), np.float32)
     total = np.zeros(n_docs * 2)
-    edges = np.append(np.flatnonzero(np.diff(s.block, prepend=-1)), len(s.block))
+    edges = np.append(_changes(s.block), len(s.block))
     with np.errstate(over="ignore"):  # odds beyond all bounds are those of no chance
-        for g in _groups(codes, s, part_of, edges, learn):
+        for g in _groups(codes, s, part_of, edges):
             chance = np.empty(len(g.one), np.float32)
             rate = (DOC_RATE / 8 / np.sqrt(16 + g.size)).astype(np.float32)[:, None]
             for k, ((low, from_doc), (high, to_doc)) in enumerate(pairwise(g.edges)):
@@ -454,19 +462,17 @@ def _walk(codes: Codes, s: Symbols, n_docs: int, learn: bool) -> np.ndarray:
                 mine += step
                 own[docs] = mine
                 if learn:
-                    order, runs, gates, tuned, bounds = g.gates
-                    r, by_gate = slice(bounds[k], bounds[k + 1]), order[low:high]
-                    step = np.empty((r.stop - r.start, len(g.x)), np.float32)
+                    gate = g.gate[low:high]
+                    rate_ = TUNE_RATE / np.sqrt(4 + np.bincount(gate, minlength=len(codes.weights)))
                     for c, v in enumerate([*x, error]):
-                        np.add.reduceat(v.take(by_gate), runs[r], out=step[:, c])
-                    step *= tuned[r]
-                    codes.weights[gates[r]] += step
+                        codes.weights[:, c] += (rate_ * np.bincount(gate, v, len(rate_))).astype(np.float32)
                     _learn_map(codes.apm, cell, share, g.one[low:high])
             chance -= np.float32(1) - g.one
             np.abs(chance, out=chance)
             np.clip(chance, np.float32(1e-5), np.float32(1 - 1e-5), out=chance)
             begin, kinds = g.parts
-            total += np.bincount(kinds, np.add.reduceat(np.log(chance, out=chance), begin, dtype=np.float64) * LOG2_E, n_docs * 2)
+            # within a block in 32 bits, between blocks in 64
+            total += np.bincount(kinds, np.add.reduceat(np.log(chance, out=chance), begin) * LOG2_E, n_docs * 2)
     return total.reshape(n_docs, 2)
 
 
@@ -521,6 +527,14 @@ def by_length(table: pa.Table) -> pa.Table:
     return table.append_column("__size", size).sort_by([(c, "ascending") for c in ("__fold", "__size", "__id", "__text")])
 
 
+def units(dealt: DataFrame, shards: int) -> DataFrame:
+    """dealt with the unit of each row, whose rows are learned from in order. FOLDS shards or more trade their rows, so that
+    as many units of a fold each come of them: then a unit looks up one fold's tables, and more of its texts are of like length."""
+    groups = shards // FOLDS
+    unit = F.col("__shard") if groups == 0 else F.pmod("__shard", F.lit(groups)) * FOLDS + F.col("__fold")
+    return dealt.withColumn("__unit", unit)
+
+
 def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]:
     """The model, and the counts of all training words (__h, __c), stored."""
     spark = train.sparkSession
@@ -559,6 +573,7 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
     bare = spark.sparkContext.broadcast(codes)  # bounded by VOCABULARY
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         counts_ = [[np.zeros(2 << k, np.int32) for k in SLOTS] for _ in range(FOLDS)]
         held: dict[int, list] = {}  # texts of the folds, until there are some
 
@@ -603,8 +618,8 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
     untuned(codes)
     without = spark.sparkContext.broadcast(made[1:])  # of fixed size
 
-    # A shard's documents are learned from in order, one fold after another and short ones first; the shards' weights are averaged after each pass.
-    tuned = dealt(texts, parts_, shards)
+    # A unit's documents are learned from in order, one fold after another and short ones first; the units' weights are averaged after each pass.
+    tuned = units(dealt(texts, parts_, shards), shards)
 
     def average(table: pa.Table) -> pa.Table:
         """Of some shards' states, the sum and what it counts for."""
@@ -616,19 +631,20 @@ def fit(train: DataFrame, id_col: str, text_col: str) -> tuple[Codes, DataFrame]
         state = (codes.weights, codes.apm)
 
         def learn(table: pa.Table) -> pa.Table:
+            keep_memory()
             mine = replace(bare.value, weights=state[0].copy(), apm=state[1].copy())
             table = by_length(table)
-            for fold in range(FOLDS):
+            for fold in pa.compute.unique(table.column("__fold")).to_pylist():
                 mine.tables = without.value[fold]
                 rows = table.filter(pa.compute.equal(table.column("__fold"), fold)).combine_chunks()
                 for batch in rows.to_batches():
-                    for piece in slices(batch, "__text", TUNED):
+                    for piece in slices(batch, "__text", TUNED, TUNED_ROWS):
                         _learn(mine, piece.column("__text"))
-            return pa.table({"__shard": table.column("__shard").slice(0, 1), "__n": pa.array([table.num_rows]), "__state": pa.array([np.append(mine.weights, mine.apm).tobytes()], pa.binary())})
+            return pa.table({"__unit": table.column("__unit").slice(0, 1), "__n": pa.array([table.num_rows]), "__state": pa.array([np.append(mine.weights, mine.apm).tobytes()], pa.binary())})
 
         with alone(spark):
-            states = tuned.filter(F.col("__part") == k % parts_).groupBy("__shard").applyInArrow(learn, "__shard long, __n long, __state binary")
-            found = states.groupBy(F.pmod("__shard", F.lit(AVERAGES))).applyInArrow(average, "__n long, __state binary").collect()
+            states = tuned.filter(F.col("__part") == k % parts_).groupBy("__unit").applyInArrow(learn, "__unit long, __n long, __state binary")
+            found = states.groupBy(F.pmod("__unit", F.lit(AVERAGES))).applyInArrow(average, "__n long, __state binary").collect()
         if found:
             found.sort(key=lambda r: (r["__n"], bytes(r["__state"])))
             mean = (sum(np.frombuffer(r["__state"], np.float64) for r in found) / sum(r["__n"] for r in found)).astype(np.float32)
@@ -647,11 +663,12 @@ def score(docs: DataFrame, codes: Codes, counts: DataFrame, id_col: str = "doc_i
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
+        keep_memory()
         each = np.append(np.log10((own.counts + 0.5) / (own.n + 0.5 * (own.v + 1))), 0.0)
         for batch in batches:
             # Texts of like length together, as they advance together.
             batch = batch.take(pa.array(np.argsort(np.diff(common.buffer_of(batch.column("__text"))[1]), kind="stable")))
-            for piece in slices(batch, "__text", CHUNK):
+            for piece in slices(batch, "__text", CHUNK, SCORED_ROWS):
                 t, s = tokens_of(piece.column("__text"), own)
                 n = piece.num_rows
                 logs = _walk(own, s, n, False) * np.log10(2)

@@ -279,6 +279,16 @@ def test_broken_pages_are_read_in_time_that_follows_their_length(field):
     assert {k: [t for t, _ in html.blocks_of(k)] for k in cases} == cases
 
 
+def test_pieces_hold_as_many_rows_as_asked():
+    texts = ["a" * n for n in [10] * 50 + [400] * 33 + [3000] * 3]
+    batch = pa.record_batch([pa.array(texts)], names=["t"])
+    pieces = [p.column("t").to_pylist() for p in common.slices(batch, "t", 1000, 8, 20_000)]
+    assert sum(pieces, []) == texts and min(map(len, pieces)) >= 8
+    assert all(sum(map(len, p)) <= 1000 or len(p) < 16 for p in pieces)
+    assert [len(p) for p in common.slices(batch.slice(83), "t", 1000, 8, 6000)] == [2, 1]
+    assert [len(p) for p in common.slices(batch.slice(50), "t", 1000)] == [2] * 16 + [1] * 4
+
+
 def test_mixing_model_learns_and_sums_to_one():
     r = random.Random(9)
     words = [f"w{k}" for k in range(50)]

@@ -437,6 +437,15 @@ def test_language_model_splits_a_row_that_is_repeated(spark):
     assert len(sizes) == 30 and sum(sizes) == 12000 and max(sizes) < 600
 
 
+def test_language_model_tunes_a_unit_on_one_fold(spark):
+    rows = spark.createDataFrame([(i, f"text {i}", i % mixing_lm.FOLDS) for i in range(6000)], "__id bigint, __text string, __fold int")
+    for shards in (1, 4, 5, 13):
+        got = mixing_lm.units(mixing_lm.dealt(rows, 3, shards), shards).groupBy("__part", "__unit").agg(F.count("*").alias("n"), F.countDistinct("__fold").alias("folds"), F.countDistinct("__shard").alias("shards")).collect()
+        assert sum(r["n"] for r in got) == 6000 and len(got) == 3 * (shards if shards < mixing_lm.FOLDS else shards // mixing_lm.FOLDS * mixing_lm.FOLDS)
+        assert all((r["folds"], r["shards"] == 1) == ((mixing_lm.FOLDS, True) if shards < mixing_lm.FOLDS else (1, False)) for r in got)
+        assert max(r["n"] for r in got) < 2.5 * 6000 / 3 / shards
+
+
 def test_language_model_leaves_no_shuffle_files(spark):
     before = shuffle_files(spark)
     rows = [(i, f"the cat {i % 3} sat on the mat {i}") for i in range(40)]
