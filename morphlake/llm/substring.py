@@ -27,11 +27,12 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.llm import common
@@ -56,6 +57,8 @@ WORD = np.uint32
 BITS = 4096
 #: Rows of ids that may be broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Rows of a few numbers sent to Python at once.
+NARROW_ROWS = 16_384
 
 RESULT = "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, matched long"
 
@@ -86,6 +89,16 @@ def minimizers(hashes: np.ndarray, splits: np.ndarray, counts: np.ndarray, width
     return np.flatnonzero(kept)
 
 
+def first_in_text(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Rows, ascending, of each text's first of equal seeds."""
+    if not len(seeds):
+        return np.zeros(0, np.int64)
+    order = np.argsort(mix(text.astype(U) + U(1)) ^ seeds)
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(seeds[order]) != 0) | (np.diff(text[order]) != 0)
+    return np.sort(np.minimum.reduceat(order, np.flatnonzero(new)))
+
+
 def long_seeds(words: np.ndarray, splits: np.ndarray, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Seeds of LONG words, their texts and places, from where the short seeds at these places (by
     text, ascending) are so close that a repeated run of LONG words may lie there."""
@@ -168,10 +181,8 @@ def chains(x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> list[tu
 
 def _only_segments(x: np.ndarray, y: np.ndarray, n: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """chains() of many pairs of documents at once, where it is plain: whether all matches of a pair are one segment,
-    that segment, and its seeds."""
+    that segment, and its seeds. A pair's matches are ordered by diagonal (x - y) and place (x)."""
     pair = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    order = np.lexsort((x, x - y, pair))
-    x, y, n = x[order], y[order], n[order]
     new = np.ones(len(x), bool)
     new[1:] = (np.diff(x - y) != 0) | (np.diff(pair) != 0)
     apart = np.cumsum(new) * (int((x + n).max()) + 1)
@@ -334,7 +345,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     bounded_batches(spark)
     texts = _one_text(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).filter("__id is not null"))
 
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seed(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "__text"):
                 words, splits = word_hashes(piece.column("__text"))
@@ -343,15 +354,17 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 own = minimizers(grams, ends, counts)
                 text = np.searchsorted(ends, own, side="right") - 1
                 own, text = own[counts[text] >= K], text[counts[text] >= K]
+                if once:
+                    rows = first_in_text(text, grams[own])
+                    own, text = own[rows], text[rows]
                 ids = piece.column("__id").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64)), pa.array(ids[text]), pa.array((own - ends[text]).astype(np.int32))], names=["seed", "id", "pos"])
 
     seeds = texts.mapInArrow(seed, "seed long, id long, pos int")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("top")).filter("f.id <> top")
     # Stored, so that the join deals both sides anew and a hot seed's rows can be split.
-    first = stored_alone(spark, first.select("seed", "f"), "first")
+    first = stored_alone(spark, _anchors(texts.mapInArrow(lambda batches: seed(batches, once=True), "seed long, id long, pos int")), "first")
     # With the anchors' own rows: they tell where a document's words repeat.
-    matches = stored_alone(spark, seeds.join(first, "seed").select("id", "pos", F.col("f.id").alias("other"), F.col("f.pos").alias("at")), "matches")
+    matches = stored_alone(spark, seeds.join(first, "seed").select("id", "pos", "other", "at"), "matches")
     dropped(first)
 
     # The words of the documents that have seeds in common: 4 bytes each.
@@ -376,14 +389,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 order = np.lexsort((at, text))
                 found, text, at = long_seeds(np.frombuffer(raw.tobytes(), WORD), offsets // WORD().itemsize, text[order], at[order])
                 ids = piece.column("w").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[text]), pa.array(at.astype(np.int32))], names=["seed", "id", "pos"])
+                once = np.zeros(len(found), bool)
+                once[first_in_text(text, found)] = True
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[text]), pa.array(at.astype(np.int32)), pa.array(once)], names=["seed", "id", "pos", "once"])
 
     places = matches.groupBy("id").agg(F.collect_set("pos").alias("places"))
-    long = places.join(words, F.col("id") == F.col("w")).select("w", "words", "places").mapInArrow(lengthen, "seed long, id long, pos int")
+    long = places.join(words, F.col("id") == F.col("w")).select("w", "words", "places").mapInArrow(lengthen, "seed long, id long, pos int, once boolean")
     long = stored_alone(spark, long, "long")
-    first = long.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("top")).filter("f.id <> top")
-    first = stored_alone(spark, first.select("seed", "f"), "long_first")
-    more = long.join(first, "seed").filter("id <> f.id").select("id", "pos", F.col("f.id").alias("other"), F.col("f.pos").alias("at"), F.lit(LONG).alias("n"))
+    first = stored_alone(spark, _anchors(long.filter("once")), "long_first")
+    more = long.join(first, "seed").filter("id <> other").select("id", "pos", "other", "at", F.lit(LONG).alias("n"))
     held_matches = matches
     matches = matches.filter("id <> other").withColumn("n", F.lit(K)).unionByName(more)
 
@@ -394,6 +408,25 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.unionByName(rest)
 
 
+def _anchors(seeds: DataFrame) -> DataFrame:
+    """The first document of each seed that stands in several (other), and its place there (at), by the seeds' first
+    places in each document. All sums are plain numbers, so rows are grouped by hashing and not sorted."""
+    first = seeds.groupBy("seed").agg(F.min("id").alias("other"), F.min_by("pos", "id").alias("at"), F.max("id").alias("top"))
+    return first.filter("other <> top").select("seed", "other", "at")
+
+
+@contextmanager
+def _narrow(spark: SparkSession) -> Iterator[None]:
+    """Jobs in here send rows of a few numbers to Python, and so more of them at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(NARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
     """Matches of the places that no passage found so far holds, by keys that tell more than a seed does: pairs of
     seeds within REACH words, as a chain has SEEDS of them, and a seed with BLOCK words at one distance from it, as
@@ -403,12 +436,15 @@ def _left_open(matches: DataFrame, found: DataFrame, words: DataFrame) -> DataFr
     spark = matches.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = found.select(F.col("doc_id").alias("id"), F.col("start_word").cast("int").alias("pos"), F.lit(None).cast("long").alias("other"), F.col("end_word").cast("int").alias("at"))
-    dealt = lambda df: df.repartition(parts, "id").sortWithinPartitions("id", "pos")
-    places = stored_alone(spark, dealt(matches.select("id", "pos", "other", "at").unionByName(spans)).mapInArrow(_open_places, "id long, pos int, other long, at int, open boolean"), "places")
+    # By one number only, which Spark sorts by its digits; numpy orders the rows of a document.
+    dealt = lambda df: df.repartition(parts, "id").sortWithinPartitions("id")
+    with _narrow(spark):
+        places = stored_alone(spark, dealt(matches.select("id", "pos", "other", "at").unionByName(spans)).mapInArrow(_open_places, "id long, pos int, other long, at int, open boolean"), "places")
     # Only the seeds of open places are matched.
     anchors = stored_alone(spark, places.filter("open").select("other", "at").distinct(), "anchors")
     marked = places.join(anchors.withColumn("wanted", F.lit(True)), ["other", "at"], "left").select("id", "pos", "other", "at", "open", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    near = stored_alone(spark, dealt(marked).mapInArrow(_surroundings, "id long, pos int, other long, at int, open boolean, pairs array<long>"), "near")
+    with _narrow(spark):
+        near = stored_alone(spark, dealt(marked).mapInArrow(_surroundings, "id long, pos int, other long, at int, open boolean, pairs array<long>"), "near")
     dropped(places, anchors)
 
     start = F.greatest(F.lit(0), F.col("pos") - AROUND)
@@ -465,7 +501,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of matches and passages (pos to at, without other) by document and place, the matches; open are those of
+    """Of matches and passages (pos to at, without other) by document, the matches; open are those of
     another document that no passage holds. Rows that repeat a place count once."""
     for now in _whole_documents(batches, "id"):
         ids, pos, at = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "pos", "at"))
@@ -485,6 +521,8 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Of the wanted places that are open or their seed's first in the document: their pairs with the seeds within
     REACH words. A place without another place of a seed is left out, and isn't the first."""
     for now in _whole_documents(batches, "id"):
+        ids, pos = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "pos"))
+        now = now.take(pa.array(np.lexsort((pos, np.cumsum(np.diff(ids, prepend=ids[0]) != 0)))))
         ids, pos, other, at = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "pos", "other", "at"))
         wanted = np.flatnonzero(now.column("wanted").to_numpy())
         if not len(wanted):
@@ -552,9 +590,10 @@ def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
     spark = matches.sparkSession
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now in _whole_documents(batches, "id", "other"):
+        for now in _whole_documents(batches, "id"):
             a, b, x, y, n = (now.column(c).to_numpy().astype(np.int64) for c in ("id", "other", "pos", "at", "n"))
-            new = now.column("new").to_numpy()
+            order = np.lexsort((x, x - y, b, a))
+            a, b, x, y, n, new = *(v[order] for v in (a, b, x, y, n)), now.column("new").to_numpy()[order]
             first = np.flatnonzero(np.diff(a, prepend=a[0] - 1) | np.diff(b, prepend=b[0] - 1))
             edges = np.append(first, len(a))
             used = ((np.diff(edges) >= SEEDS) | (n[first] != K)) & np.logical_or.reduceat(new, first)
@@ -574,8 +613,9 @@ def _passages_of(matches: DataFrame, words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(three, pa.list_(pa.int32()))], names=["id", "other", "chain"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = matches.repartition(parts, "id", "other").sortWithinPartitions("id", "other", "pos", "at")
-    made = stored_alone(spark, dealt.mapInArrow(chain, "id long, other long, chain array<int>"), "chains")
+    dealt = matches.repartition(parts, "id", "other").sortWithinPartitions("id")
+    with _narrow(spark):
+        made = stored_alone(spark, dealt.mapInArrow(chain, "id long, other long, chain array<int>"), "chains")
 
     end = lambda k: F.element_at("chain", -3 + k) + F.element_at("chain", -1)
     cut = lambda start, stop: F.substring(F.col("words"), 4 * start + 1, 4 * (stop - start))

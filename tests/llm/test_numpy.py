@@ -389,6 +389,16 @@ def test_pairs_of_one_segment_are_chained_together_as_one_by_one():
         assert not one or made == [([tuple(found)], total)]
 
 
+def test_first_of_equal_seeds_of_each_text():
+    r = np.random.default_rng(11)
+    for n in (0, 1, 7, 400):
+        text, seeds = np.sort(r.integers(0, 6, n)), r.choice(r.integers(0, 1 << 63, 20).astype(np.uint64), n)
+        first = {}
+        for i, key in enumerate(zip(text.tolist(), seeds.tolist(), strict=True)):
+            first.setdefault(key, i)
+        assert substring.first_in_text(text, seeds).tolist() == sorted(first.values())
+
+
 def test_a_shard_learns_from_texts_of_like_length_together():
     r = np.random.default_rng(10)
     texts = ["w " * int(n) for n in r.permutation([*[100] * 1000, *[4000] * 10])]

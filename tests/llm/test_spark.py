@@ -224,6 +224,28 @@ def test_surroundings_of_open_places():
             assert got[i, p]["open"] == f and len(set(got[i, p]["pairs"])) == len(got[i, p]["pairs"]) == len(set(around))
 
 
+def test_surroundings_in_any_order_of_a_document():
+    r = random.Random(4)
+    rows = sorted({(i, p): (i, p, r.choice((i, 90 + p % 3)), r.randint(0, 4), r.random() < 0.5, r.random() < 0.8) for i in range(6) for p in r.sample(range(400), 30)}.values())
+    names = ["id", "pos", "other", "at", "open", "wanted"]
+    made = []
+    for order in (rows, sorted(rows, key=lambda x: (x[0], r.random()))):
+        places = pa.table(dict(zip(names, map(pa.array, zip(*order, strict=True)), strict=True)))
+        made.append(sorted((*list(x.values())[:-1], sorted(x["pairs"])) for x in pa.Table.from_batches(substring._surroundings(iter(places.to_batches(max_chunksize=11)))).to_pylist()))
+    assert made[0] and made[0] == made[1]
+
+
+def test_anchors_are_grouped_by_hashing(spark):
+    r = random.Random(5)
+    rows = sorted({(seed, i): (seed, i, r.randint(0, 5000)) for i in range(-30, 30) for seed in r.sample(range(-45, 45), 20)}.values())
+    want = {}
+    for seed, i, pos in sorted(rows, key=lambda x: x[1]):
+        want.setdefault(seed, []).append((i, pos))
+    found = substring._anchors(spark.createDataFrame(rows + rows[:50], "seed long, id long, pos int").repartition(5))
+    assert {tuple(x) for x in found.collect()} == {(seed, *v[0]) for seed, v in want.items() if len(v) > 1}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whole_documents():
     r = random.Random(9)
     rows = sorted((r.randint(0, 12), r.randint(0, 2), k) for k in range(200))
