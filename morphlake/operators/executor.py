@@ -1,7 +1,8 @@
 """The batched rewrite: begin, batch, abort, clear; and rollback, newest first.
 
 One Spark job visits a slice of the log, of one batch or of several: its keys are joined to their entries, the
-step's columns are evaluated once and written with their outcomes, and only then does one
+step's columns are evaluated once and written with their outcomes (a large slice by ranges of its keys, one after
+another, so that what is on disk besides the entries does not grow with it), and only then does one
 new control record make the batch, the cursor and the carried-forward log visible. A batch that
 fails leaves no trace; running it again is harmless, as steps are idempotent. If another writer
 commits during a batch, the batch is run again on what that writer left. Keys registered meanwhile
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import DEFAULT_BATCH, LARGEST_BATCH
-from morphlake.operators.log import orphans, per_visit, reversed_slice, slice_of, tallies, tally
+from morphlake.operators.log import key_ranges, orphans, per_visit, reversed_slice, slice_of, tallies, tally
 from morphlake.plans.compile import FunctionStep, Step, VariantStep
 from morphlake.plans.model import KeySpace, ShapeError
 from morphlake.sources.control import COMPLETED, ROLLED_BACK, ROLLING_BACK, RUNNING, Control, Migration, MigrationError
@@ -47,6 +48,9 @@ class Outcome:
         return self.visited == 0 and not self.done
 
 
+#: Positions that one job visits, about; their rows are on disk twice or three times until they are in order.
+AT_ONCE = 1 << 24
+
 #: The counts of a batch that visits nothing.
 NOTHING = {"visited": 0, "migrated": 0, "already_current": 0, "skipped": 0}
 
@@ -124,9 +128,32 @@ class Executor:
             raise MigrationError("WrongMigration", f"{m.from_version} -> {m.to_version} is recorded")
         return m
 
-    def _visit(self, c: Control, visits: DataFrame, down: bool, place: Column, limit: int, n: int) -> tuple[str, list[dict]]:
-        """Evaluates a slice of n positions once; returns what it wrote and the outcomes of its batches. Only entries in the
-        range of the slice's keys are read and merged. place counts the slice's positions in the order of the visits."""
+    def _visit(self, c: Control, visits: DataFrame, down: bool, place: Column, limit: int, n: int) -> tuple[str | None, list[dict]]:
+        """Evaluates a slice of n positions once; returns the folder of the rows that changed, in order of their keys, and the
+        outcomes of its batches. place counts the slice's positions in the order of the visits. Visits of a range of keys
+        are deleted when the next one's are written; the last ones stay until they are swept."""
+        path, seen, counts = None, None, {}
+        for one in key_ranges(visits, n, AT_ONCE):
+            if seen:
+                self.store.discard(seen)
+            seen, found = self._range(c, visits.filter(one), down, place, limit, n)
+            for i, x in found.items():
+                counts[i] = {k: x[k] + counts.get(i, NOTHING)[k] for k in NOTHING}
+            if any(x["migrated"] for x in found.values()):
+                rows = self.store.spark.read.parquet(seen).filter("outcome = 'Migrated'").drop("pos", "step", "outcome").sort("key")  # the first visit of each key
+                if path:
+                    self.store.append(rows, path)
+                else:
+                    path = self.store.write(rows, "entries")
+        got = [counts.get(i, NOTHING) for i in range(-(-n // limit))]
+        for i, x in enumerate(got):
+            if x["visited"] != (wanted := min(limit, n - i * limit)):
+                raise MigrationError("CorruptIndex", f"{x['visited']} of {wanted} positions of batch {i} of the slice")
+        return path, got
+
+    def _range(self, c: Control, visits: DataFrame, down: bool, place: Column, limit: int, n: int) -> tuple[str, dict[int, dict]]:
+        """The visits of some of a slice's keys, all of each: the folder of their rows, and their counts in each batch. Only
+        entries in the range of the keys are read and merged."""
         keys = visits.select("key")
         entries = self.store.around(c, keys.filter(self.variant[0].within(self.variant[1])) if self.variant else keys)
         apart = {x: f"__{x}" for x in ("pos", "step") if x in visits.columns}
@@ -135,15 +162,9 @@ class Executor:
         seen, counted = per_visit(moved, newest_first=down), Observation()
         path = self.store.write(seen.observe(counted, *tallies()), "visits")
         if n <= limit:
-            counts = {0: counted.get}
-        else:
-            rows = tally(self.store.spark.read.parquet(path), [F.floor(place / limit).cast("bigint").alias("batch")]).collect()
-            counts = {r["batch"]: {k: r[k] for k in NOTHING} for r in rows}
-        got = [counts.get(i, NOTHING) for i in range(-(-n // limit))]
-        for i, x in enumerate(got):
-            if x["visited"] != (wanted := min(limit, n - i * limit)):
-                raise MigrationError("CorruptIndex", f"{x['visited']} of {wanted} positions of batch {i} of the slice")
-        return path, got
+            return path, {0: counted.get}
+        rows = tally(self.store.spark.read.parquet(path), [F.floor(place / limit).cast("bigint").alias("batch")]).collect()
+        return path, {r["batch"]: {k: r[k] for k in NOTHING} for r in rows}
 
     def _outcomes(self, m: Migration, start: int, limit: int, counts: list[dict]) -> list[Outcome]:
         """The outcomes of batches from start on, up to the cursor of m."""
@@ -171,9 +192,7 @@ class Executor:
             visits = slice_of(self.store.log(self.a, c, start, n), start, n)
             path, counts = self._visit(c, visits, False, F.col("pos") - start, limit, n)
             self._keep(c, path, counts)
-            end = c.length(self.b)
-            carried = self.store.spark.read.parquet(path).select((F.col("pos") - start + end).cast("bigint").alias("pos"), "key")
-            c.add_log(self.b, self.store.write(carried, "log"), n)
+            self._carry(c, self.a, self.b, visits.withColumn("pos", (F.col("pos") - start + c.length(self.b)).cast("bigint")), n)
         m.cursor, m.total = start + n, total
         if m.cursor >= m.total:
             m.status, c.version = COMPLETED, self.b
@@ -181,16 +200,23 @@ class Executor:
         self.store.commit(c)
         return self._outcomes(m, start, limit, counts)
 
-    def _keep(self, c: Control, path: str, counts: list[dict]) -> None:
+    def _keep(self, c: Control, path: str | None, counts: list[dict]) -> None:
         """Rows that changed become a delta; rows that did not are not written again. A delta of as many keys as the one
         folder before it has rows holds each of them, and takes its place."""
-        if n := sum(x["migrated"] for x in counts):
-            rows = self.store.spark.read.parquet(path).filter("outcome = 'Migrated'").drop("pos", "step", "outcome")  # the first visit of each key
+        if path:
+            n = sum(x["migrated"] for x in counts)
             whole = len(c.entries) == 1 and c.sizes.get(c.entries[0]) == n
-            c.add_entries(self.store.write(rows.sort("key"), "entries"), rows, n)
+            c.add_entries(path, self.store.spark.read.parquet(path), n)
             if whole:
                 c.replace(c.entries, 0, c.entries[-1], n)
 
+    def _carry(self, c: Control, a: int, b: int, visits: DataFrame, n: int) -> None:
+        """The log of b goes on with the n visits of a's. A whole log that starts b's is shared, not written again."""
+        if n == c.length(a) and not c.length(b):
+            c.share_log(a, b)
+        else:
+            c.add_log(b, self.store.write(visits.select("pos", "key"), "log"), n)
+
     def batch_within(self, limit: int, seconds: float) -> Outcome:
         """A batch whose jobs are cancelled after so many seconds (0: never). The record then tells whether
         it was kept: if the cursor has moved, this is what it says; else DeadlineExpired."""
@@ -275,9 +301,7 @@ class Executor:
             visits = reversed_slice(self.store.log(self.b, c, m.total - start - n, n), m.total, start, n)
             path, counts = self._visit(c, visits, True, F.col("step") - start, limit, n)
             self._keep(c, path, counts)
-            # the log of the old version keeps its order: position for position
-            carried = self.store.spark.read.parquet(path).select("pos", "key")
-            c.add_log(self.a, self.store.write(carried, "log"), n)
+            self._carry(c, self.b, self.a, visits, n)  # the log of the old version keeps its order: position for position
         m.cursor = start + n
         if m.cursor >= m.total:
             m.status, c.version = ROLLED_BACK, self.a

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from morphlake.functions.numbers import LARGEST_BATCH, page_of
 from morphlake.sources.control import MigrationError
+from morphlake.sources.files import alone
 
 
 def staged(rows: DataFrame, order: list[str], path: str) -> list[tuple[int, int]]:
     """Writes rows, sorted once by ranges of the order, and says how many each part of it holds (a pair a task)."""
-    rows.sort(*order).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    with alone(rows.sparkSession):
+        rows.sort(*order).withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
     return sorted((r[0], r[1]) for r in rows.sparkSession.read.parquet(path).groupBy(F.shiftright("__m", 33)).count().collect())
 
 
@@ -73,6 +75,21 @@ def reversed_slice(log: DataFrame, total: int, cursor: int, limit: int) -> DataF
     return log.withColumn("step", step.cast("bigint")).filter((F.col("step") >= cursor) & (F.col("step") < cursor + limit))
 
 
+def key_ranges(log: DataFrame, n: int, most: int) -> list[Column]:
+    """Conditions that part n contiguous positions of a log into ranges of keys of about most rows each, so that all rows of
+    a key fall under one of them. The cuts are keys of every so many positions."""
+    parts = -(-n // most)
+    if parts < 2:
+        return [F.lit(True)]
+    some = log.filter((F.col("pos") % max(n // (parts * 256), 1) == 0) & F.col("key").isNotNull())
+    found = sorted(r[0] for r in some.select("key").collect())
+    cuts = sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
+    above = [F.lit(True), *(F.col("key") >= x for x in cuts)]
+    below = [*(F.col("key") < x for x in cuts), F.lit(True)]
+    first, *rest = (a & b for a, b in zip(above, below))
+    return [F.coalesce(first, F.lit(True)), *rest] if rest else [F.lit(True)]
+
+
 def batch_of(pos: Column, size: int = LARGEST_BATCH) -> Column:
     return F.floor(pos / size).cast("bigint")
 

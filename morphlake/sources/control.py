@@ -124,13 +124,24 @@ class Control:
         self.lengths[str(version)] = self.length(version) + n
         self.sizes[path] = n
 
+    def share_log(self, a: int, b: int) -> None:
+        """The whole log of a version is that of another as well: its folders are named, not written again."""
+        self.logs[str(b)] = list(self.log(a))
+        self.lengths[str(b)] = self.length(a)
+
     def replace(self, folders: list[str], first: int, path: str, n: int) -> None:
         """One folder in place of those from first on."""
-        for old in folders[first:]:
-            self.sizes.pop(old, None)
-        folders[first:] = [path]
+        old, folders[first:] = folders[first:], [path]
+        self.unsized(old)
         self.sizes[path] = n
 
+    def unsized(self, folders: list[str]) -> None:
+        """Forgets the sizes of folders that no list names any more."""
+        named = self.folders()
+        for x in folders:
+            if x not in named:
+                self.sizes.pop(x, None)
+
     def folders(self) -> set[str]:
         """All folders that this state reads."""
         return {*self.entries, *(x for paths in self.logs.values() for x in paths)}

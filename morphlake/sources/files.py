@@ -13,6 +13,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,6 +34,19 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="morphlake-store")
 
 
+@contextmanager
+def alone(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is planned in here go as soon as it ends: else they stay until the driver happens
+    to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Folder:
     def __init__(self, root: str | Path, spark: SparkSession | None = None):
         text = str(root)
@@ -124,10 +139,10 @@ class Folder:
 
 
 class Record:
-    """A text with a number; the next one is made by compare and swap."""
+    """A text with a number; the next one is made by compare and swap. So many as keep says stay before the last two."""
 
-    def __init__(self, folder: Folder, stem: str):
-        self.folder, self.stem = folder, stem
+    def __init__(self, folder: Folder, stem: str, keep: int = KEPT):
+        self.folder, self.stem, self.keep = folder, stem, keep
 
     def _name(self, number: int) -> str:
         return f"{self.stem}.{number:012d}.json"
@@ -176,6 +191,6 @@ class Record:
             self.folder.delete(self._name(base + 1))
             return False
         for name in names:  # oldest first
-            if name < self._name(max(base - KEPT, 0)):
+            if name < self._name(max(base - self.keep, 0)):
                 self.folder.delete(name)
         return True

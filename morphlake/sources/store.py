@@ -22,7 +22,7 @@ from morphlake.plans.compile import Step, compile_step
 from morphlake.plans.diff import Diff
 from morphlake.plans.model import Shape
 from morphlake.sources.control import Control, MigrationError, run_of
-from morphlake.sources.files import Folder, Record
+from morphlake.sources.files import KEPT, Folder, Record, alone
 
 LOG_SCHEMA = "pos bigint, key string"
 #: Folders below a store that hold data.
@@ -53,12 +53,16 @@ def retried(f: Callable) -> Callable:
 
 
 class Store:
-    """Entries have a `key` (string) and one column per field. Later rows of a key win."""
+    """Entries have a `key` (string) and one column per field. Later rows of a key win.
 
-    def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.folder = spark, Folder(root, spark)
+    sole: one process alone writes the store, and reads no states but the newest, the one before it and pinned ones.
+    Each commit then deletes what these don't name, so what is on disk does not grow with the steps.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | Path, sole: bool = False):
+        self.spark, self.folder, self.sole = spark, Folder(root, spark), sole
         self.root = self.folder.root
-        self.record = Record(self.folder, "state")
+        self.record = Record(self.folder, "state", 0 if sole else KEPT)
 
     def control(self, number: int | None = None) -> Control:
         """The newest state, or the one of a record that is kept or pinned."""
@@ -67,13 +71,25 @@ class Store:
     def commit(self, control: Control) -> None:
         if not control.save(self.record):
             raise Conflict(f"record {control.commits + 1} is taken")
+        if self.sole:
+            self.sweep(-1)
 
     def write(self, df: DataFrame, kind: str) -> str:
         """A new folder with df; nobody sees it before a commit names it."""
         path = f"{self.root}/{kind}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with alone(self.spark):
+            df.write.parquet(path)
         return path
 
+    def append(self, df: DataFrame, path: str) -> None:
+        """More rows for a folder that no commit has named yet."""
+        with alone(self.spark):
+            df.write.mode("append").parquet(path)
+
+    def discard(self, path: str) -> None:
+        """Deletes a folder that no commit has named."""
+        self.folder.delete(path.removeprefix(f"{self.root}/"))
+
     # -------- version marker
 
     @retried
@@ -301,7 +317,7 @@ class Store:
 
     def _unstage(self, staged: tuple | None) -> None:
         if staged:
-            self.folder.delete(staged[0].removeprefix(f"{self.root}/"))
+            self.discard(staged[0])
 
     def _register(self, c: Control, version: int, keys: tuple[str, list[tuple[int, int]]]) -> None:
         """Numbers staged keys on from the log's end, part by part from the parts' counts."""
@@ -320,8 +336,7 @@ class Store:
     def reset_log(self, version: int, control: Control | None = None) -> None:
         """A log that is truly empty: its old files are no longer named."""
         c = control or self.control()
-        for x in c.logs.pop(str(version), []):
-            c.sizes.pop(x, None)
+        c.unsized(c.logs.pop(str(version), []))
         c.lengths.pop(str(version), None)
         if control is None:
             self.commit(c)
